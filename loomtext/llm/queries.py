@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, sharding
+from . import linededup, neardup, sharding, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.duplicate_spans(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(_table(spark, sf_dir, "documents"), 24)
 
@@ -20,6 +28,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op8_sharding": op8_sharding,
     "op10_line_dedup": op10_line_dedup,
 }
