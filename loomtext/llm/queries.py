@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, neardup, sharding, substring
+from . import fertility, linededup, neardup, sharding, substring, tokenfile
+from . import vocabularies as v
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_digests(_table(spark, sf_dir, "documents"), v.WORD_BPE)
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
@@ -23,14 +28,20 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(_table(spark, sf_dir, "documents"), 24)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.quality(_table(spark, sf_dir, "documents"), v.PIECES, v.BYTE_RANKS, v.BYTE_PATTERN)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_digest(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_token_id_output": op2_token_id_output,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op8_sharding": op8_sharding,
+    "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
 }
 

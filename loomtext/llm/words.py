@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,3 +72,16 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
+
+
+def process_cache() -> dict:
+    """A dict that lives as long as this Python process, for models that tasks load once."""
+    return sys.__dict__.setdefault("_loomtext_cache", {})
+
+
+def expand(codes: np.ndarray, lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Positions of the entries ``starts[c] .. starts[c] + lengths[c]`` for each code in turn."""
+    sizes = lengths[codes]
+    ends = np.cumsum(sizes)
+    shift = np.repeat(starts[codes] - (ends - sizes), sizes)
+    return shift + np.arange(len(shift))
