@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fertility, linededup, neardup, sharding, substring, tokenfile
+from . import fertility, linededup, neardup, secrets, sharding, substring, tokenfile
 from . import vocabularies as v
 
 
@@ -20,6 +20,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digest(_table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.duplicate_spans(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -39,6 +43,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_token_id_output": op2_token_id_output,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_secret_scans": op4_secret_scans,
     "op5_substring_dedup": op5_substring_dedup,
     "op8_sharding": op8_sharding,
     "op9_quality_rules": op9_quality_rules,
