@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fertility, linededup, neardup, secrets, sharding, substring, tokenfile
+from . import fertility, linededup, mixing, neardup, pieces, secrets, sharding, substring, tokenfile, topk
 from . import vocabularies as v
 
 
@@ -12,6 +12,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 def op2_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_digests(_table(spark, sf_dir, "documents"), v.WORD_BPE)
 
@@ -28,6 +33,14 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.duplicate_spans(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op6_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_report(_table(spark, sf_dir, "documents"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_checked(_table(spark, sf_dir, "documents"), v.PIECES)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(_table(spark, sf_dir, "documents"), 24)
 
@@ -41,10 +54,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_exact_top_k": op1_exact_top_k,
     "op2_token_id_output": op2_token_id_output,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_secret_scans": op4_secret_scans,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_mixing_to_targets": op6_mixing_to_targets,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_sharding": op8_sharding,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
