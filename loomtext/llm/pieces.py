@@ -14,7 +14,7 @@ from .words import expand, mix, process_cache, slices
 
 #: A piece's log weight is -SLOPE * log(rank + SHIFT) (Zipf and Mandelbrot's law),
 #: its rank being its place in the vocabulary's merge order.
-SLOPE, SHIFT = 1.5, 10.0
+SLOPE, SHIFT = 0.6, 10.0
 #: The place holder for a space, and the mark that cuts a text into units.
 SPACE, MARK = "▁", "\x00"
 _BASE, _SEED = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -197,7 +197,7 @@ class Lattices:
         open_, steps = np.arange(len(codes)), []
         counts = np.zeros(len(codes), np.int64)
         while len(open_):
-            u = (mix(keys[open_] + np.uint64(len(steps) + 1) * _SEED) >> np.uint64(12)).astype(np.float64) / float(1 << 52)
+            u = (mix(keys[open_] + np.array([len(steps) + 1], np.uint64) * _SEED) >> np.uint64(12)).astype(np.float64) / float(1 << 52)
             edge = np.searchsorted(self.running, at[open_] + u, "right")
             steps.append((open_, edge))
             counts[open_] += 1
