@@ -1,23 +1,57 @@
-"""The corpus pipeline: stages applied to the whole documents table."""
+"""The corpus pipeline: five stages, each over all that the one before it kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomtext.llm import linededup
+from loomtext.llm import fertility, linededup, mixing, neardup, pieces
+from loomtext.llm import vocabularies as v
+from loomtext.llm.scratch import cut
 
 
-def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return linededup.without_repeated_lines(docs)
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and their language's fertility band."""
+    return fertility.passing(docs, v.PIECES, v.BYTE_RANKS, v.BYTE_PATTERN)
 
 
-STAGES = [("line dedup", drop_repeated_lines)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that an earlier one holds; ``n_chars`` follows the text."""
+    return linededup.without_repeated_lines(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
-ORACLE_SQL = None
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each class of near copies (similarity 0.8)."""
+    gone = neardup.near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct()
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn so that source, language and topic meet their token targets."""
+    return mixing.mix_to_targets(docs).where("mix.kept").select(*docs.columns)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, each decoded again and compared with its text."""
+    return pieces.encode_checked(docs, v.PIECES)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("minhash near-dedup", near_dedup),
+    ("mixing to targets", mix_sources),
+    ("sentencepiece", encode_pieces),
+]
+
+ORACLE_SQL = None  # tokenisers, sketches and draws are beyond SQL; see tests/llm
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's rows are written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = cut(docs, "stage")
     return docs

@@ -78,13 +78,13 @@ def _repeated_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def _measurer(pieces: str, ranks: str, pattern: str):
+def _measurer(pieces: str, ranks: str, pattern: str, text: str, with_text: bool):
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, encoding = _vocabularies(pieces, ranks, pattern)
         for whole in batches:
-            for batch in slices(whole, "text"):
-                texts = [x or "" for x in batch["text"].to_pylist()]
-                offsets, codes, vocabulary = split_words(batch["text"])
+            for batch in slices(whole, text):
+                texts = [x or "" for x in batch[text].to_pylist()]
+                offsets, codes, vocabulary = split_words(batch[text])
                 n, words = len(texts), vocabulary.to_pylist()
                 coded = model.encode(words, num_threads=1) if words else []
                 lengths = np.fromiter(map(len, coded), np.int64, len(coded))
@@ -113,7 +113,7 @@ def _measurer(pieces: str, ranks: str, pattern: str):
                 ]
                 measured = [pa.array(c.astype(np.int64)) for c in columns] + [pa.array(entropies(used, owner, n, model.get_piece_size()))]
                 names = [x.split()[0] for x in COLUMNS.split(", ")]
-                kept = [i for i, f in enumerate(batch.schema) if f.name != "text"]
+                kept = [i for i, f in enumerate(batch.schema) if with_text or f.name != text]
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + measured, names=[batch.schema.field(i).name for i in kept] + names)
 
     return measure
@@ -145,12 +145,28 @@ def quality(docs: DataFrame, pieces: str, ranks: str, pattern: str, id_column: s
     """
     lang = F.col(lang_column) if lang_column in docs.columns else F.lit(None)
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), lang.cast("string").alias("lang"), F.col(text_column).alias("text"))
-    found = source.mapInArrow(_measurer(pieces, ranks, pattern), "doc_id long, lang string, " + COLUMNS)
-    per_token = F.col("word_chars") / F.greatest(F.col("n_tokens"), F.lit(1))
-    fallback = F.col("n_fallback") / F.greatest(F.col("n_pieces"), F.lit(1))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    good = _in_band(F.col("lang"), per_token) & (fallback <= MOST_FALLBACK) & (F.col("entropy") >= LEAST_ENTROPY)
+    found = source.mapInArrow(_measurer(pieces, ranks, pattern, "text", False), "doc_id long, lang string, " + COLUMNS)
+    failed, kept, per_token, fallback = _verdict(F.col("lang"))
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (~failed & good).alias("kept"), per_token.alias("chars_per_token"), fallback.alias("fallback_share"), "entropy",
+        kept.alias("kept"), per_token.alias("chars_per_token"), fallback.alias("fallback_share"), "entropy",
     )
+
+
+def _verdict(lang: Column) -> tuple[Column, Column, Column, Column]:
+    per_token = F.col("word_chars") / F.greatest(F.col("n_tokens"), F.lit(1))
+    fallback = F.col("n_fallback") / F.greatest(F.col("n_pieces"), F.lit(1))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    good = _in_band(lang, per_token) & (fallback <= MOST_FALLBACK) & (F.col("entropy") >= LEAST_ENTROPY)
+    return failed, ~failed & good, per_token, fallback
+
+
+def passing(docs: DataFrame, pieces: str, ranks: str, pattern: str, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+    """The rows that ``quality`` keeps, with their columns; texts are not shuffled."""
+    columns = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+    text = plain.columns[columns.index(text_column)]
+    lang = F.col(plain.columns[columns.index(lang_column)]).cast("string") if lang_column in columns else F.lit(None).cast("string")
+    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
+    found = plain.mapInArrow(_measurer(pieces, ranks, pattern, text, True), f"{out}, {COLUMNS}")
+    return found.where(_verdict(lang)[1]).select(*plain.columns).toDF(*columns)
