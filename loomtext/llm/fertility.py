@@ -37,13 +37,29 @@ def _vocabularies(pieces: str, ranks: str, pattern: str) -> tuple:
 
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        opens = np.zeros(max(table.values()) + 1, bool)
+        opens[[i for token, i in table.items() if token[:1] == b" "]] = True
         cache[key] = (
             sentencepiece.SentencePieceProcessor(model_file=pieces),
             tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}),
+            opens,
         )
     return cache[key]
 
 
+def token_counts(encoding, opens: np.ndarray, words: list[str]) -> np.ndarray:
+    """Tokens of each word behind a space; many words are coded in one string, as a space always opens a token."""
+    parts = [np.zeros(0, np.int64)]
+    for i in range(0, len(words), 5000):
+        some = words[i : i + 5000]
+        starts = opens[np.array(encoding.encode_ordinary(" " + " ".join(some)), np.int64)]
+        if starts.sum() == len(some):
+            parts.append(np.diff(np.append(np.flatnonzero(starts), len(starts))))
+        else:
+            parts.append(np.array([len(encoding.encode_ordinary(" " + w)) for w in some], np.int64))
+    return np.concatenate(parts)
+
+
 def repeated_words(hashes: np.ndarray, offsets: np.ndarray, k: int = 3) -> np.ndarray:
     """Words of each text that stand in a ``k``-word window found twice or more in that text."""
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -80,7 +96,7 @@ def _repeated_lines(text: str) -> int:
 
 def _measurer(pieces: str, ranks: str, pattern: str, text: str, with_text: bool):
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, encoding = _vocabularies(pieces, ranks, pattern)
+        model, encoding, opens = _vocabularies(pieces, ranks, pattern)
         for whole in batches:
             for batch in slices(whole, text):
                 texts = [x or "" for x in batch[text].to_pylist()]
@@ -91,8 +107,7 @@ def _measurer(pieces: str, ranks: str, pattern: str, text: str, with_text: bool)
                 flat = np.fromiter((i for x in coded for i in x), np.int64, int(lengths.sum()))
                 starts = np.cumsum(lengths) - lengths
                 bytes_ = np.bincount(np.repeat(np.arange(len(words)), lengths), (flat >= _FALLBACK.start) & (flat < _FALLBACK.stop), len(words)).astype(np.int64)
-                spaced = encoding.encode_ordinary_batch([" " + w for w in words], num_threads=1) if words else []
-                tokens = np.fromiter(map(len, spaced), np.int64, len(spaced))
+                tokens = token_counts(encoding, opens, words)
                 hashes = vocabulary_hashes(vocabulary)[codes]
 
                 def per_text(of_word: np.ndarray) -> np.ndarray:
