@@ -95,8 +95,9 @@ def decode_segments(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
                 which = np.flatnonzero(width == w)
                 for some in np.array_split(which, max(1, len(which) // 4096)):
                     packed = payload[starts[some].astype(np.int64)[:, None] + np.arange(int(w) * BLOCK // 8)]
-                    bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(some), BLOCK, w)
-                    values[some] = (bits.astype(np.uint32) << np.arange(w, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
+                    bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(-1, w)
+                    real = np.float32 if w <= 24 else np.float64  # exact sums of powers of two
+                    values[some] = (bits.astype(real) @ np.exp2(np.arange(w)).astype(real)).astype(np.uint32).reshape(len(some), BLOCK)
         values[np.repeat(np.arange(n_blocks), patch_counts), places] = patches
         yield doc_ids, has_id.astype(bool), counts, (values + least[:, None]).reshape(-1)[:n_ids]
         at += 1  # the newline

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,16 +18,28 @@ from .scratch import cut, new_path
 from .words import expand, process_cache, slices, split_words
 
 #: Ids in one segment, about, and words whose ids a worker remembers.
-SEGMENT_IDS, REMEMBERED = 4_000_000, 400_000
+SEGMENT_IDS, REMEMBERED = 4_000_000, 500_000
 
 
 class WordEncoder:
-    """Encodes word by word: the vocabularies used here never join text across white space."""
+    """Encodes word by word: the vocabularies used here never join text across white space.
+
+    Words of letters, with marks behind them or not, are encoded many in one string:
+    each run of letters and each run of marks closes with a token that ends a word,
+    and counting those finds the words again.  All other words are encoded alone.
+    """
+
+    #: Letters that normalising keeps letters, one to one.
+    _PLAIN, _LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]*$", "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.known: dict[str, int] = {}
+        self.flat, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -34,25 +48,53 @@ class WordEncoder:
             cache[key] = cls(path)
         return cache[key]
 
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in a row, and how many each word has."""
-        fresh = [w for w in words if w not in self.known]
-        coded = {}
-        for i in range(0, len(fresh), 20_000):
-            some = fresh[i : i + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                coded[w] = np.array(e.ids, "<u4").tobytes()
-        found = [coded[w] if w in coded else self.known[w] for w in words]
+    def _alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum())), lengths
+
+    def _together(self, words: list[str], closes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        until = np.cumsum(closes)
+        if len(ends) != until[-1]:
+            return self._alone(words)
+        return ids, np.diff(np.concatenate([[0], ends[until - 1]]))
+
+    def _fresh(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words' places in ``words`` in the order coded, their ids in a row, and how many each has."""
+        plain = pc.match_substring_regex(words, self._PLAIN).to_numpy(zero_copy_only=False)
+        closes = 2 - pc.match_substring_regex(words, self._LETTERS).to_numpy(zero_copy_only=False).astype(np.int64)
+        order, texts, parts = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]), words.to_pylist(), []
+        simple = order[: int(plain.sum())]
+        for i in range(0, len(simple), 1000):
+            some = simple[i : i + 1000]
+            parts.append(self._together([texts[j] for j in some], closes[some]))
+        if len(simple) < len(order):
+            parts.append(self._alone([texts[j] for j in order[len(simple) :]]))
+        return order, *(np.concatenate(x) for x in zip(*parts))
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``places, flat, lengths``: word ``i`` has the ids of row ``places[i]`` of ``flat``."""
+        texts = words.to_pylist()
+        places = np.fromiter(map(self.known.get, texts, repeat(-1)), np.int64, len(texts))
+        new = np.flatnonzero(places < 0)
+        if not len(new):
+            return places, self.flat, self.lengths
+        order, flat, lengths = self._fresh(words.take(pa.array(new)))
+        places[new[order]] = len(self.lengths) + np.arange(len(order))
+        flat, lengths = np.concatenate([self.flat, flat]), np.concatenate([self.lengths, lengths])
         if len(self.known) < REMEMBERED:
-            self.known.update(coded)
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        return np.frombuffer(b"".join(found), "<u4"), lengths
+            self.known.update((texts[i], int(places[i])) for i in new)
+            self.flat, self.lengths = flat, lengths
+        return places, flat, lengths
 
     def texts(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each closed by ``end``, and how many each has."""
         offsets, codes, vocabulary = split_words(texts)
-        flat, lengths = self.words(vocabulary.to_pylist())
-        ids = flat[expand(codes, lengths, np.cumsum(lengths) - lengths)] if len(codes) else flat
+        places, flat, lengths = self.words(vocabulary)
+        codes = places[codes]
+        ids = flat[expand(codes, lengths, np.cumsum(lengths) - lengths)]
         until = np.concatenate([[0], np.cumsum(lengths[codes])])[offsets]
         counts = np.diff(until) + 1
         out = np.full(int(counts.sum()), end, np.uint32)
@@ -71,7 +113,7 @@ def _encoder(path: str, end: int):
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["segment"])
 
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", 6 << 20):
                 ids, counts = coder.texts(batch["text"], end)
                 column = batch["doc_id"]
                 held.append((column.fill_null(0).to_numpy(), column.is_valid().to_numpy(zero_copy_only=False), counts, ids))
