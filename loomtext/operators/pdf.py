@@ -1,0 +1,228 @@
+"""PDF text from bytes: uncompressed and Flate streams with simple or Unicode-mapped fonts.
+
+Encrypted files and other filters are reported as errors, never as empty text.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ..functions import formats as f
+from ..functions.common import as_column
+
+# Fixed value: what the error says.
+FAILED = "PDF extraction failed: "
+_OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
+_STREAM = re.compile(rb"(.*?)\bstream\r?\n(.*?)\r?\n?endstream", re.S)
+_TOKEN = re.compile(
+    rb"%[^\r\n]*|\((?:\\.|[^\\()]|\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\))*\)|<<|>>|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s()<>\[\]{}/%]*|[^\s()<>\[\]{}/%]+", re.S
+)
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+class PdfError(ValueError):
+    pass
+
+
+def _string(token: bytes) -> bytes:
+    if token[:1] == b"<":
+        digits = re.sub(rb"\s", b"", token[1:-1])
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+
+    def escaped(m: re.Match) -> bytes:
+        x = m[1]
+        if x[:1].isdigit():
+            return bytes([int(x, 8) & 255])
+        return b"" if x in (b"\n", b"\r", b"\r\n") else _ESCAPES.get(x, x)
+
+    return re.sub(rb"\\([0-7]{1,3}|\r\n|.)", escaped, token[1:-1], flags=re.S)
+
+
+class Document:
+    def __init__(self, data: bytes):
+        if not data.startswith(b"%PDF"):
+            raise PdfError("no header")
+        if re.search(rb"/Encrypt\b", data):
+            raise PdfError("encrypted")
+        self.objects: dict[int, bytes] = {int(m[1]): m[2] for m in _OBJECT.finditer(data)}
+        for body in list(self.objects.values()):
+            if b"/ObjStm" in body:
+                self._unpack(body)
+        if not self.objects:
+            raise PdfError("no objects")
+
+    def _unpack(self, body: bytes) -> None:
+        head, data = self.stream(body)
+        count, first = (int(re.search(rb"/" + k + rb"\s+(\d+)", head)[1]) for k in (b"N", b"First"))
+        numbers = list(map(int, data[:first].split()[: 2 * count]))
+        starts = numbers[1::2] + [len(data) - first]
+        for i, number in enumerate(numbers[::2]):
+            self.objects.setdefault(number, data[first + starts[i] : first + starts[i + 1]])
+
+    def stream(self, body: bytes) -> tuple[bytes, bytes]:
+        m = _STREAM.match(body)
+        if not m:
+            raise PdfError("no stream")
+        head, data = m[1], m[2]
+        filters = re.findall(rb"/(\w+Decode)\b", head)
+        for name in filters:
+            if name != b"FlateDecode":
+                raise PdfError(f"filter {name.decode()}")
+            try:
+                data = zlib.decompressobj().decompress(data)
+            except zlib.error as e:
+                raise PdfError(f"damaged stream: {e}") from e
+        if filters and (p := re.search(rb"/Predictor\s+(\d+)", head)) and int(p[1]) > 1:
+            raise PdfError("predictor")
+        return head, data
+
+    def ref(self, body: bytes, key: bytes) -> list[int]:
+        m = re.search(rb"/" + key + rb"\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
+        return [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", m[1])] if m else []
+
+    def pages(self) -> list[bytes]:
+        roots = [b for b in self.objects.values() if re.search(rb"/Type\s*/Pages\b", b) and b"/Parent" not in b]
+        out, seen = [], set()
+        stack = [(n, b"") for root in roots for n in reversed(self.ref(root, b"Kids"))]
+        while stack:
+            n, above = stack.pop()
+            body = self.objects.get(n)
+            if body is None or n in seen:
+                continue
+            seen.add(n)
+            if b"/Kids" in body:
+                stack.extend((k, body) for k in reversed(self.ref(body, b"Kids")))
+            else:
+                out.append(body if b"/Resources" in body else body + above)
+        return out or [b for b in self.objects.values() if re.search(rb"/Type\s*/Page\b", b)]
+
+    def fonts(self, page: bytes) -> dict[bytes, dict[bytes, str] | None]:
+        scope = page + b"".join(self.objects.get(n, b"") for n in self.ref(page, b"Resources"))
+        m = re.search(rb"/Font\s*(?:<<(.*?)>>|(\d+)\s+\d+\s+R)", scope, re.S)
+        inner = (m[1] if m[1] is not None else self.objects.get(int(m[2]), b"")) if m else b""
+        out = {}
+        for name, number in re.findall(rb"/([^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R", inner):
+            maps = self.ref(self.objects.get(int(number), b""), b"ToUnicode")
+            out[b"/" + name] = self._unicode(self.stream(self.objects[maps[0]])[1]) if maps and maps[0] in self.objects else None
+        return out
+
+    @staticmethod
+    def _unicode(cmap: bytes) -> dict[bytes, str]:
+        table: dict[bytes, str] = {}
+
+        def text(h: bytes) -> str:
+            return bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
+
+        for block in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.S):
+            for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]*)>", block):
+                table[bytes.fromhex(a.decode())] = text(b)
+        for block in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.S):
+            for a, b, c, many in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*(?:<([0-9A-Fa-f]+)>|\[([^\]]*)\])", block):
+                low, high, size = int(a, 16), int(b, 16), len(a) // 2
+                listed = re.findall(rb"<([0-9A-Fa-f]*)>", many)
+                for i in range(min(high - low + 1, 65536)):
+                    value = text(listed[i]) if many and i < len(listed) else (text(c)[:-1] + chr(ord(text(c)[-1]) + i) if c else "")
+                    table[(low + i).to_bytes(size, "big")] = value
+        return table
+
+    def page_text(self, page: bytes) -> str:
+        fonts = self.fonts(page)
+        data = b"\n".join(self.stream(self.objects[n])[1] for n in self.ref(page, b"Contents") if n in self.objects)
+        out: list[str] = []
+        font: dict[bytes, str] | None = None
+        stack: list[bytes] = []
+        depth: list[list[bytes]] = []
+
+        def show(raw: bytes) -> str:
+            if font is None:
+                return raw.decode("utf-16") if raw[:2] == b"\xfe\xff" else raw.decode("cp1252", "replace")
+            size, i, parts = max(map(len, font), default=1), 0, []
+            while i < len(raw):
+                step = size if raw[i : i + size] in font else 1 if raw[i : i + 1] in font else size
+                parts.append(font.get(raw[i : i + step], ""))
+                i += step
+            return "".join(parts)
+
+        def line() -> None:
+            if out and not out[-1].endswith("\n"):
+                out.append("\n")
+
+        for m in _TOKEN.finditer(data):
+            t = m[0]
+            if t[:1] == b"%":
+                continue
+            if t == b"[":
+                depth.append([])
+            elif t == b"]" and depth:
+                stack.append(b"[")
+                array = depth.pop()
+            elif t[:1] in b"(</" or t[:1].isdigit() or t[:1] in b"+-.":
+                (depth[-1] if depth else stack).append(t)
+            elif t == b"Tf":
+                font = fonts.get(stack[-2]) if len(stack) > 1 else None
+                stack.clear()
+            elif t in (b"Tj", b"'", b'"'):
+                if t != b"Tj":
+                    line()
+                if stack and stack[-1][:1] in b"(<":
+                    out.append(show(_string(stack[-1])))
+                stack.clear()
+            elif t == b"TJ":
+                for x in array if stack and stack[-1] == b"[" else []:
+                    if x[:1] in b"(<":
+                        out.append(show(_string(x)))
+                    elif x[:1] == b"-" and float(x) < -200:
+                        out.append(" ")
+                stack.clear()
+            else:
+                if t in (b"T*", b"Td", b"TD", b"Tm", b"ET") and (t in (b"T*", b"Tm", b"ET") or (len(stack) > 1 and float(stack[-1]) != 0)):
+                    line()
+                stack.clear()
+        return "".join(out)
+
+
+def pdf_text(data: bytes) -> str:
+    doc = Document(data)
+    pages = doc.pages()
+    if not pages:
+        raise PdfError("no pages")
+    return "\n".join(doc.page_text(p) for p in pages)
+
+
+@F.arrow_udf("struct<text:string,failure:string>")
+def _texts(files: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    kind = pa.struct([("text", pa.string()), ("failure", pa.string())])
+    for batch in files:
+        rows = []
+        for data in batch.to_pylist():
+            try:
+                rows.append({"text": pdf_text(data), "failure": None} if data is not None else None)
+            except (ValueError, IndexError, TypeError, KeyError, UnboundLocalError, RecursionError, MemoryError) as e:
+                rows.append({"text": None, "failure": str(e) or type(e).__name__})
+        yield pa.array(rows, kind)
+
+
+def try_extract_pdf_bytes(content: Column | str) -> Column:
+    """``struct<value, error>``: text, or an error of kind ``io`` or ``empty_result``.  Null gives nulls."""
+    value = as_column(content)
+    found = _texts(value)
+    blank = F.trim(F.regexp_replace(found["text"], F.lit("[\\p{IsWhite_Space}]+"), F.lit(""))) == ""
+    return (
+        F.when(value.isNull(), f.attempt())
+        .when(found["text"].isNull(), f.attempt(failure=f.error(f.IO_ERROR, F.concat(F.lit(FAILED), found["failure"]))))
+        .when(blank, f.attempt(failure=f.error(f.EMPTY_RESULT)))
+        .otherwise(f.attempt(f.extracted(found["text"], f.PDF, "pdf-extract")))
+    )
+
+
+def extract_pdf_bytes(content: Column | str) -> Column:
+    """Result struct; the query fails with the error's message if there is one.  Null stays null."""
+    tried = try_extract_pdf_bytes(content)
+    failed = F.raise_error(tried["error"]["message"]).cast(f.EXTRACTED)
+    return F.when(tried["error"].isNotNull(), failed).otherwise(tried["value"])
