@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import formats as f
 from ..functions.common import as_column
@@ -132,7 +133,7 @@ def layout(source: str, width: int) -> str:
 
 
 def _laid_out(width: int):
-    @F.arrow_udf("string")
+    @F.arrow_udf(T.StringType())
     def run(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in pages:
             rows = []

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import formats as f
 from ..functions.common import as_column
@@ -195,7 +196,7 @@ def pdf_text(data: bytes) -> str:
     return "\n".join(doc.page_text(p) for p in pages)
 
 
-@F.arrow_udf("struct<text:string,failure:string>")
+@F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("failure", T.StringType())]))
 def _texts(files: Iterator[pa.Array]) -> Iterator[pa.Array]:
     kind = pa.struct([("text", pa.string()), ("failure", pa.string())])
     for batch in files:

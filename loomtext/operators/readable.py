@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import formats as f
 from ..functions.common import as_column
@@ -92,7 +93,7 @@ def article(source: str) -> tuple[str, str | None, str | None] | None:
     return "<div>" + "".join(p.markup() for p in parts) + "</div>", title or None, excerpt
 
 
-_ARTICLE = "struct<content:string,title:string,excerpt:string>"
+_ARTICLE = T.StructType([T.StructField(n, T.StringType()) for n in ("content", "title", "excerpt")])
 
 
 @F.arrow_udf(_ARTICLE)
