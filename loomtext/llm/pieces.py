@@ -15,6 +15,8 @@ from .words import expand, mix, process_cache, slices
 #: A piece's log weight is -SLOPE * log(rank + SHIFT) (Zipf and Mandelbrot's law),
 #: its rank being its place in the vocabulary's merge order.
 SLOPE, SHIFT = 0.6, 10.0
+#: Code points after which a unit is cut.
+LONGEST_UNIT = 64
 #: The place holder for a space, and the mark that cuts a text into units.
 SPACE, MARK = "▁", "\x00"
 _BASE, _SEED = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -92,7 +94,7 @@ class Pieces:
 
 
 def cut_units(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """``offsets, units``: each space opens a unit, each line end is one of its own."""
+    """``offsets, units``: each space opens a unit, each line end is one of its own, long ones are cut."""
     texts = pc.fill_null(texts, "")
     if pc.any(pc.match_substring(texts, MARK)).as_py():
         split = [_cut_one(t) for t in texts.to_pylist()]
@@ -100,9 +102,14 @@ def cut_units(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     else:
         marked = pc.replace_substring(pc.replace_substring(texts, " ", MARK + " "), "\n", MARK + "\n" + MARK)
         lists = pc.split_pattern(marked, MARK)
-    full = pc.binary_length(lists.values).to_numpy(zero_copy_only=False) > 0
-    before = np.concatenate([[0], np.cumsum(full)])
-    return before[lists.offsets.to_numpy()], lists.values.filter(pa.array(full))
+    sizes = pc.utf8_length(lists.values).to_numpy(zero_copy_only=False)
+    offsets = lists.offsets.to_numpy()
+    if len(sizes) and sizes.max() > LONGEST_UNIT:
+        parts = [[u[i : i + LONGEST_UNIT] for i in range(0, len(u), LONGEST_UNIT)] if n > LONGEST_UNIT else [u] * (n > 0) for u, n in zip(lists.values.to_pylist(), sizes)]
+        before = np.concatenate([[0], np.cumsum(list(map(len, parts)))])
+        return before[offsets], pa.array([u for x in parts for u in x], pa.string())
+    before = np.concatenate([[0], np.cumsum(sizes > 0)])
+    return before[offsets], lists.values.filter(pa.array(sizes > 0))
 
 
 def _cut_one(text: str) -> list[str]:
@@ -117,9 +124,9 @@ def _cut_one(text: str) -> list[str]:
 class Lattices:
     """All segmentations of each distinct unit, with forward sums.
 
-    Nodes are the places between code points.  Edges into a node stand together,
-    with running sums of their share in the node's forward weight, so that one
-    number in [0, 1) picks an edge backwards.
+    Units are ordered from the longest to the shortest, so that those that reach a
+    depth are a prefix; a node is a depth and a unit.  Edges into a node stand
+    together, with running sums of their share in the node's forward weight.
     """
 
     def __init__(self, model: Pieces, units: pa.Array):
@@ -128,81 +135,77 @@ class Lattices:
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         points[points == 0x2581] = 0x110000  # the place holder itself has no piece
         points[points == 0x20] = 0x2581
-        n = len(points)
-        ends = np.cumsum(sizes)
-        left = np.repeat(ends, sizes) - np.arange(n)  # code points up to the unit's end
-        self.sizes = sizes
-        self.base = ends - sizes + np.arange(len(sizes))  # a unit's node 0; it has sizes + 1 nodes
-        node = np.arange(n) + np.repeat(np.arange(len(sizes)), sizes)  # before each code point
-        heads, tails, rows, hashes = [], [], [], np.zeros(n, np.uint64)
-        at = np.arange(n)
-        single = np.zeros(n, bool)
-        for length in range(1, model.longest + 1):
-            at = at[left[at] >= length]
-            if not len(at):
-                break
-            hashes[at] = mix((hashes[at] ^ (points[at + length - 1] + np.uint64(1))) * _BASE)
-            row = model.find(hashes[at])
-            hit = row >= 0
-            if length == 1:
-                single[at[hit]] = True
-            tails.append(node[at[hit]])
-            heads.append(node[at[hit]] + length)
-            rows.append(row[hit])
-        # a code point without a piece is one edge of its bytes; rows below -1 say which
-        lone = np.flatnonzero(~single)
-        real = np.where(points[lone] == 0x110000, 0x2581, np.where(points[lone] == 0x2581, 0x20, points[lone])).astype(np.int64)
-        width = 1 + (real > 0x7F) + (real > 0x7FF) + (real > 0xFFFF)
-        self.lone_point = real
-        tails.append(node[lone])
-        heads.append(node[lone] + 1)
-        rows.append(-2 - np.arange(len(lone)))
-        tail, head, row = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (tails, heads, rows))
-        weight = np.concatenate([model.weight[row[: len(row) - len(lone)]], model.byte_weight * width])
-        order = np.lexsort((row, head))
-        self.tail, self.row = tail[order], row[order]
-        head, weight = head[order], weight[order]
-        nodes = n + len(sizes)
-        depth = np.zeros(nodes, np.int64)  # a node's place in its unit
-        depth[node] = np.arange(n) - np.repeat(ends - sizes, sizes)
-        depth[self.base + sizes] = sizes
-        forward = np.zeros(nodes)
-        by_depth = np.argsort(depth[head], kind="stable")
-        bounds = np.searchsorted(depth[head][by_depth], np.arange(1, int(sizes.max(initial=0)) + 2))
-        share = np.zeros(len(head))
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            some = by_depth[a:b]
-            h = head[some]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            score = forward[self.tail[some]] + weight[some]
-            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
-            peak = np.maximum.reduceat(score, first)
-            mass = np.exp(score - peak[group])
-            total = np.add.reduceat(mass, first)
-            forward[h[first]] = peak + np.log(total)
-            share[some] = mass / total[group]
+        order = np.argsort(-sizes, kind="stable")
+        starts = (np.cumsum(sizes) - sizes)[order]
+        self.rank = np.empty(len(words), np.int64)
+        self.rank[order] = np.arange(len(words))
+        self.sizes = sizes[order]
+        deepest = int(sizes.max(initial=0))
+        reach = np.searchsorted(-self.sizes, -np.arange(deepest + 1), "right")  # units of each depth or more
+        self.first_node = np.concatenate([[0], np.cumsum(reach)])
+        forward = [np.zeros(reach[0])]
+        hashes: list[np.ndarray] = []
+        tails, rows, runs, counts, lone, n_lone = [], [], [], [np.zeros(reach[0], np.int64)], [], 0
+        for depth in range(1, deepest + 1):
+            m = reach[depth]
+            point = points[starts[:m] + depth - 1]
+            hashes.append(np.zeros(m, np.uint64))
+            froms = range(max(0, depth - model.longest), depth)
+            found = np.empty((len(froms) + 1, m), np.int64)
+            score = np.full((len(froms) + 1, m), -np.inf)
+            for i, start in enumerate(froms):
+                hashes[start] = mix((hashes[start][:m] ^ (point + np.uint64(1))) * _BASE)
+                found[i] = model.find(hashes[start])
+                hit = np.flatnonzero(found[i] >= 0)
+                score[i, hit] = forward[start][hit] + model.weight[found[i, hit]]
+            if depth > model.longest:
+                hashes[depth - 1 - model.longest] = np.zeros(0, np.uint64)
+            # a code point without a piece is one edge of its bytes; rows below -1 say which
+            bare = np.flatnonzero(found[-2] < 0)
+            real = np.where(point[bare] == 0x110000, 0x2581, np.where(point[bare] == 0x2581, 0x20, point[bare])).astype(np.int64)
+            width = 1 + (real > 0x7F) + (real > 0x7FF) + (real > 0xFFFF)
+            found[-1] = -1
+            found[-1, bare] = -2 - n_lone - np.arange(len(bare))
+            score[-1, bare] = forward[depth - 1][bare] + model.byte_weight * width
+            lone.append(real)
+            n_lone += len(bare)
+            peak = score.max(axis=0)
+            mass = np.exp(score - peak)
+            run = np.cumsum(mass, axis=0)
+            forward.append(peak + np.log(run[-1]))
+            run /= run[-1]
+            unit, edge = np.nonzero((found != -1).T)
+            tails.append(self.first_node[np.append(np.array(froms), depth - 1)[edge]] + unit)
+            rows.append(found[edge, unit])
+            runs.append(run[edge, unit])
+            counts.append(np.bincount(unit, minlength=m))
+        self.tail, self.row, self.run = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (tails, rows, runs))
+        per_node = np.concatenate(counts)
+        ends = np.cumsum(per_node)
+        self.edges = ends - per_node
+        self.run[ends[per_node > 0] - 1] = 1.0
+        self.lone_point = np.concatenate(lone) if lone else np.zeros(0, np.int64)
         self.forward = forward
-        running = np.cumsum(share)
-        start = np.searchsorted(head, np.arange(nodes + 1))
-        before = np.concatenate([[0.0], running])[start[:-1]]
-        last = start[1:] - 1
-        self.running = np.minimum(running - before[head], 1.0) + head  # a node's edges lie in (node, node + 1]
-        real_nodes = start[1:] > start[:-1]
-        self.running[last[real_nodes]] = np.flatnonzero(real_nodes) + 1.0
 
     def sample(self, codes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges of one segmentation of each unit in turn, in order, and how many each has."""
-        at = self.base[codes] + self.sizes[codes]
-        floor = self.base[codes]
+        units = self.rank[codes]
+        at = self.first_node[self.sizes[units]] + units
+        roots = self.first_node[1]
         open_, steps = np.arange(len(codes)), []
         counts = np.zeros(len(codes), np.int64)
         while len(open_):
             u = (mix(keys[open_] + np.array([len(steps) + 1], np.uint64) * _SEED) >> np.uint64(12)).astype(np.float64) / float(1 << 52)
-            edge = np.searchsorted(self.running, at[open_] + u, "right")
+            edge = self.edges[at]
+            on = np.flatnonzero(self.run[edge] <= u)
+            while len(on):
+                edge[on] += 1
+                on = on[self.run[edge[on]] <= u[on]]
             steps.append((open_, edge))
             counts[open_] += 1
-            at[open_] = self.tail[edge]
-            open_ = open_[at[open_] > floor[open_]]
+            at = self.tail[edge]
+            more = at >= roots
+            open_, at = open_[more], at[more]
         ends = np.cumsum(counts)
         out = np.zeros(int(counts.sum()), np.int64)
         for i, (who, edge) in enumerate(steps):
@@ -245,7 +248,7 @@ def _encoder(path: str, seed: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Pieces.of(path)
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", 2 << 20):
                 keys = mix(batch["doc_id"].fill_null(0).to_numpy().astype(np.uint64) + mix(np.array([seed], np.uint64)))
                 offsets, ids = encode_batch(model, batch["text"], keys)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
@@ -282,7 +285,8 @@ def _checked(path: str, seed: int):
 def encode(docs: DataFrame, path: str, seed: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, ids`` of every row: a segmentation drawn from all those of the text.
 
-    A text is cut into units, each led by at most one space.  Over a unit's lattice
+    A text is cut into units, each led by at most one space and of at most
+    ``LONGEST_UNIT`` code points; pieces do not cross them.  Over a unit's lattice
     of pieces forward sums are filtered once per distinct unit of a batch; every
     occurrence then samples backwards with numbers that depend on seed, id and its
     place alone, so the result is the same in any partitioning.  Code points
