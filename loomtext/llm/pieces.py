@@ -105,7 +105,7 @@ def cut_units(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     sizes = pc.utf8_length(lists.values).to_numpy(zero_copy_only=False)
     offsets = lists.offsets.to_numpy()
     if len(sizes) and sizes.max() > LONGEST_UNIT:
-        parts = [[u[i : i + LONGEST_UNIT] for i in range(0, len(u), LONGEST_UNIT)] if n > LONGEST_UNIT else [u] * (n > 0) for u, n in zip(lists.values.to_pylist(), sizes)]
+        parts = [[u[i : i + LONGEST_UNIT] for i in range(0, len(u), LONGEST_UNIT)] if n > LONGEST_UNIT else [u] * bool(n) for u, n in zip(lists.values.to_pylist(), sizes)]
         before = np.concatenate([[0], np.cumsum(list(map(len, parts)))])
         return before[offsets], pa.array([u for x in parts for u in x], pa.string())
     before = np.concatenate([[0], np.cumsum(sizes > 0)])
