@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import fertility, linededup, mixing, neardup, pieces, secrets, sharding, substring, tokenfile, topk
 from . import vocabularies as v
+from .oracle import ORACLE_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,4 +67,4 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
