@@ -1,5 +1,5 @@
 import pytest
-from conftest import applied
+from helpers import applied
 from pyspark.sql import functions as F
 
 from loomtext.operators import extract as e

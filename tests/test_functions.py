@@ -1,4 +1,4 @@
-from conftest import applied
+from helpers import applied
 from pyspark.sql import functions as F
 
 from loomtext.functions import attributes, cleanup, constants, detect, entities, formats, markers, tokens

@@ -3,7 +3,7 @@
 import random
 import re
 
-from conftest import applied
+from helpers import applied
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 

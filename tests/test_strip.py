@@ -1,5 +1,5 @@
 import pytest
-from conftest import applied
+from helpers import applied
 
 from loomtext.operators.strip import StripOptions, strip_to_text
 
