@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import formats as f
-from ..functions.common import as_column
+from ..functions.common import as_column, let
 from .dom import Element, parse
 from .strip import strip_to_text
 
@@ -119,7 +119,11 @@ def extract_readable(html: Column | str, url: Column | str | None = None) -> Col
     value = as_column(html)
     del url
     found = _articles(value)
-    text = strip_to_text(found["content"])
     whole = f.extracted(strip_to_text(value), f.HTML, "strip", fallback=True)
-    best = f.extracted(text, f.HTML, "readability", found["title"], found["excerpt"])
-    return F.when(value.isNull(), F.lit(None).cast(f.EXTRACTED)).when(F.octet_length(text) >= LEAST_BYTES, best).otherwise(whole)
+
+    def chosen(a: Column) -> Column:
+        best = f.extracted(a["text"], f.HTML, "readability", a["title"], a["excerpt"])
+        return F.when(F.octet_length(a["text"]) >= LEAST_BYTES, best).otherwise(whole)
+
+    stripped = F.struct(strip_to_text(found["content"]).alias("text"), found["title"].alias("title"), found["excerpt"].alias("excerpt"))
+    return F.when(value.isNotNull(), let(stripped, chosen))

@@ -12,13 +12,10 @@ from ..functions import attributes, cleanup, detect, entities, formats, markers,
 from ..functions.constants import ENTITIES
 from ..operators import extract, layout, pdf, qa, readable
 from ..operators.strip import StripOptions, strip_to_text
+from ..sources.tables import read_table
 from . import cases
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _cases(spark: SparkSession, values: tuple[str, ...], column: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(values)), f"case_id int, {column} string")
 
@@ -32,26 +29,26 @@ def _stripped_cases(values: tuple[str, ...], options: StripOptions | None = None
 
 
 def strip_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _table(spark, sf_dir, "pages").select("page_id", "url", detect.detect_str("html").alias("format"), strip_to_text("html").alias("text"))
+    found = read_table(spark, sf_dir, "pages").select("page_id", "url", detect.detect_str("html").alias("format"), strip_to_text("html").alias("text"))
     return found.withColumn("text_bytes", F.octet_length("text").cast("long"))
 
 
 def strip_pages_wiki(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", strip_to_text("html", StripOptions.wikipedia()).alias("text"))
+    return read_table(spark, sf_dir, "pages").select("page_id", strip_to_text("html", StripOptions.wikipedia()).alias("text"))
 
 
 def extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", extract.extract("html").alias("r")).select("page_id", "r.*")
+    return read_table(spark, sf_dir, "pages").select("page_id", extract.extract("html").alias("r")).select("page_id", "r.*")
 
 
 def extract_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _table(spark, sf_dir, "documents").select("doc_id", extract.extract("text").alias("r")).select("doc_id", "r.*")
+    found = read_table(spark, sf_dir, "documents").select("doc_id", extract.extract("text").alias("r")).select("doc_id", "r.*")
     return found.where("format = 'plain_text'")
 
 
 def extract_as_each_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = F.explode(F.array(*[F.lit(x) for x in formats.MIME])).alias("asked")
-    rows = _table(spark, sf_dir, "documents").select("doc_id", "text", asked)
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", "text", asked)
     tried = rows.select("doc_id", "asked", extract.try_extract_as("text", "asked").alias("r"))
     return tried.select("doc_id", "asked", "r.value.text", "r.value.extractor", F.col("r.error.kind").alias("error_kind"))
 
@@ -63,9 +60,9 @@ def try_extract_pdf_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages").select(F.lit("pages").alias("origin"), F.col("page_id").alias("id"), F.col("html").alias("x"))
-    documents = _table(spark, sf_dir, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), F.col("text").alias("x"))
-    turns = _table(spark, sf_dir, "conversations")
+    pages = read_table(spark, sf_dir, "pages").select(F.lit("pages").alias("origin"), F.col("page_id").alias("id"), F.col("html").alias("x"))
+    documents = read_table(spark, sf_dir, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), F.col("text").alias("x"))
+    turns = read_table(spark, sf_dir, "conversations")
     turns = turns.select(F.lit("conversations").alias("origin"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("x"))
     return pages.unionByName(documents).unionByName(turns)
 
@@ -79,11 +76,11 @@ def is_html_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detect_path_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", detect.detect_path("url").alias("format"))
+    return read_table(spark, sf_dir, "pages").select("page_id", detect.detect_path("url").alias("format"))
 
 
 def decode_entities_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", entities.decode_entities("html").alias("decoded"))
+    return read_table(spark, sf_dir, "pages").select("page_id", entities.decode_entities("html").alias("decoded"))
 
 
 def entity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,11 +89,11 @@ def entity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleanup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", cleanup.cleanup_whitespace("text").alias("cleaned"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", cleanup.cleanup_whitespace("text").alias("cleaned"))
 
 
 def _page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = _table(spark, sf_dir, "pages").select("page_id", F.posexplode(tokens.markup_tokens("html")).alias("at", "t"))
+    split = read_table(spark, sf_dir, "pages").select("page_id", F.posexplode(tokens.markup_tokens("html")).alias("at", "t"))
     return split.select("page_id", (F.col("at") + 1).cast("long").alias("position"), "t")
 
 
@@ -111,7 +108,7 @@ def attr_href_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _checked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages").select("page_id", "html", strip_to_text("html").alias("text"))
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "html", strip_to_text("html").alias("text"))
     return pages.select("page_id", qa.checks("text", "html").alias("checks"))
 
 
@@ -128,11 +125,11 @@ def readable_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def readable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", readable.extract_readable("html", "url").alias("r")).select("page_id", "r.*")
+    return read_table(spark, sf_dir, "pages").select("page_id", readable.extract_readable("html", "url").alias("r")).select("page_id", "r.*")
 
 
 def layout_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", layout.extract_html2text("html", 80).alias("r")).select("page_id", "r.*")
+    return read_table(spark, sf_dir, "pages").select("page_id", layout.extract_html2text("html", 80).alias("r")).select("page_id", "r.*")
 
 
 def sample_pdf(lines: list[str], compressed: bool = True) -> bytes:
