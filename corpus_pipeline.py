@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomtext.llm import fertility, linededup, mixing, neardup, pieces
 from loomtext.llm import vocabularies as v
 from loomtext.llm.scratch import cut
+from loomtext.sources.tables import read_table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +50,7 @@ ORACLE_SQL = None  # tokenisers, sketches and draws are beyond SQL; see tests/ll
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:

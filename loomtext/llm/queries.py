@@ -4,54 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import read_table
 from . import fertility, linededup, mixing, neardup, pieces, secrets, sharding, substring, tokenfile, topk
 from . import vocabularies as v
 from .oracle import ORACLE_SQL
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _table(spark, sf_dir, "embeddings")
+    vectors = read_table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
 def op2_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenfile.token_digests(_table(spark, sf_dir, "documents"), v.WORD_BPE)
+    return tokenfile.token_digests(read_table(spark, sf_dir, "documents"), v.WORD_BPE)
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), percent=85)
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_digest(_table(spark, sf_dir, "documents"))
+    return secrets.secret_digest(read_table(spark, sf_dir, "documents"))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.duplicate_spans(_table(spark, sf_dir, "documents")).drop("spans")
+    return substring.duplicate_spans(read_table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op6_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixing_report(_table(spark, sf_dir, "documents"))
+    return mixing.mixing_report(read_table(spark, sf_dir, "documents"))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_checked(_table(spark, sf_dir, "documents"), v.PIECES)
+    return pieces.encode_checked(read_table(spark, sf_dir, "documents"), v.PIECES)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.balanced_shards(_table(spark, sf_dir, "documents"), 24)
+    return sharding.balanced_shards(read_table(spark, sf_dir, "documents"), 24)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility.quality(_table(spark, sf_dir, "documents"), v.PIECES, v.BYTE_RANKS, v.BYTE_PATTERN)
+    return fertility.quality(read_table(spark, sf_dir, "documents"), v.PIECES, v.BYTE_RANKS, v.BYTE_PATTERN)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.line_digest(_table(spark, sf_dir, "documents"))
+    return linededup.line_digest(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
