@@ -62,6 +62,12 @@ DROPPED = (
 )
 #: Runs that become one space.
 SPACES = "[ \\t\\n\\r\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+#: The same runs but for a lone space, which may stay as it is.
+CHANGED_SPACES = f"{SPACES[:-1].replace('[ ', '[', 1)}{SPACES[:-1]}*+| {SPACES[:-1]}++"
+#: What only the full patterns can treat: anything but tab, line ends, printable ASCII and plain Latin-1.
+UNUSUAL = "[^" + "".join(f"\\x{n:02X}" for n in (9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))) + "]"  # a bit set for Java
+#: ``CHANGED_SPACES`` where nothing is unusual.
+CHANGED_ASCII_SPACES = "[\\t\\n\\r][ \\t\\n\\r]*+| [ \\t\\n\\r]++"
 #: References and the text between them.
 ENTITY_TOKEN = "&[^; \\t\\n\\r<]*+;?|[^&]++"
 NUMERIC = "^&#(?:[xX]\\+?[0-9a-fA-F]+|\\+?[0-9]+);$"
@@ -73,7 +79,7 @@ MARKUP_TOKEN = (
     "|<[^>\\t\\n\\f\\r ]*+(?:[\\t\\n\\f\\r ](?:[^>\"']++|\"[^\"]*+(?:\"|\\z)|'[^']*+(?:'|\\z))*+)?(?:>|\\z)"
     "|[^<]++"
 )
-TAG_NAME = "^<([^>\\t\\n\\f\\r ]*)"
+TAG_NAME = "^<([^!>\\t\\n\\f\\r ][^>\\t\\n\\f\\r ]*)"
 #: Reference markers; what the group holds stays.
 MARKERS = "([A-Za-z0-9]edit\\][^\\[]*)|\\[[0-9]+\\]|\\[edit\\]|\\[citation needed\\]|edit\\]"
 

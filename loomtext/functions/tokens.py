@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import as_column, ascii_lower
+from .common import as_column, let
 from .constants import MARKUP_TOKEN, TAG_NAME
 
 
@@ -24,5 +24,6 @@ def token_kind(token: Column) -> Column:
 
 
 def tag_name(token: Column) -> Column:
-    """Lower-cased name of a tag, ``/`` included; empty for other tokens."""
-    return F.when(token_kind(token) == "tag", ascii_lower(F.regexp_extract(token, TAG_NAME, 1))).otherwise(F.lit(""))
+    """Lower-cased name of a tag, ``/`` included; empty for other tokens.  Names beyond ASCII stay as they are."""
+    name = F.regexp_extract(token, TAG_NAME, 1)
+    return let(name, lambda n: F.when(F.octet_length(n) == F.char_length(n), F.lower(n)).otherwise(n))
