@@ -29,8 +29,9 @@ class WordEncoder:
     and counting those finds the words again.  All other words are encoded alone.
     """
 
-    #: Letters that normalising keeps letters, one to one.
-    _PLAIN, _LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]*$", "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+    #: Letters that normalising keeps letters, one to one, and marks that open neither a contraction nor a special token.
+    _PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[].,;:!?#$%&*()\"+=/\\\\@^_`~{}[-]*$"
+    _LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -113,7 +114,7 @@ def _encoder(path: str, end: int):
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["segment"])
 
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 8 << 20):  # the more text, the fewer words come twice
                 ids, counts = coder.texts(batch["text"], end)
                 column = batch["doc_id"]
                 held.append((column.fill_null(0).to_numpy(), column.is_valid().to_numpy(zero_copy_only=False), counts, ids))
