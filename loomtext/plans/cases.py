@@ -53,3 +53,28 @@ PATHS = (
 )
 FORMATS = ("plain_text", "html", "pdf", "markdown", "unknown", "other")
 READABLE = ("<p>short</p>", "", "<html><body><p>tiny</p></body></html>", "plain")
+
+
+def _article(paragraphs: int, wiki: bool) -> str:
+    body = "".join(
+        f"<p>Paragraph {i} speaks of <b>matter {i}</b>, of <i>caf&eacute;s</i> &amp; of "
+        f"<a href='/{i}'>places</a>{f'<sup>[{i}]</sup>' if wiki else ''} that were seen &mdash; some twice.</p>"
+        for i in range(1, paragraphs + 1)
+    )
+    extras = (
+        "<table class='infobox'><tr><th>Born</th><td>1879</td></tr></table><p><ruby>漢<rt>かん</rt></ruby></p><div class='navbox'>boxes</div>" if wiki else ""
+    )
+    return (
+        "<!DOCTYPE html><html><head><title>T</title><script>var a='<p>';</script></head><body><nav><a href='/'>Home</a></nav>"
+        f"<div id='toc'>Contents</div><h1>Title</h1>{body}{extras}<ol class='references'><li>Source</li></ol><footer>&copy; Footer</footer></body></html>"
+    )
+
+
+#: Inputs of the kinds that throughput is measured on: a fragment, an article, a long wiki page, references, plain text.
+CORPORA = (
+    "<p>Hello <b>world</b>! This is a <a href='#'>small</a> piece.</p>",
+    _article(10, False),
+    _article(50, True),
+    "<p>" + "Caf&eacute; &amp; cr&egrave;me &#8212; &#x201C;quoted&#x201D; &lt;tag&gt; &copy; &nbsp;" * 200 + "</p>",
+    "Plain text without any markup, of a few sentences. It has nothing to strip. " * 3,
+)

@@ -162,6 +162,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "wiki_skip_cases": _stripped_cases(cases.WIKI_SKIP),
     "img_alt_cases": _stripped_cases(cases.IMAGES),
     "strip_wiki_cases": _stripped_cases(cases.MARKERS, StripOptions.wikipedia()),
+    "strip_corpora": _stripped_cases(cases.CORPORA),
+    "strip_corpora_wiki": _stripped_cases(cases.CORPORA, StripOptions.wikipedia()),
     "ref_markers_cases": _on_cases(cases.MARKERS, "input", output=lambda: markers.strip_ref_markers("input")),
     "extract_pages": extract_pages,
     "extract_documents": extract_documents,

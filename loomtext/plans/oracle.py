@@ -169,6 +169,8 @@ def statements() -> dict[str, str]:
         "wiki_skip_cases": _stripped_cases(cases.WIKI_SKIP),
         "img_alt_cases": _stripped_cases(cases.IMAGES),
         "strip_wiki_cases": _stripped_cases(cases.MARKERS, True),
+        "strip_corpora": _stripped_cases(cases.CORPORA),
+        "strip_corpora_wiki": _stripped_cases(cases.CORPORA, True),
         "ref_markers_cases": _cases(cases.MARKERS, "input", output=markers("input")),
         "extract_pages": f"WITH {strip_cte(pages)} SELECT p.page_id, " + record.format(c="CASE WHEN f.fmt = 'html' THEN t.text ELSE p.html END", f="f.fmt", e="CASE WHEN f.fmt = 'html' THEN 'strip' ELSE 'passthrough' END") + f" FROM pages p JOIN stripped t ON p.page_id = t.id JOIN (SELECT page_id, {detect_str('html')} AS fmt FROM pages) f ON f.page_id = p.page_id",
         "extract_documents": "SELECT doc_id, " + record.format(c="text", f="'plain_text'", e="'passthrough'") + f" FROM documents WHERE NOT {is_html('text')}",
