@@ -40,6 +40,13 @@ def test_substring_dedup(made, made_frame):
         assert all(s.end - s.start >= 20 for s in r.spans) and all(a.end < b.start for a, b in zip(r.spans, r.spans[1:]))
 
 
+def test_substring_dedup_with_anchors_over_lanes(made, made_frame, monkeypatch):
+    monkeypatch.setattr(substring, "MANY", 2)
+    monkeypatch.setattr(substring, "LANES", 3)
+    got = rows_of(substring.duplicate_spans(made_frame), "n_words", "n_removed", "kept_sha256")
+    assert got == brute.substrings(made)
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_near_dedup(made, made_frame, percent):
     assert rows_of(neardup.near_duplicates(made_frame, percent), "n_shingles", "component_id", "kept") == brute.near(made, percent)
