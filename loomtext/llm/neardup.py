@@ -19,7 +19,7 @@ SHINGLE_WORDS = 5
 #: shares no band with probability (1 - 0.85**6)**40 < 1e-8, one of 0.8 with < 1e-5.
 BANDS, ROWS = 40, 6
 #: Shingles and nodes in one verification block, about; two blocks meet in one task.
-BLOCK_SHINGLES, BLOCK_NODES = 400_000, 1_500
+BLOCK_SHINGLES, BLOCK_NODES = 400_000, 600
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
