@@ -31,6 +31,11 @@ def extract(content: Column | str) -> Column:
     return F.when(value.isNotNull(), let(detect_str(value), lambda fmt: _record(value, fmt)))
 
 
+def try_extract(content: Column | str) -> Column:
+    """``struct<value, error>`` of ``extract``, which has no error of its own."""
+    return f.attempt(extract(content))
+
+
 def extract_as(content: Column | str, fmt: Column | str) -> Column:
     """Result struct by the format given (a name or a column); ``pdf`` raises an error.
 

@@ -35,6 +35,8 @@ def test_pdf_from_a_string_is_an_error(spark):
         applied(spark, ["x"], lambda c: e.extract_as(c, "pdf"))
     row = applied(spark, ["x"], lambda c: e.try_extract_as(c, "pdf"))[0]
     assert row.value is None and row.error.kind == "unsupported_format" and "PDF" in row.error.message
+    row = applied(spark, ["<p>x</p>"], e.try_extract)[0]
+    assert row.value.text == "x" and row.error is None
 
 
 def test_readable(spark):
