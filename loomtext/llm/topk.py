@@ -38,7 +38,7 @@ def _packed(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
             matrix[rows, columns] = vectors.slice(first, len(part)).flatten().to_numpy(zero_copy_only=False)
             own = ids[first : first + limit]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([cell], pa.int64()), pa.array([own.tobytes()], pa.binary()), pa.array([matrix.astype(np.float64).tobytes()], pa.binary()), pa.array([matrix.shape[1]], pa.int32())],
+                [pa.array([cell], pa.int64()), pa.array([own.tobytes()], pa.binary()), pa.array([matrix.tobytes()], pa.binary()), pa.array([matrix.shape[1]], pa.int32())],
                 names=["cell", "ids", "matrix", "width"],
             )
 
@@ -101,7 +101,7 @@ def search_cell(queries: np.ndarray, query_ids: np.ndarray, matrix: np.ndarray,
 def _searcher(k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 ids, query_ids = (np.frombuffer(row[c], np.int64) for c in ("ids", "query_ids"))
                 matrix = np.frombuffer(row["matrix"], np.float64).reshape(len(ids), -1)
                 queries = np.frombuffer(row["query_matrix"], np.float64).reshape(len(query_ids), -1)
@@ -135,7 +135,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "
     spark = vectors.sparkSession
     lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def packed(rows: DataFrame, span: int, limit: int) -> DataFrame:
+    def packed(rows: DataFrame, span: int) -> DataFrame:
         usable = rows.select(F.col(id_column).cast("long").alias("vec_id"), quantised(F.col(vector_column)).alias("vector")).where("vec_id is not null and vector is not null")
         return usable.withColumn("cell", F.floor(F.col("vec_id") / F.lit(span)).cast("long"))
 
@@ -146,8 +146,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "
         return cells.repartition("cell").sortWithinPartitions("cell", "vec_id").mapInArrow(run, "cell long, ids binary, matrix binary, width int")
 
     per_cell = BLOCK * CELL_BLOCKS
-    base = pack(packed(vectors, per_cell, per_cell), per_cell).withColumn("lane", F.pmod(F.xxhash64("cell"), F.lit(lanes)).cast("int")).drop("width")
-    asked = packed(queries, 50 * QUERIES, QUERIES).dropDuplicates(["vec_id", "vector"])
+    base = pack(packed(vectors, per_cell), per_cell).withColumn("lane", F.pmod(F.xxhash64("cell"), F.lit(lanes)).cast("int")).drop("width")
+    asked = packed(queries, 50 * QUERIES).dropDuplicates(["vec_id", "vector"])
     groups = pack(asked, QUERIES).select(F.col("cell").alias("query_cell"), F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"))
     groups = groups.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
     met = base.join(groups, "lane").select("ids", "matrix", "query_cell", "query_ids", "query_matrix")
