@@ -17,6 +17,10 @@ from .words import grams, mix, signed, slices, split_words, vocabulary_hashes
 
 #: Words of a window, and of the anchors by which reference blocks are indexed.
 WINDOW, ANCHOR = 20, 6
+#: Contents of an anchor in a batch from which on it is dealt over lanes, and their number.
+MANY, LANES = 8, 256
+#: What a row is: to be judged; one whose anchor has company for sure; a sign of that; known to be late.
+OPEN, EDGE, MARKER, LATE = range(4)
 
 
 class Parse:
@@ -61,43 +65,65 @@ class Parse:
         self.block = mix(np.add.reduceat(mix(self.window + place.astype(np.uint64)), first) + np.diff(np.append(first, total)).astype(np.uint64))
 
 
+def _first_come(anchor: np.ndarray, content: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in id order: one of each (anchor, content, id), and whether a smaller id has the content."""
+    key = content ^ mix(anchor)
+    _, once, back = np.unique(key, return_index=True, return_inverse=True)
+    _, keep = np.unique(key ^ mix(mix(ids.astype(np.uint64))), return_index=True)
+    return keep, (ids > ids[once][back])[keep]
+
+
+def _rows(route: np.ndarray, content: np.ndarray, ids: np.ndarray, role: np.ndarray) -> pa.RecordBatch:
+    columns = [signed(route), signed(content), pa.array(ids, pa.int64()), pa.array(role.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=["route", "content", "doc_id", "role"])
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``anchor, content, doc_id, late``; of equal blocks in a batch only the first can be new."""
+    """Rows ``route, content, doc_id, role`` of blocks; of equal blocks in a batch only the first is OPEN.
+
+    Rows meet by their anchor.  An anchor of many contents in a batch is dealt over
+    lanes by content, as it is known to have company; a MARKER tells this to the rows
+    of other batches that come by the anchor alone.
+    """
     for whole in batches:
         for batch in slices(whole.filter(pc.is_valid(whole["doc_id"])), "text"):
             batch = batch.take(pc.sort_indices(batch["doc_id"]))
             p = Parse(batch["text"])
             ids = batch["doc_id"].to_numpy()[p.block_doc]
-            _, once, back = np.unique(p.block ^ mix(p.block_anchor), return_index=True, return_inverse=True)
-            late = ids > ids[once][back]
-            yield _distinct(p.block_anchor, p.block, ids, late)
-
-
-def _distinct(anchor: np.ndarray, content: np.ndarray, ids: np.ndarray, late: np.ndarray) -> pa.RecordBatch:
-    _, keep = np.unique(mix(content ^ mix(anchor)) ^ mix(mix(ids.astype(np.uint64))), return_index=True)
-    columns = [signed(anchor[keep]), signed(content[keep]), pa.array(ids[keep]), pa.array(late[keep])]
-    return pa.RecordBatch.from_arrays(columns, names=["anchor", "content", "doc_id", "late"])
+            keep, late = _first_come(p.block_anchor, p.block, ids)
+            anchor, content, ids = p.block_anchor[keep], p.block[keep], ids[keep]
+            role = np.where(late, LATE, OPEN)
+            fresh = np.flatnonzero(~late)
+            names, group, counts = np.unique(anchor[fresh], return_inverse=True, return_counts=True)
+            edge = fresh[(counts >= MANY)[group]]
+            role[edge] = EDGE
+            route = anchor.copy()
+            route[edge] = mix(anchor[edge] ^ mix(content[edge] % np.uint64(LANES) + np.uint64(1)))
+            yield _rows(route, content, ids, role)
+            many = names[counts >= MANY]
+            if len(many):
+                yield _rows(many, mix(many), np.zeros(len(many), np.int64), np.full(len(many), MARKER))
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stream rows sorted by anchor, content, doc_id.
+    """Stream rows sorted by route, content, doc_id.
 
-    ``late``: the content occurs in an earlier document.  Not late: it is the
-    first of its content, and its anchor has other contents too.
+    ``late``: the content occurs in an earlier document.  Not late: it is the first
+    of its content, and its anchor has other contents too.
     """
-    anchor = content = least = None  # of the row before
+    anchor = content = least = None  # of the row before; a route stands for its anchor
     waiting: list[int] = []  # the documents of the anchor's only content so far
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        a, c, d = (batch[x].to_numpy() for x in ("anchor", "content", "doc_id"))
+        a, c, d, role = (batch[x].to_numpy() for x in ("route", "content", "doc_id", "role"))
         same_a = np.concatenate([[a[0] == anchor], a[1:] == a[:-1]])
         same_c = same_a & np.concatenate([[c[0] == content], c[1:] == c[:-1]])
         head = np.flatnonzero(~same_c)
         group = np.cumsum(~same_c) - 1
         lows = np.where(group >= 0, d[head][group] if len(head) else 0, least if least is not None else 0)
-        late = d > lows
+        late = (d > lows) | (role == LATE)
         # an anchor with several contents: some row of it starts a content but not the anchor
         anchors = np.cumsum(~same_a)
         several = np.zeros(anchors[-1] + 1, bool)
@@ -105,17 +131,15 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if several[0] and waiting:  # the carried content has got company
             yield _verdict(np.full(len(waiting), content), np.array(waiting), np.zeros(len(waiting), bool))
             waiting = []
-        carried_open = anchors[-1] == 0
-        if not carried_open:
+        if anchors[-1] != 0:
             waiting = []
         elif not waiting and anchor is not None and same_a[0]:
             several[0] = True  # company came in an earlier batch
-        mixed = ~late & several[anchors]
-        out = late | mixed
+        real = role != MARKER
+        out = real & (late | several[anchors] | (role == EDGE))
         yield _verdict(c[out], d[out], late[out])
-        tail = anchors == anchors[-1]
         if not several[anchors[-1]]:
-            waiting = waiting + d[tail & ~late].tolist()
+            waiting = waiting + d[(anchors == anchors[-1]) & ~late & (role == OPEN)].tolist()
         anchor, content, least = a[-1], c[-1], lows[-1]
 
 
@@ -123,7 +147,7 @@ def _verdict(content: np.ndarray, ids: np.ndarray, late: np.ndarray) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(content, pa.int64()), pa.array(late)], names=["doc_id", "content", "late"])
 
 
-def _flat(lists: pa.Array, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Owner and value of each entry of an array column."""
     lists = pc.fill_null(lists, pa.scalar([], lists.type)) if lists.null_count else lists
     sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
@@ -137,13 +161,18 @@ def _among(owner: np.ndarray, value: np.ndarray, lists: pa.Array) -> np.ndarray:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of blocks that have company at their anchor."""
+    """Rows of the windows of blocks that have company at their anchor; equal windows meet, and nothing else."""
     for whole in batches:
         for batch in slices(whole, "text"):
+            batch = batch.take(pc.sort_indices(batch["doc_id"]))
             p = Parse(batch["text"])
             use = _among(p.block_doc, p.block, batch["edges"])[p.block_of] if len(p.block) else np.zeros(0, bool)
-            ids = batch["doc_id"].to_numpy()[p.doc[use]]
-            yield _distinct(p.anchor[use], p.window[use], ids, np.zeros(len(ids), bool))
+            ids, anchor, content = batch["doc_id"].to_numpy()[p.doc[use]], p.anchor[use], p.window[use]
+            keep, late = _first_come(anchor, content, ids)
+            anchor, content, ids = anchor[keep], content[keep], ids[keep]
+            route = mix(anchor ^ mix(content))
+            route[late] = mix(route[late] + ids[late].astype(np.uint64))  # known; they need meet no others
+            yield _rows(route, content, ids, np.where(late, LATE, OPEN))
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,21 +228,22 @@ def duplicate_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
        block.  Only those boundary blocks are compared window by window.
     3. Neighbouring pieces make up the factors, the duplicate spans.
 
-    Rows of one anchor are sorted and streamed, never held.  Null or empty text:
+    Rows that meet are sorted and streamed, never held; an anchor of many contents, as
+    at the edge of a passage that many documents quote, is dealt over lanes.  Null or empty text:
     no words.  Rows with a null id are only compared with themselves.  Rows of one
     id are no copies of each other.  Empty table: no rows.  Other columns are not
     read.
     """
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    rows = "anchor long, content long, doc_id long, late boolean"
+    rows = "route long, content long, doc_id long, role int"
     blocks = cut(source.mapInArrow(_blocks, rows), "blocks")
 
     def judged(found: DataFrame) -> DataFrame:
-        keyed = found.select("anchor", "content", "doc_id").repartition("anchor").sortWithinPartitions("anchor", "content", "doc_id")
+        keyed = found.repartition("route").sortWithinPartitions("route", "content", "doc_id")
         return keyed.mapInArrow(_judge, "doc_id long, content long, late boolean")
 
-    known = blocks.where("late").select("doc_id", "content", "late")
-    found = cut(judged(blocks.where("not late")).unionByName(known), "factors")
+    known = blocks.where(F.col("role") == LATE).select("doc_id", "content", F.lit(True).alias("late"))
+    found = cut(judged(blocks.where(F.col("role") != LATE)).unionByName(known), "factors")
     late, edges = found.where("late"), found.where("not late").groupBy("doc_id").agg(F.collect_set("content").alias("edges"))
     bounded = source.join(edges.hint("shuffle_hash"), "doc_id").mapInArrow(_windows, rows)
     inside = judged(bounded).where("late").groupBy("doc_id").agg(F.collect_set("content").alias("windows"))
