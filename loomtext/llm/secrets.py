@@ -25,8 +25,10 @@ BASE: tuple[tuple[str, str, Callable[[Column], Column]], ...] = (
     ("access", r"AKIA[A-Z0-9]+", lambda hit: F.char_length(hit) >= 18),
     ("hex", r"(?<![0-9a-f])[0-9a-f]{16,}+", lambda hit: F.char_length(hit) >= 16),
 )
-#: Tokens that the battery looks at.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+#: Tokens that the battery looks at; a sign of equality is padding at the end only, and may stand before a token.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:=++(?![A-Za-z0-9+/_-]))?"
+#: Parts, between separators, of a token that is not random as a whole.
+PARTS = ("[A-Za-z0-9_-]{20,}+", "[A-Za-z0-9+/]{20,}+", "[A-Za-z0-9]{20,}+")
 #: Encodings in the order in which they are tried: name, pattern without padding, alphabet.
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ENCODINGS = (
@@ -201,7 +203,7 @@ def secret_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     Spans are ``struct<start, rank, kind, end>`` in code points, end exclusive.  Base
     spans are those of ``BASE``.  To these come tokens of 20 or more characters of a
-    known encoding that the battery does not reject as random (``REJECT``) and that
+    known encoding, or parts of them between separators, that the battery does not reject as random (``REJECT``) and that
     stand out from ordinary text: within a class of encoding and length at most
     ``FALSE_SHARE`` of the found ones are expected to be ordinary, by the step-up
     rule over all tokens of the table.
@@ -223,6 +225,13 @@ def secret_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             kinds.append(F.transform(found, _fixed(as_span, rank, kind)))
         return F.concat(*kinds).cast(f"array<{span}>")
 
+    def with_parts(m: Column) -> Column:
+        def moved(x: Column) -> Column:
+            return F.struct((m["start"] + x["start"]).alias("start"), (m["start"] + x["end"]).alias("end"), x["hit"].alias("hit"))
+
+        parts = [F.transform(matches(m["hit"], pattern), moved) for pattern in PARTS]
+        return F.when(m["hit"].rlike("[+/_-]"), F.concat(F.array(m), *parts)).otherwise(F.array(m))
+
     def tested(m: Column) -> Column:
         return let(
             _battery(m["hit"]),
@@ -232,11 +241,27 @@ def secret_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             ),
         )
 
+    def longest(found: Column) -> Column:
+        """Of a token and its parts, those that overlap no longer one."""
+        falling = F.reverse(F.array_sort(F.transform(found, lambda x: F.struct((x["end"] - x["start"]).alias("size"), x.alias("x")))))
+        return F.aggregate(
+            falling["x"],
+            F.slice(found, F.lit(1), F.lit(0)),
+            lambda kept, x: F.when(F.exists(kept, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"])), kept).otherwise(F.concat(kept, F.array(x))),
+        )
+
     scanned = docs.select(
         F.col(id_column).cast("long").alias("doc_id"),
         base_of(text).alias("base"),
-        F.filter(F.transform(matches(text, CANDIDATE), tested), lambda x: x.isNotNull()).alias("tokens"),
+        matches(text, CANDIDATE).alias("tokens"),
     )
+    # One step a projection, as the analyzer takes no deeper nesting of lambdas.
+    for step in (
+        F.transform("tokens", with_parts),
+        F.transform("tokens", lambda some: F.filter(F.transform(some, tested), lambda x: x.isNotNull())),
+        F.array_sort(F.flatten(F.transform("tokens", longest))),
+    ):
+        scanned = scanned.select("doc_id", "base", step.alias("tokens"))
     scanned = cut(scanned, "scanned")
     least = _thresholds(scanned.select(F.explode("tokens").alias("t")).select("t.*"))
 
