@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,15 +18,30 @@ BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 #: vocabulary.  Prose keeps well above the lower end, which symbol runs, shouting
 #: and encoded data fall under; the upper end is beyond any prose.
 BANDS = {"en": (1.85, 8.0), "fr": (1.68, 7.0), "de": (2.0, 7.5), "es": (1.78, 7.0)}
-#: Of any other language, and of documents without one.
-OTHER_BAND = (1.0, 10.0)
+#: Of any other or no language, by the script of most letters: least and most
+#: characters per token, most fallback and least entropy, which is low where the
+#: pieces are single letters.  Latin's is the loosest of the Latin
+#: ``BANDS``, and also that of texts without letters.  Scripts without an entry pass
+#: the rules on tokens, fallback and entropy: the vocabularies do not cover them.
+SCRIPT_BANDS = {
+    "Latin": (1.68, 8.0, 0.25, 4.9), "Cyrillic": (1.0, 8.0, 0.25, 4.9), "Greek": (0.7, 8.0, 0.25, 3.3), "Hebrew": (0.6, 8.0, 0.25, 3.3),
+    "Arabic": (0.6, 8.0, 0.25, 3.3), "Hangul": (0.4, 8.0, 0.75, 4.0), "Kana": (0.4, 8.0, 0.75, 4.0), "Han": (0.3, 8.0, 0.75, 4.0),
+}
+#: Ranges of code points of the scripts' letters; ``Other`` is every letter above them.
+_SCRIPTS = (
+    ("Latin", "A-Za-z\u00aa\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u1e00-\u1eff"), ("Greek", "\u0370-\u03ff\u1f00-\u1fff"),
+    ("Cyrillic", "\u0400-\u052f"), ("Hebrew", "\u05d0-\u05ea"), ("Arabic", "\u0620-\u06ff\u0750-\u077f"),
+    ("Hangul", "\u1100-\u11ff\u3130-\u318f\uac00-\ud7af"), ("Kana", "\u3041-\u30ff"), ("Han", "\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003134f"),
+    ("Other", "\u0530-\u058f\u0700-\u074f\u0780-\u10ff\u1200-\u1dff\u2c00-\u2dff\ua000-\uabff\U00010000-\U0001efff"),
+)
+_NOT_OF = {name: re.compile(f"[^{letters}]+") for name, letters in _SCRIPTS}
 #: Most byte-fallback pieces among all pieces, and least bits of the pieces' entropy.
 MOST_FALLBACK, LEAST_ENTROPY = 0.25, 4.9
 _FALLBACK = range(3, 259)  # the piece vocabulary's single bytes
 
 COLUMNS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "n_pieces long, n_tokens long, n_fallback long, entropy double"
+    "n_pieces long, n_tokens long, n_fallback long, entropy double, script string"
 )
 
 
@@ -89,6 +105,17 @@ def entropies(codes: np.ndarray, owner: np.ndarray, n: int, width: int) -> np.nd
     return np.where(totals > 0, np.log2(np.maximum(totals, 1)) - weighted / np.maximum(totals, 1), 0.0)
 
 
+def dominant_script(text: str) -> str:
+    """The script of most of the text's letters; Japanese is that of its kana; empty without letters."""
+    if text.isascii():
+        return "Latin" if any(c.isalpha() for c in text) else ""
+    counts = {name: len(pattern.sub("", text)) for name, pattern in _NOT_OF.items()}
+    if 4 * counts["Kana"] > counts["Han"]:
+        counts["Kana"] += counts.pop("Han")
+    best = max(counts, key=counts.get)
+    return best if counts[best] else ""
+
+
 def _repeated_lines(text: str) -> int:
     lines = [x for x in text.split("\n") if x.strip(BLANKS)]
     return len(lines) - len(set(lines))
@@ -127,6 +154,7 @@ def _measurer(pieces: str, ranks: str, pattern: str, text: str, with_text: bool)
                     per_text(bytes_),
                 ]
                 measured = [pa.array(c.astype(np.int64)) for c in columns] + [pa.array(entropies(used, owner, n, model.get_piece_size()))]
+                measured.append(pa.array([dominant_script(t) for t in texts], pa.string()))
                 names = [x.split()[0] for x in COLUMNS.split(", ")]
                 kept = [i for i, f in enumerate(batch.schema) if with_text or f.name != text]
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + measured, names=[batch.schema.field(i).name for i in kept] + names)
@@ -134,11 +162,15 @@ def _measurer(pieces: str, ranks: str, pattern: str, text: str, with_text: bool)
     return measure
 
 
-def _in_band(lang: Column, value: Column) -> Column:
+def _in_band(lang: Column, per_token: Column, fallback: Column) -> Column:
+    even = F.col("entropy") >= LEAST_ENTROPY
+    by_script = F.when(F.lit(False), F.lit(True))
+    for name, (low, high, most, bits) in SCRIPT_BANDS.items():
+        by_script = by_script.when(F.col("script").isin(name, "") if name == "Latin" else F.col("script") == name, (F.col("entropy") >= bits) & per_token.between(low, high) & (fallback <= most))
     within = F.when(F.lit(False), F.lit(True))
     for name, (low, high) in BANDS.items():
-        within = within.when(lang == name, value.between(low, high))
-    return within.otherwise(value.between(*OTHER_BAND))
+        within = within.when(lang == name, even & per_token.between(low, high) & (fallback <= MOST_FALLBACK))
+    return within.otherwise(by_script.otherwise(F.lit(True)))
 
 
 def quality(docs: DataFrame, pieces: str, ranks: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
@@ -153,9 +185,11 @@ def quality(docs: DataFrame, pieces: str, ranks: str, pattern: str, id_column: s
     ``base_failed``: fewer than 50 words, or more than half of them repeated.
     ``kept``: not failed, characters per token in the language's band, at most
     ``MOST_FALLBACK`` of the pieces single bytes, and at least ``LEAST_ENTROPY``.
+    Without a known language the text's ``dominant_script`` gives all three limits,
+    and scripts without an entry in ``SCRIPT_BANDS`` meet only the base rules.
 
     One pass, no shuffle.  Null or empty text: all measures 0, failed.  Null or
-    unknown language, or no such column: ``OTHER_BAND``.  Null ids and repeated
+    unknown language, or no such column: ``SCRIPT_BANDS``.  Null ids and repeated
     rows are rows like any other.  Empty table: no rows.  Other columns are not read.
     """
     lang = F.col(lang_column) if lang_column in docs.columns else F.lit(None)
@@ -172,7 +206,7 @@ def _verdict(lang: Column) -> tuple[Column, Column, Column, Column]:
     per_token = F.col("word_chars") / F.greatest(F.col("n_tokens"), F.lit(1))
     fallback = F.col("n_fallback") / F.greatest(F.col("n_pieces"), F.lit(1))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    good = _in_band(lang, per_token) & (fallback <= MOST_FALLBACK) & (F.col("entropy") >= LEAST_ENTROPY)
+    good = _in_band(lang, per_token, fallback)
     return failed, ~failed & good, per_token, fallback
 
 
