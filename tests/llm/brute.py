@@ -129,3 +129,46 @@ def quality(docs):
         r = sum(repeated)
         out[d] = (n, sum(len(x.decode()) for x in w), len(re.findall(r"[#*$%&|<>]", t)), dup, r, n < 50 or 100 * r > 50 * n)
     return out
+
+
+def script_of(text):
+    """By Unicode names: the script of most letters, Japanese by its kana."""
+    import unicodedata
+
+    words_of = {
+        "LATIN": "Latin", "FEMININE": "Latin", "MASCULINE": "Latin", "GREEK": "Greek", "CYRILLIC": "Cyrillic", "HEBREW": "Hebrew", "ARABIC": "Arabic",
+        "DEVANAGARI": "Devanagari", "HANGUL": "Hangul", "HIRAGANA": "Kana", "KATAKANA": "Kana", "KATAKANA-HIRAGANA": "Kana", "CJK": "Han",
+    }
+    counts = collections.Counter(words_of.get(unicodedata.name(c, "?").split()[0], "Other") for c in text if c.isalpha() or unicodedata.category(c)[0] == "M")
+    if 4 * counts["Kana"] > counts["Han"]:
+        counts["Kana"] += counts.pop("Han", 0)
+    return counts.most_common(1)[0][0] if counts and max(counts.values()) else ""
+
+
+def fertility(rows, pieces, ranks, pattern, languages, scripts, run=64):
+    import base64
+    import math
+
+    import sentencepiece
+    import tiktoken
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces)
+    with open(ranks, "rb") as f:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encoding = tiktoken.Encoding("brute", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+    base, out = quality([(d, t) for d, t, _ in rows]), {}
+    for d, t, lang in rows:
+        t = t or ""
+        ids = model.encode(t)
+        cuts = [i * run for i in range(max(1, len(ids) // run))] + [len(ids)]
+        bits = 0.0
+        for a, b in zip(cuts, cuts[1:]):
+            n = b - a
+            h = -sum(c / n * math.log2(c / n) for c in collections.Counter(ids[a:b]).values())
+            bits += n * (h * math.log2(run) / math.log2(n) if n > 1 else 0)
+        measures = (len(t) / max(1, len(encoding.encode_ordinary(t))), sum(map(model.is_byte, ids)) / max(1, len(ids)), bits / max(1, len(ids)))
+        script = script_of(t)
+        band = languages[lang] if lang in languages and script in languages[lang].scripts else scripts.get(script or "Latin")
+        good = band is None or (band.least <= measures[0] <= band.most and measures[1] <= band.fallback and measures[2] >= band.entropy)
+        out[d] = (*measures, not base[d][5] and good)
+    return out

@@ -196,9 +196,7 @@ def test_positions_of_many_matches(spark):
     assert len(row.m) == 3000 and all(text[m.start : m.end] == m.hit == "12" for m in row.m)
 
 
-def test_entropy_and_repeats():
-    got = fertility.entropies(np.array([1, 1, 2, 2, 5]), np.array([0, 0, 0, 0, 2]), 3, 10)
-    assert got.tolist() == [1.0, 0.0, 0.0]
+def test_repeated_words():
     h = words.vocabulary_hashes(pa.array(list("abcab")))[[0, 1, 2, 0, 1, 2, 0]]
     assert fertility.repeated_words(h, np.array([0, 7])).tolist() == [7]
     assert fertility.repeated_words(h, np.array([0, 3, 7])).tolist() == [0, 0]
