@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut
+from .scratch import cut, release
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -38,8 +38,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.where("a <> b").distinct(), "links")
     state = _state(edges)
     while state[0]:
+        before_step = edges
         edges = cut(_small_star(_large_star(edges).where("a <> b").distinct()).where("a <> b").distinct(), "links")
         state, before = _state(edges), state
+        release(before_step)
         if state == before:
             break
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -2,33 +2,54 @@
 
 Lineage is cut by writing a Parquet table to the shared folder that the session
 names in ``spark.checkpoint.dir``; every executor can read it again after any
-other executor is lost.  The tables are removed when the driver's Python ends.
+other executor is lost.  A table goes when its ``scope`` ends, when ``release`` is
+called, and at the latest when the driver's JVM ends, also after ``spark.stop()``.
 """
 
 from __future__ import annotations
 
-import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+#: Folders of the open scopes, innermost last.
+_scopes: list[list[str]] = []
+_PLACE = "_loomtext_place"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local one is made only where none is set (tests)."""
+    """The session's checkpoint folder.
+
+    Only a session on the driver's own machine (master ``local``) may do without: it
+    gets a temporary folder.  Elsewhere the executors would each write to a disk of
+    their own, so an unset folder is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="loomtext-")
-        spark.sparkContext.setCheckpointDir(found)
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loomtext-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def new_path(spark: SparkSession, label: str) -> str:
+    """A folder of a fresh name, made at once so that the file system removes it at the JVM's end."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    files, target = _file_system(spark, path)
+    files.mkdirs(target)
+    files.deleteOnExit(target)
+    if _scopes:
+        _scopes[-1].append(path)
     return path
 
 
@@ -36,20 +57,28 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder once and return a reader of that table."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.mode("append").parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    setattr(table, _PLACE, path)
+    return table
+
+
+def release(table: DataFrame) -> None:
+    """Remove a table that ``cut`` returned and that nothing will read again."""
+    discard(table.sparkSession, getattr(table, _PLACE))
 
 
 def discard(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    files, target = _file_system(spark, path)
+    files.delete(target, True)
 
 
-@atexit.register
-def _discard_all() -> None:
-    for spark, path in _written:
-        try:
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Remove, at its end, the tables that operators wrote inside it; results must be saved by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
             discard(spark, path)
-        except Exception:  # noqa: BLE001 - the session may be gone by then
-            return
