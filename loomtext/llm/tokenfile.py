@@ -19,6 +19,10 @@ from .words import expand, process_cache, slices, split_words
 
 #: Ids in one segment, about, and words whose ids a worker remembers.
 SEGMENT_IDS, REMEMBERED = 4_000_000, 500_000
+#: Segments in one file: a file is read back as one value, which must stay far below 2 GB.
+FILE_SEGMENTS = 16
+#: What a tokenizer must code alike as a whole and word by word.
+_PROBE = "It's the 1st  Test,\twith\ncaf\u00e9 \u6f22\u5b57 <|endoftext|> #tags... don't x.y/z A\u00a0b \U0001f600 we'll 12,5"
 
 
 class WordEncoder:
@@ -38,6 +42,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
+        alone = [i for e in self.tokenizer.encode_batch(_PROBE.split(), add_special_tokens=False) for i in e.ids]
+        if alone != self.tokenizer.encode(_PROBE, add_special_tokens=False).ids:
+            raise ValueError(f"{path} does not code text word by word")
         self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.known: dict[str, int] = {}
         self.flat, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -132,14 +139,19 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = 1,
     """Write the ids of all rows as files of segments (see ``blockfile``) under ``path``.
 
     Rows are range-partitioned and sorted by id (nulls first, then by text), so
-    files in name order hold ascending ids.  A task holds one segment at a time.
-    Null text: an empty one, which has the end id alone.  Spark's own writer puts
-    the files in place, so ``path`` may be in any store and lost tasks run again.
+    files in name order hold ascending ids.  A task holds one segment at a time, a
+    file at most ``FILE_SEGMENTS``; a larger task writes several files.  Spark's own
+    writer puts the files in place, so ``path`` may be in any store and lost tasks
+    run again.  The tokenizer must code word by word, which a probe text checks.
+
+    Null text: an empty one, which has the end id alone.  Null ids come first,
+    repeated rows are rows like any other.  Empty table: no documents.  Other
+    columns, of whatever name, are not read.
     """
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     segments = ordered.mapInArrow(_encoder(tokenizer, end), "segment binary")
-    segments.select(F.col("segment").cast("string")).write.option("compression", "none").text(path)
+    segments.select(F.col("segment").cast("string")).write.mode("append").option("compression", "none").option("maxRecordsPerFile", FILE_SEGMENTS).text(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,12 +174,12 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, ids`` of every document in the files under ``path``."""
+    """``doc_id, ids`` of every document in the files under ``path``; ids of documents may be null or repeat as written."""
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_unpack, "doc_id long, ids array<int>")
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of every document in the files under ``path``."""
+    """``doc_id, start, n_tokens, ids_crc32`` of every document in the files under ``path``; no files, no rows."""
     rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_read, "doc_id long, n_tokens long, ids_crc32 long")
     placed = with_prefix(cut(rows, "token-rows"), "doc_id", ["n_tokens"], ["n_tokens", "ids_crc32"])
     return placed.select("doc_id", F.col("before_n_tokens").alias("start"), "n_tokens", "ids_crc32")
