@@ -88,6 +88,16 @@ def kept_text(text: Column, keep_gaps: Column) -> Column:
     return F.when(keep_gaps.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n"))
 
 
+def _marked(docs: DataFrame, id_column: str, text_column: str, min_chars: int) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under neutral column names with ``keep_gaps``, and the neutral name of each column."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.toDF(*names.values())
+    gone = dropped_lines(docs, id_column, text_column, min_chars).toDF("gone_id", "gone_print", "keep_gaps")
+    text = F.coalesce(F.col(names[text_column]), F.lit(""))
+    same = (F.col(names[id_column]).cast("long") == F.col("gone_id")) & (F.xxhash64(text) == F.col("gone_print"))
+    return plain.join(gone, same, "left").select(*names.values(), "keep_gaps"), names
+
+
 def line_bitmaps(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_chars: int = 10) -> DataFrame:
     """Every row of ``docs`` with ``keep_gaps`` (null: all lines stay).
 
@@ -97,29 +107,30 @@ def line_bitmaps(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     Null or empty text: one empty line, which stays.  Rows with a null id neither
     hold nor lose lines.  Rows of one id count as one document; equal rows lose
-    the same lines.  Empty table: no rows.  All columns are kept; one named
-    ``keep_gaps`` is replaced.
+    the same lines.  Empty table: no rows.  All columns are kept, of whatever name;
+    one named ``keep_gaps`` is replaced.
     """
-    gone = dropped_lines(docs, id_column, text_column, min_chars).select(
-        F.col("doc_id").alias("__id"), F.col("print").alias("__print"), F.col("keep_gaps").alias("__gaps")
-    )
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    joined = docs.join(
-        gone.hint("shuffle_hash"), (F.col(id_column).cast("long") == gone["__id"]) & (F.xxhash64(text) == gone["__print"]), "left"
-    )
-    return joined.drop("__id", "__print", *[c for c in docs.columns if c == "keep_gaps"]).withColumnRenamed("__gaps", "keep_gaps")
+    marked, names = _marked(docs, id_column, text_column, min_chars)
+    return marked.select(*[F.col(n).alias(c) for c, n in names.items() if c != "keep_gaps"], "keep_gaps")
 
 
 def without_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_chars: int = 10) -> DataFrame:
-    """``docs`` with the dropped lines taken out of the text; columns as before."""
-    columns = [F.col(c) if c != text_column else kept_text(F.col(c), F.col("__keep")).alias(c) for c in docs.columns]
-    marked = line_bitmaps(docs.withColumnRenamed("keep_gaps", "__own_gaps"), id_column, text_column, min_chars)
-    marked = marked.withColumnRenamed("keep_gaps", "__keep").withColumnRenamed("__own_gaps", "keep_gaps")
-    return marked.select(*columns)
+    """``docs`` with the dropped lines taken out of the text; columns as before, of whatever name.
+
+    Lines are dropped as ``line_bitmaps`` says.  A null text comes back empty, a text
+    that loses all lines too.  Rows with a null id stay as they are, equal rows stay
+    equal.  Empty table: no rows.
+    """
+    marked, names = _marked(docs, id_column, text_column, min_chars)
+    return marked.select(*[(kept_text(F.col(n), F.col("keep_gaps")) if c == text_column else F.col(n)).alias(c) for c, n in names.items()])
 
 
 def line_digest(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_lines, n_dropped, kept_sha256`` of every document."""
+    """``doc_id, n_lines, n_dropped, kept_sha256`` of every row, lines dropped as ``line_bitmaps`` says.
+
+    Null or empty text: one line, none dropped, the digest of an empty text.  Null
+    ids, repeated rows and empty tables as there; other columns are not read.
+    """
     marked = line_bitmaps(docs.select("doc_id", "text"))
     return marked.select(
         "doc_id",
