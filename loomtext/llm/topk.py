@@ -7,12 +7,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ids in one block, blocks in one cell, and queries in one group.
-BLOCK, CELL_BLOCKS, QUERIES = 256, 64, 512
+from .scratch import cut
+
+#: Rows in one block, blocks in one pack, and queries in one group.
+BLOCK, PACK_BLOCKS, QUERIES = 256, 64, 512
+#: Centres that order rows before they are cut into blocks, rows they are fitted on at most, and rounds of the fit.
+CENTRES, SAMPLE, ROUNDS = 64, 4096, 8
 _LEAST = np.iinfo(np.int64).min
+_PACKED = "cell int, pack long, ids binary, kind string, matrix binary, most binary, least binary"
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
@@ -21,71 +27,114 @@ def quantised(vector: Column, scale: int = 256) -> Column:
     return F.when(vector.isNotNull() & ~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * scale)))
 
 
-def _packed(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by ``cell`` and id, gathered into matrices of at most ``limit`` rows of one cell."""
-    held: list[pa.RecordBatch] = []
-    cell = None
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held).combine_chunks()
-        ids, vectors = table["vec_id"].to_numpy(), table["vector"].combine_chunks()
-        sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
-        for first in range(0, len(ids), limit):
-            part = sizes[first : first + limit]
-            matrix = np.zeros((len(part), max(1, part.max(initial=1))), np.float64)
-            rows = np.repeat(np.arange(len(part)), part)
-            columns = np.arange(len(rows)) - np.repeat(np.cumsum(part) - part, part)
-            matrix[rows, columns] = vectors.slice(first, len(part)).flatten().to_numpy(zero_copy_only=False)
-            own = ids[first : first + limit]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([cell], pa.int64()), pa.array([own.tobytes()], pa.binary()), pa.array([matrix.tobytes()], pa.binary()), pa.array([matrix.shape[1]], pa.int32())],
-                names=["cell", "ids", "matrix", "width"],
-            )
+def _matrix(vectors: pa.Array, width: int = 0) -> np.ndarray:
+    """Rows padded with zeros, or cut, to one width (that of the longest row unless given)."""
+    sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(sizes), max(1, width or sizes.max(initial=1))))
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    columns = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    inside = columns < out.shape[1]
+    out[rows[inside], columns[inside]] = vectors.flatten().to_numpy(zero_copy_only=False)[inside]
+    return out
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cells = batch["cell"].to_numpy()
-        cuts = np.concatenate([[0], np.flatnonzero(cells[1:] != cells[:-1]) + 1, [len(cells)]])
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if held and (cells[a] != cell or sum(x.num_rows for x in held) >= 4 * limit):
-                yield from flush()
-                held = []
-            cell = int(cells[a])
-            held.append(batch.slice(a, b - a))
+
+def _near(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.argmax(rows @ centres.T - (centres * centres).sum(axis=1) / 2, axis=1)
+
+
+def _centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [b for b in batches if b.num_rows]
     if held:
-        yield from flush()
+        rows = _matrix(pa.Table.from_batches(held).combine_chunks()["vector"].combine_chunks())
+        centres = rows[:: max(1, len(rows) // CENTRES)][:CENTRES]
+        for _ in range(ROUNDS):
+            near = _near(rows, centres)
+            used = np.unique(near)
+            centres = np.stack([rows[near == c].mean(axis=0) for c in used])
+        yield pa.RecordBatch.from_arrays([pa.array(list(centres), pa.list_(pa.float64()))], names=["centre"])
+
 
+def _placed(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Rows with ``cell``, the nearest centre."""
 
-def search_cell(queries: np.ndarray, query_ids: np.ndarray, matrix: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Ids and scores ``(queries, k)`` of the best rows of one cell, and the blocks scored.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = _near(_matrix(batch["vector"], centres.shape[1]), centres)
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), batch["vec_id"], batch["vector"]], names=["cell", "vec_id", "vector"])
+
+    return rows.mapInArrow(run, "cell int, vec_id long, vector array<long>")
+
+
+def _packs(rows: DataFrame, limit: int) -> DataFrame:
+    """``_PACKED``: rows in order of cell and id, gathered into matrices of at most ``limit`` rows of one cell, with the bounds of their blocks.
+
+    Rows are range-partitioned, so a cell of very many rows takes several tasks.
+    """
+
+    def packed(cell: int, number: int, ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        kind = "<i2" if np.abs(rows).max(initial=0) < 1 << 15 else "<f8"
+        starts = np.arange(0, len(ids), BLOCK)
+        parts = [rows, np.maximum.reduceat(rows, starts), np.minimum.reduceat(rows, starts)]
+        columns = [pa.array([cell], pa.int32()), pa.array([number], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([kind])]
+        return pa.RecordBatch.from_arrays(columns + [pa.array([x.astype(kind).tobytes()], pa.binary()) for x in parts], names=[x.split()[0] for x in _PACKED.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        held: list[pa.RecordBatch] = []
+        cell, count = None, 0
+
+        def flush() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            return packed(cell, number, table["vec_id"].to_numpy(), _matrix(table["vector"].combine_chunks()))
+
+        for batch in batches:
+            cells, at = batch["cell"].to_numpy(), 0
+            while at < batch.num_rows:
+                if held and (cells[at] != cell or count == limit):
+                    yield flush()
+                    held, count, number = [], 0, number + 1
+                cell = int(cells[at])
+                stop = min(int(np.searchsorted(cells, cell, "right")), at + limit - count)
+                held.append(batch.slice(at, stop - at))
+                count, at = count + stop - at, stop
+        if held:
+            yield flush()
+
+    return rows.repartitionByRange("cell", "vec_id").sortWithinPartitions("cell", "vec_id").mapInArrow(run, _PACKED)
+
+
+def search_pack(
+    queries: np.ndarray, query_ids: np.ndarray, matrix: np.ndarray, ids: np.ndarray, k: int, reach: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and scores ``(queries, k)`` of the best rows of one pack, and the rows that each query scored.
 
     Per block the largest and least value of each term are known.  A query's bound
     on a block sums, over terms, its weight times the one or the other.  Blocks are
     visited per query in the order of their bounds, each is scored through its own
-    rows, and a query is done when its next bound lies below its k-th score.  Ties go
-    to the smaller id.  Places without a row have the least score.
+    rows, and a query is done when its next bound lies below its k-th score, or below
+    ``reach``, a k-th score it has from elsewhere.  Ties go to the smaller id.
+    Places without a row have the least score.
     """
     width = max(queries.shape[1], matrix.shape[1])
     queries, matrix = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (queries, matrix))
     starts = np.arange(0, len(ids), BLOCK)
-    most, least = np.maximum.reduceat(matrix, starts), np.minimum.reduceat(matrix, starts)
-    bounds = np.maximum(queries, 0) @ most.T + np.minimum(queries, 0) @ least.T
+    bounds = _bounds(queries, np.maximum.reduceat(matrix, starts), np.minimum.reduceat(matrix, starts))
     order = np.argsort(-bounds, axis=1, kind="stable")
     best = np.full((len(queries), k), _LEAST)
     best_ids = np.full((len(queries), k), np.iinfo(np.int64).max)
-    scored, active = 0, np.arange(len(queries))
+    reach = np.full(len(queries), _LEAST) if reach is None else reach
+    scored, active = np.zeros(len(queries), np.int64), np.arange(len(queries))
     for step in range(len(starts)):
         block = order[active, step]
-        go = bounds[active, block] >= best[active, -1]
+        go = bounds[active, block] >= np.maximum(best[active, -1], reach[active])
         active, block = active[go], block[go]
         if not len(active):
             break
-        scored += len(active)
         for b in np.unique(block):
             who = active[block == b]
             rows = slice(starts[b], starts[b] + BLOCK)
             scores = (queries[who] @ matrix[rows].T).astype(np.int64)
+            scored[who] += scores.shape[1]
             scores[ids[rows][None, :] == query_ids[who][:, None]] = _LEAST
             better = scores.max(axis=1) >= best[who, -1]
             who, scores = who[better], scores[better]
@@ -98,20 +147,87 @@ def search_cell(queries: np.ndarray, query_ids: np.ndarray, matrix: np.ndarray,
     return best_ids, best, scored
 
 
-def _searcher(k: int):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                ids, query_ids = (np.frombuffer(row[c], np.int64) for c in ("ids", "query_ids"))
-                matrix = np.frombuffer(row["matrix"], np.float64).reshape(len(ids), -1)
-                queries = np.frombuffer(row["query_matrix"], np.float64).reshape(len(query_ids), -1)
-                found, scores, _ = search_cell(queries, query_ids, matrix, ids, k)
-                real = scores > _LEAST
-                owner = np.broadcast_to(np.arange(len(query_ids))[:, None], real.shape)[real]
-                columns = [query_ids[owner], np.full(len(owner), row["query_cell"]), owner, found[real], scores[real]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in columns], names=["query_id", "query_cell", "place", "vec_id", "score"])
+def _bounds(queries: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
+    return np.maximum(queries, 0) @ most.T + np.minimum(queries, 0) @ least.T
 
-    return search
+
+def _of(row: dict, name: str, kind: str = "kind", rows: int = -1) -> np.ndarray:
+    return np.frombuffer(row[name], row[kind]).astype(np.float64).reshape(rows, -1)
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _searched(row: dict, k: int, reach: np.ndarray | None = None):
+    ids, query_ids = (np.frombuffer(row[c], np.int64) for c in ("ids", "query_ids"))
+    return ids, query_ids, *search_pack(_of(row, "query_matrix", "query_kind", len(query_ids)), query_ids, _of(row, "matrix", rows=len(ids)), ids, k, reach)
+
+
+def _seeds(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            *_, scores, _ = _searched(row, k)
+            yield pa.RecordBatch.from_arrays([pa.array([row["group"]], pa.int64()), pa.array([scores[:, -1].tobytes()], pa.binary())], names=["seeded", "reach"])
+
+    return run
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row in _each(batches):
+        queries, most, least = _of(row, "query_matrix", "query_kind", len(row["query_ids"]) // 8), *(_of(row, x, rows=-(-len(row["ids"]) // 8 // BLOCK)) for x in ("most", "least"))
+        width = max(queries.shape[1], most.shape[1])
+        queries, most, least = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (queries, most, least))
+        reach = np.frombuffer(row["reach"], np.int64) if row["reach"] else np.full(len(queries), _LEAST)
+        if (_bounds(queries, most, least).max(axis=1) >= reach).any():
+            yield pa.RecordBatch.from_arrays([pa.array([row[c]], pa.int64()) for c in ("pack", "group")], names=["met_pack", "met_group"])
+
+
+def _search(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            reach = np.frombuffer(row["reach"], np.int64) if row["reach"] else None
+            _, query_ids, found, scores, scored = _searched(row, k, reach)
+            real = scores > _LEAST
+            n = np.arange(len(query_ids))
+            owner = np.broadcast_to(n[:, None], real.shape)[real]
+            columns = [query_ids[owner], np.full(len(owner), row["group"]), owner, found[real], scores[real], np.zeros(len(owner))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in columns], names=["query_id", "group", "place", "vec_id", "score", "scored"])
+            columns = [pa.array(query_ids), pa.array(np.full(len(n), row["group"])), pa.array(n), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64()), pa.array(scored)]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "group", "place", "vec_id", "score", "scored"])
+
+    return run
+
+
+def _found(vectors: DataFrame, queries: DataFrame, k: int, id_column: str, vector_column: str) -> tuple[DataFrame, DataFrame]:
+    """Partial lists and scored rows of every query, and the packs."""
+    spark = vectors.sparkSession
+    lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def usable(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col(id_column).cast("long").alias("vec_id"), quantised(F.col(vector_column)).alias("vector")).where("vec_id is not null and vector is not null")
+
+    base = usable(vectors)
+    sample = base.orderBy(F.xxhash64("vec_id", "vector")).limit(SAMPLE).select("vector")
+    fitted = [r.centre for r in sample.coalesce(1).mapInArrow(_centres, "centre array<double>").collect()]  # at most CENTRES rows
+    centres = np.array(fitted) if fitted else np.zeros((1, 1))
+    packs = cut(_packs(_placed(base, centres), BLOCK * PACK_BLOCKS), "packs")
+    groups = cut(_packs(_placed(usable(queries).dropDuplicates(["vec_id", "vector"]), centres), QUERIES), "groups").select(
+        "cell", F.col("pack").alias("group"), F.col("ids").alias("query_ids"), F.col("kind").alias("query_kind"), F.col("matrix").alias("query_matrix")
+    )
+    first = packs.groupBy("cell").agg(F.min("pack").alias("pack"))
+    home = groups.join(first, "cell").join(packs.drop("cell", "most", "least"), "pack")
+    reached = cut(home.mapInArrow(_seeds(k), "seeded long, reach binary"), "reached")
+    groups = groups.join(reached, F.col("group") == F.col("seeded"), "left").drop("seeded", "cell")
+    lane = F.pmod(F.xxhash64("pack"), F.lit(lanes)).cast("int")
+    # bounds only: for a pack of 16,384 rows those of 64 blocks
+    asked = packs.select("pack", "ids", "kind", "most", "least", lane.alias("lane")).join(groups.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))), "lane")
+    met = cut(asked.drop("lane").mapInArrow(_met, "met_pack long, met_group long"), "met")
+    pairs = met.join(groups, F.col("met_group") == F.col("group")).join(packs.select("pack", "ids", "kind", "matrix"), F.col("met_pack") == F.col("pack"))
+    found = pairs.drop("met_pack", "met_group", "pack").mapInArrow(_search(k), "query_id long, group long, place long, vec_id long, score long, scored long")
+    return found, packs
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -121,36 +237,36 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "
     below 2**53.  A row with the query's own id is no candidate.  Ties go to the
     smaller id, rows of one id with one score stand beside each other.
 
-    Vectors are packed into cells of ``CELL_BLOCKS`` blocks of neighbouring ids, the
-    queries into groups.  Groups meet cells by an equi-join on lanes: each lane holds
-    a share of the cells, and every group goes to every lane.  A task searches one
-    group in one cell with bounds; what is left is merged per query.  No row of one
-    vector ever meets a row of one query.
+    1. Rows are ordered by the nearest of ``CENTRES`` centres, fitted on at most
+       ``SAMPLE`` rows (the centres only order the rows; no result depends on them),
+       and cut into blocks of ``BLOCK``, ``PACK_BLOCKS`` of them in a pack.  Packs are
+       stored with the largest and least value of each term in each block.  Queries
+       are grouped the same way.
+    2. A group first searches one pack of its own cell; each query's k-th score there
+       is its seed.
+    3. Groups meet the stored bounds of all packs; a (group, pack) pair goes on only if
+       some bound of some query reaches that query's seed.
+    4. In such a pack a query visits blocks by bound and stops below its k-th score
+       or seed.  What is left is merged per query.
+
+    Groups meet bounds by an equi-join on lanes: each lane holds a share of the packs,
+    and every group goes to every lane.  No row of one vector ever meets a row of one
+    query outside a block that its bound admits.
 
     Null ids, null vectors and vectors with null or non-finite components take no
     part.  Shorter vectors count as padded with zeros.  Equal query rows are one
-    query.  Fewer than ``k`` candidates: all of them.  Empty tables: no rows.  Other
-    columns are not read.
+    query; repeated rows are candidates each.  Fewer than ``k`` candidates: all of
+    them.  Empty tables: no rows.  Other columns, of whatever name, are not read.
     """
-    spark = vectors.sparkSession
-    lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found, _ = _found(vectors, queries, k, id_column, vector_column)
+    best = Window.partitionBy("query_id", "group", "place").orderBy(F.col("score").desc(), "vec_id")
+    return found.where("vec_id is not null").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
 
-    def packed(rows: DataFrame, span: int) -> DataFrame:
-        usable = rows.select(F.col(id_column).cast("long").alias("vec_id"), quantised(F.col(vector_column)).alias("vector")).where("vec_id is not null and vector is not null")
-        return usable.withColumn("cell", F.floor(F.col("vec_id") / F.lit(span)).cast("long"))
-
-    def pack(cells: DataFrame, limit: int) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            return _packed(batches, limit)
-
-        return cells.repartition("cell").sortWithinPartitions("cell", "vec_id").mapInArrow(run, "cell long, ids binary, matrix binary, width int")
-
-    per_cell = BLOCK * CELL_BLOCKS
-    base = pack(packed(vectors, per_cell), per_cell).withColumn("lane", F.pmod(F.xxhash64("cell"), F.lit(lanes)).cast("int")).drop("width")
-    asked = packed(queries, 50 * QUERIES).dropDuplicates(["vec_id", "vector"])
-    groups = pack(asked, QUERIES).select(F.col("cell").alias("query_cell"), F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"))
-    groups = groups.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    met = base.join(groups, "lane").select("ids", "matrix", "query_cell", "query_ids", "query_matrix")
-    found = met.mapInArrow(_searcher(k), "query_id long, query_cell long, place long, vec_id long, score long")
-    best = Window.partitionBy("query_id", "query_cell", "place").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def scored_share(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding") -> float:
+    """Of all (query, row) pairs, the share whose score ``top_k`` works out; null or empty tables: 0."""
+    found, packs = _found(vectors, queries, k, id_column, vector_column)
+    rows = packs.agg(F.sum(F.octet_length("ids") / 8)).first()[0] or 0
+    asked = found.where("vec_id is null").groupBy("group", "place").agg(F.sum("scored").alias("scored"))
+    scored, n = asked.agg(F.sum("scored"), F.count("*")).first()
+    return float(scored or 0) / (rows * n) if rows and n else 0.0
