@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +17,8 @@ from .words import expand, mix, process_cache, slices
 #: A piece's log weight is -SLOPE * log(rank + SHIFT) (Zipf and Mandelbrot's law),
 #: its rank being its place in the vocabulary's merge order.
 SLOPE, SHIFT = 0.6, 10.0
-#: Code points after which a unit is cut.
-LONGEST_UNIT = 64
+#: Code points up to which units are filtered side by side; longer ones one by one.
+LONG_UNIT = 64
 #: The place holder for a space, and the mark that cuts a text into units.
 SPACE, MARK = "▁", "\x00"
 _BASE, _SEED = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -25,7 +27,7 @@ _BASE, _SEED = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 class Pieces:
     """The vocabulary as a hash table of code-point strings, and byte pieces for the rest."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, alpha: float = 1.0):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -39,14 +41,14 @@ class Pieces:
                 value = int(piece[3:-1], 16)
                 self.byte_id[value], self.bytes_of[i] = i, bytes([value])
             elif not (model.is_control(i) or model.is_unknown(i)):
+                if SPACE in piece.lstrip(SPACE) or "\n" in piece:
+                    raise ValueError(f"piece {piece!r} joins words, which units do not")
                 self.bytes_of[i] = piece.replace(SPACE, " ").encode()
-                if not piece.strip(SPACE) and len(piece) > 1:
-                    continue  # runs of spaces: units begin at each space
                 words.append(piece)
                 ids.append(i)
         ranks = np.arange(1, len(ids) + 1)
-        self.ids, self.weight = np.array(ids, np.int64), -SLOPE * np.log(ranks + SHIFT)
-        self.byte_weight = -SLOPE * np.log(len(ids) + SHIFT)
+        self.ids, self.weight = np.array(ids, np.int64), -alpha * SLOPE * np.log(ranks + SHIFT)
+        self.byte_weight = -alpha * SLOPE * np.log(len(ids) + SHIFT)
         self.longest = max(map(len, words))
         hashes = self._hashes(words)
         bits = 1 << 20
@@ -71,10 +73,10 @@ class Pieces:
         return h
 
     @classmethod
-    def of(cls, path: str) -> Pieces:
-        cache, key = process_cache(), ("pieces", path, SLOPE, SHIFT)
+    def of(cls, path: str, alpha: float = 1.0) -> Pieces:
+        cache, key = process_cache(), ("pieces", path, SLOPE, SHIFT, alpha)
         if key not in cache:
-            cache[key] = cls(path)
+            cache[key] = cls(path, alpha)
         return cache[key]
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
@@ -94,39 +96,27 @@ class Pieces:
 
 
 def cut_units(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """``offsets, units``: each space opens a unit, each line end is one of its own, long ones are cut."""
+    """``offsets, units``: each run of spaces opens a unit, each line end is one of its own; no piece crosses them."""
     texts = pc.fill_null(texts, "")
     if pc.any(pc.match_substring(texts, MARK)).as_py():
-        split = [_cut_one(t) for t in texts.to_pylist()]
-        lists = pa.array(split, pa.list_(pa.string()))
+        lists = pa.array([re.findall(r"\n| +[^ \n]*|[^ \n]+", t) for t in texts.to_pylist()], pa.list_(pa.string()))
     else:
-        marked = pc.replace_substring(pc.replace_substring(texts, " ", MARK + " "), "\n", MARK + "\n" + MARK)
+        marked = pc.replace_substring_regex(pc.replace_substring(texts, "\n", MARK + "\n" + MARK), " +", MARK + r"\0")
         lists = pc.split_pattern(marked, MARK)
     sizes = pc.utf8_length(lists.values).to_numpy(zero_copy_only=False)
-    offsets = lists.offsets.to_numpy()
-    if len(sizes) and sizes.max() > LONGEST_UNIT:
-        parts = [[u[i : i + LONGEST_UNIT] for i in range(0, len(u), LONGEST_UNIT)] if n > LONGEST_UNIT else [u] * bool(n) for u, n in zip(lists.values.to_pylist(), sizes)]
-        before = np.concatenate([[0], np.cumsum(list(map(len, parts)))])
-        return before[offsets], pa.array([u for x in parts for u in x], pa.string())
     before = np.concatenate([[0], np.cumsum(sizes > 0)])
-    return before[offsets], lists.values.filter(pa.array(sizes > 0))
-
-
-def _cut_one(text: str) -> list[str]:
-    lines = text.split("\n")
-    out = []
-    for i, line in enumerate(lines):
-        parts = line.split(" ")
-        out += ([parts[0]] if parts[0] else []) + [" " + p for p in parts[1:]] + (["\n"] if i < len(lines) - 1 else [])
-    return out
+    return before[lists.offsets.to_numpy()], lists.values.filter(pa.array(sizes > 0))
 
 
 class Lattices:
     """All segmentations of each distinct unit, with forward sums.
 
-    Units are ordered from the longest to the shortest, so that those that reach a
-    depth are a prefix; a node is a depth and a unit.  Edges into a node stand
-    together, with running sums of their share in the node's forward weight.
+    Nodes are places in units; those before a unit's first code point come first.
+    Short units are filtered together, depth by depth, ordered from the longest to
+    the shortest, so that those that reach a depth are a prefix.  Long units, of any
+    length, are filtered one by one.  Edges into a node stand together, those of
+    the longest pieces first, with running sums of their share in the node's
+    forward weight.
     """
 
     def __init__(self, model: Pieces, units: pa.Array):
@@ -135,18 +125,43 @@ class Lattices:
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         points[points == 0x2581] = 0x110000  # the place holder itself has no piece
         points[points == 0x20] = 0x2581
-        order = np.argsort(-sizes, kind="stable")
-        starts = (np.cumsum(sizes) - sizes)[order]
-        self.rank = np.empty(len(words), np.int64)
-        self.rank[order] = np.arange(len(words))
-        self.sizes = sizes[order]
-        deepest = int(sizes.max(initial=0))
-        reach = np.searchsorted(-self.sizes, -np.arange(deepest + 1), "right")  # units of each depth or more
-        self.first_node = np.concatenate([[0], np.cumsum(reach)])
-        forward = [np.zeros(reach[0])]
-        hashes: list[np.ndarray] = []
-        tails, rows, runs, counts, lone, n_lone = [], [], [], [np.zeros(reach[0], np.int64)], [], 0
-        for depth in range(1, deepest + 1):
+        starts = np.cumsum(sizes) - sizes
+        short = np.flatnonzero(sizes <= LONG_UNIT)
+        order = short[np.argsort(-sizes[short], kind="stable")]
+        self.first = np.empty(len(words), np.int64)  # a unit's node before its first code point
+        self.first[order] = np.arange(len(order))
+        self.first[sizes > LONG_UNIT] = np.arange(len(order), len(words))
+        self.roots = len(words)
+        self.parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(self.roots, np.int64))]
+        self.lone_points: list[np.ndarray] = []
+        self.n_lone, n_nodes = 0, self.roots
+        reach = np.searchsorted(-sizes[order], -np.arange(int(sizes[order].max(initial=0)) + 1), "right")  # units of each depth or more
+        at_depth = np.concatenate([[0, self.roots], self.roots + np.cumsum(reach[1:])])
+        self.last = np.empty(len(words), np.int64)  # a unit's last node
+        self.last[order] = at_depth[sizes[order]] + np.arange(len(order))
+        self._filter_short(model, points, starts[order], reach, at_depth)
+        n_nodes = int(at_depth[-1])
+        for i in np.flatnonzero(sizes > LONG_UNIT):
+            self._filter_long(model, points[starts[i] : starts[i] + sizes[i]], int(self.first[i]), n_nodes)
+            n_nodes += int(sizes[i])
+            self.last[i] = n_nodes - 1
+        self.tail, self.row, self.run, per_node = (np.concatenate(x) for x in zip(*self.parts))
+        ends = np.cumsum(per_node)
+        self.edges = ends - per_node
+        self.run[ends[per_node > 0] - 1] = 1.0
+        self.lone_point = np.concatenate([np.zeros(0, np.int64), *self.lone_points])
+
+    def _bare(self, point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (below -1) and bytes of edges for code points without a piece."""
+        real = np.where(point == 0x110000, 0x2581, np.where(point == 0x2581, 0x20, point)).astype(np.int64)
+        rows = -2 - self.n_lone - np.arange(len(real))
+        self.lone_points.append(real)
+        self.n_lone += len(real)
+        return rows, 1 + (real > 0x7F) + (real > 0x7FF) + (real > 0xFFFF)
+
+    def _filter_short(self, model: Pieces, points: np.ndarray, starts: np.ndarray, reach: np.ndarray, at_depth: np.ndarray) -> None:
+        forward, hashes = [np.zeros(len(starts))], []
+        for depth in range(1, len(reach)):
             m = reach[depth]
             point = points[starts[:m] + depth - 1]
             hashes.append(np.zeros(m, np.uint64))
@@ -160,38 +175,66 @@ class Lattices:
                 score[i, hit] = forward[start][hit] + model.weight[found[i, hit]]
             if depth > model.longest:
                 hashes[depth - 1 - model.longest] = np.zeros(0, np.uint64)
-            # a code point without a piece is one edge of its bytes; rows below -1 say which
             bare = np.flatnonzero(found[-2] < 0)
-            real = np.where(point[bare] == 0x110000, 0x2581, np.where(point[bare] == 0x2581, 0x20, point[bare])).astype(np.int64)
-            width = 1 + (real > 0x7F) + (real > 0x7FF) + (real > 0xFFFF)
             found[-1] = -1
-            found[-1, bare] = -2 - n_lone - np.arange(len(bare))
+            found[-1, bare], width = self._bare(point[bare])
             score[-1, bare] = forward[depth - 1][bare] + model.byte_weight * width
-            lone.append(real)
-            n_lone += len(bare)
             peak = score.max(axis=0)
-            mass = np.exp(score - peak)
-            run = np.cumsum(mass, axis=0)
+            run = np.cumsum(np.exp(score - peak), axis=0)
             forward.append(peak + np.log(run[-1]))
             run /= run[-1]
             unit, edge = np.nonzero((found != -1).T)
-            tails.append(self.first_node[np.append(np.array(froms), depth - 1)[edge]] + unit)
-            rows.append(found[edge, unit])
-            runs.append(run[edge, unit])
-            counts.append(np.bincount(unit, minlength=m))
-        self.tail, self.row, self.run = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (tails, rows, runs))
-        per_node = np.concatenate(counts)
-        ends = np.cumsum(per_node)
-        self.edges = ends - per_node
-        self.run[ends[per_node > 0] - 1] = 1.0
-        self.lone_point = np.concatenate(lone) if lone else np.zeros(0, np.int64)
-        self.forward = forward
+            tails = at_depth[np.append(np.array(froms), depth - 1)[edge]] + unit
+            self.parts.append((tails, found[edge, unit], run[edge, unit], np.bincount(unit, minlength=m)))
+
+    def _filter_long(self, model: Pieces, points: np.ndarray, root: int, base: int) -> None:
+        """One unit of any length: its edges are found place by place at once, then summed from left to right."""
+        n = len(points)
+        h, starts, sizes, rows, weights = np.zeros(n, np.uint64), [], [], [], []
+        for size in range(1, min(model.longest, n) + 1):
+            h = mix((h[: n - size + 1] ^ (points[size - 1 :] + np.uint64(1))) * _BASE)
+            found = model.find(h)
+            hit = np.flatnonzero(found >= 0)
+            starts.append(hit)
+            rows.append(found[hit])
+            weights.append(model.weight[found[hit]])
+            if size == 1:
+                bare = np.flatnonzero(found < 0)
+                lone, width = self._bare(points[bare])
+                starts.append(bare)
+                rows.append(lone)
+                weights.append(model.byte_weight * width)
+                sizes.append(np.zeros(len(hit), np.int64) + 1)
+                sizes.append(np.zeros(len(bare), np.int64) + 1)
+            else:
+                sizes.append(np.zeros(len(hit), np.int64) + size)
+        start, size, row, weight = (np.concatenate(x) for x in (starts, sizes, rows, weights))
+        head = start + size
+        order = np.lexsort((-size, head))
+        start, head, row, weight = start[order], head[order], row[order], weight[order]
+        counts = np.bincount(head, minlength=n + 1)[1:]
+        forward = np.zeros(n + 1)
+        tails, shares, near, shift, at = start.tolist(), np.exp(weight).tolist(), [1.0] + [0.0] * n, 0.0, 0
+        for i, edges in enumerate(counts.tolist(), 1):
+            total = 0.0
+            for e in range(at, at + edges):
+                total += near[tails[e]] * shares[e]
+            at += edges
+            near[i] = total
+            forward[i] = math.log(total) + shift
+            if total < 1e-100:  # only the last few sums are read again
+                for j in range(max(0, i - model.longest), i + 1):
+                    near[j] /= total
+                shift += math.log(total)
+        share = np.cumsum(np.exp(forward[start] + weight - forward[head]))
+        ends = np.cumsum(counts)
+        before = np.concatenate([[0.0], share])[ends - counts]
+        run = share - np.repeat(before, counts)
+        self.parts.append((np.where(start == 0, root, base + start - 1), row, run, counts))
 
     def sample(self, codes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges of one segmentation of each unit in turn, in order, and how many each has."""
-        units = self.rank[codes]
-        at = self.first_node[self.sizes[units]] + units
-        roots = self.first_node[1]
+        at = self.last[codes]
         open_, steps = np.arange(len(codes)), []
         counts = np.zeros(len(codes), np.int64)
         while len(open_):
@@ -204,7 +247,7 @@ class Lattices:
             steps.append((open_, edge))
             counts[open_] += 1
             at = self.tail[edge]
-            more = at >= roots
+            more = at >= self.roots
             open_, at = open_[more], at[more]
         ends = np.cumsum(counts)
         out = np.zeros(int(counts.sum()), np.int64)
@@ -244,9 +287,9 @@ def encode_batch(model: Pieces, texts: pa.Array, keys: np.ndarray) -> tuple[np.n
     return edge_ends[unit_ends[offsets]], ids
 
 
-def _encoder(path: str, seed: int):
+def _encoder(path: str, seed: int, alpha: float):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Pieces.of(path)
+        model = Pieces.of(path, alpha)
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
                 keys = mix(batch["doc_id"].fill_null(0).to_numpy().astype(np.uint64) + mix(np.array([seed], np.uint64)))
@@ -269,10 +312,10 @@ def _decoder(path: str):
     return decode
 
 
-def _checked(path: str, seed: int):
+def _checked(path: str, seed: int, alpha: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Pieces.of(path).bytes_of
-        for batch in _encoder(path, seed)(batches):
+        table = Pieces.of(path, alpha).bytes_of
+        for batch in _encoder(path, seed, alpha)(batches):
             values, offsets = batch["ids"].values.to_numpy(), batch["ids"].offsets.to_numpy()
             texts = batch["text"].to_pylist()
             same = [b"".join(map(table.__getitem__, values[a:b].tolist())) == (t or "").encode() for a, b, t in zip(offsets[:-1], offsets[1:], texts)]
@@ -282,29 +325,39 @@ def _checked(path: str, seed: int):
     return run
 
 
-def encode(docs: DataFrame, path: str, seed: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, seed: int = 0, alpha: float = 1.0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, ids`` of every row: a segmentation drawn from all those of the text.
 
-    A text is cut into units, each led by at most one space and of at most
-    ``LONGEST_UNIT`` code points; pieces do not cross them.  Over a unit's lattice
-    of pieces forward sums are filtered once per distinct unit of a batch; every
-    occurrence then samples backwards with numbers that depend on seed, id and its
-    place alone, so the result is the same in any partitioning.  Code points
-    without a piece, and the space's place holder itself, become byte pieces.
+    A text is cut into units, each led by at most one run of spaces; no piece of the
+    model crosses their bounds, so nothing is lost by it, and units are of any length.
+    Over a unit's lattice of pieces forward sums are filtered once per distinct unit
+    of a batch; every occurrence then samples backwards with numbers that depend on
+    seed, id and its place alone, so the result is the same in any partitioning.  A
+    segmentation's weight is the product of its pieces' to the power ``alpha``: 0 draws
+    all alike, large values the heaviest.  Code points without a piece, and the
+    space's place holder itself, become byte pieces.
 
     One pass, no shuffle.  Null or empty text: no ids.  Null id: drawn as id 0.  Rows
-    of one id and text have equal ids.  Empty table: no rows.  Other columns are not
-    read.
+    of one id and text have equal ids.  Empty table: no rows.  Other columns, of
+    whatever name, are not read.
     """
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return source.mapInArrow(_encoder(path, seed), "doc_id long, ids array<int>, text string").drop("text")
+    return source.mapInArrow(_encoder(path, seed, alpha), "doc_id long, ids array<int>, text string").drop("text")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``doc_id, text``: the exact texts (null ones as empty) of ``doc_id, ids``."""
+    """``doc_id, text``: the exact texts of ``doc_id, ids``.
+
+    Null ids or none: an empty text.  Null document ids and repeated rows are rows like
+    any other.  Empty table: no rows.  Other columns are not read.
+    """
     return encoded.select("doc_id", "ids").mapInArrow(_decoder(path), "doc_id long, ids array<int>, text string").drop("ids")
 
 
-def encode_checked(docs: DataFrame, path: str, seed: int = 0) -> DataFrame:
-    """``doc_id, n_pieces, ids, lossless``: ``encode``, with each text decoded and compared."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_checked(path, seed), "doc_id long, n_pieces long, ids array<int>, lossless boolean")
+def encode_checked(docs: DataFrame, path: str, seed: int = 0, alpha: float = 1.0) -> DataFrame:
+    """``doc_id, n_pieces, ids, lossless``: ``encode``, with each text decoded and compared.
+
+    A null text counts as an empty one, lossless with no ids.  Null ids, repeated rows,
+    empty tables and other columns as in ``encode``.
+    """
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_checked(path, seed, alpha), "doc_id long, n_pieces long, ids array<int>, lossless boolean")
