@@ -38,12 +38,16 @@ ENCODINGS = (
     ("base64", "^[A-Za-z0-9+/]+$", _UPPER + _LOWER + _DIGITS + "+/"),
     ("base64url", "^[A-Za-z0-9_-]+$", _UPPER + _LOWER + _DIGITS + "-_"),
 )
-#: Sum of squared symbol shares in text that is no secret: decimal digits, capitals, words.
-ORDINARY = {"hex": 0.1, "HEX": 0.1, "base32": 0.066, "base64": 0.062, "base64url": 0.062}
+#: Chance that two places of a token that is no secret hold the same symbol.  hex, HEX: decimal
+#: digits, one in ten.  base32: capitals, below the 0.067 of English letters.  The others: the
+#: lower quartile of 3,400 identifiers and paths of 20 or more characters in the sources of
+#: Python's standard library (median 0.053), so that ordinary names with many different letters
+#: count as ordinary; random ones have 0.016.
+ORDINARY = {"hex": 0.1, "HEX": 0.1, "base32": 0.06, "base64": 0.043, "base64url": 0.043}
 #: Lengths at which a new class begins, for the false-discovery control.
 LENGTHS = (20, 24, 32, 48, 96)
-#: Share of false discoveries, level at which a token is rejected as not random, and bins of -log10(p).
-FALSE_SHARE, REJECT, BINS_PER_DECADE, BINS = 0.05, 0.001, 20, 400
+#: Share of ordinary tokens among the found ones, share of random tokens among those thrown out, and bins of -log10(p).
+FALSE_SHARE, LOST_SHARE, BINS_PER_DECADE, BINS = 0.05, 0.01, 20, 400
 _CHUNK = 64
 
 
@@ -108,9 +112,9 @@ def _battery(token: Column) -> Column:
     """``struct<encoding, length, p_ordinary, p_random>`` of one token, null for an unknown encoding.
 
     ``p_ordinary``: chance of so even a use of the alphabet if the token were ordinary
-    text, whose chi-squared statistic grows with its length.  ``p_random``: least
-    chance, times three, of the chi-squared, runs and lag-one correlation statistics
-    if the token were random.
+    text, whose chi-squared statistic grows with its length.  ``p_random``: the whole
+    battery's chance if the token were random, that is the least of those of the
+    chi-squared, runs and lag-one correlation statistics, times three (Bonferroni).
     """
     body = F.regexp_replace(token, "=+$", "")
 
@@ -168,18 +172,25 @@ def _bin(p: Column) -> Column:
     return F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) * BINS_PER_DECADE), F.lit(BINS)).cast("int")
 
 
-def _thresholds(tokens: DataFrame) -> list:
-    """Per encoding and length class the least bin that is found, by the step-up rule on bins.
+def _thresholds(tokens: DataFrame, p_bin: str, share: float) -> dict[tuple, int]:
+    """Per encoding and length class the least bin that the step-up rule rejects at ``share``.
 
     A bin stands for its largest p.  At most classes times bins rows reach the last
-    step, whatever the number of tokens.
+    step, and one row per class the driver, whatever the number of tokens.
     """
-    counted = tokens.groupBy("encoding", "class", "bin").agg(F.count("*").alias("n"))
+    counted = tokens.groupBy("encoding", "class", F.col(p_bin).alias("bin")).agg(F.count("*").alias("n"))
     group = Window.partitionBy("encoding", "class")
     upward = group.orderBy(F.col("bin").desc())
     ranked = counted.select("encoding", "class", "bin", F.sum("n").over(upward).alias("found"), F.sum("n").over(group).alias("all"))
-    good = ranked.where(F.pow(F.lit(10.0), -F.col("bin") / BINS_PER_DECADE) <= FALSE_SHARE * F.col("found") / F.col("all"))
-    return good.groupBy("encoding", "class").agg(F.min("bin").alias("least")).collect()
+    good = ranked.where(F.pow(F.lit(10.0), -F.col("bin") / BINS_PER_DECADE) <= share * F.col("found") / F.col("all"))
+    return {(r.encoding, r["class"]): r.least for r in good.groupBy("encoding", "class").agg(F.min("bin").alias("least")).collect()}
+
+
+def _rejected(least: dict[tuple, int], encoding: Column, kind: Column, p_bin: Column) -> Column:
+    found = F.lit(False)
+    for (name, start), bin_ in least.items():
+        found = found | ((encoding == name) & (kind == start) & (p_bin >= bin_))
+    return found
 
 
 def _listed(spans: Column) -> Column:
@@ -203,14 +214,18 @@ def secret_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     Spans are ``struct<start, rank, kind, end>`` in code points, end exclusive.  Base
     spans are those of ``BASE``.  To these come tokens of 20 or more characters of a
-    known encoding, or parts of them between separators, that the battery does not reject as random (``REJECT``) and that
-    stand out from ordinary text: within a class of encoding and length at most
-    ``FALSE_SHARE`` of the found ones are expected to be ordinary, by the step-up
-    rule over all tokens of the table.
-
-    Texts are scanned once; spans and binned chances are written, no text is
-    shuffled.  Null or empty text: no spans.  Null ids and repeated rows are rows like
-    any other.  Empty table: no rows.  Other columns are not read.
+    known encoding, or parts of them between separators, that two step-up rules leave,
+    each over all tokens of the table within a class of encoding and length:
+
+    1. the battery's combined chance under randomness throws out tokens that are not
+       random, at most ``LOST_SHARE`` of them wrongly, as expected;
+    2. of the others, those are found whose alphabet is used more evenly than ordinary
+       text uses it, at most ``FALSE_SHARE`` of them ordinary, as expected.
+
+    Of found tokens that overlap the longest counts.  Texts are scanned once; spans and
+    binned chances are written, no text is shuffled.  Null or empty text: no spans.
+    Null ids, ties and repeated rows are rows like any other.  Empty table: no rows.
+    Other columns, of whatever name, are not read.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
     span = "struct<start:bigint,rank:int,kind:string,end:bigint>"
@@ -236,8 +251,11 @@ def secret_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         return let(
             _battery(m["hit"]),
             lambda b: F.when(
-                b["p_random"] >= REJECT,
-                F.struct(m["start"].alias("start"), m["end"].alias("end"), b["encoding"].alias("encoding"), _length_class(b["length"]).alias("class"), _bin(b["p_ordinary"]).alias("bin")),
+                b.isNotNull(),
+                F.struct(
+                    m["start"].alias("start"), m["end"].alias("end"), b["encoding"].alias("encoding"), _length_class(b["length"]).alias("class"),
+                    _bin(b["p_random"]).alias("random"), _bin(b["p_ordinary"]).alias("ordinary"),
+                ),
             ),
         )
 
@@ -259,25 +277,30 @@ def secret_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     for step in (
         F.transform("tokens", with_parts),
         F.transform("tokens", lambda some: F.filter(F.transform(some, tested), lambda x: x.isNotNull())),
-        F.array_sort(F.flatten(F.transform("tokens", longest))),
     ):
         scanned = scanned.select("doc_id", "base", step.alias("tokens"))
     scanned = cut(scanned, "scanned")
-    least = _thresholds(scanned.select(F.explode("tokens").alias("t")).select("t.*"))
+    tokens = scanned.select(F.explode(F.flatten("tokens")).alias("t")).select("t.*")
+    unlike = _thresholds(tokens, "random", LOST_SHARE)
+    left = tokens.where(~_rejected(unlike, F.col("encoding"), F.col("class"), F.col("random")))
+    apart = _thresholds(left, "ordinary", FALSE_SHARE)
 
     def stands_out(t: Column) -> Column:
-        found = F.lit(False)
-        for row in least:
-            found = found | ((t["encoding"] == row["encoding"]) & (t["class"] == row["class"]) & (t["bin"] >= row["least"]))
-        return found
+        return ~_rejected(unlike, t["encoding"], t["class"], t["random"]) & _rejected(apart, t["encoding"], t["class"], t["ordinary"])
 
-    random = F.transform(F.filter("tokens", stands_out), _fixed(as_span, len(BASE), "random")).cast(f"array<{span}>")
+    scanned = scanned.select("doc_id", "base", F.transform("tokens", lambda some: F.filter(some, stands_out)).alias("tokens"))
+    scanned = scanned.select("doc_id", "base", F.array_sort(F.flatten(F.transform("tokens", longest))).alias("tokens"))
+    random = F.transform("tokens", _fixed(as_span, len(BASE), "random")).cast(f"array<{span}>")
     counts = [F.size(F.filter("base", _of_kind(kind))).cast("long").alias(f"n_{kind}") for kind, _, _ in BASE]
     return scanned.select("doc_id", *counts, F.col("base").alias("base_spans"), random.alias("random_spans"))
 
 
 def secret_digest(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` of every document."""
+    """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` of every row.
+
+    Spans as in ``secret_spans``, listed as ``kind:start:end``; those of a null or empty
+    text are an empty string.  Null ids, repeated rows, empty tables as there.
+    """
     return secret_spans(docs).select(
         "doc_id", "n_assign", "n_access", "n_hex",
         F.sha2(_listed(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"),
