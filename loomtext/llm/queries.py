@@ -28,7 +28,7 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.duplicate_spans(read_table(spark, sf_dir, "documents")).drop("spans")
+    return substring.duplicate_spans(read_table(spark, sf_dir, "documents")).drop("spans", "factors")
 
 
 def op6_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Substring dedup: documents are parsed against indexed blocks of earlier text."""
+"""Substring dedup: documents are parsed greedily into factors of indexed blocks of earlier text."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut
+from .scratch import cut, release
 from .words import grams, mix, signed, slices, split_words, vocabulary_hashes
 
 #: Words of a window, and of the anchors by which reference blocks are indexed.
@@ -21,6 +21,10 @@ WINDOW, ANCHOR = 20, 6
 MANY, LANES = 8, 256
 #: What a row is: to be judged; one whose anchor has company for sure; a sign of that; known to be late.
 OPEN, EDGE, MARKER, LATE = range(4)
+#: A block or window of a document, and for a late one an earlier place that holds it.
+ROWS = "route long, content long, doc_id long, at int, role int, source_id long, source_at int"
+#: What the index answers: late ones with their place in the reference, others as boundary blocks.
+FOUND = "doc_id long, content long, late boolean, source_id long, source_at int"
 
 
 class Parse:
@@ -44,9 +48,11 @@ class Parse:
         self.start = np.arange(total) - np.repeat(self.bounds[:-1], counts) + np.repeat(self.offsets[:-1], counts)
         if not total:
             self.window = self.anchor = self.block = np.zeros(0, np.uint64)
-            self.block_of = self.block_doc = np.zeros(0, np.int64)
+            self.block_of = self.block_doc = self.block_first = self.place = np.zeros(0, np.int64)
             self.block_anchor = self.block
             return
+        #: The same, in words of the window's own text.
+        self.place = self.start - self.offsets[:-1][self.doc]
         self.window = grams(hashes, WINDOW)[self.start]
         anchor, width = grams(hashes, ANCHOR), 1
         span = WINDOW - ANCHOR + 1
@@ -59,6 +65,7 @@ class Parse:
         first = np.flatnonzero(new)
         self.block_of = np.cumsum(new) - 1
         self.block_doc = self.doc[first]
+        self.block_first = first
         self.block_anchor = self.anchor[first]
         # a block's content is that of its windows in order
         place = np.arange(total) - first[self.block_of]
@@ -66,20 +73,23 @@ class Parse:
 
 
 def _first_come(anchor: np.ndarray, content: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows in id order: one of each (anchor, content, id), and whether a smaller id has the content."""
+    """Of rows in id order: the first of each (anchor, content, id), and for each of these the row that first has the content."""
     key = content ^ mix(anchor)
     _, once, back = np.unique(key, return_index=True, return_inverse=True)
     _, keep = np.unique(key ^ mix(mix(ids.astype(np.uint64))), return_index=True)
-    return keep, (ids > ids[once][back])[keep]
+    return keep, once[back[keep]]
 
 
-def _rows(route: np.ndarray, content: np.ndarray, ids: np.ndarray, role: np.ndarray) -> pa.RecordBatch:
-    columns = [signed(route), signed(content), pa.array(ids, pa.int64()), pa.array(role.astype(np.int32))]
-    return pa.RecordBatch.from_arrays(columns, names=["route", "content", "doc_id", "role"])
+def _rows(route: np.ndarray, content: np.ndarray, ids: np.ndarray, at: np.ndarray, role: np.ndarray, source_ids: np.ndarray, source_at: np.ndarray) -> pa.RecordBatch:
+    columns = [
+        signed(route), signed(content), pa.array(ids, pa.int64()), pa.array(at.astype(np.int32)), pa.array(role.astype(np.int32)),
+        pa.array(np.where(role == LATE, source_ids, 0)), pa.array(np.where(role == LATE, source_at, 0).astype(np.int32)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in ROWS.split(", ")])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``route, content, doc_id, role`` of blocks; of equal blocks in a batch only the first is OPEN.
+    """``ROWS`` of blocks; of equal blocks in a batch only the first is OPEN, the others are LATE and name it.
 
     Rows meet by their anchor.  An anchor of many contents in a batch is dealt over
     lanes by content, as it is known to have company; a MARKER tells this to the rows
@@ -89,9 +99,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(whole.filter(pc.is_valid(whole["doc_id"])), "text"):
             batch = batch.take(pc.sort_indices(batch["doc_id"]))
             p = Parse(batch["text"])
-            ids = batch["doc_id"].to_numpy()[p.block_doc]
-            keep, late = _first_come(p.block_anchor, p.block, ids)
-            anchor, content, ids = p.block_anchor[keep], p.block[keep], ids[keep]
+            every, places = batch["doc_id"].to_numpy()[p.block_doc], p.place[p.block_first]
+            keep, once = _first_come(p.block_anchor, p.block, every)
+            anchor, content, ids = p.block_anchor[keep], p.block[keep], every[keep]
+            late = ids > every[once]
             role = np.where(late, LATE, OPEN)
             fresh = np.flatnonzero(~late)
             names, group, counts = np.unique(anchor[fresh], return_inverse=True, return_counts=True)
@@ -99,101 +110,149 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             role[edge] = EDGE
             route = anchor.copy()
             route[edge] = mix(anchor[edge] ^ mix(content[edge] % np.uint64(LANES) + np.uint64(1)))
-            yield _rows(route, content, ids, role)
-            many = names[counts >= MANY]
+            yield _rows(route, content, ids, places[keep], role, every[once], places[once])
+            many, none = names[counts >= MANY], np.zeros(int((counts >= MANY).sum()), np.int64)
             if len(many):
-                yield _rows(many, mix(many), np.zeros(len(many), np.int64), np.full(len(many), MARKER))
+                yield _rows(many, mix(many), none, none, none + MARKER, none, none)
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stream rows sorted by route, content, doc_id.
+    """Stream ``ROWS`` sorted by route, content, doc_id into ``FOUND``.
 
-    ``late``: the content occurs in an earlier document.  Not late: it is the first
-    of its content, and its anchor has other contents too.
+    ``late``: the content occurs in an earlier document, and there it stands.  Not
+    late: it is the first of its content, and its anchor has other contents too.
     """
-    anchor = content = least = None  # of the row before; a route stands for its anchor
+    anchor = content = None  # of the row before; a route stands for its anchor
+    least = least_at = 0  # document and place of the first row of its content
     waiting: list[int] = []  # the documents of the anchor's only content so far
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        a, c, d, role = (batch[x].to_numpy() for x in ("route", "content", "doc_id", "role"))
+        a, c, d, at, role, source, source_at = (batch[x].to_numpy() for x in ("route", "content", "doc_id", "at", "role", "source_id", "source_at"))
         same_a = np.concatenate([[a[0] == anchor], a[1:] == a[:-1]])
         same_c = same_a & np.concatenate([[c[0] == content], c[1:] == c[:-1]])
+        group = np.cumsum(~same_c)
         head = np.flatnonzero(~same_c)
-        group = np.cumsum(~same_c) - 1
-        lows = np.where(group >= 0, d[head][group] if len(head) else 0, least if least is not None else 0)
+        lows, lows_at = np.append(least, d[head])[group], np.append(least_at, at[head])[group]
         late = (d > lows) | (role == LATE)
         # an anchor with several contents: some row of it starts a content but not the anchor
         anchors = np.cumsum(~same_a)
         several = np.zeros(anchors[-1] + 1, bool)
         several[anchors[same_a & ~same_c]] = True
         if several[0] and waiting:  # the carried content has got company
-            yield _verdict(np.full(len(waiting), content), np.array(waiting), np.zeros(len(waiting), bool))
+            m = len(waiting)
+            yield _verdict(np.full(m, content), np.array(waiting), np.zeros(m, bool), np.zeros(m, np.int64), np.zeros(m, np.int32))
             waiting = []
         if anchors[-1] != 0:
             waiting = []
         elif not waiting and anchor is not None and same_a[0]:
             several[0] = True  # company came in an earlier batch
-        real = role != MARKER
-        out = real & (late | several[anchors] | (role == EDGE))
-        yield _verdict(c[out], d[out], late[out])
+        out = (role != MARKER) & (late | several[anchors] | (role == EDGE))
+        yield _verdict(c[out], d[out], late[out], np.where(role == LATE, source, lows)[out], np.where(role == LATE, source_at, lows_at)[out])
         if not several[anchors[-1]]:
             waiting = waiting + d[(anchors == anchors[-1]) & ~late & (role == OPEN)].tolist()
-        anchor, content, least = a[-1], c[-1], lows[-1]
+        anchor, content, least, least_at = a[-1], c[-1], lows[-1], lows_at[-1]
 
 
-def _verdict(content: np.ndarray, ids: np.ndarray, late: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(content, pa.int64()), pa.array(late)], names=["doc_id", "content", "late"])
+def _verdict(content: np.ndarray, ids: np.ndarray, late: np.ndarray, source_ids: np.ndarray, source_at: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(ids, pa.int64()), pa.array(content, pa.int64()), pa.array(late), pa.array(source_ids, pa.int64()), pa.array(source_at.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in FOUND.split(", ")])
 
 
-def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Owner and value of each entry of an array column."""
+def _keys(owner: np.ndarray, value: np.ndarray) -> np.ndarray:
+    return mix(value) ^ mix(mix(owner.astype(np.uint64)))
+
+
+def _owned(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Owner of each entry of an array column, and the entries."""
     lists = pc.fill_null(lists, pa.scalar([], lists.type)) if lists.null_count else lists
-    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-    return np.repeat(np.arange(len(lists)), sizes), lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    return np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False)), lists.flatten()
 
 
-def _among(owner: np.ndarray, value: np.ndarray, lists: pa.Array) -> np.ndarray:
-    """Which (owner, value) pairs stand in the lists."""
-    o, v = _flat(lists)
-    return np.isin(mix(value) ^ mix(mix(owner.astype(np.uint64))), mix(v) ^ mix(mix(o.astype(np.uint64))))
+def _places(owner: np.ndarray, value: np.ndarray, lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which (owner, value) pairs stand in the lists of ``content, source_id, source_at``, and their sources."""
+    o, found = _owned(lists)
+    content, source, at = (found.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+    keys = _keys(o, content.view(np.uint64))
+    order = np.argsort(keys)
+    asked = _keys(owner, value)
+    near = np.minimum(np.searchsorted(keys[order], asked), max(len(keys) - 1, 0))
+    if not len(keys):
+        return np.zeros(len(asked), bool), np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
+    row = order[near]
+    return keys[row] == asked, source[row], at[row].astype(np.int64)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the windows of blocks that have company at their anchor; equal windows meet, and nothing else."""
+    """``ROWS`` of the windows of blocks that have company at their anchor; equal windows meet, and nothing else."""
     for whole in batches:
         for batch in slices(whole, "text"):
             batch = batch.take(pc.sort_indices(batch["doc_id"]))
             p = Parse(batch["text"])
-            use = _among(p.block_doc, p.block, batch["edges"])[p.block_of] if len(p.block) else np.zeros(0, bool)
-            ids, anchor, content = batch["doc_id"].to_numpy()[p.doc[use]], p.anchor[use], p.window[use]
-            keep, late = _first_come(anchor, content, ids)
-            anchor, content, ids = anchor[keep], content[keep], ids[keep]
+            owner, edges = _owned(batch["edges"])
+            asked = np.isin(_keys(p.block_doc, p.block), _keys(owner, edges.to_numpy(zero_copy_only=False).view(np.uint64)))
+            use = asked[p.block_of] if len(p.block) else np.zeros(0, bool)
+            every, anchors, windows, places = batch["doc_id"].to_numpy()[p.doc[use]], p.anchor[use], p.window[use], p.place[use]
+            keep, once = _first_come(anchors, windows, every)
+            anchor, content, ids = anchors[keep], windows[keep], every[keep]
+            late = ids > every[once]
             route = mix(anchor ^ mix(content))
             route[late] = mix(route[late] + ids[late].astype(np.uint64))  # known; they need meet no others
-            yield _rows(route, content, ids, np.where(late, LATE, OPEN))
+            yield _rows(route, content, ids, places[keep], np.where(late, LATE, OPEN), every[once], places[once])
+
+
+def _runs(diagonal: np.ndarray, source: np.ndarray, known: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each window, how many from it on lie one after the other in one source."""
+    n = len(known)
+    follows = known[1:] & known[:-1] & (diagonal[1:] == diagonal[:-1]) & (source[1:] == source[:-1]) & (doc[1:] == doc[:-1])
+    ends = np.append(np.flatnonzero(~follows), n - 1)
+    return np.where(known, ends[np.searchsorted(ends, np.arange(n))] - np.arange(n) + 1, 0)
+
+
+def _factors(p: Parse, ids: np.ndarray, blocks: pa.Array, windows: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
+    """``text, start, words, source_id, source_start`` of the factors of each text, from left to right.
+
+    A window's places in the reference are those of its block or, at a boundary, its
+    own, and an earlier place in its own text.  At the first window that has one the
+    longest run of windows that the reference holds one after the other is taken, and
+    the parse goes on behind it.
+    """
+    total = len(p.window)
+    if not total:
+        return
+    known, source, at = (x[p.block_of] for x in _places(p.block_doc, p.block, blocks))
+    at = at + np.arange(total) - p.block_first[p.block_of]
+    single, own_source, own_at = _places(p.doc, p.window, windows)
+    source, at = np.where(known, source, own_source), np.where(known, at, own_at)
+    known = known | single
+    _, once, back = np.unique(_keys(p.doc, p.window), return_index=True, return_inverse=True)
+    earlier = once[back]
+    again = earlier < np.arange(total)
+    outside = _runs(at - p.place, source, known, p.doc)
+    inside = _runs(p.place[earlier] - p.place, ids[p.doc], again, p.doc)
+    hits = np.flatnonzero(known | again)
+    i = 0
+    while i < len(hits):
+        w = hits[i]
+        other = outside[w] >= inside[w]
+        length = int(outside[w] if other else inside[w])
+        yield int(p.doc[w]), int(p.place[w]), length + WINDOW - 1, int(source[w] if other else ids[p.doc[w]]), int(at[w] if other else p.place[earlier[w]])
+        i = int(np.searchsorted(hits, w + length))
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Covered words of each text, as spans ``[start, end)`` counted in words."""
+    """The factors of each text, and the words they cover as spans ``[start, end)`` counted in words."""
     for whole in batches:
         for batch in slices(whole, "text"):
             p = Parse(batch["text"])
-            total = len(p.window)
-            gone = np.zeros(total, bool)
-            if total:
-                gone |= _among(p.block_doc, p.block, batch["blocks"])[p.block_of]
-                gone |= _among(p.doc, p.window, batch["windows"])
-                key = mix(p.window) ^ mix(mix(p.doc.astype(np.uint64)))
-                again = np.ones(total, bool)  # windows of this text that stood further up in it
-                again[np.unique(key, return_index=True)[1]] = False
-                gone |= again
-            edge = np.zeros(int(p.offsets[-1]) + WINDOW + 1, np.int64)
-            np.add.at(edge, p.start[gone], 1)
-            np.add.at(edge, p.start[gone] + WINDOW, -1)
+            ids = batch["doc_id"].fill_null(0).to_numpy()
+            found = np.array(list(_factors(p, ids, batch["blocks"], batch["windows"])), np.int64).reshape(-1, 5)
+            edge = np.zeros(int(p.offsets[-1]) + 1, np.int64)
+            np.add.at(edge, p.offsets[found[:, 0]] + found[:, 1], 1)
+            np.add.at(edge, p.offsets[found[:, 0]] + found[:, 1] + found[:, 2], -1)
             covered = np.cumsum(edge)[: int(p.offsets[-1])] > 0
-            starts, ends, spans = [], [], [0]
+            starts, ends, spans = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [0]
             texts = batch["text"].to_pylist()
             counts, removed, digests = [], [], []
             for i, text in enumerate(texts):
@@ -209,46 +268,62 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 removed.append(int(mask.sum()))
                 digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(x).astype(np.int32)) for x in (starts, ends)], names=["start", "end"])
-            lists = pa.ListArray.from_arrays(pa.array(spans, pa.int32()), pairs)
-            columns = [batch["doc_id"], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans"])
+            bounds = np.searchsorted(found[:, 0], np.arange(len(texts) + 1))
+            fields = [pa.array(found[:, 1].astype(np.int32)), pa.array(found[:, 2].astype(np.int32)), pa.array(found[:, 3]), pa.array(found[:, 4].astype(np.int32))]
+            parsed = pa.StructArray.from_arrays(fields, names=["start", "words", "source_id", "source_start"])
+            columns = [
+                batch["doc_id"], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests),
+                pa.ListArray.from_arrays(pa.array(spans, pa.int32()), pairs), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), parsed),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "factors"])
 
 
 def duplicate_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256, spans`` of every row.
-
-    ``spans`` are the factors of the parse against earlier text, as word ranges:
-    longest runs of words that windows cover whose word sequence starts earlier,
-    in a smaller id or further up in the same text.
-
-    1. Texts are cut into blocks of windows with one anchor, indexed by anchor and
-       content (128 bits).  A block that an earlier document holds is part of a
-       factor; of equal blocks in a batch only the first is shuffled.
-    2. Where an anchor has several contents, a factor may begin or end inside a
-       block.  Only those boundary blocks are compared window by window.
-    3. Neighbouring pieces make up the factors, the duplicate spans.
+    """``doc_id, n_words, n_removed, kept_sha256, spans, factors`` of every row.
+
+    The reference of a document is all earlier text: documents of smaller ids, and
+    what stands further up in the same one.
+
+    1. Reference blocks: texts are cut into runs of windows with one anchor.  Blocks
+       are indexed by anchor and content (128 bits), with the place (document, word)
+       where a content first stands among those that meet.  Of equal blocks in a
+       batch only the first is shuffled; the others take its place.
+    2. Boundaries: where an anchor has several contents, a factor may begin or end
+       inside a block.  Only those boundary blocks are indexed window by window.
+    3. Parse: each document is factored greedily from left to right; a factor is the
+       longest run of windows that stand one after the other in one source document.
+       ``factors`` holds ``start, words, source_id, source_start``, in words; each has
+       at least ``WINDOW`` words, and the source holds the same ones.  Windows across
+       the end of a factor count only if the reference holds them too, so
+       neighbouring factors may overlap.
+    4. ``spans``: the words that factors cover.  They are those of all windows that
+       start earlier, whichever of several earlier places a factor names.
 
     Rows that meet are sorted and streamed, never held; an anchor of many contents, as
-    at the edge of a passage that many documents quote, is dealt over lanes.  Null or empty text:
-    no words.  Rows with a null id are only compared with themselves.  Rows of one
-    id are no copies of each other.  Empty table: no rows.  Other columns are not
-    read.
+    at the edge of a passage that many documents quote, is dealt over lanes.  Null or
+    empty text: no words.  Rows with a null id are only compared with themselves
+    (their ``source_id`` is 0).  Rows of one id are no copies of each other.  Empty
+    table: no rows.  Other columns, of whatever name, are not read.
     """
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    rows = "route long, content long, doc_id long, role int"
-    blocks = cut(source.mapInArrow(_blocks, rows), "blocks")
+    blocks = cut(source.mapInArrow(_blocks, ROWS), "blocks")
 
     def judged(found: DataFrame) -> DataFrame:
-        keyed = found.repartition("route").sortWithinPartitions("route", "content", "doc_id")
-        return keyed.mapInArrow(_judge, "doc_id long, content long, late boolean")
-
-    known = blocks.where(F.col("role") == LATE).select("doc_id", "content", F.lit(True).alias("late"))
-    found = cut(judged(blocks.where(F.col("role") != LATE)).unionByName(known), "factors")
-    late, edges = found.where("late"), found.where("not late").groupBy("doc_id").agg(F.collect_set("content").alias("edges"))
-    bounded = source.join(edges.hint("shuffle_hash"), "doc_id").mapInArrow(_windows, rows)
-    inside = judged(bounded).where("late").groupBy("doc_id").agg(F.collect_set("content").alias("windows"))
-    whole = late.groupBy("doc_id").agg(F.collect_set("content").alias("blocks"))
-    verdicts = whole.join(inside, "doc_id", "full_outer")
-    joined = source.join(verdicts.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "blocks", "windows")
-    out = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>"
+        keyed = found.repartition("route").sortWithinPartitions("route", "content", "doc_id", "at")
+        return keyed.mapInArrow(_judge, FOUND)
+
+    def listed(found: DataFrame, name: str) -> DataFrame:
+        return found.groupBy("doc_id").agg(F.collect_list(F.struct("content", "source_id", "source_at")).alias(name))
+
+    known = blocks.where(F.col("role") == LATE).select("doc_id", "content", F.lit(True).alias("late"), "source_id", "source_at")
+    found = cut(judged(blocks.where(F.col("role") != LATE)).unionByName(known), "found")
+    release(blocks)
+    edges = found.where("not late").groupBy("doc_id").agg(F.collect_set("content").alias("edges"))
+    inside = judged(source.join(edges, "doc_id").mapInArrow(_windows, ROWS)).where("late")
+    verdicts = listed(found.where("late"), "blocks").join(listed(inside, "windows"), "doc_id", "full_outer")
+    joined = source.join(verdicts, "doc_id", "left").select("doc_id", "text", "blocks", "windows")
+    out = (
+        "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>, "
+        "factors array<struct<start:int,words:int,source_id:long,source_start:int>>"
+    )
     return joined.mapInArrow(_spans, out)
