@@ -59,6 +59,27 @@ def substrings(docs, n=20):
     return out
 
 
+def factors(docs, n=20):
+    """Greedy parse against all earlier text, for texts whose windows have at most one earlier place: longest match, then on."""
+    places, out = {}, {}
+    texts = {d: words(t) for d, t in docs}
+    for d in sorted(texts):
+        w, out[d], i = texts[d], [], 0
+        for j in range(len(w) - n + 1):
+            places.setdefault(tuple(w[j : j + n]), (d, j))
+        while i <= len(w) - n:
+            s, o = places[tuple(w[i : i + n])]
+            if (s, o) >= (d, i):
+                i += 1
+                continue
+            k = n
+            while i + k < len(w) and o + k < len(texts[s]) and w[i + k] == texts[s][o + k]:
+                k += 1
+            out[d].append((i, k, s, o))
+            i += k - n + 1
+    return out
+
+
 def shingles(text, k=5):
     w = (text or "").encode().translate(LOWER).split()
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
@@ -99,6 +120,75 @@ def secrets(docs):
     return out
 
 
+def random_spans(docs):
+    """The battery and its two step-up rules token by token; -> {id: [(start, end), ...]}."""
+    import math
+
+    from loomtext.llm import secrets as k  # fixed values only
+
+    def tail(z):
+        return 1 / (1 + math.exp(min(700.0, 1.5976 * z + 0.070566 * z**3)))
+
+    def battery(token):
+        body = token.rstrip("=")
+        for name, pattern, alphabet in k.ENCODINGS:
+            if re.match(pattern, body):
+                break
+        else:
+            return None
+        size, n, values = len(alphabet), len(body), [alphabet.index(c) for c in body]
+        x2 = sum(c * c for c in collections.Counter(values).values()) * size / n - n
+        extra = size * k.ORDINARY[name] - 1
+        z_ordinary = (x2 - (size - 1 + n * extra)) / math.sqrt(2 * (size - 1 + 2 * n * extra))
+        f = size - 1
+        z_even = ((max(x2, 1e-9) / f) ** (1 / 3) - (1 - 2 / (9 * f))) / math.sqrt(2 / (9 * f))
+        high = [v >= size / 2 for v in values]
+        up, down = sum(high), n - sum(high)
+        expected = 2 * up * down / n + 1
+        runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+        z_runs = 9.0 if not up or not down else abs(runs - expected) / math.sqrt(max((expected - 1) * (expected - 2) / (n - 1), 1e-9))
+        mean = sum(values) / n
+        variance = sum((x - mean) ** 2 for x in values)
+        products = sum((a - mean) * (b - mean) for a, b in zip(values, values[1:]))
+        z_serial = 9.0 if not variance else abs(products / variance + 1 / n) * math.sqrt(n)
+        return name, n, tail(-z_ordinary), 3 * min(tail(z_even), 2 * tail(z_runs), 2 * tail(z_serial))
+
+    def bin_(p):
+        return min(math.floor(-math.log10(max(p, 1e-300)) * k.BINS_PER_DECADE), k.BINS)
+
+    def step_up(pairs, share):
+        groups, least = collections.defaultdict(list), {}
+        for group, b in pairs:
+            groups[group].append(b)
+        for group, bins in groups.items():
+            good = [b for b in set(bins) if 10 ** (-b / k.BINS_PER_DECADE) <= share * sum(x >= b for x in bins) / len(bins)]
+            least[group] = min(good, default=10**9)
+        return least
+
+    candidate = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_-]))?")
+    tokens = []
+    for d, t in docs:
+        for i, m in enumerate(candidate.finditer(t or "")):
+            places = [m.span()]
+            if re.search("[+/_-]", m[0]):
+                for part in ("[A-Za-z0-9_-]{20,}", "[A-Za-z0-9+/]{20,}", "[A-Za-z0-9]{20,}"):
+                    places += [(m.start() + x.start(), m.start() + x.end()) for x in re.finditer(part, m[0])]
+            for a, b in places:
+                found = battery(t[a:b])
+                if found:
+                    name, n, ordinary, random = found
+                    tokens.append(((d, i), (name, max(x for x in k.LENGTHS if x <= n)), bin_(random), bin_(ordinary), a, b))
+    unlike = step_up([(g, r) for _, g, r, *_ in tokens], k.LOST_SHARE)
+    tokens = [x for x in tokens if x[2] < unlike[x[1]]]
+    apart = step_up([(g, o) for _, g, _, o, *_ in tokens], k.FALSE_SHARE)
+    out, kept = collections.defaultdict(set), collections.defaultdict(list)
+    for hit, _, _, _, a, b in sorted((x for x in tokens if x[3] >= apart[x[1]]), key=lambda x: (x[0], x[4] - x[5], -x[4])):
+        if all(b <= c or e <= a for c, e in kept[hit]):
+            kept[hit].append((a, b))
+            out[hit[0]].add((a, b))
+    return out
+
+
 def token_ids(docs, path, end=1):
     from tokenizers import Tokenizer
 

@@ -1,5 +1,7 @@
 """Each operator against its definition on made documents; SQL against it on the driver's tables."""
 
+import random
+
 import brute
 import pytest
 from helpers import compared
@@ -32,19 +34,57 @@ def test_line_dedup(spark, made, made_frame):
     assert sum(x[1] for x in again.values()) == 0
 
 
+def check_factors(rows, docs, n=20):
+    """Every factor's words stand at its source, earlier; it ends where the source, or what is known of it, goes on otherwise."""
+    w = {d: brute.words(t) for d, t in docs}
+    for r in rows:
+        covered, before = set(), -1
+        for f in r.factors:
+            assert f.words >= n and f.start > before and (f.source_id, f.source_start) < (r.doc_id, f.start)
+            assert w[r.doc_id][f.start : f.start + f.words] == w[f.source_id][f.source_start : f.source_start + f.words]
+            covered.update(range(f.start, f.start + f.words))
+            before = f.start + f.words - n
+        assert covered == {i for s in r.spans for i in range(s.start, s.end)}
+
+
 def test_substring_dedup(made, made_frame):
     got = substring.duplicate_spans(made_frame).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute.substrings(made)
     for r in got:
         assert r.n_removed == sum(s.end - s.start for s in r.spans)
         assert all(s.end - s.start >= 20 for s in r.spans) and all(a.end < b.start for a, b in zip(r.spans, r.spans[1:]))
+    check_factors(got, made)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_factors_are_those_of_a_greedy_parse(spark, parts):
+    """Where no text has more than one earlier place, the parse is that of the plain loop."""
+    rng = random.Random(7)
+    fresh = (f"w{i}" for i in range(10**9))
+    docs = []
+    for d in range(150):
+        words = [next(fresh) for _ in range(rng.randint(0, 120))]
+        for _ in range(rng.randint(0, 3) if docs else 0):  # quotes of new text, cut and joined anywhere
+            _, text, new = rng.choice(docs)
+            if len(new) > 5:
+                a, b = sorted(rng.sample(range(len(new)), 2))
+                words += text.split()[new[a] : new[b]] + [next(fresh) for _ in range(rng.choice([0, 0, 7]))]
+                del new[a:]  # quoted once only
+        own = {w for _, t, _ in docs for w in t.split()}
+        docs.append((d, " ".join(words), [i for i, w in enumerate(words) if w not in own]))
+    pairs = [(d, t) for d, t, _ in docs]
+    got = substring.duplicate_spans(spark.createDataFrame(pairs, "doc_id long, text string").repartition(parts)).collect()
+    want = brute.factors(pairs)
+    assert {r.doc_id: [tuple(f) for f in r.factors] for r in got} == want
+    assert sum(map(len, want.values())) > 20
 
 
 def test_substring_dedup_with_anchors_over_lanes(made, made_frame, monkeypatch):
     monkeypatch.setattr(substring, "MANY", 2)
     monkeypatch.setattr(substring, "LANES", 3)
-    got = rows_of(substring.duplicate_spans(made_frame), "n_words", "n_removed", "kept_sha256")
-    assert got == brute.substrings(made)
+    found = substring.duplicate_spans(made_frame).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in found} == brute.substrings(made)
+    check_factors(found, made)
 
 
 @pytest.mark.parametrize("percent", [80, 85])

@@ -50,25 +50,85 @@ def test_pieces_are_lossless(texts, seed):
     assert [b"".join(model.bytes_of[i] for i in ids[a:b]).decode() for a, b in zip(offsets, offsets[1:])] == texts
 
 
-def test_piece_samples_follow_the_lattice(spark):
-    model = pieces.Pieces.of(v.PIECES)
-    weight = dict(zip(model.ids.tolist(), model.weight))
-    table = {model.bytes_of[i].decode(): i for i in model.ids.tolist()}
-
-    def all_of(s):
-        return [[]] if not s else [[table[s[:k]], *rest] for k in range(1, len(s) + 1) if s[:k] in table for rest in all_of(s[k:])]
-
-    found = [tuple(x) for x in all_of("hello")]
-    p = np.exp([sum(weight[i] for i in x) for x in found])
-    p /= p.sum()
-    n = 20_000
-    rows = pieces.encode(spark.range(n).selectExpr("id as doc_id", "'hello' as text"), v.PIECES).collect()
-    seen = collections.Counter(tuple(r.ids) for r in rows)
-    assert set(seen) <= set(found)
-    for x, q in zip(found, p):
+def piece_table(model):
+    return {model.bytes_of[i].decode(): (i, w) for i, w in zip(model.ids.tolist(), model.weight.tolist())}
+
+
+def segmentations(text, table, model):
+    """Every list of ids that spells the text, with its log weight."""
+    if not text:
+        return [((), 0.0)]
+    out = []
+    for k in range(1, len(text) + 1):
+        if text[:k] in table:
+            i, w = table[text[:k]]
+            out += [((i, *rest), w + v) for rest, v in segmentations(text[k:], table, model)]
+        elif k == 1:
+            raw = text[0].encode()
+            out += [((*(int(model.byte_id[b]) for b in raw), *rest), len(raw) * model.byte_weight + v) for rest, v in segmentations(text[1:], table, model)]
+    return out
+
+
+@pytest.mark.parametrize(("text", "alpha"), [("hello", 1.0), ("hello", 0.0), (" the sea", 1.0), ("    if", 2.5), ("naïve漢▁x", 1.0), ("\n  a", 0.5)])
+def test_piece_samples_follow_the_lattice(text, alpha):
+    """Drawn segmentations have the frequencies that all segmentations, listed one by one, say."""
+    model = pieces.Pieces.of(v.PIECES, alpha)
+    table = piece_table(model)
+    per_unit = [segmentations(u, table, model) for u in pieces.cut_units(pa.array([text]))[1].to_pylist()]
+    chances = {(): 1.0}
+    for found in per_unit:
+        whole = math.fsum(math.exp(w) for _, w in found)
+        chances = {(*a, *b): p * math.exp(w) / whole for a, p in chances.items() for b, w in found}
+    n = 30_000
+    offsets, ids = pieces.encode_batch(model, pa.array([text] * n), words.mix(np.arange(n).astype(np.uint64)))
+    seen = collections.Counter(tuple(ids[a:b].tolist()) for a, b in zip(offsets, offsets[1:]))
+    assert set(seen) <= set(chances)
+    for x, q in chances.items():
         assert abs(seen[x] / n - q) < 5 * math.sqrt(q * (1 - q) / n) + 1e-4
-    again = pieces.encode(spark.range(n).repartition(5).selectExpr("id as doc_id", "'hello' as text"), v.PIECES)
-    assert {r.doc_id: r.ids for r in again.collect()} == {r.doc_id: r.ids for r in rows}
+    best = max(chances.values())
+    assert alpha or best - min(chances.values()) < 1e-9  # all alike
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abeinrst é漢▁ \n"), max_size=200), min_size=1, max_size=4), st.sampled_from([1, 2, 5, 16]))
+def test_long_units_are_drawn_like_short_ones(texts, limit):
+    """Filtering a unit by itself gives the lattice that filtering it with others does, at any length."""
+    model = pieces.Pieces.of(v.PIECES)
+    keys = np.arange(len(texts)).astype(np.uint64)
+    kept, got = pieces.LONG_UNIT, []
+    try:
+        for pieces.LONG_UNIT in (limit, 10**6):
+            got.append([x.tolist() for x in pieces.encode_batch(model, pa.array(texts, pa.string()), keys)])
+    finally:
+        pieces.LONG_UNIT = kept
+    assert got[0] == got[1]
+
+
+def test_pieces_lie_across_the_64th_code_point():
+    """A unit of 130 code points: each place's share of drawn bounds is that of forward and backward sums in plain Python."""
+    model = pieces.Pieces.of(v.PIECES)
+    table = piece_table(model)
+    text, n = "internationalisation" * 6 + "understand", 3000
+    ahead = [1.0] + [0.0] * len(text)
+    behind = [0.0] * len(text) + [1.0]
+    edges = [(i, j, math.exp(table[text[i:j]][1])) for i in range(len(text)) for j in range(i + 1, min(len(text), i + model.longest) + 1) if text[i:j] in table]
+    for i, j, w in edges:
+        ahead[j] += ahead[i] * w
+    for i, j, w in reversed(edges):
+        behind[i] += behind[j] * w
+    offsets, ids = pieces.encode_batch(model, pa.array([text] * n), words.mix(np.arange(n).astype(np.uint64)))
+    seen = collections.Counter()
+    for a, b in zip(offsets, offsets[1:]):
+        sizes = np.cumsum([len(model.bytes_of[i].decode()) for i in ids[a:b]])
+        seen.update(sizes.tolist())
+    shares = [ahead[j] * behind[j] / ahead[-1] for j in range(len(text) + 1)]
+    assert all(abs(seen[j] / n - shares[j]) < 5 * math.sqrt(shares[j] * (1 - shares[j]) / n) + 1e-3 for j in range(1, len(text)))
+    assert shares[64] < 0.9  # a cut there would be a bound every time
+
+
+def test_draws_do_not_depend_on_partitions(spark):
+    docs = spark.range(500).selectExpr("id as doc_id", "concat('hello wonderful world ', repeat('unbroken', cast(id % 20 as int))) as text")
+    assert {r.doc_id: r.ids for r in pieces.encode(docs.repartition(5), v.PIECES).collect()} == {r.doc_id: r.ids for r in pieces.encode(docs, v.PIECES).collect()}
 
 
 def test_pieces_decode(made, made_frame):
@@ -140,11 +200,31 @@ def test_top_k_prunes():
     rng = np.random.default_rng(5)
     centres = np.repeat(rng.normal(scale=3000, size=(40, 16)).round(), topk.BLOCK, axis=0)
     matrix, ids = centres + rng.integers(-30, 30, centres.shape), np.arange(len(centres))
-    best, scores, scored = topk.search_cell(matrix[::500], ids[::500], matrix, ids, 5)
-    assert scored < 0.3 * 40 * len(best)
+    best, scores, scored = topk.search_pack(matrix[::500], ids[::500], matrix, ids, 5)
+    assert scored.sum() < 0.3 * len(matrix) * len(best)
     exact = (matrix[::500] @ matrix.T).astype(np.int64)
     exact[np.arange(len(best)), ids[::500]] = np.iinfo(np.int64).min
     assert (np.sort(exact, axis=1)[:, ::-1][:, :5] == scores).all()
+    again, _, fewer = topk.search_pack(matrix[::500], ids[::500], matrix, ids, 5, scores[:, -1])
+    assert (again == best).all() and (fewer <= scored).all()
+
+
+def test_top_k_prunes_rows_in_any_order(spark):
+    """Groups of near vectors, dealt at random over the ids: most packs and blocks are never scored."""
+    rng = np.random.default_rng(6)
+    vectors = np.repeat(rng.normal(size=(30, 24)), 300, axis=0)
+    vectors = (vectors + rng.normal(scale=0.02, size=vectors.shape))[rng.permutation(len(vectors))]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(4)
+    queries = df.where("vec_id % 50 = 0")
+    got = collections.defaultdict(list)
+    for r in sorted(topk.top_k(df, queries, 5).collect(), key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append((r.vec_id, r.score))
+    whole = np.floor(256 * vectors).astype(int)
+    for q in range(0, len(whole), 50):
+        scores = whole @ whole[q]
+        assert got[q] == [(i, -s) for s, i in sorted((-int(s), i) for i, s in enumerate(scores) if i != q)[:5]]
+    assert topk.scored_share(df, queries) < 0.2
+    assert topk.scored_share(df.limit(0), queries.limit(0)) == 0
 
 
 def test_top_k_of_few(spark):

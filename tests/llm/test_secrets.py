@@ -1,5 +1,9 @@
 """Secrets behind names, signs of equality and paths."""
 
+import collections
+import random
+
+import brute
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -34,3 +38,32 @@ def test_candidates_stop_at_the_sign(spark):
     text = "NAME_OF_TWENTY_LETTERS=abcdefghijklmnopqrstuvwx== and/or x=yz"
     row = spark.createDataFrame([(text,)], "t string").select(secrets.matches(F.col("t"), secrets.CANDIDATE).alias("m")).first()
     assert [m.hit for m in row.m] == ["NAME_OF_TWENTY_LETTERS", "abcdefghijklmnopqrstuvwx=="]
+
+
+def test_added_spans_against_plain_python(spark, made):
+    rng, alphabets = random.Random(9), ["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", BASE64, BASE64[:62] + "-_"]
+    rows = list(made)
+    for i in range(300):
+        kind, n = rng.randrange(9), rng.choice([20, 22, 30, 40, 64, 120])
+        value = "".join(rng.choices(alphabets[kind % 5], k=n))
+        if kind > 5:  # names, numbers, patterns
+            value = ["_".join(rng.choices(["user", "account", "total", "value", "index", "path"], k=6)), str(rng.getrandbits(120)), "abcdefghij" * 4][kind - 6]
+        rows.append((10_000 + i, f"{rng.choice(['', 'key=', '?a=b&sig=', 'x/', 'word '])}{value}{rng.choice(['', '==', ' tail', '=next'])}"))
+    got = {r.doc_id: {(s.start, s.end) for s in r.random_spans} for r in secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute.random_spans(rows)
+    assert {d: s for d, s in got.items() if s} == {d: s for d, s in want.items() if s}
+    assert sum(map(len, want.values())) > 120
+    names = [d for d, t in rows if d >= 10_000 and ("account" in t or "abcdefghij" * 4 in t)]
+    assert collections.Counter(bool(got[d]) for d in names)[True] == 0
+
+
+def test_rates_do_not_depend_on_what_stands_before(spark):
+    rng = random.Random(13)
+    rows = []
+    for frame in ("{}", "client_key={}", "?sig={}", "/srv/data-dir/{}"):
+        for _ in range(200):
+            rows.append((len(rows), frame.format("".join(rng.choices(BASE64[:62], k=40))), frame))
+    found = collections.Counter()
+    for r in secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string, frame string")).collect():
+        found[rows[r.doc_id][2]] += any(s.end - s.start >= 40 for s in r.random_spans)
+    assert all(n >= 190 for n in found.values()), found
