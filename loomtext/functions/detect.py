@@ -9,8 +9,8 @@ from . import formats as f
 from .common import as_column, let
 from .constants import WHITE
 
-_MAGIC = bytes([0x25, 0x50, 0x44, 0x46])
-# Extensions of each format.
+# What a PDF starts with, and extensions of each format.
+_MAGIC = b"%PDF"
 EXTENSIONS = {
     f.HTML: ("html", "htm", "xhtml"),
     f.PDF: ("pdf",),

@@ -10,8 +10,8 @@ from ..functions.common import as_column, let
 from ..functions.detect import detect_str
 from .strip import strip_to_text
 
-# Fixed value: what the error says about PDF.
-PDF_NEEDS_BYTES = "PDF cannot be extracted from a string; use extract_pdf_file() or extract_pdf_bytes()"
+#: What the error says about PDF.
+PDF_NEEDS_BYTES = "PDF needs the file's bytes: use extract_pdf_files() or extract_pdf_bytes()"
 
 
 def _record(content: Column, fmt: Column) -> Column:
