@@ -18,6 +18,8 @@ class Element:
     attrs: dict[str, str] = field(default_factory=dict)
     children: list[Element | str] = field(default_factory=list)
     parent: Element | None = None
+    marks: bool = False
+    blocks: bool = False
 
     def elements(self) -> list[Element]:
         """All elements below, in document order; no recursion, whatever the depth."""

@@ -19,6 +19,16 @@ _HIDDEN = frozenset("head script style noscript template svg iframe title meta l
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
 _SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul".split())
 
+_MARKS = {"strong": "**", "b": "**", "em": "*", "i": "*", "code": "`"}
+
+
+def _note(root: Element) -> None:
+    """Note of every element whether it holds a word (``marks``) and a block (``blocks``), from the leaves up."""
+    for e in reversed([root, *root.elements()]):
+        below = [c for c in e.children if isinstance(c, Element)]
+        e.marks = any(c.marks for c in below) or any(isinstance(c, str) and not c.isspace() for c in e.children)
+        e.blocks = any(c.blocks or c.tag in _BLOCKS for c in below)
+
 
 class _Layout:
     def __init__(self, width: int):
@@ -38,10 +48,10 @@ class _Layout:
         if self.lines and self.lines[-1].strip():
             self.lines.append(self.rest.rstrip())
 
-    def block(self, e: Element, first: str = "", rest: str = "") -> None:
+    def block(self, e: Element, first: str = "", rest: str = "") -> Iterator:
         self.flush()
         spaced = e.tag in _SPACED
-        if spaced and e.tag != "li":
+        if spaced:
             self.gap()
         before = self.first, self.rest
         self.first, self.rest = self.first + first, self.rest + rest
@@ -50,13 +60,14 @@ class _Layout:
         elif e.tag == "table":
             self.table(e)
         else:
-            self.inside(e)
+            yield self.inside(e)
             self.flush()
         self.first, self.rest = (before[1], before[1]) if self.first == self.rest else before
         if spaced:
             self.gap()
 
-    def inside(self, e: Element) -> None:
+    def inside(self, e: Element) -> Iterator:
+        """Lays out what ``e`` holds.  Yields the steps within it, which ``walk`` runs: pages nest deeper than calls may."""
         number = 0
         for c in e.children:
             if isinstance(c, str):
@@ -73,36 +84,37 @@ class _Layout:
             elif c.tag == "li":
                 number += 1
                 mark = f"{number}. " if e.tag == "ol" else "* "
-                self.block(c, mark, " " * len(mark))
+                yield self.block(c, mark, " " * len(mark))
             elif c.tag == "blockquote":
-                self.block(c, "> ", "> ")
+                yield self.block(c, "> ", "> ")
             elif c.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                self.block(c, "#" * int(c.tag[1]) + " ", "")
+                yield self.block(c, "#" * int(c.tag[1]) + " ", "")
             elif c.tag == "dd":
-                self.block(c, "  ", "  ")
+                yield self.block(c, "  ", "  ")
             elif c.tag in _BLOCKS:
-                self.block(c)
+                yield self.block(c)
             elif c.tag == "a" and c.attrs.get("href"):
                 self.words.append("[")
-                self.inside(c)
+                yield self.inside(c)
                 self.links.append(c.attrs["href"])
                 self.words.append(f"][{len(self.links)}]")
-            elif c.tag in ("strong", "b"):
-                self.marked(c, "**")
-            elif c.tag in ("em", "i"):
-                self.marked(c, "*")
-            elif c.tag == "code":
-                self.marked(c, "`")
+            elif mark := _MARKS.get(c.tag):
+                shown = c.marks and not c.blocks
+                self.words.append(mark if shown else "")
+                yield self.inside(c)
+                self.words.append(mark if shown else "")
             else:
-                self.inside(c)
-
-    def marked(self, e: Element, mark: str) -> None:
-        if e.text().strip() and not any(x.tag in _BLOCKS for x in e.elements()):
-            self.words.append(mark)
-            self.inside(e)
-            self.words.append(mark)
-        else:
-            self.inside(e)
+                yield self.inside(c)
+
+    @staticmethod
+    def walk(steps: Iterator) -> None:
+        stack = [steps]
+        while stack:
+            inner = next(stack[-1], None)
+            if inner is None:
+                stack.pop()
+            else:
+                stack.append(inner)
 
     def table(self, e: Element) -> None:
         rows = [[" ".join(c.text().split()) for c in r.children if isinstance(c, Element) and c.tag in ("td", "th")] for r in e.elements() if r.tag == "tr"]
@@ -124,7 +136,9 @@ class _Layout:
 def layout(source: str, width: int) -> str:
     """Text of a page at ``width`` characters a line, links numbered and listed at the end."""
     out = _Layout(width)
-    out.inside(parse(source))
+    root = parse(source)
+    _note(root)
+    out.walk(out.inside(root))
     out.flush()
     while out.lines and not out.lines[-1].strip():
         out.lines.pop()
@@ -140,7 +154,7 @@ def _laid_out(width: int):
             for page in batch.to_pylist():
                 try:
                     rows.append(layout(page, width) if page is not None else None)
-                except (RecursionError, ValueError, AssertionError):
+                except (ValueError, AssertionError):
                     rows.append(None)
             yield pa.array(rows, pa.string())
 
