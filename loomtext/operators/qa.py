@@ -27,14 +27,32 @@ RESULT = (
 )
 
 
+def _shown(text: Column) -> Column:
+    """The text in quotes, with escapes for line ends, tabs and backslashes."""
+    for plain, escaped in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        text = F.replace(text, F.lit(plain), F.lit(escaped))
+    double = F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"'))
+    return F.when(double, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
+def _code_points(text: Column, pattern: str) -> Column:
+    """The first five characters of a pattern, as a list of code points."""
+    hits = F.slice(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), 1, 5)
+    # big-endian UTF-16 of a character of the basic plane is its number
+    names = F.transform(hits, lambda c: F.concat(F.lit("'U+"), F.hex(F.encode(c, "UTF-16BE")), F.lit("'")))
+    return F.concat(F.lit("found: ["), F.array_join(names, ", "), F.lit("]"))
+
+
 def checks(text: Column | str, html: Column | str) -> Column:
     """``array<struct<name, passed, detail>>`` of the seven invariants.  Null in either gives nulls in ``passed``."""
     t, h = as_column(text), as_column(html)
     low = F.lower(h)
     hits = sum((F.contains(t, F.lit(n)).cast("int") for n in SCRIPT_NEEDLES), F.lit(0))
     found_tag = F.regexp_extract(t, f"({TAG})", 1)
+    at = F.locate("  ", t) - 1
+    around = t.substr(F.greatest(at - 20, F.lit(0)) + 1, F.least(at, F.lit(20)) + 20)
     passed = {
-        "no_double_spaces": (~F.contains(t, F.lit("  ")), F.concat(F.lit("at pos "), F.locate("  ", t) - 1)),
+        "no_double_spaces": (~F.contains(t, F.lit("  ")), F.concat(F.lit("at pos "), at, F.lit(": ..."), _shown(around), F.lit("..."))),
         "trimmed": (~t.rlike(f"^{EDGE_SPACE}|{EDGE_SPACE}\\z"), F.lit("leading/trailing whitespace")),
         "no_script_leak": (~(F.contains(low, F.lit("<script")) & (hits >= 3)), F.concat(hits, F.lit(" JS keywords in output"))),
         "no_html_tags": (~t.rlike(TAG), F.concat(F.lit("tag: "), F.substring(found_tag, 1, 60))),
@@ -42,14 +60,31 @@ def checks(text: Column | str, html: Column | str) -> Column:
             ~(F.contains(low, F.lit("<body")) & (F.length(h) > 200) & (F.length(t) < 10)),
             F.concat(F.lit("html="), F.length(h), F.lit(" chars, text="), F.length(t), F.lit(" chars")),
         ),
-        "no_control_chars": (~t.rlike(CONTROLS), F.lit("control characters")),
-        "no_invisible_chars": (~t.rlike(INVISIBLE), F.lit("invisible characters")),
+        "no_control_chars": (~t.rlike(CONTROLS), _code_points(t, CONTROLS)),
+        "no_invisible_chars": (~t.rlike(INVISIBLE), _code_points(t, INVISIBLE)),
     }
     return F.array(
         *[F.struct(F.lit(n).alias("name"), ok.alias("passed"), F.when(ok, F.lit("")).otherwise(why).alias("detail")) for n, (ok, why) in passed.items()]
     )
 
 
+def tested(pages: DataFrame, text: Column | str, html: str = "html") -> DataFrame:
+    """Fields of ``RESULT`` for a table of fetched pages and their text.
+
+    ``url``, ``final_url``, ``lang``, ``category``, ``fetch_ms``, ``extract_ms`` and
+    ``error`` are taken from columns of these names, null where there is none: a
+    projection measures no time for a row.  A row with an error has no checks.
+    """
+    fields = {x.split()[0]: x.split()[1] for x in RESULT.split(", ") if not x.startswith("checks")}
+    given = {n: F.col(n).cast(kind) if n in pages.columns else F.lit(None).cast(kind) for n, kind in fields.items()}
+    value, source = as_column(text), F.col(html)
+    given["html_len"], given["text_len"] = (F.coalesce(F.length(x), F.lit(0)).cast("bigint") for x in (source, value))
+    none = F.array().cast("array<struct<name:string,passed:boolean,detail:string>>")
+    found = F.when(given["error"].isNull() & source.isNotNull(), checks(value, source)).otherwise(none)
+    names = [x.split()[0] for x in RESULT.split(", ")]
+    return pages.select(*[(found if n == "checks" else given[n]).alias(n) for n in names])
+
+
 def summary(results: DataFrame, column: str = "checks", error: str | None = None) -> DataFrame:
     """One row: ``documents, errors, checks, failed_checks``; counts are combined on the map side."""
     failed = F.size(F.filter(column, lambda c: ~c["passed"]))
@@ -62,28 +97,39 @@ def summary(results: DataFrame, column: str = "checks", error: str | None = None
     )
 
 
-def sample_sources(pool: DataFrame, count_share: float, seed: int, category: str | None = None) -> DataFrame:
-    """A seeded sample with replacement of a pool of sources ``url, lang, cat``, of one category if given."""
-    chosen = pool if category in (None, "all") else pool.where(F.col("cat") == category)
-    return chosen.sample(withReplacement=True, fraction=count_share, seed=seed)
+def exit_status(totals: DataFrame) -> DataFrame:
+    """``status``: 1 if a check failed or a document had an error, else 0."""
+    return totals.select(F.when((F.col("failed_checks") > 0) | (F.col("errors") > 0), 1).otherwise(0).alias("status"))
 
 
 def assert_clean(totals: DataFrame) -> None:
     """Fail the job if a check failed or a document had an error."""
     row = totals.first()
-    if row["errors"] or row["failed_checks"]:
+    if totals.transform(exit_status).first()["status"]:
         raise AssertionError(f"{row['failed_checks']} failed checks, {row['errors']} errors")
 
 
 def report_lines(results: DataFrame) -> DataFrame:
-    """``value``: a Markdown section for each tested document (fields of ``RESULT``), ready for a text writer."""
+    """``value``: a Markdown section for each tested document (fields of ``RESULT``)."""
     ok = F.forall("checks", lambda c: c["passed"])
     status = F.when(F.col("error").isNotNull(), "ERROR").when(ok, "PASS").otherwise("FAIL")
-    lines = F.array_join(
-        F.transform("checks", lambda c: F.concat(F.lit("- ["), F.when(c["passed"], "PASS").otherwise("FAIL"), F.lit("] "), c["name"], F.when(c["detail"] != "", F.concat(F.lit(": "), c["detail"])).otherwise(""))),
-        "\n",
-    )
-    sizes = F.concat(F.lit("- HTML: "), F.col("html_len"), F.lit(" chars, text: "), F.col("text_len"), F.lit(" chars\n"))
-    body = F.when(F.col("error").isNotNull(), F.concat(F.lit("Error: "), F.col("error"))).otherwise(F.concat(sizes, lines))
-    title = F.concat(F.lit("### ["), status, F.lit("] "), F.coalesce("lang", F.lit("")), F.lit(" "), F.coalesce("final_url", "url"))
+
+    def line(c: Column) -> Column:
+        detail = F.when(c["detail"] != "", F.concat(F.lit(": "), c["detail"])).otherwise("")
+        return F.concat(F.lit("- ["), F.when(c["passed"], "PASS").otherwise("FAIL"), F.lit("] "), c["name"], detail)
+
+    sizes = F.concat(F.lit("- HTML: "), F.format_number("html_len", 0), F.lit(" chars, text: "), F.format_number("text_len", 0), F.lit(" chars"))
+    times = F.concat(F.lit("- Fetch: "), F.round("fetch_ms").cast("long"), F.lit(" ms, extract: "), F.round("extract_ms").cast("long"), F.lit(" ms"))
+    body = F.when(F.col("error").isNotNull(), F.concat(F.lit("Error: "), F.col("error"))).otherwise(F.concat_ws("\n", sizes, times, F.transform("checks", line)))
+    title = F.concat(F.lit("### ["), status, F.lit("] "), F.coalesce("lang", F.lit("-")), F.lit(" "), F.coalesce("final_url", "url", F.lit("-")))
     return results.select(F.concat(title, F.lit("\n\n"), body, F.lit("\n")).alias("value"))
+
+
+def report(results: DataFrame, date: str, seed: int | None = None) -> DataFrame:
+    """``place, value``: the whole report, in the order of ``place``: a head, a section for each document, the totals."""
+    totals = summary(results, error="error")
+    head = F.concat(F.lit(f"# Extraction report\n\n- Date: {date}\n- Seed: {seed}\n- Documents: "), F.col("documents"), F.lit("\n\n## Results\n"))
+    lines = [("Documents", "documents"), ("Errors", "errors"), ("Checks", "checks"), ("Failed checks", "failed_checks")]
+    foot = F.concat_ws("\n", F.lit("## Summary\n"), *[F.concat(F.lit(f"- {name}: "), F.col(c)) for name, c in lines])
+    sections = report_lines(results).select(F.lit(1).alias("place"), "value")
+    return totals.select(F.lit(0).alias("place"), head.alias("value")).unionByName(sections).unionByName(totals.select(F.lit(2).alias("place"), foot.alias("value")))

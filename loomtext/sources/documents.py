@@ -38,5 +38,5 @@ def strip_files(spark: SparkSession, source: str, target: str, options: StripOpt
 
 
 def write_report(lines: DataFrame, target: str) -> None:
-    """Write the lines of a report (one column ``value``)."""
-    lines.select("value").write.mode("errorifexists").text(target)
+    """Write a report (``place, value``, see ``operators.qa.report``); files in the order of their names hold it in order."""
+    lines.orderBy("place", "value").select("value").write.mode("errorifexists").text(target)
