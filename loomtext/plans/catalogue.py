@@ -12,6 +12,8 @@ from ..functions import attributes, cleanup, detect, entities, formats, markers,
 from ..functions.constants import ENTITIES
 from ..operators import extract, layout, pdf, qa, readable
 from ..operators.strip import StripOptions, strip_to_text
+from ..sources import documents, pool
+from ..sources.shared import file_system, new_folder
 from ..sources.tables import read_table
 from . import cases
 
@@ -42,8 +44,7 @@ def extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extract_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = read_table(spark, sf_dir, "documents").select("doc_id", extract.extract("text").alias("r")).select("doc_id", "r.*")
-    return found.where("format = 'plain_text'")
+    return read_table(spark, sf_dir, "documents").select("doc_id", extract.extract("text").alias("r")).select("doc_id", "r.*")
 
 
 def extract_as_each_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,20 +133,34 @@ def layout_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages").select("page_id", layout.extract_html2text("html", 80).alias("r")).select("page_id", "r.*")
 
 
+def pdf_file(objects: list[bytes]) -> bytes:
+    """A PDF of the objects, numbered from 1; the first is the catalog."""
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, o) for i, o in enumerate(objects, 1)) + b"trailer << /Root 1 0 R >>\n%%EOF\n"
+
+
+def pdf_stream(data: bytes, entries: bytes = b"") -> bytes:
+    return b"<< /Length %d %s >>\nstream\n" % (len(data), entries) + data + b"\nendstream"
+
+
 def sample_pdf(lines: list[str], compressed: bool = True) -> bytes:
     """A one-page PDF of the lines."""
     shown = b"".join(b"(" + x.encode("cp1252").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)") + b") Tj T*\n" for x in lines)
     content = b"BT /F1 12 Tf 14 TL 72 720 Td\n" + shown + b"ET"
-    body = zlib.compress(content) if compressed else content
-    head = b"<< /Length %d%s >>" % (len(body), b" /Filter /FlateDecode" if compressed else b"")
-    objects = [
-        b"<< /Type /Catalog /Pages 2 0 R >>",
-        b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>",
-        b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << /Font << /F1 5 0 R >> >> >>",
-        head + b"\nstream\n" + body + b"\nendstream",
-        b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>",
-    ]
-    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, o) for i, o in enumerate(objects, 1)) + b"trailer << /Root 1 0 R >>\n%%EOF\n"
+    return pdf_page(pdf_stream(zlib.compress(content), b"/Filter /FlateDecode") if compressed else pdf_stream(content))
+
+
+def pdf_page(contents: bytes, resources: bytes = b"/Font << /F1 5 0 R >>", *more: bytes) -> bytes:
+    """A PDF of one page: its content stream is object 4, a simple font 5, ``more`` from 6 on."""
+    return pdf_file(
+        [
+            b"<< /Type /Catalog /Pages 2 0 R >>",
+            b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>",
+            b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << " + resources + b" >> >>",
+            contents,
+            b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>",
+            *more,
+        ]
+    )
 
 
 def pdf_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,6 +170,72 @@ def pdf_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tried.select("case_id", "r.value.text", "r.value.extractor", F.col("r.error.kind").alias("error_kind"), F.col("r.error.message").alias("message"))
 
 
+def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PDF files in the shared folder, read and extracted by path."""
+    folder = new_folder(spark, "pdf")
+    made = {"two-lines": sample_pdf(["Rain at noon", "wind (west)"]), "plain": sample_pdf(["k"], False), "blank": sample_pdf([""]), "broken": b"%PDF-1.4 k"}
+    for name, content in made.items():
+        files, target = file_system(spark, f"{folder}/{name}.pdf")
+        out = files.create(target)
+        out.write(bytearray(content))
+        out.close()
+    found = documents.extract_pdf_files(spark, folder)
+    return found.select(F.regexp_extract("path", "([^/]*)[.]pdf$", 1).alias("name"), "value.text", F.col("error.kind").alias("error_kind"))
+
+
+def strip_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strip cases as one file each, stripped from folder to folder."""
+    folder = new_folder(spark, "html")
+    _cases(spark, cases.STRIP, "html").write.mode("append").partitionBy("case_id").text(folder)
+    target = f"{new_folder(spark, 'text')}/out"
+    documents.strip_files(spark, folder, target)
+    return spark.read.text(target).select(F.col("value").alias("text"))
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").withColumn("error", F.when(F.col("html").isNull(), "no page"))
+    return qa.tested(pages.withColumn("text", strip_to_text("html")), "text")
+
+
+def qa_results_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = F.size(F.filter("checks", lambda c: ~c["passed"])).cast("long")
+    return _results(spark, sf_dir).select("url", "html_len", "text_len", F.size("checks").cast("long").alias("n_checks"), failed.alias("n_failed"), "error")
+
+
+def qa_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(cases.CHECKED)], "case_id int, t string, h string")
+    return rows.select("case_id", F.inline(qa.checks("t", "h")))
+
+
+def qa_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pool.sample_pool(pool.default_pool(spark), 200, 11)
+
+
+def qa_sample_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pool.sample_pool(pool.default_pool(spark), 20, 3, "news")
+
+
+def qa_exit_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qa.exit_status(qa_summary(spark, sf_dir))
+
+
+def qa_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report written to the shared folder and read back."""
+    target = f"{new_folder(spark, 'report')}/out"
+    documents.write_report(qa.report(_results(spark, sf_dir), "2026-01-01", 7), target)
+    return spark.read.text(target, wholetext=False).where("value <> ''").select(F.col("value").alias("line"))
+
+
+def readable_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What rules say of an article, over pages made by a rule."""
+    found = _cases(spark, cases.ARTICLES, "html").select("case_id", "html", readable.extract_readable("html").alias("r"))
+    return found.select(
+        "case_id", F.col("r.extractor").alias("extractor"), F.col("r.fallback").alias("fallback"), F.col("r.title").alias("title"),
+        F.contains("r.text", F.lit("Home")).alias("has_menu"), F.contains("r.text", F.lit("Footer")).alias("has_footer"),
+        F.size(F.regexp_extract_all("r.text", F.lit("(Paragraph [0-9]+ speaks of)"), F.lit(1))).cast("long").alias("paragraphs"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "strip_pages": strip_pages,
     "strip_pages_wiki": strip_pages_wiki,
@@ -189,5 +270,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "readable_fallback": readable_fallback,
     "readable_pages": readable_pages,
     "layout_pages": layout_pages,
+    "readable_rules": readable_rules,
     "pdf_cases": pdf_cases,
+    "pdf_files": pdf_files,
+    "strip_files": strip_files,
+    "qa_results_pages": qa_results_pages,
+    "qa_details": qa_details,
+    "qa_sample": qa_sample,
+    "qa_sample_news": qa_sample_news,
+    "qa_exit_status": qa_exit_status,
+    "qa_report": qa_report,
 }

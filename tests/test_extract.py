@@ -1,10 +1,14 @@
+import base64
+import zlib
+
 import pytest
 from helpers import applied
 from pyspark.sql import functions as F
 
 from loomtext.operators import extract as e
 from loomtext.operators import layout, pdf, qa, readable
-from loomtext.plans.catalogue import sample_pdf
+from loomtext.sources import pool
+from loomtext.plans.catalogue import pdf_page, pdf_stream, sample_pdf
 
 ARTICLE = (
     "<html><head><title>Site | Story</title><meta name='description' content='About it'></head><body><nav>Menu here</nav>"
@@ -17,16 +21,16 @@ ARTICLE = (
 
 
 def test_extract(spark):
-    rows = applied(spark, ["<html><body><p>Hello</p></body></html>", "plain  text &amp;", "", None], e.extract)
+    rows = applied(spark, ["<html><body><h1>Rain</h1></body></html>", "no  markup &amp;", "", None], e.extract)
     assert [r and (r.text, r.format, r.extractor, r.title, r.excerpt, r.fallback) for r in rows] == [
-        ("Hello", "html", "strip", None, None, False), ("plain  text &amp;", "plain_text", "passthrough", None, None, False),
+        ("Rain", "html", "strip", None, None, False), ("no  markup &amp;", "plain_text", "passthrough", None, None, False),
         ("", "plain_text", "passthrough", None, None, False), None,
     ]
 
 
-@pytest.mark.parametrize("fmt,text,extractor", [("html", "bold", "strip"), ("plain_text", "<b>bold</b>", "passthrough"), ("markdown", "<b>bold</b>", "passthrough"), ("unknown", "<b>bold</b>", "passthrough")])
+@pytest.mark.parametrize("fmt,text,extractor", [("html", "rain", "strip"), ("plain_text", "<u>rain</u>", "passthrough"), ("markdown", "<u>rain</u>", "passthrough"), ("unknown", "<u>rain</u>", "passthrough")])
 def test_extract_as(spark, fmt, text, extractor):
-    row = applied(spark, ["<b>bold</b>"], lambda c: e.extract_as(c, fmt))[0]
+    row = applied(spark, ["<u>rain</u>"], lambda c: e.extract_as(c, fmt))[0]
     assert (row.text, row.format, row.extractor) == (text, fmt, extractor)
 
 
@@ -40,10 +44,10 @@ def test_pdf_from_a_string_is_an_error(spark):
 
 
 def test_readable(spark):
-    found, short = applied(spark, [ARTICLE, "<p>short</p>"], readable.extract_readable)
+    found, short = applied(spark, [ARTICLE, "<h1>brief</h1>"], readable.extract_readable)
     assert found.extractor == "readability" and not found.fallback and found.title == "Site | Story" and found.excerpt == "About it"
     assert "first paragraph" in found.text and "second paragraph" in found.text and "Menu" not in found.text and "Born1879" not in found.text
-    assert (short.text, short.extractor, short.fallback, short.title) == ("short", "strip", True, None)
+    assert (short.text, short.extractor, short.fallback, short.title) == ("brief", "strip", True, None)
 
 
 def test_layout(spark):
@@ -68,6 +72,81 @@ def test_pdf(spark):
         applied(spark, [bytearray(files[2])], pdf.extract_pdf_bytes, "binary")
 
 
+def lzw(data):
+    """A plain encoder: 9 to 12 bits, early change."""
+    table, width, bits, w = {bytes([i]): i for i in range(256)}, 9, format(256, "09b"), b""
+    size = 258
+    for i in range(len(data)):
+        c = data[i : i + 1]
+        if w + c in table:
+            w += c
+            continue
+        bits += format(table[w], f"0{width}b")
+        table[w + c] = size
+        size += 1
+        width = max(9, size.bit_length())
+        w = c
+    bits += format(table[w], f"0{width}b") if w else ""
+    bits += format(257, f"0{max(9, (size + 1).bit_length())}b")
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+def png_rows(data, columns):
+    """Rows under the five PNG row filters in turn."""
+    out, above = b"", bytes(columns)
+    for n, at in enumerate(range(0, len(data), columns)):
+        row = data[at : at + columns].ljust(columns, b" ")
+        coded = bytearray()
+        for i, x in enumerate(row):
+            left, up, corner = (row[i - 1] if i else 0), above[i], (above[i - 1] if i else 0)
+            near = left + up - corner
+            best = min((left, up, corner), key=lambda v: abs(near - v))
+            coded.append((x - (0, left, up, (left + up) // 2, best)[n % 5]) % 256)
+        out += bytes([n % 5]) + coded
+        above = row
+    return out
+
+
+def pdf_texts(spark, files):
+    rows = applied(spark, [bytearray(x) for x in files], pdf.try_extract_pdf_bytes, "binary")
+    return [r.value.text if r.value else r.error.kind for r in rows]
+
+
+def test_pdf_filters(spark):
+    content = b"BT /F1 12 Tf 14 TL 72 720 Td\n" + b"".join(b"(row %d of the rain table) Tj T*\n" % i for i in range(300)) + b"ET"
+    want = "".join(f"row {i} of the rain table\n" for i in range(300))
+    runs = b"".join(bytes([len(content[i : i + 100]) - 1]) + content[i : i + 100] for i in range(0, len(content), 100)) + b"\xfe \x80"
+    files = [
+        pdf_page(pdf_stream(base64.a85encode(content) + b"~>", b"/Filter /ASCII85Decode")),
+        pdf_page(pdf_stream(content.hex().encode() + b">", b"/Filter [/ASCIIHexDecode]")),
+        pdf_page(pdf_stream(runs, b"/Filter /RunLengthDecode")),
+        pdf_page(pdf_stream(lzw(content), b"/Filter /LZWDecode")),
+        pdf_page(pdf_stream(base64.a85encode(zlib.compress(content)) + b"~>", b"/Filter [/ASCII85Decode /FlateDecode]")),
+        pdf_page(pdf_stream(zlib.compress(png_rows(content, 40)), b"/Filter /FlateDecode /DecodeParms << /Predictor 15 /Columns 40 >>")),
+        pdf_page(pdf_stream(b"x", b"/Filter /DCTDecode")),
+    ]
+    got = pdf_texts(spark, files)
+    assert got[:6] == [want] * 6 and got[6] == "io"
+
+
+def test_pdf_forms_fonts_and_encryption(spark):
+    form = b"<< /Type /XObject /Subtype /Form /Resources << /Font << /F1 5 0 R >> >> /Length 60 >>\nstream\nBT /F1 9 Tf (in the form) Tj ET /Me Do\nendstream"
+    draw = pdf_stream(b"BT /F1 9 Tf (before) Tj ET /Me Do BT (after /Encrypt) Tj ET BI /W 1 ID (no) Tj EI")
+    composite = b"<< /Type /Font /Subtype /Type0 /BaseFont /K >>"
+    files = [
+        pdf_page(draw, b"/Font << /F1 5 0 R >> /XObject << /Me 6 0 R >>", form),
+        pdf_page(pdf_stream(b"BT /F2 9 Tf <0041> Tj ET"), b"/Font << /F1 5 0 R /F2 6 0 R >>", composite),
+        sample_pdf(["k"]).replace(b"trailer <<", b"trailer << /Encrypt 9 0 R"),
+    ]
+    assert pdf_texts(spark, files) == ["before\nin the form\nafter /Encrypt\n", "io", "io"]
+
+
+def test_layout_of_deep_pages(spark):
+    page = "<div>" * 3000 + "deep <b>down</b>" + "</div>" * 3000 + "<blockquote>" * 8 + "quoted"
+    row = applied(spark, [page], lambda c: layout.extract_html2text(c, 60))[0]
+    assert row.extractor == "html2text" and "deep **down**" in row.text and "> > > > > > > > quoted" in row.text
+
+
 def test_qa(spark):
     df = spark.createDataFrame([("ok text", "<p>"), (" a  b", "<script x"), ("<p>x</p>\x01​", "<body"), ("x", "<body>" + "y" * 300)], "t string, h string")
     rows = [{c.name: c.passed for c in r[0]} for r in df.select(qa.checks("t", "h")).collect()]
@@ -81,11 +160,22 @@ def test_qa(spark):
     assert tuple(empty) == (0, 0, 0, 0)
     with pytest.raises(AssertionError):
         qa.assert_clean(qa.summary(df.select(qa.checks("t", "h").alias("checks"))))
-    results = df.select(
-        F.lit("u").alias("url"), F.lit(None).cast("string").alias("final_url"), F.lit("en").alias("lang"), F.length("h").alias("html_len"),
-        F.length("t").alias("text_len"), qa.checks("t", "h").alias("checks"), F.lit(None).cast("string").alias("error"),
-    )
+    results = qa.tested(df.select("t", "h", F.lit("u").alias("url"), F.lit("en").alias("lang")), "t", "h")
     assert sum("[PASS] en" in r.value for r in qa.report_lines(results).collect()) == 1
-    pool = spark.createDataFrame([(str(i), "en", "news" if i % 2 else "forum") for i in range(100)], "url string, lang string, cat string")
-    a, b = (qa.sample_sources(pool, 0.5, 7, "news").collect() for _ in range(2))
-    assert a == b and a and {r.cat for r in a} == {"news"}
+
+
+def test_results_with_errors(spark):
+    df = spark.createDataFrame([("u", "<p>k</p>", None, 12.4), ("v", None, "timed out", None)], "url string, html string, error string, fetch_ms double")
+    found = qa.tested(df.withColumn("text", F.lit("k")), "text")
+    assert found.columns == [x.split()[0] for x in qa.RESULT.split(", ")]
+    whole = "\n".join(r.value for r in qa.report(found, "today", 5).orderBy("place").collect())
+    assert "### [PASS] - u" in whole and "### [ERROR] - v\n\nError: timed out" in whole and "- Errors: 1" in whole and "- Seed: 5" in whole
+    assert qa.exit_status(qa.summary(found, error="error")).first().status == 1
+
+
+def test_sample_is_exact(spark):
+    made = spark.createDataFrame([(str(i), "en", "news" if i % 2 else "forum") for i in range(100)], "url string, lang string, cat string")
+    a, b = ({r.draw: r.url for r in pool.sample_pool(x, 500, 7, "news").collect()} for x in (made, made.repartition(3)))
+    assert a == b and sorted(a) == list(range(500)) and all(int(u) % 2 for u in a.values()) and len(set(a.values())) > 40
+    assert pool.sample_pool(made.limit(0), 5, 1).count() == 0
+    assert pool.default_pool(spark).count() == 30
