@@ -8,21 +8,38 @@ from pyspark.sql import functions as F
 from .scratch import cut, release
 
 
+#: Neighbours from which on a node counts as a hub, and most hubs.
+HUB, HUBS = 1000, 1000
+
+
+def _with_least(rows: DataFrame, keyed: DataFrame, n_edges: int) -> DataFrame:
+    """``rows (a, b)`` with ``m``, the least ``b`` that ``keyed`` has for their ``a``.
+
+    Minima are combined on the map side.  The rows of hubs get theirs by a broadcast of
+    at most ``HUBS`` rows (no more nodes can have so many neighbours), so that no hub's
+    rows meet in one task.
+    """
+    least = keyed.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
+    hubs = least.where(F.col("degree") > max(HUB, 2 * n_edges // HUBS)).select("a", F.col("m").alias("hub_m"))
+    told = rows.join(F.broadcast(hubs), "a", "left")
+    others = told.where("hub_m is null").select("a", "b").join(least.select("a", "m"), "a").select("a", "b", "m")
+    return others.unionByName(told.where("hub_m is not null").select("a", "b", F.col("hub_m").alias("m")))
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
     around = _both_ways(edges)
-    least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    found = _with_least(around.where("b > a"), around, n_edges)
+    return found.select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n_edges: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b")))
+    found = _with_least(down, down, n_edges)
+    return found.select(F.when(F.col("b") != F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b"))
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -32,14 +49,14 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges (a, b)`` that is not its component's smallest.
 
-    Minima are combined on the map side, so a hub of any degree costs one row per
-    task.  Each step is written to the shared folder; the driver sees counts only.
+    Each step is written to the shared folder and the one before it removed; the driver
+    sees counts only.
     """
     edges = cut(edges.where("a <> b").distinct(), "links")
     state = _state(edges)
     while state[0]:
         before_step = edges
-        edges = cut(_small_star(_large_star(edges).where("a <> b").distinct()).where("a <> b").distinct(), "links")
+        edges = cut(_small_star(_large_star(edges, state[0]).where("a <> b").distinct(), state[0]).where("a <> b").distinct(), "links")
         state, before = _state(edges), state
         release(before_step)
         if state == before:
