@@ -200,6 +200,36 @@ def token_ids(docs, path, end=1):
     return out
 
 
+def raked(cells, goals, rounds=2000):
+    """``{cell: weight}`` with which the tokens of ``{cell: tokens}`` meet ``goals``, one ``{value: share}`` a place of the cell."""
+    total, weight = sum(cells.values()), dict.fromkeys(cells, 1.0)
+    for _ in range(rounds):
+        for place, goal in enumerate(goals):
+            have = collections.Counter()
+            for cell, n in cells.items():
+                have[cell[place]] += n * weight[cell]
+            for cell in cells:
+                weight[cell] *= goal.get(cell[place], 0.0) * total / have[cell[place]] if have[cell[place]] else 0.0
+    return weight
+
+
+def probabilities(cells, goals, keep_share, rounds=300):
+    """``{cell: probability}``: scaled value by value, by bisection, under the bound of 1."""
+    budget, rate = keep_share * sum(cells.values()), raked(cells, goals)
+    for _ in range(rounds):
+        for place, goal in enumerate(goals):
+            for value, share in goal.items():
+                mine = [c for c in cells if c[place] == value]
+                low, high = 0.0, 1e6
+                for _ in range(60):
+                    f = (low * high) ** 0.5 if low else high / 2**40
+                    drawn = sum(cells[c] * min(1.0, f * rate[c]) for c in mine)
+                    low, high = (f, high) if drawn < share * budget else (low, f)
+                for c in mine:
+                    rate[c] *= high
+    return {c: min(1.0, r) for c, r in rate.items()}
+
+
 def quality(docs):
     out = {}
     for d, t in docs:

@@ -97,6 +97,54 @@ def test_near_dedup_over_many_blocks(spark, made, made_frame, monkeypatch):
     assert rows_of(neardup.near_duplicates(made_frame, 85), "n_shingles", "component_id", "kept") == brute.near(made, 85)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_dedup_of_large_families(spark, monkeypatch, percent):
+    """Templates, chains of near copies and groups at the edge of the limit, in families of many small blocks."""
+    monkeypatch.setattr(neardup, "BLOCK_NODES", 12)
+    rng = random.Random(17)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    docs = []
+    for _ in range(3):
+        template = [word() for _ in range(90)]
+        for i in range(60):  # one template, own words; some of these are copied with few changes
+            own = template[:60] + [word() for _ in range(rng.choice([10, 40]))] + template[60:]
+            docs.append(own)
+            if i % 6 == 0:
+                for _ in range(rng.randint(1, 3)):
+                    near = list(own)
+                    near[rng.randrange(len(near))] = word()
+                    docs.append(near)
+        chain = [word() for _ in range(120)]
+        for _ in range(40):  # each like the one before it, the ends unlike
+            chain = list(chain)
+            at = rng.randrange(115)
+            chain[at : at + 3] = [word() for _ in range(3)]
+            docs.append(chain)
+        docs += [template[:80] + [word() for _ in range(rng.randint(0, 3))] for _ in range(40)]  # one group of near copies
+    rng.shuffle(docs)
+    pairs = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    sizes = []
+    verified = neardup._verified
+    monkeypatch.setattr(neardup, "_verified", lambda source, meetings, p: sizes.append(meetings.count()) or verified(source, meetings, p))
+    got = rows_of(neardup.near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string").repartition(5), percent), "n_shingles", "component_id", "kept")
+    assert got == brute.near(pairs, percent)
+    assert len(sizes) > 1 and len({c for _, c, _ in got.values()}) > 100
+
+
+def test_templates_cost_about_what_they_hold(spark, monkeypatch):
+    """Rows of one template without a link: no row goes to more than a few meetings, where block against block takes all."""
+    monkeypatch.setattr(neardup, "BLOCK_NODES", 20)
+    rng = random.Random(19)
+    template = [f"t{i}" for i in range(200)]
+    pairs = [(i, " ".join(template[:150] + [f"w{rng.randrange(10**7)}" for _ in range(60)] + template[150:])) for i in range(600)]
+    sizes = []
+    verified = neardup._verified
+    monkeypatch.setattr(neardup, "_verified", lambda source, meetings, p: sizes.append(meetings.count()) or verified(source, meetings, p))
+    found = neardup.near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string"), 85)
+    assert found.where("not kept").count() == 0
+    assert sum(sizes) < len(pairs)
+
+
 def test_secrets(made, made_frame):
     got = rows_of(secrets.secret_digest(made_frame), "n_assign", "n_access", "n_hex", "base_sha256", "spans")
     want = brute.secrets(made)

@@ -85,3 +85,13 @@ def test_stages(spark, odd_frame, empty):
         assert out.columns == docs.columns, name
         assert out.count() <= docs.count()
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").where("not lossless").count() == 0
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, "a"), (1, text, "b"), (None, text, "c"), (None, text + " alone", "d"), (None, "other words stand here in a row of their own", "e")]
+    rows += [(None, "other words stand here in a row of their own", "f"), (7, "", "g"), (7, "", "h"), (None, None, "i"), (None, None, "j"), (9, "k", "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_id string")
+    kept = [r.row_id for r in neardup.without_near_copies(df, 80).collect()]
+    assert sorted(x for x in kept if x in "ghijk") == list("ghijk")
+    assert sum(x in "ab" for x in kept) == 1 and "c" not in kept and "d" not in kept and sum(x in "ef" for x in kept) == 1

@@ -233,21 +233,6 @@ def test_top_k_of_few(spark):
     assert topk.top_k(df.limit(0), df.limit(0), 5).count() == 0
 
 
-def test_raking_meets_the_marginals(spark):
-    rng = np.random.default_rng(3)
-    cells = [(f"s{i}", f"l{j}", f"t{k}", int(rng.integers(1, 1000))) for i in range(5) for j in range(3) for k in range(4)]
-    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
-    targets = {"lang": {"l0": 0.5, "l1": 0.3, "l2": 0.2}}
-    rows = mixing.fit(df, ["source", "lang", "topic"], targets).collect()
-    total = sum(c[3] for c in cells)
-    for lang, share in targets["lang"].items():
-        assert abs(sum(r.tokens * r.weight for r in rows if r.lang == lang) / total - share) < 1e-3
-    weights = spark.createDataFrame([(r.tokens, r.weight) for r in rows], "tokens long, weight double")
-    for part in (0.1, 0.7, 0.99):
-        c = mixing.calibrate(weights, part * total)
-        assert abs(sum(r.tokens * min(1, c * r.weight) for r in rows) - part * total) < 1e-3 * total
-
-
 def test_mixing_draws_by_its_probabilities(spark):
     df = spark.range(4000).selectExpr("id as doc_id", "concat('word number ', id) as text", "concat('s', id % 3) as source", "if(id % 4 = 0, 'en', 'fr') as lang")
     mixed = mixing.mix_to_targets(df, 0.5).select("mix.*").collect()
