@@ -12,28 +12,48 @@ from loomtext.sources.tables import read_table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and their language's fertility band."""
+    """Documents that pass the base rules and the fertility band of their language or script.
+
+    Null, empty and short texts go.  Null ids or languages, ties and repeated rows are
+    judged row by row; extra columns of any name stay.  Empty table: no rows.
+    """
     return fertility.passing(docs, v.PIECES, v.BYTE_RANKS, v.BYTE_PATTERN)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that an earlier one holds; ``n_chars`` follows the text."""
+    """All documents, without the lines that an earlier one holds; ``n_chars`` follows the text.
+
+    Null texts come back empty.  Rows without an id neither hold nor lose lines; rows of
+    one id count as one document, and equal rows stay equal.  Empty table: no rows.
+    """
     return linededup.without_repeated_lines(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each class of near copies (similarity 0.8)."""
-    gone = neardup.near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """One document, that of the smallest id, of each class of near copies (similarity 0.8).
+
+    Of repeated rows one stays, rows without an id are compared by their texts and yield to
+    rows with one, texts without words stay.  Empty table: no rows.
+    """
+    return neardup.without_near_copies(docs, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that source, language and topic meet their token targets."""
+    """Documents drawn so that source, language and topic meet their token targets.
+
+    Null sources and languages are categories of their own.  Null and empty texts have no
+    tokens and are drawn like their cell.  Equal rows share a draw, rows without an id
+    are drawn by text.  Empty table: no rows.
+    """
     return mixing.mix_to_targets(docs).where("mix.kept").select(*docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document, each decoded again and compared with its text."""
+    """``doc_id, n_pieces, ids, lossless`` of every document: piece ids, decoded again and compared with the text.
+
+    Null and empty texts have no ids.  Rows without an id are drawn as id 0, equal rows
+    have equal ids.  Empty table: no rows.
+    """
     return pieces.encode_checked(docs, v.PIECES)
 
 
