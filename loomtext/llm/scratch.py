@@ -9,45 +9,20 @@ called, and at the latest when the driver's JVM ends, also after ``spark.stop()`
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import file_system, new_folder, shared_dir
+
 #: Folders of the open scopes, innermost last.
 _scopes: list[list[str]] = []
 _PLACE = "_loomtext_place"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder.
-
-    Only a session on the driver's own machine (master ``local``) may do without: it
-    gets a temporary folder.  Elsewhere the executors would each write to a disk of
-    their own, so an unset folder is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loomtext-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def _file_system(spark: SparkSession, path: str):
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
-
-
 def new_path(spark: SparkSession, label: str) -> str:
-    """A folder of a fresh name, made at once so that the file system removes it at the JVM's end."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    files, target = _file_system(spark, path)
-    files.mkdirs(target)
-    files.deleteOnExit(target)
+    """A folder of a fresh name in the session's shared folder (see ``sources.shared``)."""
+    path = new_folder(spark, label)
     if _scopes:
         _scopes[-1].append(path)
     return path
@@ -69,7 +44,7 @@ def release(table: DataFrame) -> None:
 
 
 def discard(spark: SparkSession, path: str) -> None:
-    files, target = _file_system(spark, path)
+    files, target = file_system(spark, path)
     files.delete(target, True)
 
 
@@ -82,3 +57,6 @@ def scope(spark: SparkSession) -> Iterator[None]:
     finally:
         for path in _scopes.pop():
             discard(spark, path)
+
+
+__all__ = ["cut", "discard", "new_path", "release", "scope", "shared_dir"]
