@@ -20,6 +20,8 @@ SHINGLE_WORDS = 5
 BANDS, ROWS = 40, 6
 #: Shingles and nodes in one verification block, about; two blocks meet in one task.
 BLOCK_SHINGLES, BLOCK_NODES = 400_000, 300
+#: Blocks of a family up to which all of them meet: at most 36 meetings, and no row in more than 8.
+FEW_BLOCKS = 8
 #: Nodes of a large family that tell which of its shingles are common, and bits of the map of these.
 SAMPLE_NODES, MAP_BITS = 64, 1 << 16
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -220,8 +222,14 @@ def _verified(source: DataFrame, meetings: DataFrame, percent: int) -> DataFrame
     return texts.repartition("family", "low", "high").sortWithinPartitions("family", "low", "high").mapInArrow(_verifier(percent), "a long, b long")
 
 
+def _all_meet(members: DataFrame) -> DataFrame:
+    """Meetings of all blocks of each family."""
+    met = members.select("node", "family", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return met.select("node", "family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block")
+
+
 def _links_of_large(source: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links within families of several blocks.
+    """Links within families of more than a few blocks.
 
     1. Families fall apart by shared prefix shingles: rows of one template share common
        shingles, near copies rare ones.
@@ -237,11 +245,13 @@ def _links_of_large(source: DataFrame, members: DataFrame, percent: int) -> Data
     rows = source.join(members, source["doc_id"] == members["node"]).select("node", "family", "text").join(common, "family", "left")
     places = cut(rows.select("node", "family", "common", "text").mapInArrow(_prefixes(percent), "key long, node long"), "prefixes")
     parts = _in_blocks(_grouped(places).join(members.select("node", "n"), "node"))
-    highs = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    links = cut(_verified(source, parts.select("node", "family", F.lit(0).alias("low"), F.explode(highs).alias("high"), "block"), percent), "star-links")
-    large = parts.where("blocks > 1")
+    links = _verified(source, _all_meet(parts.where(F.col("blocks") <= FEW_BLOCKS)), percent)
+    large = parts.where(F.col("blocks") > FEW_BLOCKS)
     if large.isEmpty():
         return links
+    highs = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    star = large.select("node", "family", F.lit(0).alias("low"), F.explode(highs).alias("high"), "block")
+    links = cut(links.unionByName(_verified(source, star, percent)), "star-links")
     classes = components(links)
     rooted = large.join(classes, "node", "left").select(*large.columns, F.coalesce("root", "node").alias("root"))
     counts = rooted.groupBy("family", "root").agg(F.count("*").alias("size"))
@@ -277,10 +287,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id
        smallest node of its buckets, and families are the components of these ties.
     3. A family's texts are compared on full sets (64-bit hashes of their shingles) by
        products of incidence matrices; a task returns a forest of its links, never
-       pairs.  Blocks hold a bounded number of shingles and nodes.  A family of
-       several blocks is first taken apart by shared prefix shingles, and what stays
-       large meets its first block, then only nodes outside the largest class meet
-       all blocks: templates and groups of near copies cost about as much as they hold.
+       pairs.  Blocks hold a bounded number of shingles and nodes, and up to
+       ``FEW_BLOCKS`` of a family all meet.  A larger family is first taken apart by
+       shared prefix shingles; what stays large meets its first block, then only nodes
+       outside the largest class meet all blocks: templates and groups of near copies
+       cost about as much as they hold.
     4. Components of the links are the classes.
 
     Null or empty text: no shingles, its own class.  Null id: class null, kept,
@@ -295,9 +306,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id
     nodes = cut(usable.groupBy("fa", "fb").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
     families = _grouped(nodes.select("node", F.explode("bands").alias("key")))
     members = _in_blocks(families.join(nodes.groupBy("node").agg(F.sum("n").alias("n")), "node"))
-    zero = F.lit(0)
-    links = _verified(source, members.where("blocks = 1").select("node", "family", zero.alias("low"), zero.alias("high"), zero.alias("block")), percent)
-    large = members.where("blocks > 1").select("node", "family", "n")
+    links = _verified(source, _all_meet(members.where(F.col("blocks") <= FEW_BLOCKS)), percent)
+    large = members.where(F.col("blocks") > FEW_BLOCKS).select("node", "family", "n")
     if not large.isEmpty():
         links = links.unionByName(_links_of_large(source, large, percent))
     classes = components(links.unionByName(_shared_ids(usable, nodes)))
