@@ -1,9 +1,10 @@
 """Exclusive running totals over a whole table in id order, without one task that sees all rows.
 
-Ids are cut into ranges of ``2**10`` neighbouring values.  Totals per range are
-summed again over ranges of ranges (20 more bits each time), so every window is
-bounded by the width of its range and not by the number of rows.  All of it is
-DataFrame operations.
+Ids are cut into ranges of ``2**10`` neighbouring values, rows without an id into ranges
+of their first tie breaker.  Totals per range are summed again over ranges of ranges (20
+more bits each time), so every window is bounded by the width of its range and not by
+the number of rows; only rows of one id, or without one and of one size, share a range
+however many there are.  All of it is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -15,13 +16,13 @@ from pyspark.sql import functions as F
 
 #: Bits dropped from the id at each level; the last level has at most 2**14 ranges.
 LEVELS = (10, 30, 50)
-#: Range of rows without an id: below every real range at every level.
-_NO_ID = -(1 << 60)
+#: First range of rows without an id, bits of the tie breaker in one, and most of them: all below every real range.
+_NO_ID, _TIE_BITS, _TIE_RANGES = -(1 << 60), 6, 1 << 24
 
 
-def _range_of(id_column: str, bits: int) -> Column:
-    first = F.coalesce(F.shiftright(F.col(id_column), LEVELS[0]), F.lit(_NO_ID))
-    return F.shiftright(first, bits - LEVELS[0]) if bits > LEVELS[0] else first
+def _range_of(id_column: str, tie: str) -> Column:
+    tied = F.least(F.greatest(F.shiftright(F.col(tie).cast("long"), _TIE_BITS), F.lit(0)), F.lit(_TIE_RANGES))
+    return F.coalesce(F.shiftright(F.col(id_column), LEVELS[0]), F.lit(_NO_ID) + F.coalesce(tied, F.lit(0)))
 
 
 def _running(measures: list[str], window) -> list[Column]:
@@ -36,7 +37,7 @@ def with_prefix(rows: DataFrame, id_column: str, measures: list[str], ties: list
     interchangeable.  Measures must not be null.  An empty table stays empty.
     """
     keys = [f"__range{i}" for i in range(len(LEVELS))]
-    tables = [rows.groupBy(_range_of(id_column, LEVELS[0]).alias(keys[0])).agg(*[F.sum(m).alias(m) for m in measures])]
+    tables = [rows.groupBy(_range_of(id_column, ties[0]).alias(keys[0])).agg(*[F.sum(m).alias(m) for m in measures])]
     for i in range(1, len(LEVELS)):
         step = LEVELS[i] - LEVELS[i - 1]
         tables[-1] = tables[-1].withColumn(keys[i], F.shiftright(keys[i - 1], step))
@@ -59,7 +60,7 @@ def with_prefix(rows: DataFrame, id_column: str, measures: list[str], ties: list
         )
     order = [F.col(id_column).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in ties]]
     inner = Window.partitionBy(keys[0]).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.withColumn(keys[0], _range_of(id_column, LEVELS[0]))
+    placed = rows.withColumn(keys[0], _range_of(id_column, ties[0]))
     placed = reduce(lambda df, mc: df.withColumn(f"__in_{mc[0]}", mc[1]), zip(measures, _running(measures, inner)), placed)
     return placed.join(offsets, keys[0]).select(
         *[F.col(c) for c in rows.columns],

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .prefix import with_prefix
 from .scratch import cut
 
-#: Bytes that a row takes beside its text.
-ROW_OVERHEAD = 8
+#: Bytes that a row takes beside its text, and shards up to which the table of them is broadcast.
+ROW_OVERHEAD, FEW_SHARDS = 8, 100_000
 
 
 def row_size(text: str) -> Column:
@@ -31,7 +31,7 @@ def balanced_shards(docs: DataFrame, n_shards: int, id_column: str = "doc_id", t
 
     Null text: size of an empty one.  Null ids come first.  Rows with one id are
     ordered by size and checksum; fully equal rows are interchangeable.  Empty
-    table: no rows.  Other columns of ``docs`` are not read.
+    table: no rows.  Other columns of ``docs``, of whatever name, are not read.
     """
     narrow = docs.select(
         F.col(id_column).cast("long").alias("doc_id"),
@@ -44,7 +44,7 @@ def balanced_shards(docs: DataFrame, n_shards: int, id_column: str = "doc_id", t
     shard = F.expr(f"cast(least(((cast(before_size as {wide}) * 2 + size) * {n_shards}) div (total_size * 2), {n_shards - 1}L) as int)")
     placed = cut(placed.select("doc_id", "size", "text_crc32", shard.alias("shard"), F.col("before_one").alias("place")), "shard-placed")
     first = placed.groupBy("shard").agg(F.min("place").alias("first_place"))  # n_shards rows
-    return placed.join(F.broadcast(first), "shard").select(
+    return placed.join(F.broadcast(first) if n_shards <= FEW_SHARDS else first, "shard").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("place") - F.col("first_place")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
