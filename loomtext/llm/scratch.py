@@ -1,37 +1,25 @@
 """Where intermediate tables live.
 
 Lineage is cut by writing a Parquet table to the shared folder that the session
-names in ``spark.checkpoint.dir``; every executor can read it again after any
-other executor is lost.  A table goes when its ``scope`` ends, when ``release`` is
-called, and at the latest when the driver's JVM ends, also after ``spark.stop()``.
+names in ``spark.checkpoint.dir`` (see ``sources.shared``); every executor can read it
+again after any other executor is lost.  A table goes when its ``scope`` ends, when
+``release`` is called, and at the latest when the driver's JVM ends, also after
+``spark.stop()``.
 """
 
 from __future__ import annotations
 
-import contextlib
-from collections.abc import Iterator
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from ..sources.shared import discard, new_folder, scope, shared_dir
 
-from ..sources.shared import file_system, new_folder, shared_dir
-
-#: Folders of the open scopes, innermost last.
-_scopes: list[list[str]] = []
 _PLACE = "_loomtext_place"
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    """A folder of a fresh name in the session's shared folder (see ``sources.shared``)."""
-    path = new_folder(spark, label)
-    if _scopes:
-        _scopes[-1].append(path)
-    return path
-
-
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder once and return a reader of that table."""
     spark = df.sparkSession
-    path = new_path(spark, label)
+    path = new_folder(spark, label)
     df.write.mode("append").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     setattr(table, _PLACE, path)
@@ -43,20 +31,4 @@ def release(table: DataFrame) -> None:
     discard(table.sparkSession, getattr(table, _PLACE))
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    files, target = file_system(spark, path)
-    files.delete(target, True)
-
-
-@contextlib.contextmanager
-def scope(spark: SparkSession) -> Iterator[None]:
-    """Remove, at its end, the tables that operators wrote inside it; results must be saved by then."""
-    _scopes.append([])
-    try:
-        yield
-    finally:
-        for path in _scopes.pop():
-            discard(spark, path)
-
-
-__all__ = ["cut", "discard", "new_path", "release", "scope", "shared_dir"]
+__all__ = ["cut", "new_folder", "release", "scope", "shared_dir"]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .blockfile import decode_segments, encode_segment
 from .prefix import with_prefix
-from .scratch import cut, new_path
+from .scratch import cut, new_folder
 from .words import expand, process_cache, slices, split_words
 
 #: Ids in one segment, about, and words whose ids a worker remembers.
@@ -191,6 +191,6 @@ def token_digests(docs: DataFrame, tokenizer: str, end: int = 1) -> DataFrame:
     ``start`` counts the ids of all rows before a row in id order; rows of one id
     stand by count and checksum.  Empty table: no rows.
     """
-    path = new_path(docs.sparkSession, "token-files")
+    path = new_folder(docs.sparkSession, "token-files")
     write_token_files(docs, path, tokenizer, end)
     return read_digests(docs.sparkSession, path)

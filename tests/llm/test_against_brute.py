@@ -101,6 +101,7 @@ def test_near_dedup_over_many_blocks(spark, made, made_frame, monkeypatch):
 def test_near_dedup_of_large_families(spark, monkeypatch, percent):
     """Templates, chains of near copies and groups at the edge of the limit, in families of many small blocks."""
     monkeypatch.setattr(neardup, "BLOCK_NODES", 12)
+    monkeypatch.setattr(neardup, "FEW_BLOCKS", 2)
     rng = random.Random(17)
     word = lambda: f"w{rng.randrange(10**6)}"
     docs = []
@@ -134,6 +135,7 @@ def test_near_dedup_of_large_families(spark, monkeypatch, percent):
 def test_templates_cost_about_what_they_hold(spark, monkeypatch):
     """Rows of one template without a link: no row goes to more than a few meetings, where block against block takes all."""
     monkeypatch.setattr(neardup, "BLOCK_NODES", 20)
+    monkeypatch.setattr(neardup, "FEW_BLOCKS", 2)
     rng = random.Random(19)
     template = [f"t{i}" for i in range(200)]
     pairs = [(i, " ".join(template[:150] + [f"w{rng.randrange(10**7)}" for _ in range(60)] + template[150:])) for i in range(600)]

@@ -53,7 +53,7 @@ def test_many_token_files(spark, monkeypatch):
     monkeypatch.setattr(tokenfile, "FILE_SEGMENTS", 2)
     monkeypatch.setattr(tokenfile, "slices", lambda batch, *_: (batch.slice(i, 10) for i in range(0, batch.num_rows, 10)))
     docs = spark.range(400).selectExpr("id as doc_id", "concat('some words and number ', id) as text").coalesce(2)
-    path = scratch.new_path(spark, "many")
+    path = scratch.new_folder(spark, "many")
     tokenfile.write_token_files(docs, path, v.WORD_BPE)
     files = [x for x in os.listdir(path.removeprefix("file:")) if x.startswith("part-")]
     assert len(files) > 10
