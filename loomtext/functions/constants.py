@@ -89,7 +89,3 @@ def attribute(name: str) -> str:
     letters = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in name)
     return f"(?:^|[ \\t\\n\\r\"'<]){letters}=[{WHITE}]*(?:\"([^\"]*)\"|'([^']*)'|([\"'])|([^{WHITE}>]*))"
 
-
-def re2(pattern: str) -> str:
-    """The pattern without possessive quantifiers, which RE2 lacks and does not need."""
-    return pattern.replace("*+", "*").replace("++", "+")

@@ -1,12 +1,16 @@
 """DuckDB SQL for the catalogue's queries.
 
-Constants are shared with the operators; the logic is not.  Stripping is written as
-window functions over numbered tokens: flags are the last value set, and a depth
-that never falls below 0 is a prefix sum less its least value so far.
+Lists of names (tags, ids, extensions) are shared with the operators; logic, patterns and
+character tables are not: they are written anew for RE2 or made from Unicode and HTML 5
+data.  Stripping is written as window functions over numbered tokens: flags are the
+last value set, and a depth that never falls below 0 is a prefix sum less its least
+value so far.
 """
 
 from __future__ import annotations
 
+import html.entities
+
 from ..functions import constants as k
 from ..functions import detect, formats
 from ..operators import extract, qa
@@ -14,12 +18,37 @@ from ..sources import pool
 from . import cases
 
 
-def lit(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
+def _class(points: list[int], but: bool = False) -> str:
+    return "[" + "^" * but + "".join(f"\\x{{{p:X}}}" for p in points) + "]"
+
+
+#: All white space of Unicode; what of it makes a run (vertical tab and form feed vanish); what vanishes.
+SPACE_POINTS = [p for p in range(0x3001) if chr(p).isspace() and not 0x1C <= p <= 0x1F]
+RUN = _class([p for p in SPACE_POINTS if p not in (0x0B, 0x0C)]) + "+"
+VANISHING = _class(
+    [*range(9), 0x0B, 0x0C, *range(0x0E, 0x20), 0x7F, 0xAD, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), 0x2060, *range(0x2066, 0x206A), 0xFE0F, 0xFEFF]
+)
+TOKEN = r"""<!--(?s:.*?)(?:-->|\z)|<![^>]*(?:>|\z)|<[^>\s]*(?:\s(?:[^>"']|"[^"]*(?:"|\z)|'[^']*(?:'|\z))*)?(?:>|\z)|[^<]+"""
+REFERENCE = r"&[^;<\x09\x0A\x0D\x20]*;?|[^&]+"
+NUMBER = r"^&#(?:[+]?\d+|[xX][+]?[[:xdigit:]]+);$"
+WORD = r"^&[[:alpha:]][[:alnum:]]+$"
+MARKER = r"([[:alnum:]]edit\][^\[]*)|\[(?:\d+|edit|citation needed)\]|edit\]"
+#: HTML 5 names, but for HTML 4's angle brackets, a plain space for nbsp and four names of other standards.
+NAMED = {n: html.entities.html5.get(f"{n};") for n in k.ENTITIES} | {
+    "lang": chr(0x2329), "rang": chr(0x232A), "nbsp": " ", "Aogonek": "Ą", "aogonek": "ą", "Eogonek": "Ę", "eogonek": "ę",
+}
+#: Windows-1252 from 128 to 159, where it has a character.
+LEGACY = dict(zip([n for n in range(128, 160) if n not in (129, 141, 143, 144, 157)], "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"))
 
 
-def pattern(text: str) -> str:
-    return lit(k.re2(text))
+def attribute(name: str) -> str:
+    letters = "".join(f"({c}|{c.upper()})" for c in name).replace("(", "(?:")
+    space = _class(SPACE_POINTS)
+    return rf"""(?:^|[\n\r\t "'<]){letters}={space}*(?:"([^"]*)"|'([^']*)'|(["'])|({_class([*SPACE_POINTS, ord('>')], True)}*))"""
+
+
+def lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
 
 def names(values: tuple[str, ...]) -> str:
@@ -32,15 +61,15 @@ def table(values: tuple[str, ...], column: str) -> str:
 
 
 def cleanup(x: str) -> str:
-    return f"trim(regexp_replace(regexp_replace({x}, {lit(k.DROPPED)}, '', 'g'), {lit(k.SPACES)}, ' ', 'g'), ' ')"
+    return f"trim(regexp_replace(regexp_replace({x}, {lit(VANISHING)}, '', 'g'), {lit(RUN)}, ' ', 'g'), ' ')"
 
 
 def markers(x: str) -> str:
-    return f"regexp_replace({x}, {lit(k.MARKERS)}, '\\1', 'g')"
+    return f"regexp_replace({x}, {lit(MARKER)}, '\\1', 'g')"
 
 
 def attribute_text(x: str, name: str) -> str:
-    return "(" + " || ".join(f"regexp_extract({x}, {lit(k.attribute(name))}, {i})" for i in (1, 2, 4)) + ")"
+    return "(" + " || ".join(f"regexp_extract({x}, {lit(attribute(name))}, {i})" for i in (1, 2, 4)) + ")"
 
 
 def lower(x: str) -> str:
@@ -48,10 +77,10 @@ def lower(x: str) -> str:
 
 
 def decode(x: str) -> str:
-    named = "MAP {" + ", ".join(f"{lit(f'&{n};')}: {lit(chr(p))}" for n, p in sorted(k.ENTITIES.items())) + "}"
-    legacy = "MAP {" + ", ".join(f"{n}: {lit(chr(p))}" for n, p in k.WINDOWS_1252.items()) + "}"
+    named = "MAP {" + ", ".join(f"{lit(f'&{n};')}: {lit(p)}" for n, p in sorted(NAMED.items())) + "}"
+    legacy = "MAP {" + ", ".join(f"{n}: {lit(c)}" for n, c in LEGACY.items()) + "}"
     number = (
-        f"CASE WHEN regexp_matches(t, {lit(k.NUMERIC)}) THEN CASE WHEN regexp_matches(t, '^&#[xX]')"
+        f"CASE WHEN regexp_matches(t, {lit(NUMBER)}) THEN CASE WHEN regexp_matches(t, '^&#[xX]')"
         " THEN try_cast('0x' || regexp_extract(t, '^&#[xX]\\+?0*([0-9a-fA-F]*);$', 1) AS UBIGINT)"
         " ELSE try_cast(regexp_extract(t, '^&#\\+?([0-9]*);$', 1) AS UBIGINT) END END"
     )
@@ -62,22 +91,22 @@ def decode(x: str) -> str:
         f" WHEN ({number}) BETWEEN 128 AND 159 THEN coalesce({legacy}[({number})::INTEGER], chr(65533))"
         f" WHEN ({number}) IS NOT NULL THEN chr(({number})::INTEGER) END"
     )
-    bare = f"CASE WHEN regexp_matches(t, {lit(k.BARE_NAME)}) THEN {named}[t || ';'] END"
+    bare = f"CASE WHEN regexp_matches(t, {lit(WORD)}) THEN {named}[t || ';'] END"
     one = (
         f"CASE WHEN t[1] <> '&' THEN t WHEN right(t, 1) = ';' THEN coalesce({named}[t], {char}, t)"
         f" ELSE coalesce({bare}, t) END"
     )
-    return f"array_to_string(list_transform(regexp_extract_all({x}, {pattern(k.ENTITY_TOKEN)}), lambda t: {one}), '')"
+    return f"array_to_string(list_transform(regexp_extract_all({x}, {lit(REFERENCE)}), lambda t: {one}), '')"
 
 
 def tokens_cte(source: str) -> str:
     """``source``: a query of ``id, x``."""
     return f"""src AS ({source}),
-split AS (SELECT id, regexp_extract_all(x, {pattern(k.MARKUP_TOKEN)}) AS ts FROM src),
+split AS (SELECT id, regexp_extract_all(x, {lit(TOKEN)}) AS ts FROM src),
 tok AS (SELECT id, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM split),
 named AS (SELECT *, CASE WHEN t[1] <> '<' THEN 'text' WHEN starts_with(t, '<!--') THEN 'comment'
   WHEN starts_with(t, '<!') THEN 'directive' ELSE 'tag' END AS kind FROM tok),
-tags AS (SELECT *, CASE WHEN kind = 'tag' THEN {lower(f"regexp_extract(t, {lit(k.TAG_NAME)}, 1)")} ELSE '' END AS name FROM named)"""
+tags AS (SELECT *, CASE WHEN kind = 'tag' THEN {lower("regexp_extract(t, '^<([^!>\\s][^>\\s]*)', 1)")} ELSE '' END AS name FROM named)"""
 
 
 def strip_cte(source: str, wiki: bool = False) -> str:
@@ -110,7 +139,7 @@ stripped AS (SELECT s.id, {cleanup(markers("coalesce(raw, '')") if wiki else "co
 
 def is_html(x: str) -> str:
     head = f"left({x}, CAST(list_max(list_filter(range(256, 1025), lambda n: octet_length(encode(left({x}, CAST(n AS BIGINT)))) <= 1024)) AS BIGINT))"
-    w = f"regexp_replace({head}, {lit(f'^[{k.WHITE}]+')}, '')"
+    w = f"regexp_replace({head}, {lit(f'^{_class(SPACE_POINTS)}+')}, '')"
     starts = " OR ".join(f"starts_with({w}, {lit(p)})" for p in ("<!", "<html", "<HTML", "<?xml"))
     return f"({starts} OR (contains({w}, '<head') AND contains({w}, '<body')) OR (regexp_matches({w}, '^<[A-Za-z]') AND contains({w}, '</')))"
 
@@ -182,7 +211,7 @@ def statements() -> dict[str, str]:
         "SELECT 'pages' AS origin, page_id AS id, html AS x FROM pages UNION ALL SELECT 'documents', doc_id, text FROM documents"
         " UNION ALL SELECT 'conversations', conv_id * 1000 + turn, text FROM conversations"
     )
-    entity_rows = ", ".join(f"({lit('&' + n + ';')}, {p}, {lit(chr(p))})" for n, p in sorted(k.ENTITIES.items()))
+    entity_rows = ", ".join(f"({lit('&' + n + ';')}, {ord(p)}, {lit(p)})" for n, p in sorted(NAMED.items()))
     checks = " UNION ALL ".join(f"SELECT id AS page_id, {lit(n)} AS name, {sql} AS passed FROM both_" for n, sql in _checks("text", "x"))
     both = f"WITH {strip_cte(pages)}, both_ AS (SELECT s.id, s.x, t.text FROM src s JOIN stripped t ON s.id = t.id)"
     record = "{c} AS text, {f} AS format, {e} AS extractor, NULL::VARCHAR AS title, NULL::VARCHAR AS excerpt, false AS fallback"
@@ -216,7 +245,7 @@ def statements() -> dict[str, str]:
         "entity_table": f"SELECT * FROM (VALUES {entity_rows}) AS v(name, code_point, decoded)",
         "cleanup_documents": f"SELECT doc_id, {cleanup('text')} AS cleaned FROM documents",
         "tokens_pages": f"WITH {tokens_cte(pages)} SELECT id AS page_id, i AS position, kind, name, length(t) AS length FROM tags",
-        "attr_href_pages": f"WITH {tokens_cte(pages)} SELECT id AS page_id, i AS position, {attribute_text('t', 'href')} AS href FROM tags WHERE kind = 'tag' AND regexp_matches(t, {lit(k.attribute('href'))}) AND regexp_extract(t, {lit(k.attribute('href'))}, 3) = ''",
+        "attr_href_pages": f"WITH {tokens_cte(pages)} SELECT id AS page_id, i AS position, {attribute_text('t', 'href')} AS href FROM tags WHERE kind = 'tag' AND regexp_matches(t, {lit(attribute('href'))}) AND regexp_extract(t, {lit(attribute('href'))}, 3) = ''",
         "qa_checks_pages": f"{both} {checks}",
         "qa_summary": f"{both}, c AS ({checks}) SELECT (SELECT count(*) FROM both_) AS documents, 0::BIGINT AS errors, count(*) AS checks, count_if(NOT passed)::BIGINT AS failed_checks FROM c",
         "qa_results_pages": f"{both}, c AS ({checks}), n AS (SELECT page_id, count(*) AS n_checks, count_if(NOT passed)::BIGINT AS n_failed FROM c GROUP BY 1) SELECT p.url, length(b.x) AS html_len, length(b.text) AS text_len, n.n_checks, n.n_failed, NULL::VARCHAR AS error FROM both_ b JOIN pages p ON p.page_id = b.id JOIN n ON n.page_id = b.id",

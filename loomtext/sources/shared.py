@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
+#: Folders of the open scopes, innermost last.
+_scopes: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the session names in ``spark.checkpoint.dir``.
@@ -37,4 +42,22 @@ def new_folder(spark: SparkSession, label: str) -> str:
     files, target = file_system(spark, path)
     files.mkdirs(target)
     files.deleteOnExit(target)
+    if _scopes:
+        _scopes[-1].append(path)
     return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    files, target = file_system(spark, path)
+    files.delete(target, True)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Remove, at its end, the folders that were made inside it; results must be saved by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            discard(spark, path)
