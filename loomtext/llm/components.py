@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .scratch import cut, release
 
 
+#: Edges that one task contracts, about.
+TASK_EDGES = 500_000
 #: Neighbours from which on a node counts as a hub, and most hubs.
 HUB, HUBS = 1000, 1000
 
@@ -72,8 +74,9 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], names=["a", "b"])
 
 
-def _written(edges: DataFrame) -> DataFrame:
-    return cut(edges.where("a <> b").distinct().select("a", "b").mapInArrow(_contracted, "a long, b long"), "links")
+def _written(edges: DataFrame, tasks: int | None = None) -> DataFrame:
+    edges = edges.where("a <> b").distinct().select("a", "b")
+    return cut((edges.coalesce(tasks) if tasks else edges).mapInArrow(_contracted, "a long, b long"), "links")
 
 
 def _left(edges: DataFrame) -> tuple[int, int]:
@@ -94,8 +97,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges = _written(edges)
     count, left = _left(edges)
     while left:
-        before = edges
-        edges = _written(_small_star(_large_star(edges, count).where("a <> b").distinct(), count))
+        before, tasks = edges, -(-count // TASK_EDGES)
+        # what one task may hold needs no steps between tasks
+        step = edges if tasks == 1 else _small_star(_large_star(edges, count).where("a <> b").distinct(), count)
+        edges = _written(step, tasks)
         release(before)
         count, left = _left(edges)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
