@@ -149,7 +149,10 @@ def test_sketches_estimate_similarity():
     assert (neardup.sketches(small) == np.stack([neardup.sketches([s])[0] for s in small])).all()
 
 
-def test_components(spark):
+@pytest.mark.parametrize(("task_edges", "hub"), [(500_000, 1000), (20, 1000), (7, 10)])
+def test_components(spark, monkeypatch, task_edges, hub):
+    monkeypatch.setattr(components, "TASK_EDGES", task_edges)
+    monkeypatch.setattr(components, "HUB", hub)
     rng = np.random.default_rng(4)
     edges = [(i, i + 1) for i in range(100, 180)] + [tuple(map(int, rng.integers(200, 300, 2))) for _ in range(70)] + [(0, i) for i in range(1, 60)]
     parent = {}
@@ -166,7 +169,7 @@ def test_components(spark):
     assert got == {x: root(x) for x in parent if root(x) != x}
 
 
-@pytest.mark.parametrize("ids", [[5, 3, 1, 2**62, -(2**62), 4096, 4097, None, 3, 3], [], list(range(5000, 0, -1))])
+@pytest.mark.parametrize("ids", [[None] * 700 + list(range(100)), [5, 3, 1, 2**62, -(2**62), 4096, 4097, None, 3, 3], [], list(range(5000, 0, -1))])
 def test_prefix(spark, ids):
     df = spark.createDataFrame([(i, n + 1) for n, i in enumerate(ids)], "i long, n long")
     got = [(r.i, r.n, r.before_n, r.total_n) for r in prefix.with_prefix(df, "i", ["n"], ["n"]).collect()]
