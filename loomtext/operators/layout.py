@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import textwrap
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,6 +29,26 @@ def _note(root: Element) -> None:
         e.blocks = any(c.blocks or c.tag in _BLOCKS for c in below)
 
 
+def wrapped(words: list[str], room: int, first: str = "", rest: str = "") -> list[str]:
+    """Lines of at most ``room`` characters behind their indents; a word longer than a line is broken."""
+    lines: list[str] = []
+    line: list[str] = []
+    indent, used, width = first, 0, room - len(first)
+    for word in words:
+        while word:
+            gap = 1 if line else 0
+            if used + gap + len(word) <= width:
+                line.append(word)
+                used += gap + len(word)
+                break
+            if len(word) > width and used + gap < width:
+                line.append(word[: width - used - gap])
+                word = word[width - used - gap :]
+            lines.append(indent + " ".join(line))
+            line, indent, used, width = [], rest, 0, max(1, room - len(rest))
+    return [*lines, indent + " ".join(line)] if line else lines
+
+
 class _Layout:
     def __init__(self, width: int):
         self.width, self.lines, self.links = max(width, 4), [], []
@@ -37,11 +56,10 @@ class _Layout:
         self.first = self.rest = ""
 
     def flush(self) -> None:
-        text = " ".join("".join(self.words).split())
+        words = "".join(self.words).split()
         self.words = []
-        if text:
-            room = max(self.width, len(self.rest) + 4)
-            self.lines += textwrap.wrap(text, room, initial_indent=self.first, subsequent_indent=self.rest, break_on_hyphens=False)
+        if words:
+            self.lines += wrapped(words, max(self.width, len(self.first) + 1, len(self.rest) + 4), self.first, self.rest)
             self.first = self.rest
 
     def gap(self) -> None:
@@ -127,7 +145,7 @@ class _Layout:
         if sum(widths) > room:
             widths = [max(1, w * room // max(1, sum(widths))) for w in widths]
         for r in rows:
-            cells = [textwrap.wrap(r[i], max(1, widths[i])) or [""] if i < len(r) else [""] for i in range(columns)]
+            cells = [wrapped(r[i].split(), max(1, widths[i])) or [""] if i < len(r) else [""] for i in range(columns)]
             for n in range(max(map(len, cells))):
                 line = " | ".join((c[n] if n < len(c) else "").ljust(w) for c, w in zip(cells, widths))
                 self.lines.append((self.rest + line).rstrip())

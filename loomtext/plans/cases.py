@@ -84,3 +84,13 @@ CHECKED = (
     ("fine words", "<p>fine words</p>"), ("it's two  blanks\there", "<p>"), (" edges ", "<p>"), ("k <td colspan=2> m", "<td>"), ("k", "<body>" + "m" * 200),
     ("k\u0001\u0002\u0003\u0004\u0005\u0006m", "<p>"), ("k\u200bm\ufeff", "<p>"), ("a === b; window.k; document.k", "<script>"),
 )
+#: Pages and their layout at 30 characters a line, spelled out.
+LAID_OUT = (
+    ("<h1>Rain</h1><p>It <b>fell</b> all <a href='/d'>day</a>.</p>", "# Rain\n\nIt **fell** all [day][1].\n\n[1]: /d\n"),
+    ("<ul><li>one</li><li>two <i>three</i></li></ul><ol><li>first</li><li>second</li></ol>", "* one\n* two *three*\n\n1. first\n2. second\n"),
+    ("<blockquote><p>said in the house by the river at noon</p></blockquote><pre>a  b\n c</pre>", "> said in the house by the\n> river at noon\n>\n\na  b\n c\n"),
+    ("<table><tr><th>k</th><th>value</th></tr><tr><td>north</td><td>7</td></tr></table>", "k     | value\nnorth | 7\n"),
+    ("<p>" + "word " * 12 + "</p><hr><p>end</p>", "word word word word word word\nword word word word word word\n\n" + "-" * 30 + "\n\nend\n"),
+    ("<nav>menu</nav><script>x()</script><p>x<br>y</p><img alt='Map' src=m>", "menu\n\nx\ny\n\n[Map]\n"),
+    ("<dl><dt>term</dt><dd>meaning of it</dd></dl>", "term\n  meaning of it\n"), ("", ""), ("<p> </p>", ""),
+)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import zlib
 from collections.abc import Callable
 
@@ -163,6 +164,28 @@ def pdf_page(contents: bytes, resources: bytes = b"/Font << /F1 5 0 R >>", *more
     )
 
 
+def layout_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _cases(spark, tuple(page for page, _ in cases.LAID_OUT), "html")
+    return pages.select("case_id", layout.extract_html2text("html", 30).alias("r")).select("case_id", "r.*")
+
+
+def pdf_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page under each filter and in a form, and pages that are errors."""
+    content = b"BT /F1 12 Tf 14 TL 72 720 Td (rain and wind) Tj T* (until noon) Tj ET"
+    form = b"<< /Type /XObject /Subtype /Form >>\nstream\n" + content + b"\nendstream"
+    files = [
+        pdf_page(pdf_stream(base64.a85encode(content) + b"~>", b"/Filter /ASCII85Decode")),
+        pdf_page(pdf_stream(content.hex().encode() + b">", b"/Filter /ASCIIHexDecode")),
+        pdf_page(pdf_stream(bytes([len(content) - 1]) + content + b"\x80", b"/Filter /RunLengthDecode")),
+        pdf_page(pdf_stream(base64.a85encode(zlib.compress(content)) + b"~>", b"/Filter [/ASCII85Decode /FlateDecode]")),
+        pdf_page(pdf_stream(b"/Fm Do"), b"/Font << /F1 5 0 R >> /XObject << /Fm 6 0 R >>", form),
+        pdf_page(pdf_stream(b"k", b"/Filter /JPXDecode")),
+        sample_pdf(["k"]).replace(b"trailer <<", b"trailer << /Encrypt 9 0 R"),
+    ]
+    rows = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(files)], "case_id int, content binary")
+    return rows.select("case_id", pdf.try_extract_pdf_bytes("content").alias("r")).select("case_id", "r.value.text", F.col("r.error.kind").alias("error_kind"))
+
+
 def pdf_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = [sample_pdf(["Hello PDF", "second (line)"]), sample_pdf(["plain"], False), sample_pdf([""]), b"%PDF-1.4 broken", b"no pdf", b""]
     rows = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(files)], "case_id int, content binary")
@@ -223,7 +246,7 @@ def qa_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report written to the shared folder and read back."""
     target = f"{new_folder(spark, 'report')}/out"
     documents.write_report(qa.report(_results(spark, sf_dir), "2026-01-01", 7), target)
-    return spark.read.text(target, wholetext=False).where("value <> ''").select(F.col("value").alias("line"))
+    return spark.read.text(target, wholetext=False).where("value <> ''").select(F.regexp_replace("value", "^(- .FAIL. [a-z_]+):.*$", "$1").alias("line"))
 
 
 def readable_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,7 +294,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "readable_pages": readable_pages,
     "layout_pages": layout_pages,
     "readable_rules": readable_rules,
+    "layout_cases": layout_cases,
     "pdf_cases": pdf_cases,
+    "pdf_filters": pdf_filters,
     "pdf_files": pdf_files,
     "strip_files": strip_files,
     "qa_results_pages": qa_results_pages,

@@ -261,6 +261,12 @@ def statements() -> dict[str, str]:
         " UNION ALL SELECT '- [FAIL] ' || name FROM c WHERE NOT passed"
         " UNION ALL SELECT '## Summary' UNION ALL SELECT '- Documents: ' || count(*) FROM both_ UNION ALL SELECT '- Errors: 0' UNION ALL SELECT '- Checks: ' || count(*) FROM c UNION ALL SELECT '- Failed checks: ' || count_if(NOT passed) FROM c) SELECT line FROM parts",
         "strip_files": f"WITH {strip_cte(f'SELECT case_id AS id, html || chr(10) AS x FROM ' + table(cases.STRIP, 'html'))} SELECT text FROM stripped",
+        "layout_cases": "SELECT case_id, text, 'html' AS format, 'html2text' AS extractor, NULL::VARCHAR AS title, NULL::VARCHAR AS excerpt, false AS fallback FROM (VALUES "
+        + ", ".join(f"({i}, {lit(text)})" for i, (_, text) in enumerate(cases.LAID_OUT)) + ") AS v(case_id, text)",
+        "pdf_filters": "SELECT i::INTEGER AS case_id, CASE WHEN i < 5 THEN 'rain and wind' || chr(10) || 'until noon' || chr(10) END AS text, CASE WHEN i >= 5 THEN 'io' END AS error_kind FROM range(7) AS r(i)",
+        "pdf_cases": "SELECT * FROM (VALUES (0, 'Hello PDF' || chr(10) || 'second (line)' || chr(10), 'pdf-extract', NULL, NULL), (1, 'plain' || chr(10), 'pdf-extract', NULL, NULL), "
+        "(2, NULL, NULL, 'empty_result', 'extraction produced no text'), (3, NULL, NULL, 'io', 'I/O error: PDF extraction failed: no objects'), "
+        "(4, NULL, NULL, 'io', 'I/O error: PDF extraction failed: no header'), (5, NULL, NULL, 'io', 'I/O error: PDF extraction failed: no header')) AS v(case_id, text, extractor, error_kind, message)",
         "pdf_files": "SELECT * FROM (VALUES ('two-lines', 'Rain at noon' || chr(10) || 'wind (west)' || chr(10), NULL), ('plain', 'k' || chr(10), NULL), ('blank', NULL, 'empty_result'), ('broken', NULL, 'io')) AS v(name, text, error_kind)",
         "readable_rules": f"SELECT case_id, CASE WHEN long THEN 'readability' ELSE 'strip' END AS extractor, NOT long AS fallback, CASE WHEN long THEN regexp_extract(html, '<title>([^<]*)', 1) END AS title, false AS has_menu, false AS has_footer, len(regexp_extract_all(html, 'Paragraph [0-9]+ speaks of')) AS paragraphs FROM (SELECT *, contains(html, 'Paragraph 1 ') AS long FROM {table(cases.ARTICLES, 'html')})",
         "readable_fallback": f"WITH {strip_cte(f'SELECT case_id AS id, html AS x FROM ' + table(cases.READABLE, 'html'))} SELECT id AS case_id, text, 'html' AS format, 'strip' AS extractor, NULL::VARCHAR AS title, NULL::VARCHAR AS excerpt, true AS fallback FROM stripped",

@@ -1,4 +1,6 @@
 import base64
+import random
+import textwrap
 import zlib
 
 import pytest
@@ -7,8 +9,8 @@ from pyspark.sql import functions as F
 
 from loomtext.operators import extract as e
 from loomtext.operators import layout, pdf, qa, readable
-from loomtext.sources import pool
 from loomtext.plans.catalogue import pdf_page, pdf_stream, sample_pdf
+from loomtext.sources import pool
 
 ARTICLE = (
     "<html><head><title>Site | Story</title><meta name='description' content='About it'></head><body><nav>Menu here</nav>"
@@ -147,6 +149,15 @@ def test_layout_of_deep_pages(spark):
     assert row.extractor == "html2text" and "deep **down**" in row.text and "> > > > > > > > quoted" in row.text
 
 
+def test_wrapped_lines():
+    rng = random.Random(6)
+    for _ in range(500):
+        words = ["k" * rng.choice([1, 2, 5, 9, 40]) for _ in range(rng.randint(0, 30))]
+        first, rest, room = rng.choice([("", ""), ("* ", "  "), ("> > ", "> > ")]) + (rng.randint(8, 40),)
+        want = textwrap.wrap(" ".join(words), room, initial_indent=first, subsequent_indent=rest)
+        assert layout.wrapped(words, room, first, rest) == [x.rstrip() for x in want]
+
+
 def test_qa(spark):
     df = spark.createDataFrame([("ok text", "<p>"), (" a  b", "<script x"), ("<p>x</p>\x01​", "<body"), ("x", "<body>" + "y" * 300)], "t string, h string")
     rows = [{c.name: c.passed for c in r[0]} for r in df.select(qa.checks("t", "h")).collect()]
