@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -22,7 +22,7 @@ BANDS, ROWS = 40, 6
 BLOCK_SHINGLES, BLOCK_NODES = 400_000, 300
 #: Blocks of a family up to which all of them meet: at most 36 meetings, and no row in more than 8.
 FEW_BLOCKS = 8
-#: Nodes of a large family that tell which of its shingles are common, and bits of the map of these.
+#: Nodes of a large family, about, that tell which of its shingles are common, and bits of the map of these.
 SAMPLE_NODES, MAP_BITS = 64, 1 << 16
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -237,9 +237,8 @@ def _links_of_large(source: DataFrame, members: DataFrame, percent: int) -> Data
        class after that; nodes outside the largest class are left over.
     3. Left-over nodes, in blocks of their own, meet all blocks of their family.
     """
-    running = Window.partitionBy("family").orderBy(F.xxhash64("node"))
-    sampled = members.select("node", "family", F.row_number().over(running).alias("rank"), F.sum("n").over(running).alias("sum"))
-    sampled = sampled.where((F.col("rank") <= SAMPLE_NODES) & (F.col("sum") <= BLOCK_SHINGLES)).select("node", "family")
+    chance = F.shiftrightunsigned(F.xxhash64("node"), 11) / float(1 << 53)
+    sampled = members.where(chance < SAMPLE_NODES / (BLOCK_NODES * F.col("blocks"))).select("node", "family")
     sampled = source.join(sampled, source["doc_id"] == sampled["node"]).select("family", "text")
     common = cut(sampled.repartition("family").sortWithinPartitions("family").mapInArrow(_common, "family long, common binary"), "common")
     rows = source.join(members, source["doc_id"] == members["node"]).select("node", "family", "text").join(common, "family", "left")
@@ -307,7 +306,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id
     families = _grouped(nodes.select("node", F.explode("bands").alias("key")))
     members = _in_blocks(families.join(nodes.groupBy("node").agg(F.sum("n").alias("n")), "node"))
     links = _verified(source, _all_meet(members.where(F.col("blocks") <= FEW_BLOCKS)), percent)
-    large = members.where(F.col("blocks") > FEW_BLOCKS).select("node", "family", "n")
+    large = members.where(F.col("blocks") > FEW_BLOCKS).select("node", "family", "n", "blocks")
     if not large.isEmpty():
         links = links.unionByName(_links_of_large(source, large, percent))
     classes = components(links.unionByName(_shared_ids(usable, nodes)))
