@@ -71,10 +71,69 @@ SELECT doc_id, count(*) AS n_lines, count_if(gone)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256 FROM marked GROUP BY 1
 """
 
+_CRC_TABLE = """table_ AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crcs)"""
+
+
+def _crc32(text: str) -> str:
+    """Of a query that reads ``table_`` too."""
+    digits = "(strpos('0123456789ABCDEF', h[1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2]) - 1"
+    steps = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: {digits})"
+    return f"xor(list_reduce(list_concat([4294967295], {steps}), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+TRIE = f"""
+WITH {_CRC_TABLE},
+own AS (SELECT conv_id, list({{'r': coalesce(role, ''), 'x': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+h AS (SELECT conv_id, ts, {_crc32("conv_id::VARCHAR")} % 9 AS h FROM own, table_),
+built AS (SELECT h.conv_id, list_concat(coalesce(b.ts[1:h.h], []), h.ts[h.h + 1:]) AS ts FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 5),
+begun AS (SELECT conv_id, ts, unnest(range(0, len(ts) + 1)) AS d FROM built),
+node AS (SELECT d, ts[1:d] AS k, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(octet_length(encode(any_value(ts[d].x))), 0) AS own_saved,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(ts) = d), '')) AS ends_sha256 FROM begun GROUP BY 1, 2),
+kids AS (SELECT d - 1 AS d, k[1:d - 1] AS k, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1, 2),
+full_ AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM node n LEFT JOIN kids c ON c.d = n.d AND c.k = n.k),
+up AS (SELECT unnest(range(0, d + 1)) AS top, k, n_children, own_saved FROM full_),
+sums AS (SELECT top AS d, k[1:top] AS k, count_if(n_children = 0) AS n_leaves, sum(own_saved) AS saved_tokens FROM up GROUP BY 1, 2)
+SELECT n.conv_id, n.d::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, n.n_children::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves,
+  s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM full_ n JOIN sums s ON s.d = n.d AND s.k = n.k LEFT JOIN node p ON p.d = n.d - 1 AND p.k = n.k[1:n.d - 1]
+"""
+
+URLS = f"""
+WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, {_LOWER.format("regexp_replace(rest, '(?s)[/?#].*$', '')")} AS host,
+  regexp_replace(substr(rest, length(regexp_replace(rest, '(?s)[/?#].*$', '')) + 1), '(?s)[?#].*$', '') AS path FROM cut),
+rules AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) AS v(h, p, verdict)),
+met AS (SELECT page_id, h || p AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY len(string_split(h, '.')) DESC, length(p) DESC) AS r
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT a.page_id, a.host, a.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM parts a LEFT JOIN met m ON m.page_id = a.page_id AND m.r = 1
+"""
+
+SPELLING = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+each_ AS (SELECT doc_id, run, count(*) AS m FROM runs GROUP BY 1, 2),
+coded AS (SELECT run, m, {_crc32("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM each_, table_),
+made AS (SELECT CASE WHEN h % 97 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, m FROM coded),
+words AS (SELECT word, sum(m)::BIGINT AS n FROM made WHERE length(word) >= 5 GROUP BY 1 HAVING sum(m) >= 3),
+less AS (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) OVER (PARTITION BY word) AS n_near, other, m, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS r FROM near),
+forms AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.m >= 2 * w.n THEN b.other END AS form, CASE WHEN b.m >= 2 * w.n THEN b.m END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word AND b.r = 1),
+walk AS (SELECT word, word AS at FROM words UNION ALL SELECT k.word, f.form FROM walk k JOIN forms f ON f.word = k.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, k.at AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN walk k ON k.word = f.word JOIN forms e ON e.word = k.at AND e.form IS NULL
+"""
+
 ORACLE_SQL = {
     "op1_exact_top_k": TOP_K,
     "op3_minhash_near_dedup": NEAR_DUP,
     "op5_substring_dedup": SUBSTRING,
     "op8_sharding": SHARDING,
     "op10_line_dedup": LINES,
+    "op11_conversation_prefix_trie": TRIE,
+    "op12_url_filters": URLS,
+    "op13_spelling_variants": SPELLING,
 }
