@@ -213,19 +213,12 @@ class Lattices:
         order = np.lexsort((-size, head))
         start, head, row, weight = start[order], head[order], row[order], weight[order]
         counts = np.bincount(head, minlength=n + 1)[1:]
-        forward = np.zeros(n + 1)
-        tails, shares, near, shift, at = start.tolist(), np.exp(weight).tolist(), [1.0] + [0.0] * n, 0.0, 0
-        for i, edges in enumerate(counts.tolist(), 1):
-            total = 0.0
-            for e in range(at, at + edges):
-                total += near[tails[e]] * shares[e]
-            at += edges
-            near[i] = total
-            forward[i] = math.log(total) + shift
-            if total < 1e-100:  # only the last few sums are read again
-                for j in range(max(0, i - model.longest), i + 1):
-                    near[j] /= total
-                shift += math.log(total)
+        tails, logs, forward, at = start.tolist(), weight.tolist(), [0.0], 0
+        for edges in counts.tolist():  # scaled by each node's largest term, so that no weight is too small
+            terms = [forward[tails[e]] + logs[e] for e in range(at, at + edges)]
+            peak, at = max(terms), at + edges
+            forward.append(peak + math.log(sum([math.exp(x - peak) for x in terms])))
+        forward = np.array(forward)
         share = np.cumsum(np.exp(forward[start] + weight - forward[head]))
         ends = np.cumsum(counts)
         before = np.concatenate([[0.0], share])[ends - counts]

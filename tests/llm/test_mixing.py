@@ -139,3 +139,38 @@ def test_targets_are_met_where_topics_follow_languages(spark):
     report = mixing.target_report(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()
     assert all(r.met for r in report), [r for r in report if not r.met]
     assert len({r.value for r in report if r.dimension == "topic"}) >= 3
+
+
+def test_goals_that_some_draw_meets_are_met():
+    """Goals are the marginals of known probabilities, in dimensions that depend on each other: as much is drawn as there, or more."""
+    rng = np.random.default_rng(11)
+    for _ in range(20):
+        n = 200
+        codes = [rng.integers(0, 8, n), rng.integers(0, 4, n)]
+        codes.append(np.where(rng.random(n) < 0.9, codes[1] * 2 + rng.integers(0, 2, n), rng.integers(0, 8, n)))
+        tokens, known = rng.pareto(1.5, n) * 1000 + 1, rng.choice([0.2, 0.5, 0.9, 1.0], n)
+        goals = [np.bincount(c, tokens * known) / (tokens * known).sum() for c in codes]
+        weight, _ = mixing.rake(tokens, codes, goals)
+        least = (tokens * known).sum() / tokens.sum()
+        chance, share = mixing.fit_under_bound(tokens, codes, goals, weight * 0.95, 0.95, 0.9 * least)
+        drawn = tokens * chance
+        assert share >= 0.99 * least and chance.max() <= 1 and abs(drawn.sum() / tokens.sum() / share - 1) < 2 * mixing.MET
+        assert all(np.abs(np.bincount(c, drawn) / drawn.sum() / g - 1).max() < 2 * mixing.MET for c, g in zip(codes, goals))
+
+
+def test_targets_are_met_on_what_the_stages_before_keep(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, sf_dir)
+    report = mixing.target_report(mixing.cut(docs, "survivors")).collect()
+    assert all(abs(r.expected - r.target) <= mixing.MET * r.target for r in report if r.met) and sum(r.met for r in report) >= 0.8 * len(report)
+
+
+def test_a_column_of_the_structs_name_survives(spark):
+    rows = [(i, "word " * 30, "s", "en", f"own{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, mix string")
+    kept = mixing.drawn_to_targets(df)
+    assert kept.columns == df.columns
+    assert all(r.mix == f"own{r.doc_id}" for r in kept.collect()) and 10 < kept.count() < 40

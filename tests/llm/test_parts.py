@@ -268,3 +268,11 @@ def test_repeated_words():
     h = words.vocabulary_hashes(pa.array(list("abcab")))[[0, 1, 2, 0, 1, 2, 0]]
     assert fertility.repeated_words(h, np.array([0, 7])).tolist() == [7]
     assert fertility.repeated_words(h, np.array([0, 3, 7])).tolist() == [0, 0]
+
+
+@pytest.mark.parametrize("alpha", [0.0, 1.0, 40.0, 1000.0])
+def test_long_units_at_any_sharpness(spark, alpha):
+    texts = ["😀" * 300, "漢字" * 200, "x" * 300_000, "aé漢😀" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pieces.encode_checked(df, v.PIECES, alpha=alpha).collect()
+    assert all(r.lossless for r in rows) and len(rows) == len(texts)
