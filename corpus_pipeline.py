@@ -43,9 +43,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null sources and languages are categories of their own.  Null and empty texts have no
     tokens and are drawn like their cell.  Equal rows share a draw, rows without an id
-    are drawn by text.  Empty table: no rows.
+    are drawn by text.  Columns of any name stay, ``mix`` too.  Targets are met within
+    0.1 %, with a smaller share of the tokens if need be; what still misses is logged.
+    Empty table: no rows.
     """
-    return mixing.mix_to_targets(docs).where("mix.kept").select(*docs.columns)
+    return mixing.drawn_to_targets(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
