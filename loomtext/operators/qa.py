@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.common import as_column
+from ..functions.common import as_column, let
 
 # Script needles, tags and characters that the checks look for.
 SCRIPT_NEEDLES = ("function(", "window.", "document.", "addEventListener", "typeof ", "===")
@@ -68,12 +68,13 @@ def checks(text: Column | str, html: Column | str) -> Column:
     )
 
 
-def tested(pages: DataFrame, text: Column | str, html: str = "html") -> DataFrame:
+def tested(pages: DataFrame, text: Column | str, html: str = "html", keep: list[str] | None = None) -> DataFrame:
     """Fields of ``RESULT`` for a table of fetched pages and their text.
 
     ``url``, ``final_url``, ``lang``, ``category``, ``fetch_ms``, ``extract_ms`` and
     ``error`` are taken from columns of these names, null where there is none: a
-    projection measures no time for a row.  A row with an error has no checks.
+    projection measures no time for a row (see ``timed``).  A row with an error has no
+    checks.  Columns to ``keep`` follow.
     """
     fields = {x.split()[0]: x.split()[1] for x in RESULT.split(", ") if not x.startswith("checks")}
     given = {n: F.col(n).cast(kind) if n in pages.columns else F.lit(None).cast(kind) for n, kind in fields.items()}
@@ -82,7 +83,7 @@ def tested(pages: DataFrame, text: Column | str, html: str = "html") -> DataFram
     none = F.array().cast("array<struct<name:string,passed:boolean,detail:string>>")
     found = F.when(given["error"].isNull() & source.isNotNull(), checks(value, source)).otherwise(none)
     names = [x.split()[0] for x in RESULT.split(", ")]
-    return pages.select(*[(found if n == "checks" else given[n]).alias(n) for n in names])
+    return pages.select(*[(found if n == "checks" else given[n]).alias(n) for n in names], *(keep or []))
 
 
 def summary(results: DataFrame, column: str = "checks", error: str | None = None) -> DataFrame:
@@ -97,6 +98,26 @@ def summary(results: DataFrame, column: str = "checks", error: str | None = None
     )
 
 
+def observed(results: DataFrame, name: str = "totals") -> tuple[DataFrame, Observation]:
+    """``results`` and the totals that the first job over them counts on the way: ``observation.get`` has the fields of ``summary``."""
+    watch = Observation(name)
+    failed = F.size(F.filter("checks", lambda c: ~c["passed"]))
+    counts = [
+        F.count(F.lit(1)).alias("documents"), F.count_if(F.col("error").isNotNull()).alias("errors"),
+        F.coalesce(F.sum(F.size("checks")), F.lit(0)).cast("bigint").alias("checks"), F.coalesce(F.sum(failed), F.lit(0)).cast("bigint").alias("failed_checks"),
+    ]
+    return results.observe(watch, *counts), watch
+
+
+def timed(value: Column, name: str = "value") -> Column:
+    """``struct<name, ms>``: a value and the milliseconds that working it out took, by two readings of the executor's clock."""
+    clock = "java.lang.System"
+    read = F.struct(
+        F.java_method(F.lit(clock), F.lit("nanoTime")).cast("bigint").alias("began"), value.alias(name), F.java_method(F.lit(clock), F.lit("nanoTime")).cast("bigint").alias("ended")
+    )
+    return let(read, lambda r: F.struct(r[name].alias(name), ((r["ended"] - r["began"]) / 1e6).alias("ms")))
+
+
 def exit_status(totals: DataFrame) -> DataFrame:
     """``status``: 1 if a check failed or a document had an error, else 0."""
     return totals.select(F.when((F.col("failed_checks") > 0) | (F.col("errors") > 0), 1).otherwise(0).alias("status"))
@@ -109,8 +130,8 @@ def assert_clean(totals: DataFrame) -> None:
         raise AssertionError(f"{row['failed_checks']} failed checks, {row['errors']} errors")
 
 
-def report_lines(results: DataFrame) -> DataFrame:
-    """``value``: a Markdown section for each tested document (fields of ``RESULT``)."""
+def report_lines(results: DataFrame, others: list[str] | None = None) -> DataFrame:
+    """``value``: a Markdown section for each tested document (fields of ``RESULT``), and other columns if asked for."""
     ok = F.forall("checks", lambda c: c["passed"])
     status = F.when(F.col("error").isNotNull(), "ERROR").when(ok, "PASS").otherwise("FAIL")
 
@@ -122,7 +143,7 @@ def report_lines(results: DataFrame) -> DataFrame:
     times = F.concat(F.lit("- Fetch: "), F.round("fetch_ms").cast("long"), F.lit(" ms, extract: "), F.round("extract_ms").cast("long"), F.lit(" ms"))
     body = F.when(F.col("error").isNotNull(), F.concat(F.lit("Error: "), F.col("error"))).otherwise(F.concat_ws("\n", sizes, times, F.transform("checks", line)))
     title = F.concat(F.lit("### ["), status, F.lit("] "), F.coalesce("lang", F.lit("-")), F.lit(" "), F.coalesce("final_url", "url", F.lit("-")))
-    return results.select(F.concat(title, F.lit("\n\n"), body, F.lit("\n")).alias("value"))
+    return results.select(F.concat(title, F.lit("\n\n"), body, F.lit("\n")).alias("value"), *(others or []))
 
 
 def report(results: DataFrame, date: str, seed: int | None = None) -> DataFrame:

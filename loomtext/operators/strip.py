@@ -81,14 +81,20 @@ def _step(state: Column, token: Column) -> Column:
     return F.when(F.startswith(token, F.lit("<")), tag).when(state["visible"], said).otherwise(state)
 
 
-def _folded(tokens: Column) -> Column:
-    """``gap``: whether the text before the chunk is empty or ends with a space."""
-    no = F.lit(False)
-    start = F.struct(
-        no.alias("script"), no.alias("style"), F.lit(0).alias("skip"), F.lit(0).alias("wiki"), F.lit(True).alias("visible"),
-        F.lit(True).alias("gap"), F.lit("").alias("out"),
+def _start(script: Column, style: Column, skip: Column, wiki: Column, gap: Column) -> Column:
+    """State before a token.  ``gap``: whether the text before is empty or ends with a space."""
+    visible = ~script & ~style & (skip == 0)
+    return F.struct(
+        script.alias("script"), style.alias("style"), skip.alias("skip"), wiki.alias("wiki"), visible.alias("visible"), gap.alias("gap"), F.lit("").alias("out")
     )
 
+
+def _folded(tokens: Column, start: Column | None = None) -> Column:
+    """Visible text of tokens that begin in a state; in that of a page's beginning unless given."""
+    if start is None:
+        no, none = F.lit(False), F.lit(0)
+        start = _start(no, no, none, none, F.lit(True))
+
     def over_chunk(outer: Column, first: Column) -> Column:
         def closed(s: Column) -> Column:
             gap = F.when(s["out"] == "", s["gap"]).otherwise(F.endswith(s["out"], F.lit(" ")))
@@ -109,7 +115,7 @@ def strip_to_text(html: Column | str, options: StripOptions | None = None) -> Co
     null; an empty string stays empty.
     """
     value = as_column(html)
-    visible = F.when(F.contains(value, F.lit("<")), let(markup_tokens(value), _folded)).otherwise(decode_entities(value))
+    visible = F.when(F.contains(value, F.lit("<")), let(markup_tokens(value), lambda tokens: _folded(tokens))).otherwise(decode_entities(value))
     if (options or StripOptions()).strip_wiki_ref_markers:
         visible = strip_ref_markers(visible)
     return cleanup_whitespace(visible)

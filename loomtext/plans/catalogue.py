@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions import attributes, cleanup, detect, entities, formats, markers, tokens
 from ..functions.constants import ENTITIES
-from ..operators import extract, layout, pdf, qa, readable
+from ..operators import elements, extract, layout, pdf, qa, readable
 from ..operators.strip import StripOptions, strip_to_text
-from ..sources import documents, pool
+from ..operators.wide import strip_wide
+from ..sources import documents
 from ..sources.shared import file_system, new_folder
 from ..sources.tables import read_table
-from . import cases
+from . import cases, derived
 
 
 def _cases(spark: SparkSession, values: tuple[str, ...], column: str) -> DataFrame:
@@ -230,14 +231,6 @@ def qa_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("case_id", F.inline(qa.checks("t", "h")))
 
 
-def qa_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pool.sample_pool(pool.default_pool(spark), 200, 11)
-
-
-def qa_sample_news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pool.sample_pool(pool.default_pool(spark), 20, 3, "news")
-
-
 def qa_exit_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qa.exit_status(qa_summary(spark, sf_dir))
 
@@ -259,9 +252,30 @@ def readable_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def strip_pages_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as if they were huge: dealt out in ranges of 64 tokens."""
+    return strip_wide(read_table(spark, sf_dir, "pages"), wide_bytes=0, size=64)
+
+
+def strip_pages_wiki_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strip_wide(read_table(spark, sf_dir, "pages"), options=StripOptions.wikipedia(), wide_bytes=0, size=64)
+
+
+def elements_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elements.element_table(read_table(spark, sf_dir, "pages"))
+
+
+def skip_regions_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elements.skip_regions(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "strip_pages": strip_pages,
     "strip_pages_wiki": strip_pages_wiki,
+    "strip_pages_ranges": strip_pages_ranges,
+    "strip_pages_wiki_ranges": strip_pages_wiki_ranges,
+    "elements_pages": elements_pages,
+    "skip_regions_pages": skip_regions_pages,
     "strip_cases": _stripped_cases(cases.STRIP),
     "wiki_skip_cases": _stripped_cases(cases.WIKI_SKIP),
     "img_alt_cases": _stripped_cases(cases.IMAGES),
@@ -301,8 +315,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "strip_files": strip_files,
     "qa_results_pages": qa_results_pages,
     "qa_details": qa_details,
-    "qa_sample": qa_sample,
-    "qa_sample_news": qa_sample_news,
     "qa_exit_status": qa_exit_status,
     "qa_report": qa_report,
+    **derived.QUERIES,
 }

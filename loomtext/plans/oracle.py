@@ -14,7 +14,6 @@ import html.entities
 from ..functions import constants as k
 from ..functions import detect, formats
 from ..operators import extract, qa
-from ..sources import pool
 from . import cases
 
 
@@ -137,6 +136,28 @@ joined AS (SELECT id, {out} AS raw FROM pieces GROUP BY id),
 stripped AS (SELECT s.id, {cleanup(markers("coalesce(raw, '')") if wiki else "coalesce(raw, '')")} AS text FROM src s LEFT JOIN joined j ON s.id = j.id)"""
 
 
+def elements(source: str) -> str:
+    """Start tags with what closes them: the first end tag of the name behind which no more of them were opened than closed."""
+    void = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+    return f"""WITH {tokens_cte(source)},
+sizes AS (SELECT id, len(ts) AS size FROM split),
+marks AS (SELECT id, i, regexp_replace(regexp_replace(name, '^/', ''), '/$', '') AS n, CASE WHEN name[1] = '/' THEN -1
+  WHEN regexp_replace(name, '/$', '') IN {names(void)} OR right(t, 2) = '/>' THEN 0 ELSE 1 END AS step FROM tags WHERE kind = 'tag'),
+runs AS (SELECT *, sum(step) OVER (PARTITION BY id, n ORDER BY i) AS s FROM marks WHERE n <> ''),
+pairs AS (SELECT a.id, a.n, a.i, min(b.i) AS e FROM runs a LEFT JOIN runs b ON a.id = b.id AND a.n = b.n AND b.i > a.i AND b.step = -1 AND b.s < a.s WHERE a.step = 1 GROUP BY 1, 2, 3),
+found AS (SELECT p.id, n, i, coalesce(e, size) AS e, e IS NOT NULL AS closed FROM pairs p JOIN sizes z ON z.id = p.id UNION ALL SELECT id, n, i, i, true FROM runs WHERE step = 0)
+SELECT c.id AS page_id, c.n AS name, c.i AS start, c.e AS "end", c.closed, count(p.i) AS depth, max(p.i) AS parent
+FROM found c LEFT JOIN found p ON p.id = c.id AND p.i < c.i AND p.e > c.i GROUP BY 1, 2, 3, 4, 5"""
+
+
+def skip_regions(source: str) -> str:
+    """Where the skip depth of stripping rises from 0, and where it is 0 again."""
+    return f"""WITH {strip_cte(source)},
+turns AS (SELECT id, i, skipped, coalesce(lag(skipped) OVER (PARTITION BY id ORDER BY i), 0) AS before FROM skip2),
+edges AS (SELECT id, i, skipped > 0 AS opens FROM turns WHERE (skipped > 0) <> (before > 0))
+SELECT id AS page_id, i AS start, e AS "end" FROM (SELECT *, lead(i) OVER (PARTITION BY id ORDER BY i) AS e FROM edges) WHERE opens"""
+
+
 def is_html(x: str) -> str:
     head = f"left({x}, CAST(list_max(list_filter(range(256, 1025), lambda n: octet_length(encode(left({x}, CAST(n AS BIGINT)))) <= 1024)) AS BIGINT))"
     w = f"regexp_replace({head}, {lit(f'^{_class(SPACE_POINTS)}+')}, '')"
@@ -193,16 +214,27 @@ def _details() -> list[tuple[int, str, str]]:
     return [(i, n, said.get((i, n), "")) for i in range(len(cases.CHECKED)) for n in names_]
 
 
-def _sample(k_: int, seed: int, category: str | None) -> str:
-    """Draws with replacement from the pool, numbered by address."""
-    rows = [(f"https://{x}.wikipedia.org/wiki/Special:Random", x, "wikipedia") for x in pool.LANGUAGES]
-    rows += [(f"https://en.{x}.org/wiki/Special:Random", "en", "wikimedia") for x in pool.SISTERS] + [(u, "en", c) for u, c in pool.PAGES]
-    values = ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows if category in (None, r[2]))
-    return (
-        f"WITH p AS (SELECT *, row_number() OVER (ORDER BY url) - 1 AS number, count(*) OVER () AS n FROM (VALUES {values}) AS v(url, lang, cat)), "
-        f"d AS (SELECT i AS draw, ('0x' || md5('{seed}:' || i)[1:8])::UBIGINT / 4294967296.0::DOUBLE AS u FROM range({k_}) AS r(i)) "
-        "SELECT draw, url, lang, cat FROM d JOIN p ON p.number = floor(d.u * p.n)"
-    )
+def detail(name: str, text: str, html: str) -> str:
+    """What a failed check says."""
+    at, tag = f"(strpos({text}, '  ') - 1)", f"regexp_extract({text}, {lit(f'({qa.TAG})')}, 1)"
+    around = f"substr({text}, greatest({at} - 20, 0) + 1, least({at}, 20) + 20)"
+    escaped = f"replace(replace(replace(replace({around}, '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')"
+    quoted = f"""CASE WHEN contains({around}, '''') AND NOT contains({around}, '"') THEN '"' || {escaped} || '"' ELSE '''' || replace({escaped}, '''', '\\''') || '''' END"""
+
+    def points(pattern: str) -> str:
+        each = f"list_transform(regexp_extract_all({text}, {lit(pattern)})[1:5], lambda c: '''U+' || printf('%04X', unicode(c)) || '''')"
+        return f"'found: [' || array_to_string({each}, ', ') || ']'"
+
+    hits = " + ".join(f"contains({text}, {lit(n)})::INT" for n in qa.SCRIPT_NEEDLES)
+    return {
+        "no_double_spaces": f"'at pos ' || {at} || ': ...' || {quoted} || '...'",
+        "trimmed": "'leading/trailing whitespace'",
+        "no_script_leak": f"({hits}) || ' JS keywords in output'",
+        "no_html_tags": f"'tag: ' || substr({tag}, 1, 60)",
+        "non_empty": f"'html=' || length({html}) || ' chars, text=' || length({text}) || ' chars'",
+        "no_control_chars": points(qa.CONTROLS),
+        "no_invisible_chars": points(qa.INVISIBLE),
+    }[name]
 
 
 def statements() -> dict[str, str]:
@@ -219,6 +251,10 @@ def statements() -> dict[str, str]:
     return {
         "strip_pages": f"WITH {strip_cte(pages)} SELECT p.page_id, p.url, {detect_str('p.html')} AS format, t.text, octet_length(encode(t.text)) AS text_bytes FROM pages p JOIN stripped t ON p.page_id = t.id",
         "strip_pages_wiki": f"WITH {strip_cte(pages, True)} SELECT id AS page_id, text FROM stripped",
+        "strip_pages_ranges": f"WITH {strip_cte(pages)} SELECT id AS page_id, text FROM stripped",
+        "strip_pages_wiki_ranges": f"WITH {strip_cte(pages, True)} SELECT id AS page_id, text FROM stripped",
+        "elements_pages": elements(pages),
+        "skip_regions_pages": skip_regions(pages),
         "strip_cases": _stripped_cases(cases.STRIP),
         "wiki_skip_cases": _stripped_cases(cases.WIKI_SKIP),
         "img_alt_cases": _stripped_cases(cases.IMAGES),
@@ -250,8 +286,6 @@ def statements() -> dict[str, str]:
         "qa_summary": f"{both}, c AS ({checks}) SELECT (SELECT count(*) FROM both_) AS documents, 0::BIGINT AS errors, count(*) AS checks, count_if(NOT passed)::BIGINT AS failed_checks FROM c",
         "qa_results_pages": f"{both}, c AS ({checks}), n AS (SELECT page_id, count(*) AS n_checks, count_if(NOT passed)::BIGINT AS n_failed FROM c GROUP BY 1) SELECT p.url, length(b.x) AS html_len, length(b.text) AS text_len, n.n_checks, n.n_failed, NULL::VARCHAR AS error FROM both_ b JOIN pages p ON p.page_id = b.id JOIN n ON n.page_id = b.id",
         "qa_details": "SELECT * FROM (VALUES " + ", ".join(f"({i}, {lit(n)}, {str(d == '').lower()}, {lit(d)})" for i, n, d in _details()) + ") AS v(case_id, name, passed, detail)",
-        "qa_sample": _sample(200, 11, None),
-        "qa_sample_news": _sample(20, 3, "news"),
         "qa_exit_status": f"{both}, c AS ({checks}) SELECT (count_if(NOT passed) > 0)::INTEGER AS status FROM c",
         "qa_report": f"{both}, c AS ({checks}), n AS (SELECT page_id, count_if(NOT passed) AS bad FROM c GROUP BY 1), parts AS ("
         "SELECT '# Extraction report' AS line UNION ALL SELECT '- Date: 2026-01-01' UNION ALL SELECT '- Seed: 7' UNION ALL SELECT '- Documents: ' || count(*) FROM both_ UNION ALL SELECT '## Results'"

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Folders of the open scopes, innermost last.
 _scopes: list[list[str]] = []
@@ -52,6 +52,13 @@ def discard(spark: SparkSession, path: str) -> None:
     files.delete(target, True)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write a table to the shared folder once and return a reader of it; lost executors read it again."""
+    path = new_folder(df.sparkSession, label)
+    df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @contextlib.contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Remove, at its end, the folders that were made inside it; results must be saved by then."""

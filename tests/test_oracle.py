@@ -3,9 +3,9 @@
 import pytest
 from helpers import compared
 
-from loomtext.plans import catalogue, oracle
+from loomtext.plans import catalogue, derived, oracle
 
-SQL = oracle.statements()
+SQL = oracle.statements() | derived.statements()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
