@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,15 +14,51 @@ _NAMED = {f"&{name};": chr(point) for name, point in sorted(ENTITIES.items())}
 _REPLACEMENT = "�"
 
 
-_FREQUENT = ("&amp;", "&lt;", "&gt;", "&quot;", "&nbsp;", "&apos;", "&copy;", "&mdash;", "&ndash;", "&middot;")
+#: Buckets of the name table, and slots it may have: the first number with which no two names meet.
+_BUCKETS, _SLOTS = 128, (409, 421, 431, 433, 439, 443, 449, 457, 461, 463, 467, 479, 487, 491, 499, 503, 509, 521, 523, 541)
+
+
+def _table(names: list[str], slots: int) -> tuple[list[int], list[str]] | None:
+    """Shifts of the buckets with which each name has a slot of its own, and the names by slot; null if there are none.
+
+    A name's crc32 names its bucket; the rest of it plus the bucket's shift is its slot.
+    """
+    buckets: list[list[tuple[int, str]]] = [[] for _ in range(_BUCKETS)]
+    for name in names:
+        code = zlib.crc32(name.encode())
+        buckets[code % _BUCKETS].append((code // _BUCKETS, name))
+    shifts, taken = [0] * _BUCKETS, {}
+    for i in sorted(range(_BUCKETS), key=lambda i: -len(buckets[i])):
+        for shift in range(slots):
+            places = {(code + shift) % slots: name for code, name in buckets[i]}
+            if len(places) == len(buckets[i]) and not places.keys() & taken.keys():
+                break
+        else:
+            return None
+        shifts[i] = shift
+        taken |= places
+    return shifts, [taken.get(i, "") for i in range(slots)]
+
+
+_SHIFTS, _BY_SLOT = next(found for slots in _SLOTS if (found := _table(list(_NAMED), slots)))
+
+
+def _literals(values: list[str]) -> Column:
+    return F.split(F.lit("\x03".join(values)), "\x03")  # folded to one array
 
 
 def named_character(reference: Column) -> Column:
-    """Character of ``&name;``, null if there is none; exact and case-sensitive."""
-    found = F.when(F.lit(False), F.lit(None).cast("string"))
-    for name in _FREQUENT:  # the map is searched from its start
-        found = found.when(reference == name, F.lit(_NAMED[name]))
-    return found.otherwise(F.try_element_at(literal_map(_NAMED), reference))
+    """Character of ``&name;``, null if there is none; exact and case-sensitive.
+
+    One slot of a constant table is looked at, whatever the name.
+    """
+    shifts, names, characters = _literals([str(x) for x in _SHIFTS]).cast("array<int>"), _literals(_BY_SLOT), _literals([_NAMED.get(n, "") for n in _BY_SLOT])
+
+    def found(code: Column) -> Column:
+        slot = (F.shiftright(code, _BUCKETS.bit_length() - 1) + F.get(shifts, (code % _BUCKETS).cast("int"))) % len(_BY_SLOT)
+        return let(slot.cast("int"), lambda i: F.when(F.get(names, i) == reference, F.get(characters, i)))
+
+    return let(F.crc32(reference.cast("binary")), found)
 
 
 def character(number: Column) -> Column:

@@ -33,7 +33,7 @@ EXTRACTED = T.StructType(
     ]
 )
 #: What the ``try_`` extractors return: one of the two is null.
-ERROR = T.StructType([T.StructField("kind", T.StringType()), T.StructField("message", T.StringType())])
+ERROR = T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "message", "cause")])
 ATTEMPT = T.StructType([T.StructField("value", EXTRACTED), T.StructField("error", ERROR)])
 
 
@@ -67,9 +67,10 @@ def extracted(text: Column, fmt: Column | str, extractor: Column | str, title: C
     )
 
 
-def error(kind: str, detail: Column | str = "") -> Column:
+def error(kind: str, detail: Column | str = "", cause: Column | None = None) -> Column:
+    """``kind``, the ``message`` in words, and as ``cause`` what another reader said, null if none did."""
     message = F.concat(F.lit(MESSAGES[kind]), detail if isinstance(detail, Column) else F.lit(detail))
-    return F.struct(F.lit(kind).alias("kind"), message.alias("message"))
+    return F.struct(F.lit(kind).alias("kind"), message.alias("message"), (F.lit(None).cast("string") if cause is None else cause).alias("cause"))
 
 
 def attempt(value: Column | None = None, failure: Column | None = None) -> Column:

@@ -31,6 +31,21 @@ def extract(content: Column | str) -> Column:
     return F.when(value.isNotNull(), let(detect_str(value), lambda fmt: _record(value, fmt)))
 
 
+def extract_fields(content: Column | str) -> list[Column]:
+    """The fields of ``extract`` as columns of their own: those that a query does not read are not worked out.
+
+    ``pages.select("page_id", *extract_fields("html")).select("format")`` strips nothing.  Null
+    content gives nulls.
+    """
+    value = as_column(content)
+    fmt = detect_str(value)
+    known, none = fmt.isNotNull(), F.lit(None).cast("string")
+    return [
+        F.when(fmt == f.HTML, strip_to_text(value)).otherwise(value).alias("text"), fmt.alias("format"),
+        F.when(known, F.when(fmt == f.HTML, "strip").otherwise("passthrough")).alias("extractor"), none.alias("title"), none.alias("excerpt"), F.when(known, False).alias("fallback"),
+    ]
+
+
 def try_extract(content: Column | str) -> Column:
     """``struct<value, error>`` of ``extract``, which has no error of its own."""
     return f.attempt(extract(content))

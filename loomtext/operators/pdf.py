@@ -339,7 +339,7 @@ def try_extract_pdf_bytes(content: Column | str) -> Column:
     blank = F.trim(F.regexp_replace(found["text"], F.lit("[\\p{IsWhite_Space}]+"), F.lit(""))) == ""
     return (
         F.when(value.isNull(), f.attempt())
-        .when(found["text"].isNull(), f.attempt(failure=f.error(f.IO_ERROR, F.concat(F.lit(FAILED), found["failure"]))))
+        .when(found["text"].isNull(), f.attempt(failure=f.error(f.IO_ERROR, F.concat(F.lit(FAILED), found["failure"]), found["failure"])))
         .when(blank, f.attempt(failure=f.error(f.EMPTY_RESULT)))
         .otherwise(f.attempt(f.extracted(found["text"], f.PDF, "pdf-extract")))
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleanup, detect, entities, formats, markers
 from ..functions.constants import ENTITIES, WIKI_IDS, WIKI_TAGS
-from ..operators import qa
+from ..operators import extract, qa
 from ..operators.strip import StripOptions, strip_to_text
 from ..sources import documents, fetch, heads, pool, reports
 from ..sources.shared import new_folder
@@ -226,6 +226,12 @@ def stream_totals_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("from_time", F.unix_seconds("from_time"))
 
 
+def extract_fields_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats and extractors alone: the plan has no stripping."""
+    fields = read_table(spark, sf_dir, "pages").select("page_id", *extract.extract_fields("html"))
+    return fields.select("page_id", "format", "extractor", "fallback")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "strip_rich_pages": strip_rich_pages,
     "strip_rich_pages_wiki": strip_rich_pages_wiki,
@@ -237,6 +243,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "strip_files_pages": strip_files_pages,
     "head_formats_pages": head_formats_pages,
     "fetch_pages": fetch_pages,
+    "extract_fields_pages": extract_fields_pages,
     "qa_sample": qa_sample_pages(200, 11),
     "qa_sample_news": qa_sample_pages(20, 3, "net"),
     "qa_details_documents": qa_details_documents,
@@ -301,6 +308,7 @@ def statements() -> dict[str, str]:
 {o.strip_cte("SELECT page_id AS id, html || chr(10) AS x FROM one WHERE page_id % 7 <> 0")}
 SELECT one.url, regexp_extract(url, '^[^:]*://[^/]*/([^/?#]*)', 1) AS lang, regexp_extract(url, '^[^:]*://[^/?#]*?([^./?#]*)(?:[/?#]|$)', 1) AS category, coalesce(length(s.x), 0) AS html_len,
   coalesce(length(t.text), 0) AS text_len, true AS timed, CASE WHEN s.id IS NULL THEN 'FileNotFoundError' END AS error FROM one LEFT JOIN src s ON s.id = one.page_id LEFT JOIN stripped t ON t.id = one.page_id""",
+        "extract_fields_pages": f"SELECT page_id, f AS format, CASE f WHEN 'html' THEN 'strip' ELSE 'passthrough' END AS extractor, false AS fallback FROM (SELECT page_id, {o.detect_str('html')} AS f FROM pages)",
         "qa_sample": _sample(200, 11, None),
         "qa_sample_news": _sample(20, 3, "net"),
         "qa_details_documents": f"WITH d AS ({texts}) {details}",

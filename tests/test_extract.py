@@ -189,4 +189,32 @@ def test_sample_is_exact(spark):
     a, b = ({r.draw: r.url for r in pool.sample_pool(x, 500, 7, "news").collect()} for x in (made, made.repartition(3)))
     assert a == b and sorted(a) == list(range(500)) and all(int(u) % 2 for u in a.values()) and len(set(a.values())) > 40
     assert pool.sample_pool(made.limit(0), 5, 1).count() == 0
-    assert pool.default_pool(spark).count() == 30
+    own = spark.createDataFrame([("http://www.x.org/de/1?a",), ("http://www.x.org/de/1?a",), ("https://y.net",), (None,)], "url string")
+    assert sorted(map(tuple, pool.pool_of_pages(own).collect())) == [("http://www.x.org/de/1?a", "de", "org"), ("https://y.net", "", "net")]
+
+
+def test_errors_have_a_cause(spark):
+    from loomtext.operators.extract import try_extract_as
+    from loomtext.operators.pdf import try_extract_pdf_bytes
+
+    df = spark.createDataFrame([(bytearray(b"%PDF-1.4 k"),), (bytearray(b"no pdf"),)], "b binary")
+    errors = [r.r.error for r in df.select(try_extract_pdf_bytes("b").alias("r")).collect()]
+    assert all(e.kind == "io" and e.cause and e.message.endswith(e.cause) for e in errors)
+    assert spark.range(1).select(try_extract_as(F.lit("k"), "pdf").alias("r")).first().r.error.cause is None
+
+
+def test_fields_that_are_not_read_are_not_worked_out(spark):
+    from loomtext.operators.extract import extract, extract_fields
+
+    df = spark.createDataFrame([("<p>k</p>",), ("k",), ("",), (None,)], "x string").repartition(1)
+    fields = df.select("x", *extract_fields("x"))
+    assert "regexp_extract_all" not in fields.select("format")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in fields.select("text")._jdf.queryExecution().optimizedPlan().toString()
+    whole = df.select("x", extract("x").alias("r")).select("x", "r.*")
+    assert sorted(map(repr, fields.collect())) == sorted(map(repr, whole.select(fields.columns).collect()))
+
+
+def test_every_name_has_a_slot_of_its_own():
+    from loomtext.functions import entities
+
+    assert sorted(n for n in entities._BY_SLOT if n) == sorted(entities._NAMED) and len(entities._NAMED) == 303
