@@ -215,8 +215,7 @@ def _factors(p: Parse, ids: np.ndarray, blocks: pa.Array, windows: pa.Array) ->
 
     A window's places in the reference are those of its block or, at a boundary, its
     own, and an earlier place in its own text.  At the first window that has one the
-    longest run of windows that the reference holds one after the other is taken, and
-    the parse goes on behind it.
+    longer run along these two is taken, and the parse goes on behind it.
     """
     total = len(p.window)
     if not total:
@@ -290,8 +289,11 @@ def duplicate_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
        batch only the first is shuffled; the others take its place.
     2. Boundaries: where an anchor has several contents, a factor may begin or end
        inside a block.  Only those boundary blocks are indexed window by window.
-    3. Parse: each document is factored greedily from left to right; a factor is the
-       longest run of windows that stand one after the other in one source document.
+    3. Parse: each document is factored from left to right.  Of each block, or window of a
+       boundary, one earlier place is known, the first of those that met; a factor is
+       the run of windows that goes on along these places.  It is not the longest over all
+       earlier places: text that has several may come out as several shorter factors, and
+       which ones depends on the partitioning, while the words covered do not.
        ``factors`` holds ``start, words, source_id, source_start``, in words; each has
        at least ``WINDOW`` words, and the source holds the same ones.  Windows across
        the end of a factor count only if the reference holds them too, so
