@@ -7,7 +7,6 @@ table is an own case.
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -221,7 +220,6 @@ def stream_totals_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = qa.tested(shaped, "text", keep=["page_id"]).withColumn("at", F.timestamp_seconds("page_id"))
         query = totals.write_totals(totals.windowed_totals(rows, "at", "15 minutes", "30 days"), target, state)
         query.awaitTermination()
-        time.sleep(0.01)
     found = totals.read_totals(spark, target)
     return found.withColumn("from_time", F.unix_seconds("from_time"))
 
