@@ -8,17 +8,24 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import cut
 
-#: Rows in one block, blocks in one pack, and queries in one group.
-BLOCK, PACK_BLOCKS, QUERIES = 256, 64, 512
+#: Rows in one block and in one pack at most, and queries in one group.
+BLOCK, PACK, QUERIES = 256, 4096, 512
+#: Values of the rows of one lane, on average; a lane's rows stay in one task's memory.
+LANE_VALUES = 1 << 23
 #: Centres that order rows before they are cut into blocks, rows they are fitted on at most, and rounds of the fit.
 CENTRES, SAMPLE, ROUNDS = 64, 4096, 8
+#: Share of the sampled (row, cell) pairs whose bounds must reach a seed for seeds and order not to be worth their cost.
+HOPELESS = 0.9
 _LEAST = np.iinfo(np.int64).min
-_PACKED = "cell int, pack long, ids binary, kind string, matrix binary, most binary, least binary"
+_NONE = np.iinfo(np.int64).max
+_PACKED = "cell int, pack long, ids binary, kind string, matrix binary"
+_PROBED = "centre array<double>, sampled long, width int, share double"
+_LISTS = "group long, query_ids binary, ids binary, scores binary, scored binary"
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
@@ -42,16 +49,37 @@ def _near(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.argmax(rows @ centres.T - (centres * centres).sum(axis=1) / 2, axis=1)
 
 
-def _centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [b for b in batches if b.num_rows]
-    if held:
+def _seed_share(rows: np.ndarray, near: np.ndarray, k: int) -> float:
+    """Of (row, cell) pairs of a sample, the share, by rows, whose bound reaches the row's k-th score in its own cell."""
+    cells = np.unique(near)
+    sizes = np.array([(near == c).sum() for c in cells])
+    bounds = _bounds(rows, *(np.stack([f(rows[near == c], axis=0) for c in cells]) for f in (np.max, np.min)))
+    seeds = np.full(len(rows), -np.inf)
+    for c in cells[sizes > k]:
+        home = rows[near == c]
+        scores = home @ home.T
+        np.fill_diagonal(scores, -np.inf)
+        seeds[near == c] = np.partition(scores, -k, axis=1)[:, -k]
+    return float(((bounds >= seeds[:, None]) * sizes).sum() / (len(rows) * sizes.sum()))
+
+
+def _probe(k: int):
+    """``_PROBED``: centres of a sample, its rows and width, and how little bounds prune there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
         rows = _matrix(pa.Table.from_batches(held).combine_chunks()["vector"].combine_chunks())
         centres = rows[:: max(1, len(rows) // CENTRES)][:CENTRES]
         for _ in range(ROUNDS):
             near = _near(rows, centres)
-            used = np.unique(near)
-            centres = np.stack([rows[near == c].mean(axis=0) for c in used])
-        yield pa.RecordBatch.from_arrays([pa.array(list(centres), pa.list_(pa.float64()))], names=["centre"])
+            centres = np.stack([rows[near == c].mean(axis=0) for c in np.unique(near)])
+        n, share = len(centres), _seed_share(rows, _near(rows, centres), k)
+        columns = [pa.array(list(centres), pa.list_(pa.float64())), pa.array([len(rows)] * n, pa.int64()), pa.array([rows.shape[1]] * n, pa.int32()), pa.array([share] * n)]
+        yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _PROBED.split(", ")])
+
+    return run
 
 
 def _placed(rows: DataFrame, centres: np.ndarray) -> DataFrame:
@@ -66,17 +94,15 @@ def _placed(rows: DataFrame, centres: np.ndarray) -> DataFrame:
 
 
 def _packs(rows: DataFrame, limit: int) -> DataFrame:
-    """``_PACKED``: rows in order of cell and id, gathered into matrices of at most ``limit`` rows of one cell, with the bounds of their blocks.
+    """``_PACKED``: rows as they come, gathered into matrices of at most ``limit`` rows of one cell.
 
-    Rows are range-partitioned, so a cell of very many rows takes several tasks.
+    Rows must be sorted within their partitions, so that a task run again gives the same packs.
     """
 
     def packed(cell: int, number: int, ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
         kind = "<i2" if np.abs(rows).max(initial=0) < 1 << 15 else "<f8"
-        starts = np.arange(0, len(ids), BLOCK)
-        parts = [rows, np.maximum.reduceat(rows, starts), np.minimum.reduceat(rows, starts)]
-        columns = [pa.array([cell], pa.int32()), pa.array([number], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([kind])]
-        return pa.RecordBatch.from_arrays(columns + [pa.array([x.astype(kind).tobytes()], pa.binary()) for x in parts], names=[x.split()[0] for x in _PACKED.split(", ")])
+        columns = [pa.array([cell], pa.int32()), pa.array([number], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([kind]), pa.array([rows.astype(kind).tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _PACKED.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -94,13 +120,72 @@ def _packs(rows: DataFrame, limit: int) -> DataFrame:
                     yield flush()
                     held, count, number = [], 0, number + 1
                 cell = int(cells[at])
-                stop = min(int(np.searchsorted(cells, cell, "right")), at + limit - count)
+                same = np.flatnonzero(cells[at:] != cell)
+                stop = min(at + int(same[0]) if len(same) else batch.num_rows, at + limit - count)
                 held.append(batch.slice(at, stop - at))
                 count, at = count + stop - at, stop
         if held:
             yield flush()
 
-    return rows.repartitionByRange("cell", "vec_id").sortWithinPartitions("cell", "vec_id").mapInArrow(run, _PACKED)
+    return rows.mapInArrow(run, _PACKED)
+
+
+def _bounds(queries: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
+    return np.maximum(queries, 0) @ most.T + np.minimum(queries, 0) @ least.T
+
+
+def _wider(rows: np.ndarray, width: int) -> np.ndarray:
+    return np.pad(rows, ((0, 0), (0, width - rows.shape[1]))) if rows.shape[1] < width else rows
+
+
+class Blocks:
+    """Packs as blocks of at most ``BLOCK`` rows, with the largest and least value of each term in each."""
+
+    def __init__(self, packs: list[tuple[np.ndarray, np.ndarray]]):
+        self.width = max((m.shape[1] for _, m in packs), default=1)
+        packs = [(ids, _wider(m, self.width)) for ids, m in packs]
+        self.ids = [ids[i : i + BLOCK] for ids, _ in packs for i in range(0, len(ids), BLOCK)]
+        self.rows = [m[i : i + BLOCK] for _, m in packs for i in range(0, len(m), BLOCK)]
+        self.most = np.array([r.max(axis=0) for r in self.rows]).reshape(-1, self.width)
+        self.least = np.array([r.min(axis=0) for r in self.rows]).reshape(-1, self.width)
+
+    def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int, reach: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """See ``search_pack``."""
+        width, n = max(queries.shape[1], self.width), len(queries)
+        queries = _wider(queries, width)
+        bounds = _bounds(queries, _wider(self.most, width), _wider(self.least, width))
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        best, best_ids = np.full((n, k), _LEAST), np.full((n, k), _NONE)
+        reach = np.full(n, _LEAST) if reach is None else reach
+        scored = np.zeros(n, np.int64)
+        done, step = 0, 1
+        while done < len(self.rows):
+            limit = np.maximum(best[:, -1], reach)
+            visited = order[:, done : done + step]
+            go = np.take_along_axis(bounds, visited, 1) >= limit[:, None]
+            if not go.any():
+                break
+            owners, places = np.nonzero(go)
+            blocks = visited[owners, places]
+            found = [(np.repeat(np.arange(n), k), best.ravel(), best_ids.ravel())]
+            by = np.argsort(blocks, kind="stable")
+            for part in np.split(by, np.flatnonzero(np.diff(blocks[by])) + 1):
+                block, who = blocks[part[0]], owners[part]
+                scores = (queries[who, : self.width] @ self.rows[block].T).astype(np.int64)
+                scored[who] += scores.shape[1]
+                scores[self.ids[block][None, :] == query_ids[who][:, None]] = _LEAST
+                least = limit[who]
+                if scores.shape[1] > k:
+                    least = np.maximum(least, np.partition(scores, -k, axis=1)[:, -k])
+                i, j = np.nonzero((scores >= least[:, None]) & (scores > _LEAST))
+                found.append((who[i], scores[i, j], self.ids[block][j]))
+            owner, score, name = (np.concatenate(x) for x in zip(*found))
+            rank = np.lexsort((name, -np.maximum(score, _LEAST + 1), owner))
+            first = np.searchsorted(owner[rank], np.arange(n))
+            rank = rank[first[:, None] + np.arange(k)]  # every query has k entries at least, found or empty
+            best, best_ids = score[rank], name[rank]
+            done, step = done + step, 2 * step
+        return best_ids, best, scored
 
 
 def search_pack(
@@ -110,49 +195,17 @@ def search_pack(
 
     Per block the largest and least value of each term are known.  A query's bound
     on a block sums, over terms, its weight times the one or the other.  Blocks are
-    visited per query in the order of their bounds, each is scored through its own
-    rows, and a query is done when its next bound lies below its k-th score, or below
-    ``reach``, a k-th score it has from elsewhere.  Ties go to the smaller id.
-    Places without a row have the least score.
+    visited per query in the order of their bounds, 1, 2, 4 and so on at a time; each is
+    scored through its own rows, and a query is done when its next bound lies below its
+    k-th score, or below ``reach``, a k-th score it has from elsewhere.  Ties go to the
+    smaller id.  Places without a row have the least score.
     """
-    width = max(queries.shape[1], matrix.shape[1])
-    queries, matrix = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (queries, matrix))
-    starts = np.arange(0, len(ids), BLOCK)
-    bounds = _bounds(queries, np.maximum.reduceat(matrix, starts), np.minimum.reduceat(matrix, starts))
-    order = np.argsort(-bounds, axis=1, kind="stable")
-    best = np.full((len(queries), k), _LEAST)
-    best_ids = np.full((len(queries), k), np.iinfo(np.int64).max)
-    reach = np.full(len(queries), _LEAST) if reach is None else reach
-    scored, active = np.zeros(len(queries), np.int64), np.arange(len(queries))
-    for step in range(len(starts)):
-        block = order[active, step]
-        go = bounds[active, block] >= np.maximum(best[active, -1], reach[active])
-        active, block = active[go], block[go]
-        if not len(active):
-            break
-        for b in np.unique(block):
-            who = active[block == b]
-            rows = slice(starts[b], starts[b] + BLOCK)
-            scores = (queries[who] @ matrix[rows].T).astype(np.int64)
-            scored[who] += scores.shape[1]
-            scores[ids[rows][None, :] == query_ids[who][:, None]] = _LEAST
-            better = scores.max(axis=1) >= best[who, -1]
-            who, scores = who[better], scores[better]
-            if len(who):
-                both = np.concatenate([best[who], scores], axis=1)
-                names = np.concatenate([best_ids[who], np.broadcast_to(ids[rows], scores.shape)], axis=1)
-                names[both == _LEAST] = np.iinfo(np.int64).max
-                rank = np.lexsort((names, -np.maximum(both, _LEAST + 1)), axis=1)[:, :k]
-                best[who], best_ids[who] = np.take_along_axis(both, rank, 1), np.take_along_axis(names, rank, 1)
-    return best_ids, best, scored
-
+    return Blocks([(ids, matrix)]).search(queries, query_ids, k, reach)
 
-def _bounds(queries: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
-    return np.maximum(queries, 0) @ most.T + np.minimum(queries, 0) @ least.T
 
-
-def _of(row: dict, name: str, kind: str = "kind", rows: int = -1) -> np.ndarray:
-    return np.frombuffer(row[name], row[kind]).astype(np.float64).reshape(rows, -1)
+def _of(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(row["ids"], np.int64)
+    return ids, np.frombuffer(row["matrix"], row["kind"]).astype(np.float64).reshape(len(ids), -1)
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -161,73 +214,116 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
-def _searched(row: dict, k: int, reach: np.ndarray | None = None):
-    ids, query_ids = (np.frombuffer(row[c], np.int64) for c in ("ids", "query_ids"))
-    return ids, query_ids, *search_pack(_of(row, "query_matrix", "query_kind", len(query_ids)), query_ids, _of(row, "matrix", rows=len(ids)), ids, k, reach)
-
-
 def _seeds(k: int):
+    """The k-th score of each query of a group in one pack of its cell."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
-            *_, scores, _ = _searched(row, k)
+            ids, matrix = _of(row)
+            query_ids, queries = _of({x: row[f"query_{x}"] for x in ("ids", "matrix", "kind")})
+            _, scores, _ = search_pack(queries, query_ids, matrix, ids, k)
             yield pa.RecordBatch.from_arrays([pa.array([row["group"]], pa.int64()), pa.array([scores[:, -1].tobytes()], pa.binary())], names=["seeded", "reach"])
 
     return run
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for row in _each(batches):
-        queries, most, least = _of(row, "query_matrix", "query_kind", len(row["query_ids"]) // 8), *(_of(row, x, rows=-(-len(row["ids"]) // 8 // BLOCK)) for x in ("most", "least"))
-        width = max(queries.shape[1], most.shape[1])
-        queries, most, least = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (queries, most, least))
-        reach = np.frombuffer(row["reach"], np.int64) if row["reach"] else np.full(len(queries), _LEAST)
-        if (_bounds(queries, most, least).max(axis=1) >= reach).any():
-            yield pa.RecordBatch.from_arrays([pa.array([row[c]], pa.int64()) for c in ("pack", "group")], names=["met_pack", "met_group"])
+def _lists(group: int, query_ids: bytes, ids: np.ndarray, scores: np.ndarray, scored: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([group], pa.int64()), *(pa.array([x], pa.binary()) for x in (query_ids, ids.tobytes(), scores.tobytes(), scored.tobytes()))]
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _LISTS.split(", ")])
 
 
 def _search(k: int):
+    """Stream lanes, packs before groups: the packs are held, each group passes them once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lane, held, blocks = None, [], None
         for row in _each(batches):
+            if row["lane"] != lane:
+                lane, held, blocks = row["lane"], [], None
+            if row["group"] is None:
+                held.append(_of(row))
+                continue
+            if blocks is None:
+                blocks, held = Blocks(held), []
+            if not blocks.rows:
+                continue
+            query_ids, queries = _of(row)
             reach = np.frombuffer(row["reach"], np.int64) if row["reach"] else None
-            _, query_ids, found, scores, scored = _searched(row, k, reach)
-            real = scores > _LEAST
-            n = np.arange(len(query_ids))
-            owner = np.broadcast_to(n[:, None], real.shape)[real]
-            columns = [query_ids[owner], np.full(len(owner), row["group"]), owner, found[real], scores[real], np.zeros(len(owner))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in columns], names=["query_id", "group", "place", "vec_id", "score", "scored"])
-            columns = [pa.array(query_ids), pa.array(np.full(len(n), row["group"])), pa.array(n), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64()), pa.array(scored)]
-            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "group", "place", "vec_id", "score", "scored"])
+            ids, scores, scored = blocks.search(queries, query_ids, k, reach)
+            if reach is not None:  # k rows elsewhere are better
+                low = scores < reach[:, None]
+                ids[low], scores[low] = _NONE, _LEAST
+            yield _lists(row["group"], row["ids"], ids, scores, scored)
+
+    return run
+
+
+def _merge(k: int):
+    """Lists of one group after the other into one, as they stream by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = query_ids = ids = scores = scored = None
+        for row in _each(batches):
+            more = [np.frombuffer(row[x], np.int64) for x in ("ids", "scores", "scored")]
+            more[:2] = (x.reshape(-1, k) for x in more[:2])
+            if row["group"] != group:
+                if group is not None:
+                    yield _lists(group, query_ids, ids, scores, scored)
+                group, query_ids, (ids, scores, scored) = row["group"], row["query_ids"], more
+                continue
+            scored = scored + more[2]
+            ids, scores = np.concatenate([ids, more[0]], axis=1), np.concatenate([scores, more[1]], axis=1)
+            rank = np.lexsort((ids, -np.maximum(scores, _LEAST + 1)), axis=1)[:, :k]
+            ids, scores = np.take_along_axis(ids, rank, 1), np.take_along_axis(scores, rank, 1)
+        if group is not None:
+            yield _lists(group, query_ids, ids, scores, scored)
+
+    return run
+
+
+def _ranked(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            query_ids, ids, scores = (np.frombuffer(row[x], np.int64) for x in ("query_ids", "ids", "scores"))
+            real = np.flatnonzero(scores > _LEAST)
+            columns = [pa.array(query_ids[real // k]), pa.array((real % k + 1).astype(np.int32)), pa.array(ids[real]), pa.array(scores[real])]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "rank", "vec_id", "score"])
 
     return run
 
 
-def _found(vectors: DataFrame, queries: DataFrame, k: int, id_column: str, vector_column: str) -> tuple[DataFrame, DataFrame]:
-    """Partial lists and scored rows of every query, and the packs."""
-    spark = vectors.sparkSession
-    lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _found(vectors: DataFrame, queries: DataFrame, k: int, id_column: str, vector_column: str) -> tuple[DataFrame, int]:
+    """``_LISTS`` of every group, and the number of rows that take part."""
+    partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def usable(rows: DataFrame) -> DataFrame:
         return rows.select(F.col(id_column).cast("long").alias("vec_id"), quantised(F.col(vector_column)).alias("vector")).where("vec_id is not null and vector is not null")
 
-    base = usable(vectors)
+    base, asked = usable(vectors), usable(queries).dropDuplicates(["vec_id", "vector"])
     sample = base.orderBy(F.xxhash64("vec_id", "vector")).limit(SAMPLE).select("vector")
-    fitted = [r.centre for r in sample.coalesce(1).mapInArrow(_centres, "centre array<double>").collect()]  # at most CENTRES rows
-    centres = np.array(fitted) if fitted else np.zeros((1, 1))
-    packs = cut(_packs(_placed(base, centres), BLOCK * PACK_BLOCKS), "packs")
-    groups = cut(_packs(_placed(usable(queries).dropDuplicates(["vec_id", "vector"]), centres), QUERIES), "groups").select(
-        "cell", F.col("pack").alias("group"), F.col("ids").alias("query_ids"), F.col("kind").alias("query_kind"), F.col("matrix").alias("query_matrix")
-    )
-    first = packs.groupBy("cell").agg(F.min("pack").alias("pack"))
-    home = groups.join(first, "cell").join(packs.drop("cell", "most", "least"), "pack")
-    reached = cut(home.mapInArrow(_seeds(k), "seeded long, reach binary"), "reached")
-    groups = groups.join(reached, F.col("group") == F.col("seeded"), "left").drop("seeded", "cell")
-    lane = F.pmod(F.xxhash64("pack"), F.lit(lanes)).cast("int")
-    # bounds only: for a pack of 16,384 rows those of 64 blocks
-    asked = packs.select("pack", "ids", "kind", "most", "least", lane.alias("lane")).join(groups.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))), "lane")
-    met = cut(asked.drop("lane").mapInArrow(_met, "met_pack long, met_group long"), "met")
-    pairs = met.join(groups, F.col("met_group") == F.col("group")).join(packs.select("pack", "ids", "kind", "matrix"), F.col("met_pack") == F.col("pack"))
-    found = pairs.drop("met_pack", "met_group", "pack").mapInArrow(_search(k), "query_id long, group long, place long, vec_id long, score long, scored long")
-    return found, packs
+    probed = sample.coalesce(1).mapInArrow(_probe(k), _PROBED).collect()  # at most CENTRES rows
+    sampled, width, share = probed[0][1:] if probed else (0, 1, 1.0)
+    n = sampled if sampled < SAMPLE else base.count()
+    lanes = max(1, -(-n * width // LANE_VALUES), min(partitions, -(-n // BLOCK)))
+    limit = min(PACK, max(BLOCK, n // (4 * lanes)))  # some packs a lane, so that lanes are even
+    if share >= HOPELESS:  # no order of rows would prune
+        arranged = [x.select(F.lit(0).alias("cell"), "*").sortWithinPartitions("vec_id", "vector") for x in (base, asked)]
+        packs, groups = _packs(arranged[0], limit), _packs(arranged[1], QUERIES).withColumn("reach", F.lit(None).cast("binary"))
+    else:
+        centres = np.array([r.centre for r in probed])
+        arranged = [_placed(x, centres).repartitionByRange("cell", "vec_id").sortWithinPartitions("cell", "vec_id", "vector") for x in (base, asked)]
+        packs, groups = cut(_packs(arranged[0], limit), "packs"), cut(_packs(arranged[1], QUERIES), "groups")
+        first = packs.groupBy("cell").agg(F.min("pack").alias("pack"))
+        home = groups.select("cell", F.col("pack").alias("group"), *(F.col(x).alias(f"query_{x}") for x in ("ids", "kind", "matrix")))
+        home = home.join(first, "cell").join(packs.drop("cell"), "pack")
+        reached = home.mapInArrow(_seeds(k), "seeded long, reach binary")
+        groups = groups.join(reached, F.col("pack") == F.col("seeded"), "left")
+    values = ["ids", "kind", "matrix", "reach"]
+    kept = packs.select(F.pmod(F.xxhash64("pack"), F.lit(lanes)).cast("int").alias("lane"), F.lit(None).cast("long").alias("group"), *values[:3], F.lit(None).cast("binary").alias("reach"))
+    passing = groups.select(F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.col("pack").alias("group"), *values)
+    met = kept.unionByName(passing).repartitionById(lanes, "lane").sortWithinPartitions("lane", F.col("group").asc_nulls_first())
+    lists = met.mapInArrow(_search(k), _LISTS)
+    return lists.repartition("group").sortWithinPartitions("group").mapInArrow(_merge(k), _LISTS), n
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -237,21 +333,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "
     below 2**53.  A row with the query's own id is no candidate.  Ties go to the
     smaller id, rows of one id with one score stand beside each other.
 
-    1. Rows are ordered by the nearest of ``CENTRES`` centres, fitted on at most
-       ``SAMPLE`` rows (the centres only order the rows; no result depends on them),
-       and cut into blocks of ``BLOCK``, ``PACK_BLOCKS`` of them in a pack.  Packs are
-       stored with the largest and least value of each term in each block.  Queries
-       are grouped the same way.
-    2. A group first searches one pack of its own cell; each query's k-th score there
-       is its seed.
-    3. Groups meet the stored bounds of all packs; a (group, pack) pair goes on only if
-       some bound of some query reaches that query's seed.
-    4. In such a pack a query visits blocks by bound and stops below its k-th score
-       or seed.  What is left is merged per query.
-
-    Groups meet bounds by an equi-join on lanes: each lane holds a share of the packs,
-    and every group goes to every lane.  No row of one vector ever meets a row of one
-    query outside a block that its bound admits.
+    1. A probe of at most ``SAMPLE`` rows fits ``CENTRES`` centres and measures whether
+       bounds prune at all.  If they do, rows are ordered by the nearest centre and each
+       group of queries first searches one pack of its own cell: its k-th score there
+       is its seed.  If they do not, rows keep the order of their ids.  The probe only
+       chooses an order; no result depends on it.
+    2. Rows are cut into packs, packs are dealt over lanes, a lane for about
+       ``LANE_VALUES`` values.  One task holds a lane's rows as blocks of ``BLOCK`` with the
+       largest and least value of each term, and every group of queries passes it once.
+    3. There a query visits blocks by bound and stops below its k-th score or seed.
+    4. The lists of a group are merged as they stream by.
+
+    A group is shuffled once a lane, a row once; the number of lanes grows with the rows,
+    so no task holds more than about a lane.
 
     Null ids, null vectors and vectors with null or non-finite components take no
     part.  Shorter vectors count as padded with zeros.  Equal query rows are one
@@ -259,14 +353,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "
     them.  Empty tables: no rows.  Other columns, of whatever name, are not read.
     """
     found, _ = _found(vectors, queries, k, id_column, vector_column)
-    best = Window.partitionBy("query_id", "group", "place").orderBy(F.col("score").desc(), "vec_id")
-    return found.where("vec_id is not null").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.mapInArrow(_ranked(k), "query_id long, rank int, vec_id long, score long")
 
 
 def scored_share(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding") -> float:
     """Of all (query, row) pairs, the share whose score ``top_k`` works out; null or empty tables: 0."""
-    found, packs = _found(vectors, queries, k, id_column, vector_column)
-    rows = packs.agg(F.sum(F.octet_length("ids") / 8)).first()[0] or 0
-    asked = found.where("vec_id is null").groupBy("group", "place").agg(F.sum("scored").alias("scored"))
-    scored, n = asked.agg(F.sum("scored"), F.count("*")).first()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            scored = np.frombuffer(row["scored"], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([int(scored.sum())], pa.int64()), pa.array([len(scored)], pa.int64())], names=["scored", "queries"])
+
+    found, rows = _found(vectors, queries, k, id_column, vector_column)
+    scored, n = found.mapInArrow(counted, "scored long, queries long").agg(F.sum("scored"), F.sum("queries")).first()
     return float(scored or 0) / (rows * n) if rows and n else 0.0
