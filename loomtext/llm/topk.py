@@ -306,7 +306,7 @@ def _found(vectors: DataFrame, queries: DataFrame, k: int, id_column: str, vecto
     n = sampled if sampled < SAMPLE else base.count()
     lanes = max(1, -(-n * width // LANE_VALUES), min(partitions, -(-n // BLOCK)))
     limit = min(PACK, max(BLOCK, n // (4 * lanes)))  # some packs a lane, so that lanes are even
-    if share >= HOPELESS:  # no order of rows would prune
+    if not probed or share >= HOPELESS:  # no order of rows would prune
         arranged = [x.select(F.lit(0).alias("cell"), "*").sortWithinPartitions("vec_id", "vector") for x in (base, asked)]
         packs, groups = _packs(arranged[0], limit), _packs(arranged[1], QUERIES).withColumn("reach", F.lit(None).cast("binary"))
     else:

@@ -230,6 +230,30 @@ def test_top_k_prunes_rows_in_any_order(spark):
     assert topk.scored_share(df.limit(0), queries.limit(0)) == 0
 
 
+@pytest.mark.parametrize("hopeless", [0, 2])
+def test_top_k_of_repeated_rows_over_many_lanes(spark, monkeypatch, hopeless):
+    """Small packs and lanes, with and without seeds: repeated rows and ids, ties, queries that are no rows; runs of other partitions agree."""
+    for name, value in (("BLOCK", 8), ("LANE_VALUES", 64), ("HOPELESS", hopeless)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 4)]) for i in range(150)]
+    rows += rows[:40] + [(i, rows[0][1]) for i in range(20, 60)] + [(-5, [1e6, 0.0, -1e6, 2.5])]
+    queries = [rows[0], rows[0], rows[50], (20, rows[0][1]), (9999, [1.0, 1.0]), (-5, rows[-1][1]), (9998, [0.0])]
+    schema = "vec_id long, embedding array<double>"
+    whole = [(i, np.floor(256 * np.array(x)).astype(int)) for i, x in rows]
+    want = collections.Counter()
+    for q, x in {(q, tuple(x)) for q, x in queries}:
+        weights = np.floor(256 * np.pad(np.array(x), (0, 4 - len(x)))).astype(int)
+        best = sorted((-int(weights @ v), i) for i, v in whole if i != q)[:5]
+        want.update((q, k + 1, i, -s) for k, (s, i) in enumerate(best))
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, schema).repartition(parts).withColumn("rank", F.lit("clash"))
+        got = topk.top_k(df, spark.createDataFrame(queries, schema), 5).collect()
+        assert collections.Counter(map(tuple, got)) == want
+    assert topk.top_k(df.limit(0), spark.createDataFrame(queries, schema), 5).count() == 0
+    assert topk.top_k(df, df.limit(0), 5).count() == 0
+
+
 def test_top_k_of_few(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in topk.top_k(df, df.where("vec_id = 0"), 5).collect()] == [(0, 1, 1, 131072)]
