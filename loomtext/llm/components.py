@@ -92,7 +92,8 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges (a, b)`` that is not its component's smallest.
 
     Each step is written to the shared folder and the one before it removed; the driver
-    sees counts only.
+    sees counts only.  Repeated edges, those of a node with itself and those with a null
+    end link nothing more.  No edges: no rows.  Other columns are not read.
     """
     edges = _written(edges)
     count, left = _left(edges)

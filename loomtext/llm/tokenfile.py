@@ -189,7 +189,8 @@ def token_digests(docs: DataFrame, tokenizer: str, end: int = 1) -> DataFrame:
     """Write ``docs`` to new files in the session's shared folder and read them back.
 
     ``start`` counts the ids of all rows before a row in id order; rows of one id
-    stand by count and checksum.  Empty table: no rows.
+    stand by count and checksum.  A null id stands before all others.  Null or empty
+    text: the end id alone.  Empty table: no rows.  Other columns are not read.
     """
     path = new_folder(docs.sparkSession, "token-files")
     write_token_files(docs, path, tokenizer, end)

@@ -2,8 +2,9 @@
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
-from loomtext.llm import fertility, linededup, mixing, neardup, pieces, secrets, sharding, substring, tokenfile
+from loomtext.llm import components, fertility, linededup, mixing, neardup, pieces, scratch, secrets, sharding, substring, tokenfile
 from loomtext.llm import vocabularies as v
 
 OPERATORS = {
@@ -95,3 +96,36 @@ def test_near_dedup_keeps_one_row_of_each_group(spark):
     kept = [r.row_id for r in neardup.without_near_copies(df, 80).collect()]
     assert sorted(x for x in kept if x in "ghijk") == list("ghijk")
     assert sum(x in "ab" for x in kept) == 1 and "c" not in kept and "d" not in kept and sum(x in "ef" for x in kept) == 1
+
+
+def test_token_files_of_odd_rows(spark):
+    docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, None), (3, ""), (-1, "a b")], "doc_id long, text string").withColumn("ids", F.lit("clash"))
+    for n, frame in ((5, docs), (0, docs.limit(0))):
+        path = scratch.new_folder(spark, "odd")
+        tokenfile.write_token_files(frame, path, v.WORD_BPE)
+        rows = tokenfile.read_token_files(spark, path).collect()
+        assert len(rows) == n
+        assert {r.doc_id: r.ids for r in rows}.get(3, [1]) == [1]
+        assert sorted(str(r.doc_id) for r in rows if len(r.ids) > 1) == ["-1", "None", "None"][:n]
+
+
+def test_decoding_of_odd_rows(spark):
+    rows = [(None, None), (1, []), (2, None), (None, []), (1, [])]
+    encoded = spark.createDataFrame(rows, "doc_id long, ids array<int>").withColumn("text", F.lit("clash"))
+    got = pieces.decode(encoded, v.PIECES)
+    assert got.columns == ["doc_id", "text"]
+    assert sorted(map(str, got.collect())) == sorted(f"Row(doc_id={d}, text='')" for d, _ in rows)
+    assert pieces.decode(encoded.limit(0), v.PIECES).count() == 0
+
+
+def test_components_of_odd_edges(spark):
+    edges = spark.createDataFrame([(1, 2), (1, 2), (2, 1), (3, 3), (None, 4), (4, None), (None, None), (2, -7)], "a long, b long").withColumn("root", F.lit("clash"))
+    assert sorted(map(tuple, components.components(edges).collect())) == [(1, -7), (2, -7)]
+    assert components.components(edges.limit(0)).count() == 0
+
+
+def test_topics_of_odd_rows(spark):
+    docs = spark.createDataFrame([(None, None), (1, ""), (1, ""), (2, "some words")], "doc_id long, text string").withColumn("words", F.lit("clash"))
+    assert len(mixing.fit_topics(docs)) <= mixing.TOPICS
+    empty = mixing.fit_topics(docs.limit(0))
+    assert len(empty) == 1 and not empty.any()
