@@ -19,12 +19,15 @@ from .words import grams, mix, signed, slices, split_words, vocabulary_hashes
 WINDOW, ANCHOR = 20, 6
 #: Contents of an anchor in a batch from which on it is dealt over lanes, and their number.
 MANY, LANES = 8, 256
-#: What a row is: to be judged; one whose anchor has company for sure; a sign of that; known to be late.
-OPEN, EDGE, MARKER, LATE = range(4)
-#: A block or window of a document, and for a late one an earlier place that holds it.
-ROWS = "route long, content long, doc_id long, at int, role int, source_id long, source_at int"
-#: What the index answers: late ones with their place in the reference, others as boundary blocks.
-FOUND = "doc_id long, content long, late boolean, source_id long, source_at int"
+#: Documents in one row's list of later ones; more take several rows.
+LISTED = 256
+#: What a row is: a sign that its anchor is dealt over lanes (sorted first); to be judged; one of such an anchor.
+MARKER, OPEN, EDGE = range(3)
+#: A block or window, the first place that has it in its batch, and the batch's later documents with it.
+ROWS = "route long, content long, doc_id long, at int, role int, later array<long>"
+#: What the index answers: late ones with their place in the reference, others as boundary
+#: blocks; ``late`` null: rows of an anchor that is dealt over lanes, to be judged there.
+FOUND = "doc_id long, content long, late boolean, source_id long, source_at int, route long, later array<long>"
 
 
 class Parse:
@@ -72,74 +75,90 @@ class Parse:
         self.block = mix(np.add.reduceat(mix(self.window + place.astype(np.uint64)), first) + np.diff(np.append(first, total)).astype(np.uint64))
 
 
-def _first_come(anchor: np.ndarray, content: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows in id order: the first of each (anchor, content, id), and for each of these the row that first has the content."""
-    key = content ^ mix(anchor)
+def _gathered(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """Of rows in id order: the first row of each key, and the other documents that have the key, ``LISTED`` at a time."""
     _, once, back = np.unique(key, return_index=True, return_inverse=True)
     _, keep = np.unique(key ^ mix(mix(ids.astype(np.uint64))), return_index=True)
-    return keep, once[back[keep]]
+    first, document = once[back[keep]], ids[keep]
+    late = document > ids[first]
+    owner, document = first[late], document[late]
+    order = np.lexsort((document, owner))
+    heads = np.sort(once)
+    counts = np.bincount(np.searchsorted(heads, owner), minlength=len(heads))
+    pieces = np.maximum(1, -(-counts // LISTED))
+    number = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    ends = np.repeat(np.cumsum(counts) - counts, pieces) + np.minimum((number + 1) * LISTED, np.repeat(counts, pieces))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(document[order], pa.int64()))
+    return np.repeat(heads, pieces), lists
 
 
-def _rows(route: np.ndarray, content: np.ndarray, ids: np.ndarray, at: np.ndarray, role: np.ndarray, source_ids: np.ndarray, source_at: np.ndarray) -> pa.RecordBatch:
-    columns = [
-        signed(route), signed(content), pa.array(ids, pa.int64()), pa.array(at.astype(np.int32)), pa.array(role.astype(np.int32)),
-        pa.array(np.where(role == LATE, source_ids, 0)), pa.array(np.where(role == LATE, source_at, 0).astype(np.int32)),
-    ]
+def _lane(anchor: np.ndarray, content: np.ndarray) -> np.ndarray:
+    return mix(anchor ^ mix(content % np.uint64(LANES) + np.uint64(1)))
+
+
+def _rows(route: np.ndarray, content: np.ndarray, ids: np.ndarray, at: np.ndarray, role: np.ndarray, later: pa.Array) -> pa.RecordBatch:
+    columns = [signed(route), signed(content), pa.array(ids, pa.int64()), pa.array(at.astype(np.int32)), pa.array(role.astype(np.int32)), later]
     return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in ROWS.split(", ")])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``ROWS`` of blocks; of equal blocks in a batch only the first is OPEN, the others are LATE and name it.
+def _blocks(many: int):
+    """``ROWS`` of blocks; equal blocks of a batch are one row.
 
-    Rows meet by their anchor.  An anchor of many contents in a batch is dealt over
-    lanes by content, as it is known to have company; a MARKER tells this to the rows
-    of other batches that come by the anchor alone.
+    Rows meet by their anchor.  An anchor of at least ``many`` contents in a batch is
+    dealt over lanes by content, as it is known to have company; a MARKER tells this to
+    the rows of other batches that come by the anchor alone.
     """
-    for whole in batches:
-        for batch in slices(whole.filter(pc.is_valid(whole["doc_id"])), "text"):
-            batch = batch.take(pc.sort_indices(batch["doc_id"]))
-            p = Parse(batch["text"])
-            every, places = batch["doc_id"].to_numpy()[p.block_doc], p.place[p.block_first]
-            keep, once = _first_come(p.block_anchor, p.block, every)
-            anchor, content, ids = p.block_anchor[keep], p.block[keep], every[keep]
-            late = ids > every[once]
-            role = np.where(late, LATE, OPEN)
-            fresh = np.flatnonzero(~late)
-            names, group, counts = np.unique(anchor[fresh], return_inverse=True, return_counts=True)
-            edge = fresh[(counts >= MANY)[group]]
-            role[edge] = EDGE
-            route = anchor.copy()
-            route[edge] = mix(anchor[edge] ^ mix(content[edge] % np.uint64(LANES) + np.uint64(1)))
-            yield _rows(route, content, ids, places[keep], role, every[once], places[once])
-            many, none = names[counts >= MANY], np.zeros(int((counts >= MANY).sum()), np.int64)
-            if len(many):
-                yield _rows(many, mix(many), none, none, none + MARKER, none, none)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole.filter(pc.is_valid(whole["doc_id"])), "text"):
+                batch = batch.take(pc.sort_indices(batch["doc_id"]))
+                p = Parse(batch["text"])
+                every = batch["doc_id"].to_numpy()[p.block_doc]
+                rows, later = _gathered(p.block ^ mix(p.block_anchor), every)
+                anchor, content = p.block_anchor[rows], p.block[rows]
+                single = np.unique(rows, return_index=True)[1]
+                names, counts = np.unique(anchor[single], return_counts=True)
+                names = names[counts >= many]
+                edge = np.isin(anchor, names)
+                route = np.where(edge, _lane(anchor, content), anchor)
+                yield _rows(route, content, every[rows], p.place[p.block_first][rows], np.where(edge, EDGE, OPEN), later)
+                if len(names):
+                    none = np.zeros(len(names), np.int64)
+                    yield _rows(names, none.astype(np.uint64), none, none, none + MARKER, pa.array([[]] * len(names), pa.list_(pa.int64())))
+
+    return run
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stream ``ROWS`` sorted by route, content, doc_id into ``FOUND``.
+    """Stream ``ROWS`` sorted by route, role, content, doc_id, at into ``FOUND``.
 
-    ``late``: the content occurs in an earlier document, and there it stands.  Not
-    late: it is the first of its content, and its anchor has other contents too.
+    ``late``: the content occurs in an earlier document, and its first place is the
+    source.  Not late: it is the first of its content, and its anchor has other contents
+    too.  Rows of an anchor with a MARKER are passed on to their lane.
     """
     anchor = content = None  # of the row before; a route stands for its anchor
+    many = False  # the anchor of the row before has a MARKER
     least = least_at = 0  # document and place of the first row of its content
     waiting: list[int] = []  # the documents of the anchor's only content so far
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        a, c, d, at, role, source, source_at = (batch[x].to_numpy() for x in ("route", "content", "doc_id", "at", "role", "source_id", "source_at"))
+        a, c, d, at, role = (batch[x].to_numpy() for x in ("route", "content", "doc_id", "at", "role"))
         same_a = np.concatenate([[a[0] == anchor], a[1:] == a[:-1]])
         same_c = same_a & np.concatenate([[c[0] == content], c[1:] == c[:-1]])
         group = np.cumsum(~same_c)
         head = np.flatnonzero(~same_c)
         lows, lows_at = np.append(least, d[head])[group], np.append(least_at, at[head])[group]
-        late = (d > lows) | (role == LATE)
+        late = d > lows
         # an anchor with several contents: some row of it starts a content but not the anchor
         anchors = np.cumsum(~same_a)
         several = np.zeros(anchors[-1] + 1, bool)
         several[anchors[same_a & ~same_c]] = True
+        dealt = np.zeros(anchors[-1] + 1, bool)
+        dealt[0] = many
+        dealt[anchors[role == MARKER]] = True
         if several[0] and waiting:  # the carried content has got company
             m = len(waiting)
             yield _verdict(np.full(m, content), np.array(waiting), np.zeros(m, bool), np.zeros(m, np.int64), np.zeros(m, np.int32))
@@ -148,15 +167,31 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             waiting = []
         elif not waiting and anchor is not None and same_a[0]:
             several[0] = True  # company came in an earlier batch
-        out = (role != MARKER) & (late | several[anchors] | (role == EDGE))
-        yield _verdict(c[out], d[out], late[out], np.where(role == LATE, source, lows)[out], np.where(role == LATE, source_at, lows_at)[out])
-        if not several[anchors[-1]]:
+        owner, documents = _owned(batch["later"])
+        live = ~dealt[anchors]
+        out = live & (late | several[anchors] | (role == EDGE))
+        yield _verdict(c[out], d[out], late[out], lows[out], lows_at[out])
+        use = live[owner]
+        owner, documents = owner[use], documents.to_numpy(zero_copy_only=False)[use]
+        yield _verdict(c[owner], documents, np.ones(len(owner), bool), lows[owner], lows_at[owner])
+        again = ~live & (role == OPEN)
+        if again.any():
+            lanes = _lane(a[again].view(np.uint64), c[again].view(np.uint64)).view(np.int64)
+            yield _verdict(c[again], d[again], None, d[again], at[again], lanes, batch["later"].filter(pa.array(again)))
+        if not several[anchors[-1]] and not dealt[-1]:
             waiting = waiting + d[(anchors == anchors[-1]) & ~late & (role == OPEN)].tolist()
-        anchor, content, least, least_at = a[-1], c[-1], lows[-1], lows_at[-1]
+        anchor, content, many, least, least_at = a[-1], c[-1], dealt[-1], lows[-1], lows_at[-1]
 
 
-def _verdict(content: np.ndarray, ids: np.ndarray, late: np.ndarray, source_ids: np.ndarray, source_at: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array(ids, pa.int64()), pa.array(content, pa.int64()), pa.array(late), pa.array(source_ids, pa.int64()), pa.array(source_at.astype(np.int32))]
+def _verdict(
+    content: np.ndarray, ids: np.ndarray, late: np.ndarray | None, source_ids: np.ndarray, source_at: np.ndarray, route: np.ndarray | None = None, later: pa.Array | None = None
+) -> pa.RecordBatch:
+    n = len(ids)
+    columns = [
+        pa.array(ids, pa.int64()), pa.array(content, pa.int64()), pa.nulls(n, pa.bool_()) if late is None else pa.array(late),
+        pa.array(source_ids, pa.int64()), pa.array(source_at.astype(np.int32)),
+        pa.nulls(n, pa.int64()) if route is None else pa.array(route), pa.nulls(n, pa.list_(pa.int64())) if later is None else later,
+    ]
     return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in FOUND.split(", ")])
 
 
@@ -193,13 +228,10 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner, edges = _owned(batch["edges"])
             asked = np.isin(_keys(p.block_doc, p.block), _keys(owner, edges.to_numpy(zero_copy_only=False).view(np.uint64)))
             use = asked[p.block_of] if len(p.block) else np.zeros(0, bool)
-            every, anchors, windows, places = batch["doc_id"].to_numpy()[p.doc[use]], p.anchor[use], p.window[use], p.place[use]
-            keep, once = _first_come(anchors, windows, every)
-            anchor, content, ids = anchors[keep], windows[keep], every[keep]
-            late = ids > every[once]
-            route = mix(anchor ^ mix(content))
-            route[late] = mix(route[late] + ids[late].astype(np.uint64))  # known; they need meet no others
-            yield _rows(route, content, ids, places[keep], np.where(late, LATE, OPEN), every[once], places[once])
+            every, anchor, content = batch["doc_id"].to_numpy()[p.doc[use]], p.anchor[use], p.window[use]
+            rows, later = _gathered(content ^ mix(anchor), every)
+            route = mix(anchor[rows] ^ mix(content[rows]))
+            yield _rows(route, content[rows], every[rows], p.place[use][rows], np.full(len(rows), OPEN), later)
 
 
 def _runs(diagonal: np.ndarray, source: np.ndarray, known: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -308,18 +340,20 @@ def duplicate_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     table: no rows.  Other columns, of whatever name, are not read.
     """
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    blocks = cut(source.mapInArrow(_blocks, ROWS), "blocks")
+    blocks = cut(source.mapInArrow(_blocks(MANY), ROWS), "blocks")
 
-    def judged(found: DataFrame) -> DataFrame:
-        keyed = found.repartition("route").sortWithinPartitions("route", "content", "doc_id", "at")
+    def judged(rows: DataFrame) -> DataFrame:
+        keyed = rows.repartition("route").sortWithinPartitions("route", "role", "content", "doc_id", "at")
         return keyed.mapInArrow(_judge, FOUND)
 
     def listed(found: DataFrame, name: str) -> DataFrame:
         return found.groupBy("doc_id").agg(F.collect_list(F.struct("content", "source_id", "source_at")).alias(name))
 
-    known = blocks.where(F.col("role") == LATE).select("doc_id", "content", F.lit(True).alias("late"), "source_id", "source_at")
-    found = cut(judged(blocks.where(F.col("role") != LATE)).unionByName(known), "found")
+    met = cut(judged(blocks.where(F.col("role") != EDGE)), "found")
+    moved = met.where("late is null").select("route", "content", "doc_id", F.col("source_at").alias("at"), F.lit(EDGE).alias("role"), "later")
+    lanes = cut(judged(blocks.where(F.col("role") == EDGE).unionByName(moved)), "lanes")
     release(blocks)
+    found = met.where("late is not null").unionByName(lanes).select("doc_id", "content", "late", "source_id", "source_at")
     edges = found.where("not late").groupBy("doc_id").agg(F.collect_set("content").alias("edges"))
     inside = judged(source.join(edges, "doc_id").mapInArrow(_windows, ROWS)).where("late")
     verdicts = listed(found.where("late"), "blocks").join(listed(inside, "windows"), "doc_id", "full_outer")

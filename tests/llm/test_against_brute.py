@@ -3,6 +3,7 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 from helpers import compared
 
@@ -81,12 +82,41 @@ def test_factors_are_those_of_a_greedy_parse(spark, parts):
 
 def test_substring_dedup_with_anchors_over_lanes(made, made_frame, monkeypatch):
     monkeypatch.setattr(substring, "MANY", 2)
-    monkeypatch.setattr(substring, "LANES", 3)
     found = substring.duplicate_spans(made_frame).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in found} == brute.substrings(made)
     check_factors(found, made)
 
 
+def test_factors_are_the_same_however_rows_meet(made_frame, monkeypatch):
+    """Texts with many earlier places: the same factors in any partitioning, with and without lanes, with long and short lists."""
+    monkeypatch.setattr(substring, "MANY", 10**9)
+    want = {r.doc_id: r.factors for r in substring.duplicate_spans(made_frame.coalesce(1)).collect()}
+    assert sum(map(len, want.values())) > 50
+    for parts, many in ((1, 2), (3, 3), (8, 2), (8, 8)):
+        monkeypatch.setattr(substring, "MANY", many)
+        got = substring.duplicate_spans(made_frame.repartition(parts, "doc_id")).collect()
+        assert {r.doc_id: r.factors for r in got} == want
+
+
+@pytest.mark.parametrize("limit", [1, 2, 256])
+def test_gathered_rows_name_all_later_documents(monkeypatch, limit):
+    monkeypatch.setattr(substring, "LISTED", limit)
+    key, ids = np.array([5, 6, 5, 5, 5, 6, 9], np.uint64), np.array([1, 1, 1, 2, 3, 4, 4])
+    rows, later = substring._gathered(key, ids)
+    named = [(int(key[r]), d) for r, listed in zip(rows, later.to_pylist()) for d in listed]
+    assert sorted(named) == [(5, 2), (5, 3), (6, 4)] and sorted(set(rows.tolist())) == [0, 1, 6]
+    assert all(len(listed) <= limit for listed in later.to_pylist())
+
+
+def test_copies_of_joined_passages_name_one_source(spark):
+    """A, A+B, and A+B again: the copy's words beyond A follow the first text that has them."""
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    docs = [(0, a), (1, f"{a} {b}"), (2, f"{a} {b}"), (3, f"{a} {b}")]
+    for parts in (1, 4):
+        got = {r.doc_id: [tuple(f) for f in r.factors] for r in substring.duplicate_spans(spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)).collect()}
+        assert got[2] == got[3] and got[1] == [(0, 30, 0, 0)] and got[2][0][3] == 0 and {f[2] for f in got[2][1:]} == {1}
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_near_dedup(made, made_frame, percent):
     assert rows_of(neardup.near_duplicates(made_frame, percent), "n_shingles", "component_id", "kept") == brute.near(made, percent)
