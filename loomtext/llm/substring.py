@@ -242,12 +242,43 @@ def _runs(diagonal: np.ndarray, source: np.ndarray, known: np.ndarray, doc: np.n
     return np.where(known, ends[np.searchsorted(ends, np.arange(n))] - np.arange(n) + 1, 0)
 
 
+def _levels(windows: np.ndarray) -> list[np.ndarray]:
+    """For k = 0, 1, ... the least place at which the ``2**k`` windows from each place on stand; the last k of which any recur."""
+    levels, key = [], windows
+    while True:
+        _, first, back = np.unique(key, return_index=True, return_inverse=True)
+        if len(first) == len(key):
+            return levels
+        levels.append(first[back].astype(np.int32))
+        width = 1 << (len(levels) - 1)
+        if len(key) <= width:
+            return levels
+        key = levels[-1][:-width].astype(np.int64) * len(windows) + levels[-1][width:]
+
+
+def _longest(levels: list[np.ndarray], i: int, beyond: int) -> tuple[int, int]:
+    """Longest run of windows from ``i`` on that starts earlier in the same text too, and the least such place.
+
+    Runs known to be no longer than ``beyond`` are not looked for.
+    """
+    top = next((k for k in reversed(range(len(levels))) if i < len(levels[k]) and levels[k][i] < i), -1)
+    if 2 << max(top, 0) <= beyond or top < 0:
+        return 0, 0
+    places, length = np.flatnonzero(levels[top][:i] == levels[top][i]), 1 << top
+    for k in reversed(range(top)):
+        if i + length < len(levels[k]):
+            further = places[levels[k][places + length] == levels[k][i + length]]
+            if len(further):
+                places, length = further, length + (1 << k)
+    return length, int(places[0])
+
+
 def _factors(p: Parse, ids: np.ndarray, blocks: pa.Array, windows: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
     """``text, start, words, source_id, source_start`` of the factors of each text, from left to right.
 
-    A window's places in the reference are those of its block or, at a boundary, its
-    own, and an earlier place in its own text.  At the first window that has one the
-    longer run along these two is taken, and the parse goes on behind it.
+    A window's place in other texts is that of its block or, at a boundary, its own; its
+    places in its own text are all that start earlier.  At the first window that has
+    one the longest run is taken, and the parse goes on behind it.
     """
     total = len(p.window)
     if not total:
@@ -258,17 +289,21 @@ def _factors(p: Parse, ids: np.ndarray, blocks: pa.Array, windows: pa.Array) ->
     source, at = np.where(known, source, own_source), np.where(known, at, own_at)
     known = known | single
     _, once, back = np.unique(_keys(p.doc, p.window), return_index=True, return_inverse=True)
-    earlier = once[back]
-    again = earlier < np.arange(total)
+    again = once[back] < np.arange(total)
     outside = _runs(at - p.place, source, known, p.doc)
-    inside = _runs(p.place[earlier] - p.place, ids[p.doc], again, p.doc)
     hits = np.flatnonzero(known | again)
-    i = 0
+    i, text, levels = 0, -1, []
     while i < len(hits):
         w = hits[i]
-        other = outside[w] >= inside[w]
-        length = int(outside[w] if other else inside[w])
-        yield int(p.doc[w]), int(p.place[w]), length + WINDOW - 1, int(source[w] if other else ids[p.doc[w]]), int(at[w] if other else p.place[earlier[w]])
+        length, place, inside = int(outside[w]), int(p.place[w]), 0
+        if again[w]:
+            if text != p.doc[w]:
+                text = p.doc[w]
+                levels = _levels(p.window[p.bounds[text] : p.bounds[text + 1]])
+            inside, earlier = _longest(levels, place, length)
+        other = length >= inside
+        length = max(length, inside)
+        yield int(p.doc[w]), place, length + WINDOW - 1, int(source[w] if other else ids[p.doc[w]]), int(at[w] if other else earlier)
         i = int(np.searchsorted(hits, w + length))
 
 
@@ -317,15 +352,17 @@ def duplicate_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     1. Reference blocks: texts are cut into runs of windows with one anchor.  Blocks
        are indexed by anchor and content (128 bits), with the place (document, word)
-       where a content first stands among those that meet.  Of equal blocks in a
-       batch only the first is shuffled; the others take its place.
+       where a content first stands.  Of equal blocks in a batch only the first is
+       shuffled, with the ids of the others.
     2. Boundaries: where an anchor has several contents, a factor may begin or end
        inside a block.  Only those boundary blocks are indexed window by window.
     3. Parse: each document is factored from left to right.  Of each block, or window of a
-       boundary, one earlier place is known, the first of those that met; a factor is
-       the run of windows that goes on along these places.  It is not the longest over all
-       earlier places: text that has several may come out as several shorter factors, and
-       which ones depends on the partitioning, while the words covered do not.
+       boundary, one place in other texts is known, the first of all that met; within its
+       own text every earlier place is.  A factor is the longest run of windows
+       along these places, ties to the first place in other texts, then to the least in its own.
+       It is not the longest over all places in other texts: of a passage that was put
+       together anew from several, each part names the text that has it first.  Factors
+       do not depend on the partitioning.
        ``factors`` holds ``start, words, source_id, source_start``, in words; each has
        at least ``WINDOW`` words, and the source holds the same ones.  Windows across
        the end of a factor count only if the reference holds them too, so

@@ -80,6 +80,27 @@ def factors(docs, n=20):
     return out
 
 
+def longest_factors(docs, n=20):
+    """Greedy parse of each text against all places further up in it: the longest match, of equal ones the first."""
+    out = {}
+    for d, t in docs:
+        w, out[d], i = words(t), [], 0
+        while i <= len(w) - n:
+            best, place = 0, 0
+            for o in range(i):
+                k = 0
+                while i + k < len(w) and w[o + k] == w[i + k]:
+                    k += 1
+                if k > best:
+                    best, place = k, o
+            if best >= n:
+                out[d].append((i, best, d, place))
+                i += best - n + 1
+            else:
+                i += 1
+    return out
+
+
 def shingles(text, k=5):
     w = (text or "").encode().translate(LOWER).split()
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())

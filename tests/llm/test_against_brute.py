@@ -108,6 +108,25 @@ def test_gathered_rows_name_all_later_documents(monkeypatch, limit):
     assert all(len(listed) <= limit for listed in later.to_pylist())
 
 
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_factors_within_one_text_are_the_longest(spark, parts):
+    """Texts that repeat themselves in many places, and nothing of each other: the longest match over all places."""
+    rng = random.Random(11)
+    docs = []
+    for d in range(24):
+        parts_of = [[f"d{d}p{i}w{rng.randrange(3)}" for _ in range(rng.randint(15, 70))] for i in range(4)]
+        words = []
+        for _ in range(rng.randint(2, 14)):
+            part = rng.choice(parts_of)
+            words += part[: rng.randint(1, len(part))] if rng.random() < 0.6 else part
+        docs.append((d, " ".join(words)))
+    docs += [(100, "same " * 500), (101, "over and " * 90), (102, ""), (103, None), (104, ("x " * 50 + "y ") * 9)]
+    got = substring.duplicate_spans(spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)).collect()
+    want = brute.longest_factors(docs)
+    assert {r.doc_id: [tuple(f) for f in r.factors] for r in got} == want
+    assert len(want[100]) == 1 and sum(map(len, want.values())) > 60
+
+
 def test_copies_of_joined_passages_name_one_source(spark):
     """A, A+B, and A+B again: the copy's words beyond A follow the first text that has them."""
     a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
