@@ -13,9 +13,15 @@ from pyspark.sql import functions as F
 from .scratch import cut
 from .words import slices, split_words, vocabulary_hashes
 
-#: Topics of the default model, hashed word features, and documents it is fitted on, about.
-TOPICS, FEATURES, SAMPLE_DOCS, TOPIC_ROUNDS = 8, 4096, 2000, 20
-#: Share of the sample that a topic must have; smaller ones are left out and their rows go to the next nearest.
+#: Topics of the default model, hashed word features, and most rounds of its fitting.
+TOPICS, FEATURES, TOPIC_ROUNDS = 8, 4096, 20
+#: What 1 is of a word's weight in a text, of its weight in a topic, and of the length of a text: whole numbers add up alike in any order.
+TF_UNIT, TOPIC_UNIT, LENGTH = 1 << 10, 1 << 20, float(1 << 24)
+#: Steps of similarity that tell texts apart when the first centres are chosen, and the similarity from which texts count as equal there.
+STEPS, SAME = 1024, 1 - 1e-5
+#: Words of texts that are weighed at once, so that they stay in the processor's cache.
+_AT_ONCE = 20_000
+#: Share of the texts with words that a topic must have; smaller ones are left out and their rows go to the next nearest.
 LEAST_TOPIC = 0.02
 #: Default targets: a dimension's categories are flattened as if their shares were the observed ones to this power.
 EXPONENTS = {"source": 0.7, "lang": 0.8, "topic": 0.9}
@@ -39,88 +45,200 @@ def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return np.diff(offsets), found // FEATURES, found % FEATURES, counts
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in slices(whole, "text"):
-            _, doc, word, count = _features(batch["text"])
-            bounds = pa.array(np.searchsorted(doc, np.arange(batch.num_rows + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (word, count)]
-            yield pa.RecordBatch.from_arrays(lists, names=["words", "counts"])
+def _binary(bounds: np.ndarray, numbers: np.ndarray) -> pa.Array:
+    """The numbers of each row as one binary value."""
+    buffers = [None, pa.py_buffer((bounds * numbers.itemsize).astype(np.int32)), pa.py_buffer(numbers)]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, buffers)
 
 
-def topic_weights(counts: np.ndarray, topics: int = TOPICS) -> np.ndarray:
-    """Weights ``(topics, features)`` of spherical k-means over tf-idf rows; a text's topic has the largest sum of them.
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """How many numbers each row has, and all of them."""
+    column = column.cast(pa.binary())
+    at = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset) if len(column) else np.zeros(1, np.int32)
+    whole = np.frombuffer(column.buffers()[2], np.uint8) if at[-1] > at[0] else np.zeros(0, np.uint8)
+    return np.diff(at) // 2, whole[at[0] : at[-1]].view(np.uint16)
 
-    The first centre is the row nearest to the mean, each next one a row that is farther
-    from those before than nine in ten others, so that lone rows do not become topics.
-    Fewer different rows than topics, or groups under ``LEAST_TOPIC``: fewer topics.
+
+def _counted(texts: pa.Array) -> pa.Array:
+    """``n_words``, and the different hashed words of each text, in order, with their weights (1 + log of the count)."""
+    out = [pa.array([], pa.struct([("n_words", pa.int64()), ("words", pa.binary()), ("tf", pa.binary())]))]
+    for batch in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
+        n_words, doc, word, count = _features(batch["text"])
+        bounds, tf = np.searchsorted(doc, np.arange(batch.num_rows + 1)), np.rint(TF_UNIT * (1 + np.log(count)))
+        columns = [pa.array(n_words, pa.int64()), _binary(bounds, word.astype(np.uint16)), _binary(bounds, tf.astype(np.uint16))]
+        out.append(pa.StructArray.from_arrays(columns, names=["n_words", "words", "tf"]))
+    return pa.concat_arrays(out)
+
+
+def _weighed(words: pa.Array, tf: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows with words; where the words of each begin; the words and their weights."""
+    sizes, word = _numbers(words)
+    rows = np.flatnonzero(sizes)
+    return rows, (np.cumsum(sizes) - sizes)[rows], word.astype(np.int64), _numbers(tf)[1].astype(np.float64)
+
+
+def _sums(starts: np.ndarray, word: np.ndarray, weight: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """Sums of weight times table entry over the words of each text ``(tables, texts)``; exact if all are whole numbers."""
+    out, ends = np.empty((len(tables), len(starts))), np.append(starts, len(word))
+    edges = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(word), _AT_ONCE)), len(starts)))
+    for low, high in zip(edges[:-1], edges[1:]):
+        run = slice(ends[low], ends[high])
+        for t, table in enumerate(tables):
+            out[t, low:high] = np.add.reduceat(table[word[run]] * weight[run], starts[low:high] - ends[low])
+    return out
+
+
+def _scaled(starts: np.ndarray, word: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Weights of the words times ``idf``, scaled so that each text has ``LENGTH``, as whole numbers."""
+    raw = tf * idf[word]
+    norms = np.sqrt(np.add.reduceat(raw * raw, starts)) if len(starts) else np.zeros(0)
+    return np.rint(raw * np.repeat(LENGTH / norms, np.diff(np.append(starts, len(word)))))
+
+
+def _totals(counted: DataFrame, topics: int, add) -> np.ndarray:
+    """``(topics, FEATURES + 1)`` whole numbers that ``add(totals, words, tf)`` collects from every batch, summed by Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros((topics, FEATURES + 1), np.int64)
+        for batch in batches:
+            add(totals, batch["words"], batch["tf"])
+        topic, word = np.nonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(topic, pa.int32()), pa.array(word, pa.int32()), pa.array(totals[topic, word])], names=["topic", "word", "total"])
+
+    parts = counted.select("words", "tf").mapInArrow(run, "topic int, word int, total long")
+    summed = parts.groupBy("topic", "word").agg(F.sum("total").alias("total")).toArrow()
+    out = np.zeros((topics, FEATURES + 1), np.int64)
+    out[summed["topic"].to_numpy(), summed["word"].to_numpy()] = summed["total"].to_numpy()
+    return out
+
+
+def _seen(totals: np.ndarray, words: pa.Array, tf: pa.Array) -> None:
+    """Texts that have each word, and all texts."""
+    totals[0, :FEATURES] += np.bincount(_numbers(words)[1], minlength=FEATURES)
+    totals[0, FEATURES] += len(words)
+
+
+def _by_topic(idf: np.ndarray, weights: np.ndarray):
+    """Sums of the scaled texts of each topic, and how many there are."""
+
+    def add(totals: np.ndarray, words: pa.Array, tf: pa.Array) -> None:
+        _, starts, word, weight = _weighed(words, tf)
+        scaled = _scaled(starts, word, weight, idf)
+        topic = np.argmax(_sums(starts, word, weight, weights), axis=0) if len(weights) > 1 else np.zeros(len(starts), np.int64)
+        place = np.repeat(topic, np.diff(np.append(starts, len(word)))) * FEATURES + word
+        totals[:, :FEATURES] += np.bincount(place, scaled, totals.shape[0] * FEATURES).astype(np.int64).reshape(-1, FEATURES)
+        totals[:, FEATURES] += np.bincount(topic, minlength=totals.shape[0])
+
+    return add
+
+
+def _nearness(counted: DataFrame, idf: np.ndarray, centres: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """By step of similarity to the nearest of ``centres``: how many texts there are, and the least key of one.
+
+    The last step, ``STEPS``, has the texts that equal a centre.
+    """
+    tables = np.stack(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, least = np.zeros(STEPS + 1, np.int64), np.full(STEPS + 1, np.iinfo(np.int64).max)
+        for batch in batches:
+            rows, starts, word, tf = _weighed(batch["words"], batch["tf"])
+            near = _sums(starts, word, _scaled(starts, word, tf, idf), tables).max(axis=0) / LENGTH**2
+            step = np.where(near >= SAME, STEPS, np.minimum(near * STEPS, STEPS - 1)).astype(np.int64)
+            n += np.bincount(step, minlength=STEPS + 1)
+            np.minimum.at(least, step, batch["key"].to_numpy()[rows])
+        found = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(n[found]), pa.array(least[found])], names=["step", "n", "key"])
+
+    parts = counted.select("key", "words", "tf").mapInArrow(run, "step int, n long, key long")
+    n, least = np.zeros(STEPS + 1, np.int64), np.zeros(STEPS + 1, np.int64)
+    for r in parts.groupBy("step").agg(F.sum("n").alias("n"), F.min("key").alias("key")).collect():
+        n[r.step], least[r.step] = r.n, r.key
+    return n, least
+
+
+def _text_of(counted: DataFrame, key: int, idf: np.ndarray) -> np.ndarray:
+    """The scaled text of a key, over all features."""
+    found = counted.where((F.col("key") == F.lit(key)) & (F.length("words") > 0)).select("words", "tf")
+    (row,) = found.orderBy("words", "tf").limit(1).collect()
+    _, starts, word, tf = _weighed(pa.array([bytes(row.words)]), pa.array([bytes(row.tf)]))
+    out = np.zeros(FEATURES)
+    out[word] = _scaled(starts, word, tf, idf)
+    return out
+
+
+def _first_centres(counted: DataFrame, idf: np.ndarray, topics: int) -> list[np.ndarray]:
+    mean = _totals(counted, 1, _by_topic(idf, np.zeros((1, FEATURES))))[0, :FEATURES].astype(np.float64)
+    n, least = _nearness(counted, idf, [np.rint(mean * (LENGTH / np.linalg.norm(mean)))])
+    centres = [_text_of(counted, int(least[np.flatnonzero(n)[-1]]), idf)]
+    while len(centres) < topics:
+        n, least = _nearness(counted, idf, centres)
+        tenth = int(np.searchsorted(np.cumsum(n), n.sum() // 10, "right"))
+        step = tenth if tenth < STEPS else int(np.flatnonzero(n)[0])
+        if step == STEPS:
+            break
+        centres.append(_text_of(counted, int(least[step]), idf))
+    return centres
+
+
+def _fit(counted: DataFrame, topics: int = TOPICS) -> np.ndarray:
+    totals = _totals(counted, 1, _seen)[0]
+    if not totals[:FEATURES].any():
+        return np.zeros((1, FEATURES))
+    idf = np.log((1 + totals[FEATURES]) / (1 + totals[:FEATURES])) + 1
+    centres = np.stack(_first_centres(counted, idf, topics))
+    weights = None
+    for left in reversed(range(TOPIC_ROUNDS + 1)):
+        centres = centres / np.linalg.norm(centres, axis=1, keepdims=True)
+        last, weights = weights, np.rint(centres * idf * TOPIC_UNIT)
+        if last is not None and np.array_equal(last, weights):
+            break
+        sums = _totals(counted, len(centres), _by_topic(idf, weights))
+        sizes = sums[:, FEATURES]
+        if left:
+            centres = np.where(sizes[:, None] > 0, sums[:, :FEATURES], centres)
+    return weights[(sizes >= LEAST_TOPIC * sizes.sum()) | (sizes == sizes.max())]
+
+
+def _with_counts(docs: DataFrame, text: str, kept: list[str], features: bool = True) -> DataFrame:
+    """The columns ``kept`` with ``key, n_words, words, tf`` of the text, written: each text is split once.
+
+    Without ``features`` neither ``words`` nor ``tf``.
     """
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1
-    rows = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * idf
-    norms = np.linalg.norm(rows, axis=1)
-    rows = rows[norms > 0] / norms[norms > 0, None]
-    if not len(rows):
-        return np.zeros((1, counts.shape[1]))
-    chosen = [int(np.argmax(rows @ rows.mean(axis=0)))]
-    near = rows @ rows[chosen[0]]
-    while len(chosen) < topics and near.min() < 1 - 1e-9:
-        order = np.argsort(near, kind="stable")
-        far = order[len(near) // 10]
-        chosen.append(int(far if near[far] < 1 - 1e-9 else order[0]))
-        near = np.maximum(near, rows @ rows[chosen[-1]])
-    centres = rows[chosen]
-    for _ in range(TOPIC_ROUNDS):
-        topic = np.argmax(rows @ centres.T, axis=1)
-        sums = np.stack([rows[topic == t].sum(axis=0) if (topic == t).any() else centres[t] for t in range(len(centres))])
-        centres = sums / np.linalg.norm(sums, axis=1, keepdims=True)
-    sizes = np.bincount(np.argmax(rows @ centres.T, axis=1), minlength=len(centres))
-    return centres[(sizes >= LEAST_TOPIC * len(rows)) | (sizes == sizes.max())] * idf
-
-
-def _fit_topics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [b for b in batches if b.num_rows]
-    counts = np.zeros((sum(b.num_rows for b in held), FEATURES), np.float32)
-    start = 0
-    for b in held:
-        sizes = np.diff(b["words"].offsets.to_numpy())
-        rows = np.repeat(start + np.arange(b.num_rows), sizes)
-        counts[rows, b["words"].flatten().to_numpy()] = b["counts"].flatten().to_numpy()
-        start += b.num_rows
-    yield pa.RecordBatch.from_arrays([pa.array(list(topic_weights(counts).astype(np.float64)), pa.list_(pa.float64()))], names=["weights"])
-
-
-def fit_topics(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> np.ndarray:
-    """The weights of ``topic_weights``, fitted on about ``SAMPLE_DOCS`` documents drawn by hash, at most twice as many.
-
-    Whole texts of the drawn documents become counts of ``FEATURES`` hashed words, and
-    these are fitted in one task; the driver sees ``TOPICS`` rows.  A null or empty text
-    counts no words, a null id is drawn like any other, repeated rows are drawn together.
-    Empty table: one topic without weights.  Other columns, of whatever name, are not read.
+    counted = F.arrow_udf(_counted, "n_words long, words binary, tf binary")(F.col(text).cast("string"))
+    return cut(docs.select(*kept, F.xxhash64(text).alias("key"), counted.alias("counted")).select(*kept, "key", "counted.*" if features else "counted.n_words"), "counted")
+
+
+def fit_topics(docs: DataFrame, text_column: str = "text", topics: int = TOPICS) -> np.ndarray:
+    """Weights ``(topics, FEATURES)`` of spherical k-means over the tf-idf rows of all texts; a text's topic has the largest sum of them.
+
+    Every text counts, in the document frequencies, the first centres and each round.
+    The words of each text are hashed and counted once and written; every round is one
+    pass over that table, whose sums Spark adds up by topic and word, so that the
+    driver sees a model's size.  The first centre is a text as near to the mean as any,
+    each next one is farther from those before than nine in ten texts, so that
+    lone texts do not become topics (by steps of similarity of 1 in ``STEPS``; in a step the least hash).
+    Rounds end when nothing moves, after ``TOPIC_ROUNDS`` at the latest.
+
+    All sums are of whole numbers: neither partitions nor the order of rows change the
+    model.  Fewer different texts than topics, or groups under ``LEAST_TOPIC``: fewer
+    topics.  A null or empty text has no words and counts in the document
+    frequencies only, repeated rows count each.  Without any word: one topic without
+    weights.  Other columns, of whatever name, are not read.
     """
-    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-    drawn = docs.where(uniform(F.lit("topics"), F.col(id_column).cast("long"), F.col(text_column)) < share).select(F.col(text_column).alias("text"))
-    counted = drawn.limit(2 * SAMPLE_DOCS).mapInArrow(_counted, "words array<int>, counts array<int>")
-    return np.array([r.weights for r in counted.coalesce(1).mapInArrow(_fit_topics, "weights array<double>").collect()])
+    return _fit(_with_counts(docs.select(F.col(text_column).alias("text")), "text", []), topics)
 
 
-def _topics(text: str, with_text: bool, weights: np.ndarray | None):
-    """Append each text's words and topic."""
+def _topic_of(weights: np.ndarray):
+    """The topic of each text with the given words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, text):
-                n = batch.num_rows
-                if weights is None:
-                    offsets, _, _ = split_words(batch[text])
-                    words, topic = np.diff(offsets), np.zeros(n, np.int64)
-                else:
-                    words, doc, word, count = _features(batch[text])
-                    topic = np.argmax([np.bincount(doc, w[word] * (1 + np.log(count)), n) for w in weights], axis=0)
-                kept = [i for i, f in enumerate(batch.schema) if with_text or f.name != text]
-                columns = [batch.column(i) for i in kept] + [pa.array(words), pa.array([f"t{x}" for x in topic])]
-                yield pa.RecordBatch.from_arrays(columns, names=[batch.schema.field(i).name for i in kept] + ["n_words", "own_topic"])
-
-    return run
+    def run(words: pa.Array, tf: pa.Array) -> pa.Array:
+        topic = np.zeros(len(words), np.int64)
+        rows, starts, word, weight = _weighed(words, tf)
+        topic[rows] = np.argmax(_sums(starts, word, weight, weights), axis=0)
+        return pa.array([f"t{t}" for t in range(len(weights))]).take(pa.array(topic))
+
+    return F.arrow_udf(run, "string")("words", "tf")
 
 
 def goals_of(tokens: np.ndarray, codes: list[np.ndarray], names: list[list[str]], dimensions: list[str], targets: dict[str, dict[str, float]] | None) -> list[np.ndarray]:
@@ -312,12 +430,12 @@ def mix_to_targets(
     targets that are missed are logged.  The draw depends on seed, id and text only.
 
     Tokens are words.  Without ``topic_column`` a text's topic is that of a model that is
-    fitted here (``fit_topics``: tf-idf, spherical k-means, about ``SAMPLE_DOCS`` whole
-    documents); every document is assigned by its whole text.  A text without words has
-    the first topic.
+    fitted here, on all texts (``fit_topics``: tf-idf, spherical k-means); every document
+    is assigned by its whole text.  A text without words has the first topic.
 
-    Texts are passed through once and not shuffled if the table of cells is small
-    enough for Spark to broadcast it, which Spark decides by its size.
+    ``docs`` is read once and written, with the counted words of its texts; they are not
+    shuffled if the table of cells is small enough for Spark to broadcast it, which
+    Spark decides by its size.
 
     Null source, language or topic, or no such column: a category of its own.  Null
     or empty text: no tokens; it is drawn like its cell.  Null ids are drawn by text.
@@ -340,9 +458,7 @@ def target_report(docs: DataFrame, **options) -> DataFrame:
     ``budget`` is the share of all tokens that is drawn.  Categories that targets name
     and no row has are listed as not met.  Empty table: only such ones.
     """
-    given = {"keep_share": 0.8, "targets": None, "seed": 0, "id_column": "doc_id", "text_column": "text", "topic_column": None, "least_share": None}
-    given |= options
-    mixed, settled = _mixed(docs, **given)
+    mixed, settled = _mixed(docs, with_text=False, **options)
     kept = mixed.where("mix.kept").select(*[_category(docs, d).alias(d) for d in ("source", "lang")], F.col("mix.topic").alias("topic"), F.col("mix.n_tokens").alias("n"))
     kept = cut(kept.groupBy(*DIMENSIONS).agg(F.sum("n").alias("n")), "drawn")
     drawn = None
@@ -350,7 +466,7 @@ def target_report(docs: DataFrame, **options) -> DataFrame:
         some = kept.groupBy(F.lit(d).alias("dimension"), F.col(d).alias("value")).agg(F.sum("n").alias("n"))
         some = some.select("dimension", "value", F.try_divide("n", F.sum("n").over(Window.partitionBy())).alias("achieved"))
         drawn = some if drawn is None else drawn.unionByName(some)
-    found = _marginals(settled, DIMENSIONS, given["targets"]).join(drawn, ["dimension", "value"], "left")
+    found = _marginals(settled, DIMENSIONS, options.get("targets")).join(drawn, ["dimension", "value"], "left")
     return found.select("dimension", "value", "target", "expected", F.coalesce("achieved", F.lit(0.0)).alias("achieved"), "budget", "met")
 
 
@@ -358,37 +474,36 @@ def _category(docs: DataFrame, name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(_NONE)) if name in docs.columns else F.lit(_NONE)
 
 
-def _mixed(docs, keep_share, targets, seed, id_column, text_column, topic_column, least_share) -> tuple[DataFrame, DataFrame]:
-    columns = [c for c in docs.columns if c != "mix"]
-    plain = docs.select(*columns).toDF(*[f"c{i}" for i in range(len(columns))])
-    place = dict(zip(columns, plain.columns))
-    text = place[text_column]
+def _mixed(
+    docs, keep_share=0.8, targets=None, seed=0, id_column="doc_id", text_column="text", topic_column=None, least_share=None, with_text=True
+) -> tuple[DataFrame, DataFrame]:
+    """The rows with ``mix``, and the settled cells; without ``with_text`` only the columns that decide something are kept."""
+    deciding = [id_column, "source", "lang", topic_column]
+    plain = docs.select(*[c for c in docs.columns if c != "mix"])
+    columns = [c for c in plain.columns if with_text or c in deciding]
+    place = {c: f"c{i}" for i, c in enumerate(plain.columns)}
+    plain = plain.toDF(*place.values())
     dimensions = DIMENSIONS
 
-    def category(name: str | None) -> Column:
+    def category(name: str) -> Column:
         return F.coalesce(F.col(place[name]).cast("string"), F.lit(_NONE)) if name in place else F.lit(_NONE)
 
-    def with_words(rows: DataFrame, with_text: bool) -> DataFrame:
-        out = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if with_text or f.name != text]
-        counted = rows.mapInArrow(_topics(text, with_text, weights), ", ".join([*out, "n_words long", "own_topic string"]))
-        topic = category(topic_column) if topic_column else F.col("own_topic")
-        return counted.withColumns({"source": category("source"), "lang": category("lang"), "topic": topic})
-
-    weights = None if topic_column else fit_topics(plain, place[id_column], text)
-    narrow = plain.select(*dict.fromkeys([text, *[place[c] for c in ("source", "lang", topic_column) if c in place]]))
-    cells = cut(with_words(narrow, False).groupBy(*dimensions).agg(F.sum("n_words").alias("tokens")), "cells")
+    counted = _with_counts(plain, place[text_column], [place[c] for c in columns], features=not topic_column)
+    topic = category(topic_column) if topic_column else _topic_of(_fit(counted))
+    rows = counted.withColumns({"source": category("source"), "lang": category("lang"), "topic": topic})
+    cells = cut(rows.groupBy(*dimensions).agg(F.sum("n_words").alias("tokens")), "cells")
     settled = settle(cells, dimensions, targets, keep_share, keep_share / 2 if least_share is None else least_share)
     for r in _marginals(settled, dimensions, targets).where(~F.col("met")).orderBy("dimension", "value").limit(20).collect():
         _log.warning("mixing: %s %s has target %.4g and expects %.4g", r.dimension, r.value, r.target, r.expected)
     if (used := settled.agg(F.min("budget")).first()[0]) is not None and used < keep_share:
         _log.warning("mixing: the targets are met with %.4f of the tokens, not %.4f", used, keep_share)
     chances = settled.select(*dimensions, "weight", "chance")
-    drawn = uniform(F.lit(seed), F.col(place[id_column]).cast("long"), F.xxhash64(text))
+    drawn = uniform(F.lit(seed), F.col(place[id_column]).cast("long"), F.col("key"))
     chance = F.coalesce(F.col("chance"), F.lit(0.0))
     mix = F.struct(
         "topic", F.col("n_words").alias("n_tokens"), F.coalesce("weight", F.lit(0.0)).alias("weight"), chance.alias("probability"), (drawn < chance).alias("kept")
     )
-    joined = with_words(plain, True).join(chances, dimensions, "left")
+    joined = rows.join(chances, dimensions, "left")
     return joined.select(*[F.col(place[c]).alias(c) for c in columns], mix.alias("mix")), settled
 
 
@@ -399,4 +514,4 @@ def mixing_report(docs: DataFrame, **options) -> DataFrame:
     Null ids and repeated rows are rows like any other.  Empty table: no rows.  Columns
     other than ``doc_id, text, source, lang`` are not read.
     """
-    return mix_to_targets(docs.select("doc_id", "text", "source", "lang"), **options).select("doc_id", "source", "lang", "mix.*")
+    return _mixed(docs.select("doc_id", "text", "source", "lang"), with_text=False, **options)[0].select("doc_id", "source", "lang", "mix.*")

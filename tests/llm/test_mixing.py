@@ -8,7 +8,7 @@ import brute
 import numpy as np
 import pytest
 
-from loomtext.llm import mixing
+from loomtext.llm import mixing, words
 
 
 def _flattened(cells):
@@ -174,3 +174,51 @@ def test_a_column_of_the_structs_name_survives(spark):
     kept = mixing.drawn_to_targets(df)
     assert kept.columns == df.columns
     assert all(r.mix == f"own{r.doc_id}" for r in kept.collect()) and 10 < kept.count() < 40
+
+
+def _many(spark):
+    """Texts of eight subjects, one in ten between two of them; more than a model's earlier sample of 2,000 held."""
+    rng, rows = random.Random(12), []
+    vocabularies = [[f"{kind}{i}" for i in range(80)] for kind in "abcdefgh"]
+    for i in range(5000):
+        one, other = rng.sample(vocabularies, 2)
+        text = rng.choices(one, k=30) if i % 10 else rng.choices(one + other, k=30)
+        rows.append((i, " ".join(text), f"s{i % 3}", "en"))
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+
+
+def _tf_idf(texts):
+    """Rows of tf-idf over all texts, each of length 1, and idf."""
+    counts = np.zeros((len(texts), mixing.FEATURES))
+    names = sorted({w for t in texts for w in t.split()})
+    place = dict(zip(names, (words.vocabulary_hashes(mixing.pa.array(names)) % np.uint64(mixing.FEATURES)).tolist()))
+    for i, t in enumerate(texts):
+        np.add.at(counts[i], [place[w] for w in t.split()], 1)
+    idf = np.log((1 + len(texts)) / (1 + (counts > 0).sum(axis=0))) + 1
+    rows = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * idf
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True), idf
+
+
+def _centres(rows, topic):
+    sums = np.stack([rows[topic == t].sum(axis=0) for t in range(topic.max() + 1)])
+    return sums / np.linalg.norm(sums, axis=1, keepdims=True)
+
+
+def test_topics_are_fitted_on_all_texts(spark):
+    """The model is where the rounds end over all rows: its topics are the means of all texts nearest to them."""
+    data, df = _many(spark)
+    weights = mixing.fit_topics(df)
+    rows, idf = _tf_idf([r[1] for r in data])
+    want = _centres(rows, np.argmax(rows @ (weights / idf).T, axis=1)) * idf
+    assert len(weights) == 8 and np.abs(weights / np.linalg.norm(weights) - want / np.linalg.norm(want)).max() < 1e-5
+    assert np.array_equal(mixing.fit_topics(df.repartition(7)), weights)
+
+
+def test_the_model_counts_copies_and_texts_without_words(spark):
+    """One text in a hundred with words makes no topic; idf is over all 300 rows."""
+    data = [(i, "rare thing" if i == 0 else "" if i % 3 == 0 else None if i % 3 == 1 else "common thing") for i in range(300)]
+    weights = mixing.fit_topics(spark.createDataFrame(data, "doc_id long, text string"))
+    common, thing = words.vocabulary_hashes(mixing.pa.array(["common", "thing"])) % np.uint64(mixing.FEATURES)
+    assert len(weights) == 1 and set(np.flatnonzero(weights[0])) == {common, thing}
+    idf = [math.log(301 / 101) + 1, math.log(301 / 102) + 1]
+    assert abs(weights[0, common] / weights[0, thing] - (idf[0] / idf[1]) ** 2) < 1e-5
