@@ -10,15 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import cut
+from .scratch import cut, release
 from .words import slices, split_words, vocabulary_hashes
 
 #: Topics of the default model, hashed word features, and most rounds of its fitting.
 TOPICS, FEATURES, TOPIC_ROUNDS = 8, 4096, 20
-#: What 1 is of a word's weight in a text, of its weight in a topic, and of the length of a text: whole numbers add up alike in any order.
-TF_UNIT, TOPIC_UNIT, LENGTH = 1 << 10, 1 << 20, float(1 << 24)
+#: What 1 is of a word's weight in a text, and the length of a scaled text: whole numbers, which add up alike in any order.
+TF_UNIT, LENGTH = 1 << 10, float(1 << 24)
 #: Steps of similarity that tell texts apart when the first centres are chosen, and the similarity from which texts count as equal there.
-STEPS, SAME = 1024, 1 - 1e-5
+STEPS, SAME = 1024, 1 - 1e-4
 #: Words of texts that are weighed at once, so that they stay in the processor's cache.
 _AT_ONCE = 20_000
 #: Share of the texts with words that a topic must have; smaller ones are left out and their rows go to the next nearest.
@@ -51,12 +51,12 @@ def _binary(bounds: np.ndarray, numbers: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, buffers)
 
 
-def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _numbers(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
     """How many numbers each row has, and all of them."""
-    column = column.cast(pa.binary())
+    column, size = column.cast(pa.binary()), np.dtype(kind).itemsize
     at = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset) if len(column) else np.zeros(1, np.int32)
     whole = np.frombuffer(column.buffers()[2], np.uint8) if at[-1] > at[0] else np.zeros(0, np.uint8)
-    return np.diff(at) // 2, whole[at[0] : at[-1]].view(np.uint16)
+    return np.diff(at) // size, whole[at[0] : at[-1]].view(kind)
 
 
 def _counted(texts: pa.Array) -> pa.Array:
@@ -70,134 +70,152 @@ def _counted(texts: pa.Array) -> pa.Array:
     return pa.concat_arrays(out)
 
 
-def _weighed(words: pa.Array, tf: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows with words; where the words of each begin; the words and their weights."""
-    sizes, word = _numbers(words)
+def _weighed(words: pa.Array, weights: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows with words; where the words of each begin, and the last end; the words and their weights."""
+    sizes, word = _numbers(words, np.uint16)
     rows = np.flatnonzero(sizes)
-    return rows, (np.cumsum(sizes) - sizes)[rows], word.astype(np.int64), _numbers(tf)[1].astype(np.float64)
+    return rows, np.append(0, np.cumsum(sizes[rows])), word.astype(np.int64), _numbers(weights, kind)[1].astype(np.float32)
 
 
-def _sums(starts: np.ndarray, word: np.ndarray, weight: np.ndarray, tables: np.ndarray) -> np.ndarray:
-    """Sums of weight times table entry over the words of each text ``(tables, texts)``; exact if all are whole numbers."""
-    out, ends = np.empty((len(tables), len(starts))), np.append(starts, len(word))
-    edges = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(word), _AT_ONCE)), len(starts)))
+def _scores(ends: np.ndarray, word: np.ndarray, weight: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """Sums of weight times table entry over the words of each text ``(texts, tables)``; a text's depend on it alone."""
+    n = len(ends) - 1
+    out, entries = np.empty((n, len(tables)), np.float32), np.ascontiguousarray(tables.T, np.float32)
+    held = np.empty((_AT_ONCE + FEATURES, len(tables)), np.float32)
+    edges = np.unique(np.append(np.searchsorted(ends[:-1], np.arange(0, len(word), _AT_ONCE)), n))
     for low, high in zip(edges[:-1], edges[1:]):
         run = slice(ends[low], ends[high])
-        for t, table in enumerate(tables):
-            out[t, low:high] = np.add.reduceat(table[word[run]] * weight[run], starts[low:high] - ends[low])
+        products = held[: ends[high] - ends[low]]
+        np.take(entries, word[run], axis=0, out=products, mode="clip")
+        np.multiply(products, weight[run, None], out=products)
+        np.add.reduceat(products, ends[low:high] - ends[low], axis=0, out=out[low:high])
     return out
 
 
-def _scaled(starts: np.ndarray, word: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Weights of the words times ``idf``, scaled so that each text has ``LENGTH``, as whole numbers."""
-    raw = tf * idf[word]
-    norms = np.sqrt(np.add.reduceat(raw * raw, starts)) if len(starts) else np.zeros(0)
-    return np.rint(raw * np.repeat(LENGTH / norms, np.diff(np.append(starts, len(word)))))
+def _scaled(idf: np.ndarray):
+    """Texts with words: the weights of the words times ``idf``, scaled so that each text has ``LENGTH``, as whole numbers."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, ends, word, tf = _weighed(batch["words"], batch["tf"], np.uint16)
+            if len(rows):
+                raw = tf * idf[word]
+                norms = np.sqrt(np.add.reduceat(raw * raw, ends[:-1]))
+                scaled = np.rint(raw * np.repeat(LENGTH / norms, np.diff(ends))).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([batch["key"].take(pa.array(rows)), _binary(ends, word.astype(np.uint16)), _binary(ends, scaled)], names=["key", "words", "scaled"])
 
-def _totals(counted: DataFrame, topics: int, add) -> np.ndarray:
-    """``(topics, FEATURES + 1)`` whole numbers that ``add(totals, words, tf)`` collects from every batch, summed by Spark."""
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _totals(table: DataFrame, topics: int, add) -> np.ndarray:
+    """``(topics, FEATURES + 1)`` whole numbers that ``add(totals, batch)`` collects from every batch, summed by Spark."""
+
+    def rows(found: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], names=["topic", "totals"])
+
+    def collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((topics, FEATURES + 1), np.int64)
         for batch in batches:
-            add(totals, batch["words"], batch["tf"])
-        topic, word = np.nonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(topic, pa.int32()), pa.array(word, pa.int32()), pa.array(totals[topic, word])], names=["topic", "word", "total"])
+            add(totals, batch)
+        yield rows({t: totals[t] for t in np.flatnonzero(totals.any(axis=1)).tolist()})
 
-    parts = counted.select("words", "tf").mapInArrow(run, "topic int, word int, total long")
-    summed = parts.groupBy("topic", "word").agg(F.sum("total").alias("total")).toArrow()
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = {}
+        for batch in batches:
+            for topic, part in zip(batch["topic"].to_pylist(), batch["totals"].to_pylist()):
+                found[topic] = found.get(topic, 0) + np.frombuffer(part, np.int64)
+        yield rows(found)
+
+    kind = "topic int, totals binary"
     out = np.zeros((topics, FEATURES + 1), np.int64)
-    out[summed["topic"].to_numpy(), summed["word"].to_numpy()] = summed["total"].to_numpy()
+    for r in table.mapInArrow(collected, kind).repartition(topics, "topic").mapInArrow(summed, kind).collect():
+        out[r.topic] = np.frombuffer(bytes(r.totals), np.int64)
     return out
 
 
-def _seen(totals: np.ndarray, words: pa.Array, tf: pa.Array) -> None:
+def _seen(totals: np.ndarray, batch: pa.RecordBatch) -> None:
     """Texts that have each word, and all texts."""
-    totals[0, :FEATURES] += np.bincount(_numbers(words)[1], minlength=FEATURES)
-    totals[0, FEATURES] += len(words)
+    totals[0, :FEATURES] += np.bincount(_numbers(batch["words"], np.uint16)[1], minlength=FEATURES)
+    totals[0, FEATURES] += batch.num_rows
 
 
-def _by_topic(idf: np.ndarray, weights: np.ndarray):
-    """Sums of the scaled texts of each topic, and how many there are."""
+def _by_topic(centres: np.ndarray):
+    """Sums of the scaled texts nearest to each centre, and how many there are."""
 
-    def add(totals: np.ndarray, words: pa.Array, tf: pa.Array) -> None:
-        _, starts, word, weight = _weighed(words, tf)
-        scaled = _scaled(starts, word, weight, idf)
-        topic = np.argmax(_sums(starts, word, weight, weights), axis=0) if len(weights) > 1 else np.zeros(len(starts), np.int64)
-        place = np.repeat(topic, np.diff(np.append(starts, len(word)))) * FEATURES + word
-        totals[:, :FEATURES] += np.bincount(place, scaled, totals.shape[0] * FEATURES).astype(np.int64).reshape(-1, FEATURES)
-        totals[:, FEATURES] += np.bincount(topic, minlength=totals.shape[0])
+    def add(totals: np.ndarray, batch: pa.RecordBatch) -> None:
+        rows, ends, word, scaled = _weighed(batch["words"], batch["scaled"], np.float32)
+        topic = np.argmax(_scores(ends, word, scaled, centres), axis=1) if len(centres) > 1 else np.zeros(len(rows), np.int64)
+        place = word + np.repeat(topic * FEATURES, np.diff(ends))
+        totals[:, :FEATURES] += np.bincount(place, scaled, len(centres) * FEATURES).astype(np.int64).reshape(-1, FEATURES)
+        totals[:, FEATURES] += np.bincount(topic, minlength=len(centres))
 
     return add
 
 
-def _nearness(counted: DataFrame, idf: np.ndarray, centres: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _nearness(texts: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """By step of similarity to the nearest of ``centres``: how many texts there are, and the least key of one.
 
     The last step, ``STEPS``, has the texts that equal a centre.
     """
-    tables = np.stack(centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, least = np.zeros(STEPS + 1, np.int64), np.full(STEPS + 1, np.iinfo(np.int64).max)
         for batch in batches:
-            rows, starts, word, tf = _weighed(batch["words"], batch["tf"])
-            near = _sums(starts, word, _scaled(starts, word, tf, idf), tables).max(axis=0) / LENGTH**2
+            _, ends, word, scaled = _weighed(batch["words"], batch["scaled"], np.float32)
+            near = _scores(ends, word, scaled, centres).max(axis=1) / LENGTH
             step = np.where(near >= SAME, STEPS, np.minimum(near * STEPS, STEPS - 1)).astype(np.int64)
             n += np.bincount(step, minlength=STEPS + 1)
-            np.minimum.at(least, step, batch["key"].to_numpy()[rows])
+            np.minimum.at(least, step, batch["key"].to_numpy())
         found = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(n[found]), pa.array(least[found])], names=["step", "n", "key"])
 
-    parts = counted.select("key", "words", "tf").mapInArrow(run, "step int, n long, key long")
     n, least = np.zeros(STEPS + 1, np.int64), np.zeros(STEPS + 1, np.int64)
-    for r in parts.groupBy("step").agg(F.sum("n").alias("n"), F.min("key").alias("key")).collect():
+    for r in texts.mapInArrow(run, "step int, n long, key long").groupBy("step").agg(F.sum("n").alias("n"), F.min("key").alias("key")).collect():
         n[r.step], least[r.step] = r.n, r.key
     return n, least
 
 
-def _text_of(counted: DataFrame, key: int, idf: np.ndarray) -> np.ndarray:
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+def _text_of(texts: DataFrame, key: int) -> np.ndarray:
     """The scaled text of a key, over all features."""
-    found = counted.where((F.col("key") == F.lit(key)) & (F.length("words") > 0)).select("words", "tf")
-    (row,) = found.orderBy("words", "tf").limit(1).collect()
-    _, starts, word, tf = _weighed(pa.array([bytes(row.words)]), pa.array([bytes(row.tf)]))
+    (row,) = texts.where(F.col("key") == F.lit(key)).orderBy("words", "scaled").limit(1).collect()
     out = np.zeros(FEATURES)
-    out[word] = _scaled(starts, word, tf, idf)
+    out[np.frombuffer(bytes(row.words), np.uint16)] = np.frombuffer(bytes(row.scaled), np.float32)
     return out
 
 
-def _first_centres(counted: DataFrame, idf: np.ndarray, topics: int) -> list[np.ndarray]:
-    mean = _totals(counted, 1, _by_topic(idf, np.zeros((1, FEATURES))))[0, :FEATURES].astype(np.float64)
-    n, least = _nearness(counted, idf, [np.rint(mean * (LENGTH / np.linalg.norm(mean)))])
-    centres = [_text_of(counted, int(least[np.flatnonzero(n)[-1]]), idf)]
+def _first_centres(texts: DataFrame, topics: int) -> np.ndarray:
+    n, least = _nearness(texts, _unit(_totals(texts, 1, _by_topic(np.zeros((1, FEATURES))))[:, :FEATURES]))
+    centres = [_text_of(texts, int(least[np.flatnonzero(n)[-1]]))]
     while len(centres) < topics:
-        n, least = _nearness(counted, idf, centres)
+        n, least = _nearness(texts, _unit(np.stack(centres)))
         tenth = int(np.searchsorted(np.cumsum(n), n.sum() // 10, "right"))
         step = tenth if tenth < STEPS else int(np.flatnonzero(n)[0])
         if step == STEPS:
             break
-        centres.append(_text_of(counted, int(least[step]), idf))
-    return centres
+        centres.append(_text_of(texts, int(least[step])))
+    return _unit(np.stack(centres))
 
 
 def _fit(counted: DataFrame, topics: int = TOPICS) -> np.ndarray:
-    totals = _totals(counted, 1, _seen)[0]
+    totals = _totals(counted.select("words"), 1, _seen)[0]
     if not totals[:FEATURES].any():
         return np.zeros((1, FEATURES))
     idf = np.log((1 + totals[FEATURES]) / (1 + totals[:FEATURES])) + 1
-    centres = np.stack(_first_centres(counted, idf, topics))
-    weights = None
+    texts = cut(counted.select("key", "words", "tf").mapInArrow(_scaled(idf), "key long, words binary, scaled binary"), "scaled")
+    centres = _first_centres(texts, topics)
     for left in reversed(range(TOPIC_ROUNDS + 1)):
-        centres = centres / np.linalg.norm(centres, axis=1, keepdims=True)
-        last, weights = weights, np.rint(centres * idf * TOPIC_UNIT)
-        if last is not None and np.array_equal(last, weights):
-            break
-        sums = _totals(counted, len(centres), _by_topic(idf, weights))
+        sums = _totals(texts, len(centres), _by_topic(centres))
         sizes = sums[:, FEATURES]
-        if left:
-            centres = np.where(sizes[:, None] > 0, sums[:, :FEATURES], centres)
-    return weights[(sizes >= LEAST_TOPIC * sizes.sum()) | (sizes == sizes.max())]
+        moved = _unit(np.where(sizes[:, None] > 0, sums[:, :FEATURES], centres))
+        if not left or np.array_equal(moved, centres):
+            break
+        centres = moved
+    release(texts)
+    return centres[(sizes >= LEAST_TOPIC * sizes.sum()) | (sizes == sizes.max())] * idf
 
 
 def _with_counts(docs: DataFrame, text: str, kept: list[str], features: bool = True) -> DataFrame:
@@ -213,14 +231,14 @@ def fit_topics(docs: DataFrame, text_column: str = "text", topics: int = TOPICS)
     """Weights ``(topics, FEATURES)`` of spherical k-means over the tf-idf rows of all texts; a text's topic has the largest sum of them.
 
     Every text counts, in the document frequencies, the first centres and each round.
-    The words of each text are hashed and counted once and written; every round is one
-    pass over that table, whose sums Spark adds up by topic and word, so that the
-    driver sees a model's size.  The first centre is a text as near to the mean as any,
+    The words of each text are hashed and counted once and written, and again with
+    their tf-idf; every round is one pass over that table, whose sums are added up by
+    topic before the driver sees them, at a model's size.  The first centre is a text as near to the mean as any,
     each next one is farther from those before than nine in ten texts, so that
     lone texts do not become topics (by steps of similarity of 1 in ``STEPS``; in a step the least hash).
     Rounds end when nothing moves, after ``TOPIC_ROUNDS`` at the latest.
 
-    All sums are of whole numbers: neither partitions nor the order of rows change the
+    Sums over texts are of whole numbers: neither partitions nor the order of rows change the
     model.  Fewer different texts than topics, or groups under ``LEAST_TOPIC``: fewer
     topics.  A null or empty text has no words and counts in the document
     frequencies only, repeated rows count each.  Without any word: one topic without
@@ -234,8 +252,8 @@ def _topic_of(weights: np.ndarray):
 
     def run(words: pa.Array, tf: pa.Array) -> pa.Array:
         topic = np.zeros(len(words), np.int64)
-        rows, starts, word, weight = _weighed(words, tf)
-        topic[rows] = np.argmax(_sums(starts, word, weight, weights), axis=0)
+        rows, ends, word, weight = _weighed(words, tf, np.uint16)
+        topic[rows] = np.argmax(_scores(ends, word, weight, weights), axis=1)
         return pa.array([f"t{t}" for t in range(len(weights))]).take(pa.array(topic))
 
     return F.arrow_udf(run, "string")("words", "tf")
