@@ -21,6 +21,8 @@ TF_UNIT, LENGTH = 1 << 10, float(1 << 24)
 STEPS, SAME = 1024, 1 - 1e-4
 #: Words of texts that are weighed at once, so that they stay in the processor's cache.
 _AT_ONCE = 20_000
+#: Bytes of words that a task holds decoded at once.
+_HELD = 1 << 19
 #: Share of the texts with words that a topic must have; smaller ones are left out and their rows go to the next nearest.
 LEAST_TOPIC = 0.02
 #: Default targets: a dimension's categories are flattened as if their shares were the observed ones to this power.
@@ -70,6 +72,11 @@ def _counted(texts: pa.Array) -> pa.Array:
     return pa.concat_arrays(out)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        yield from slices(whole, "words", _HELD)
+
+
 def _weighed(words: pa.Array, weights: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rows with words; where the words of each begin, and the last end; the words and their weights."""
     sizes, word = _numbers(words, np.uint16)
@@ -96,7 +103,7 @@ def _scaled(idf: np.ndarray):
     """Texts with words: the weights of the words times ``idf``, scaled so that each text has ``LENGTH``, as whole numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             rows, ends, word, tf = _weighed(batch["words"], batch["tf"], np.uint16)
             if len(rows):
                 raw = tf * idf[word]
@@ -115,7 +122,7 @@ def _totals(table: DataFrame, topics: int, add) -> np.ndarray:
 
     def collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((topics, FEATURES + 1), np.int64)
-        for batch in batches:
+        for batch in _parts(batches):
             add(totals, batch)
         yield rows({t: totals[t] for t in np.flatnonzero(totals.any(axis=1)).tolist()})
 
@@ -160,7 +167,7 @@ def _nearness(texts: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, least = np.zeros(STEPS + 1, np.int64), np.full(STEPS + 1, np.iinfo(np.int64).max)
-        for batch in batches:
+        for batch in _parts(batches):
             _, ends, word, scaled = _weighed(batch["words"], batch["scaled"], np.float32)
             near = _scores(ends, word, scaled, centres).max(axis=1) / LENGTH
             step = np.where(near >= SAME, STEPS, np.minimum(near * STEPS, STEPS - 1)).astype(np.int64)
@@ -250,11 +257,16 @@ def fit_topics(docs: DataFrame, text_column: str = "text", topics: int = TOPICS)
 def _topic_of(weights: np.ndarray):
     """The topic of each text with the given words."""
 
+    names = pa.array([f"t{t}" for t in range(len(weights))])
+
     def run(words: pa.Array, tf: pa.Array) -> pa.Array:
-        topic = np.zeros(len(words), np.int64)
-        rows, ends, word, weight = _weighed(words, tf, np.uint16)
-        topic[rows] = np.argmax(_scores(ends, word, weight, weights), axis=1)
-        return pa.array([f"t{t}" for t in range(len(weights))]).take(pa.array(topic))
+        topics = [names[:0]]
+        for part in _parts([pa.RecordBatch.from_arrays([words, tf], names=["words", "tf"])]):
+            rows, ends, word, weight = _weighed(part["words"], part["tf"], np.uint16)
+            topic = np.zeros(part.num_rows, np.int64)
+            topic[rows] = np.argmax(_scores(ends, word, weight, weights), axis=1)
+            topics.append(names.take(pa.array(topic)))
+        return pa.concat_arrays(topics)
 
     return F.arrow_udf(run, "string")("words", "tf")
 
