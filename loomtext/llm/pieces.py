@@ -132,7 +132,7 @@ class Lattices:
         self.first[order] = np.arange(len(order))
         self.first[sizes > LONG_UNIT] = np.arange(len(order), len(words))
         self.roots = len(words)
-        self.parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(self.roots, np.int64))]
+        self.parts = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0), np.zeros(self.roots, np.int32))]
         self.lone_points: list[np.ndarray] = []
         self.n_lone, n_nodes = 0, self.roots
         reach = np.searchsorted(-sizes[order], -np.arange(int(sizes[order].max(initial=0)) + 1), "right")  # units of each depth or more
@@ -145,12 +145,18 @@ class Lattices:
             self._filter_long(model, points[starts[i] : starts[i] + sizes[i]], int(self.first[i]), n_nodes)
             n_nodes += int(sizes[i])
             self.last[i] = n_nodes - 1
-        self.tail, self.row, self.run, per_node = (np.concatenate(x) for x in zip(*self.parts))
-        ends = np.cumsum(per_node)
+        columns = [list(x) for x in zip(*self.parts)]
+        del self.parts
+        self.tail, self.row, self.run, per_node = (np.concatenate(columns.pop(0)) for _ in range(4))
+        ends = np.cumsum(per_node, dtype=np.int64)
         self.edges = ends - per_node
         self.run[ends[per_node > 0] - 1] = 1.0
         self.lone_point = np.concatenate([np.zeros(0, np.int64), *self.lone_points])
 
+    def _add(self, tails: np.ndarray, rows: np.ndarray, run: np.ndarray, per_node: np.ndarray) -> None:
+        """Edges of further nodes, in four bytes a number: nodes are fewer than twice the code points of a batch."""
+        self.parts.append((tails.astype(np.int32), rows.astype(np.int32), run, per_node.astype(np.int32)))
+
     def _bare(self, point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows (below -1) and bytes of edges for code points without a piece."""
         real = np.where(point == 0x110000, 0x2581, np.where(point == 0x2581, 0x20, point)).astype(np.int64)
@@ -185,7 +191,7 @@ class Lattices:
             run /= run[-1]
             unit, edge = np.nonzero((found != -1).T)
             tails = at_depth[np.append(np.array(froms), depth - 1)[edge]] + unit
-            self.parts.append((tails, found[edge, unit], run[edge, unit], np.bincount(unit, minlength=m)))
+            self._add(tails, found[edge, unit], run[edge, unit], np.bincount(unit, minlength=m))
 
     def _filter_long(self, model: Pieces, points: np.ndarray, root: int, base: int) -> None:
         """One unit of any length: its edges are found place by place at once, then summed from left to right."""
@@ -223,7 +229,7 @@ class Lattices:
         ends = np.cumsum(counts)
         before = np.concatenate([[0.0], share])[ends - counts]
         run = share - np.repeat(before, counts)
-        self.parts.append((np.where(start == 0, root, base + start - 1), row, run, counts))
+        self._add(np.where(start == 0, root, base + start - 1), row, run, counts)
 
     def sample(self, codes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges of one segmentation of each unit in turn, in order, and how many each has."""
@@ -284,7 +290,7 @@ def _encoder(path: str, seed: int, alpha: float):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Pieces.of(path, alpha)
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 keys = mix(batch["doc_id"].fill_null(0).to_numpy().astype(np.uint64) + mix(np.array([seed], np.uint64)))
                 offsets, ids = encode_batch(model, batch["text"], keys)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))

@@ -2,6 +2,8 @@
 
 import collections
 import math
+import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -300,3 +302,17 @@ def test_long_units_at_any_sharpness(spark, alpha):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = pieces.encode_checked(df, v.PIECES, alpha=alpha).collect()
     assert all(r.lossless for r in rows) and len(rows) == len(texts)
+
+
+def test_pieces_of_a_large_batch_take_little_memory():
+    """Units that hardly repeat, two megabytes of them in one batch: the lattices at work stay under 160 MB."""
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(130)) for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    run = pieces._checked(v.PIECES, 0, 1.0)
+    assert all(next(run(iter([batch.slice(0, 1)])))["lossless"].to_pylist())  # loads the model
+    tracemalloc.start()
+    rows = sum(sum(out["lossless"].to_pylist()) for out in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 2000 and peak < 160e6, peak
