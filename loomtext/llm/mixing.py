@@ -7,20 +7,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import cut, release
-from .words import slices, split_words, vocabulary_hashes
+from .words import cuts, give_back, slices, split_words, vocabulary_hashes
 
 #: Topics of the default model, hashed word features, and most rounds of its fitting.
 TOPICS, FEATURES, TOPIC_ROUNDS = 8, 4096, 20
-#: What 1 is of a word's weight in a text, and the length of a scaled text: whole numbers, which add up alike in any order.
-TF_UNIT, LENGTH = 1 << 10, float(1 << 24)
+#: What 1 is of a word's weight in a text: whole numbers, which add up alike in any order.
+TF_UNIT = 1 << 10
+#: Bits of a scaled text's length, and of the sum over all texts, at most.
+LENGTH_BITS, SUM_BITS = 36, 62
 #: Steps of similarity that tell texts apart when the first centres are chosen, and the similarity from which texts count as equal there.
 STEPS, SAME = 1024, 1 - 1e-4
-#: Words of texts that are weighed at once, so that they stay in the processor's cache.
-_AT_ONCE = 20_000
+#: Words of texts that are weighed at once, so that they stay in the processor's cache; so many make a pack.
+_AT_ONCE = 1 << 16
 #: Bytes of words that a task holds decoded at once.
 _HELD = 1 << 19
 #: Share of the texts with words that a topic must have; smaller ones are left out and their rows go to the next nearest.
@@ -34,6 +37,10 @@ MET = 1e-3
 #: Most rounds of the fit under the bound at one budget, rounds without a smaller gap that end it, and budgets tried.
 BOUND_ROUNDS, STALL, BUDGETS = 1000, 20, 14
 _NONE = "(none)"
+#: Weights of counts from 1 to 255; and by weight the count, 0 for larger ones.
+_TF = np.append(0, np.rint(TF_UNIT * (1 + np.log(np.arange(1, 256))))).astype(np.float32)
+_COUNT = np.zeros(1 << 16, np.uint8)
+_COUNT[_TF[1:].astype(np.int64)] = np.arange(1, 256)
 DIMENSIONS = ["source", "lang", "topic"]
 _log = logging.getLogger(__name__)
 
@@ -74,56 +81,97 @@ def _counted(texts: pa.Array) -> pa.Array:
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        yield from slices(whole, "words", _HELD)
+        yield from cuts(whole, "words", _HELD)
+    give_back()
 
 
-def _weighed(words: pa.Array, weights: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _weighed(words: pa.Array, tf: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rows with words; where the words of each begin, and the last end; the words and their weights."""
     sizes, word = _numbers(words, np.uint16)
     rows = np.flatnonzero(sizes)
-    return rows, np.append(0, np.cumsum(sizes[rows])), word.astype(np.int64), _numbers(weights, kind)[1].astype(np.float32)
-
-
-def _scores(ends: np.ndarray, word: np.ndarray, weight: np.ndarray, tables: np.ndarray) -> np.ndarray:
-    """Sums of weight times table entry over the words of each text ``(texts, tables)``; a text's depend on it alone."""
-    n = len(ends) - 1
-    out, entries = np.empty((n, len(tables)), np.float32), np.ascontiguousarray(tables.T, np.float32)
-    held = np.empty((_AT_ONCE + FEATURES, len(tables)), np.float32)
-    edges = np.unique(np.append(np.searchsorted(ends[:-1], np.arange(0, len(word), _AT_ONCE)), n))
-    for low, high in zip(edges[:-1], edges[1:]):
-        run = slice(ends[low], ends[high])
-        products = held[: ends[high] - ends[low]]
-        np.take(entries, word[run], axis=0, out=products, mode="clip")
-        np.multiply(products, weight[run, None], out=products)
-        np.add.reduceat(products, ends[low:high] - ends[low], axis=0, out=out[low:high])
-    return out
+    return rows, np.append(0, np.cumsum(sizes[rows])), word.astype(np.int64), _numbers(tf, np.uint16)[1]
+
+
+def _runs(ends: np.ndarray) -> np.ndarray:
+    """Bounds of runs of texts that have about ``_AT_ONCE`` words together."""
+    return np.unique(np.append(np.searchsorted(ends[:-1], np.arange(0, ends[-1], _AT_ONCE)), len(ends) - 1))
+
+
+def _scorer(tables: np.ndarray):
+    """A function of ends, words and weights of texts: sums of weight times table entry ``(texts, tables)``.
+
+    A text's sums depend on it alone.  Two tables at a time stand in one array of complex
+    numbers, so that they are looked up and added up together.
+    """
+    n = len(tables) + len(tables) % 2
+    pairs = np.zeros((FEATURES, n), np.float32)
+    pairs[:, : len(tables)] = tables.T
+    pairs = np.ascontiguousarray(pairs.view(np.complex64).T)
+    held, twice = np.empty(_AT_ONCE + FEATURES, np.complex64), np.empty((_AT_ONCE + FEATURES, 2), np.float32)
+
+    def score(ends: np.ndarray, word: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        out = np.empty((len(ends) - 1, n // 2), np.complex64)
+        edges = _runs(ends)
+        for low, high in zip(edges[:-1], edges[1:]):
+            run, size, starts = slice(ends[low], ends[high]), ends[high] - ends[low], ends[low:high] - ends[low]
+            twice[:size, 0] = twice[:size, 1] = weight[run]
+            for i, table in enumerate(pairs):
+                np.take(table, word[run], out=held[:size], mode="clip")
+                products = held[:size].view(np.float32)
+                np.multiply(products, twice[:size].ravel(), out=products)
+                out[low:high, i] = np.add.reduceat(held[:size], starts)
+        return out.view(np.float32)[:, : len(tables)]
+
+    return score
 
 
-def _scaled(idf: np.ndarray):
-    """Texts with words: the weights of the words times ``idf``, scaled so that each text has ``LENGTH``, as whole numbers."""
+_PACK = "place int, keys array<long>, sizes binary, norms binary, words binary, counts binary, large binary"
+
+
+def _packs(idf: np.ndarray):
+    """Packs of texts with words: their keys, numbers of different words and lengths of tf-idf; the words, in one byte their counts, and the weights of larger counts.
+
+    ``place`` is the task that made a pack.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = TaskContext.get().partitionId()
         for batch in _parts(batches):
-            rows, ends, word, tf = _weighed(batch["words"], batch["tf"], np.uint16)
+            rows, ends, word, tf = _weighed(batch["words"], batch["tf"])
             if len(rows):
+                edges, count = _runs(ends), _COUNT[tf]
+                large = np.flatnonzero(count == 0)
                 raw = tf * idf[word]
                 norms = np.sqrt(np.add.reduceat(raw * raw, ends[:-1]))
-                scaled = np.rint(raw * np.repeat(LENGTH / norms, np.diff(ends))).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([batch["key"].take(pa.array(rows)), _binary(ends, word.astype(np.uint16)), _binary(ends, scaled)], names=["key", "words", "scaled"])
+                columns = [pa.array(np.full(len(edges) - 1, place), pa.int32()), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), batch["key"].take(pa.array(rows)))]
+                columns += [_binary(edges, np.diff(ends).astype(np.uint16)), _binary(edges, norms), _binary(ends[edges], word.astype(np.uint16))]
+                columns += [_binary(ends[edges], count), _binary(np.searchsorted(large, ends[edges]), tf[large])]
+                yield pa.RecordBatch.from_arrays(columns, names=["place", "keys", "sizes", "norms", "words", "counts", "large"])
 
     return run
 
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each pack the keys and lengths of its texts; where the words of each begin, and the last end; the words and their weights."""
+    for batch in batches:
+        for keys, *columns in zip(*(batch[c] for c in ("keys", "sizes", "norms", "words", "counts", "large"))):
+            sizes, norms, word, count, large = (np.frombuffer(c.as_buffer(), kind) for c, kind in zip(columns, (np.uint16, np.float64, np.uint16, np.uint8, np.uint16)))
+            tf = _TF[count]
+            if len(large):
+                tf[count == 0] = large
+            yield keys.values.to_numpy(), norms, np.append(0, np.cumsum(sizes, dtype=np.int64)), word.astype(np.int64), tf
+    give_back()
+
+
 def _totals(table: DataFrame, topics: int, add) -> np.ndarray:
-    """``(topics, FEATURES + 1)`` whole numbers that ``add(totals, batch)`` collects from every batch, summed by Spark."""
+    """``(topics, FEATURES + 1)`` whole numbers that ``add(totals, batches)`` collects from a task's batches, summed by Spark."""
 
     def rows(found: dict[int, np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], names=["topic", "totals"])
 
     def collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((topics, FEATURES + 1), np.int64)
-        for batch in _parts(batches):
-            add(totals, batch)
+        add(totals, batches)
         yield rows({t: totals[t] for t in np.flatnonzero(totals.any(axis=1)).tolist()})
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,26 +188,32 @@ def _totals(table: DataFrame, topics: int, add) -> np.ndarray:
     return out
 
 
-def _seen(totals: np.ndarray, batch: pa.RecordBatch) -> None:
+def _seen(totals: np.ndarray, batches: Iterator[pa.RecordBatch]) -> None:
     """Texts that have each word, and all texts."""
-    totals[0, :FEATURES] += np.bincount(_numbers(batch["words"], np.uint16)[1], minlength=FEATURES)
-    totals[0, FEATURES] += batch.num_rows
-
-
-def _by_topic(centres: np.ndarray):
-    """Sums of the scaled texts nearest to each centre, and how many there are."""
-
-    def add(totals: np.ndarray, batch: pa.RecordBatch) -> None:
-        rows, ends, word, scaled = _weighed(batch["words"], batch["scaled"], np.float32)
-        topic = np.argmax(_scores(ends, word, scaled, centres), axis=1) if len(centres) > 1 else np.zeros(len(rows), np.int64)
-        place = word + np.repeat(topic * FEATURES, np.diff(ends))
-        totals[:, :FEATURES] += np.bincount(place, scaled, len(centres) * FEATURES).astype(np.int64).reshape(-1, FEATURES)
-        totals[:, FEATURES] += np.bincount(topic, minlength=len(centres))
+    for part in _parts(batches):
+        totals[0, :FEATURES] += np.bincount(_numbers(part["words"], np.uint16)[1], minlength=FEATURES)
+        totals[0, FEATURES] += part.num_rows
+
+
+def _by_topic(tables: np.ndarray, length: float):
+    """Sums of the texts of the largest score in each of ``tables``, as weights of words before idf for texts of ``length``; and how many there are."""
+
+    def add(totals: np.ndarray, batches: Iterator[pa.RecordBatch]) -> None:
+        score = _scorer(tables)
+        for keys, norms, ends, word, tf in _texts(batches):
+            scaled = tf * np.repeat(np.rint(length / norms), np.diff(ends))
+            if len(tables) > 1:
+                topic = np.argmax(score(ends, word, tf), axis=1)
+                word += np.repeat(topic * FEATURES, np.diff(ends))
+                totals[:, FEATURES] += np.bincount(topic, minlength=len(tables))
+            else:
+                totals[:, FEATURES] += len(keys)
+            totals[:, :FEATURES] += np.bincount(word, scaled, len(tables) * FEATURES).astype(np.int64).reshape(-1, FEATURES)
 
     return add
 
 
-def _nearness(texts: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _nearness(texts: DataFrame, idf: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """By step of similarity to the nearest of ``centres``: how many texts there are, and the least key of one.
 
     The last step, ``STEPS``, has the texts that equal a centre.
@@ -167,12 +221,12 @@ def _nearness(texts: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, least = np.zeros(STEPS + 1, np.int64), np.full(STEPS + 1, np.iinfo(np.int64).max)
-        for batch in _parts(batches):
-            _, ends, word, scaled = _weighed(batch["words"], batch["scaled"], np.float32)
-            near = _scores(ends, word, scaled, centres).max(axis=1) / LENGTH
+        score = _scorer(centres * idf)
+        for keys, norms, ends, word, tf in _texts(batches):
+            near = score(ends, word, tf).max(axis=1) / norms
             step = np.where(near >= SAME, STEPS, np.minimum(near * STEPS, STEPS - 1)).astype(np.int64)
             n += np.bincount(step, minlength=STEPS + 1)
-            np.minimum.at(least, step, batch["key"].to_numpy())
+            np.minimum.at(least, step, keys)
         found = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(n[found]), pa.array(least[found])], names=["step", "n", "key"])
 
@@ -186,24 +240,38 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _text_of(texts: DataFrame, key: int) -> np.ndarray:
-    """The scaled text of a key, over all features."""
-    (row,) = texts.where(F.col("key") == F.lit(key)).orderBy("words", "scaled").limit(1).collect()
+def _text_of(texts: DataFrame, idf: np.ndarray, key: int) -> np.ndarray:
+    """The tf-idf of a key's text over all features; only the packs of the tasks that have it are read whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = None
+        for keys, _, ends, word, tf in _texts(batches):
+            for i in np.flatnonzero(keys == key):
+                one = slice(ends[i], ends[i + 1])
+                found = word[one].astype(np.uint16).tobytes(), tf[one].tobytes()
+                least = found if least is None else min(least, found)
+        if least:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in least], names=["words", "tf"])
+
+    mine = F.array_contains("keys", F.lit(key).cast("long"))
+    places = [r.place for r in texts.where(mine).select("place").distinct().collect()]
+    (row,) = texts.where(F.col("place").isin(places) & mine).mapInArrow(run, "words binary, tf binary").orderBy("words", "tf").limit(1).collect()
     out = np.zeros(FEATURES)
-    out[np.frombuffer(bytes(row.words), np.uint16)] = np.frombuffer(bytes(row.scaled), np.float32)
-    return out
+    out[np.frombuffer(bytes(row.words), np.uint16)] = np.frombuffer(bytes(row.tf), np.float32)
+    return out * idf
 
 
-def _first_centres(texts: DataFrame, topics: int) -> np.ndarray:
-    n, least = _nearness(texts, _unit(_totals(texts, 1, _by_topic(np.zeros((1, FEATURES))))[:, :FEATURES]))
-    centres = [_text_of(texts, int(least[np.flatnonzero(n)[-1]]))]
+def _first_centres(texts: DataFrame, idf: np.ndarray, length: float, topics: int) -> np.ndarray:
+    mean = _totals(texts, 1, _by_topic(np.zeros((1, FEATURES)), length))[:, :FEATURES] * idf
+    n, least = _nearness(texts, idf, _unit(mean))
+    centres = [_text_of(texts, idf, int(least[np.flatnonzero(n)[-1]]))]
     while len(centres) < topics:
-        n, least = _nearness(texts, _unit(np.stack(centres)))
+        n, least = _nearness(texts, idf, _unit(np.stack(centres)))
         tenth = int(np.searchsorted(np.cumsum(n), n.sum() // 10, "right"))
         step = tenth if tenth < STEPS else int(np.flatnonzero(n)[0])
         if step == STEPS:
             break
-        centres.append(_text_of(texts, int(least[step])))
+        centres.append(_text_of(texts, idf, int(least[step])))
     return _unit(np.stack(centres))
 
 
@@ -212,12 +280,13 @@ def _fit(counted: DataFrame, topics: int = TOPICS) -> np.ndarray:
     if not totals[:FEATURES].any():
         return np.zeros((1, FEATURES))
     idf = np.log((1 + totals[FEATURES]) / (1 + totals[:FEATURES])) + 1
-    texts = cut(counted.select("key", "words", "tf").mapInArrow(_scaled(idf), "key long, words binary, scaled binary"), "scaled")
-    centres = _first_centres(texts, topics)
+    length = 2.0 ** min(LENGTH_BITS, SUM_BITS - int(totals[FEATURES]).bit_length())
+    texts = cut(counted.select("key", "words", "tf").mapInArrow(_packs(idf), _PACK), "packs")
+    centres = _first_centres(texts, idf, length, topics)
     for left in reversed(range(TOPIC_ROUNDS + 1)):
-        sums = _totals(texts, len(centres), _by_topic(centres))
+        sums = _totals(texts, len(centres), _by_topic(centres * idf, length))
         sizes = sums[:, FEATURES]
-        moved = _unit(np.where(sizes[:, None] > 0, sums[:, :FEATURES], centres))
+        moved = _unit(np.where(sizes[:, None] > 0, sums[:, :FEATURES] * idf, centres))
         if not left or np.array_equal(moved, centres):
             break
         centres = moved
@@ -238,8 +307,8 @@ def fit_topics(docs: DataFrame, text_column: str = "text", topics: int = TOPICS)
     """Weights ``(topics, FEATURES)`` of spherical k-means over the tf-idf rows of all texts; a text's topic has the largest sum of them.
 
     Every text counts, in the document frequencies, the first centres and each round.
-    The words of each text are hashed and counted once and written, and again with
-    their tf-idf; every round is one pass over that table, whose sums are added up by
+    The words of each text are hashed and counted once and written, and again in packs
+    of texts, with the length of their tf-idf; every round is one pass over that table, whose sums are added up by
     topic before the driver sees them, at a model's size.  The first centre is a text as near to the mean as any,
     each next one is farther from those before than nine in ten texts, so that
     lone texts do not become topics (by steps of similarity of 1 in ``STEPS``; in a step the least hash).
@@ -260,11 +329,11 @@ def _topic_of(weights: np.ndarray):
     names = pa.array([f"t{t}" for t in range(len(weights))])
 
     def run(words: pa.Array, tf: pa.Array) -> pa.Array:
-        topics = [names[:0]]
+        topics, score = [names[:0]], _scorer(weights)
         for part in _parts([pa.RecordBatch.from_arrays([words, tf], names=["words", "tf"])]):
-            rows, ends, word, weight = _weighed(part["words"], part["tf"], np.uint16)
+            rows, ends, word, weight = _weighed(part["words"], part["tf"])
             topic = np.zeros(part.num_rows, np.int64)
-            topic[rows] = np.argmax(_scores(ends, word, weight, weights), axis=1)
+            topic[rows] = np.argmax(score(ends, word, weight), axis=1)
             topics.append(names.take(pa.array(topic)))
         return pa.concat_arrays(topics)
 

@@ -22,7 +22,7 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def cuts(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about ``max_bytes`` of text; a longer text stands alone."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
@@ -31,6 +31,12 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iter
         stop = max(start + 1, int(np.searchsorted(size, done + max_bytes, "right")))
         yield batch.slice(start, stop - start)
         start = stop
+
+
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """``cuts``, after each of which memory is given back: for large ones, as that takes longer than the work on a small one."""
+    for part in cuts(batch, column, max_bytes):
+        yield part
         give_back()
 
 
@@ -50,7 +56,7 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
 
 
 def vocabulary_hashes(vocabulary: pa.Array) -> np.ndarray:
-    words = vocabulary.cast(pa.binary()).to_pylist()
+    words = vocabulary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 

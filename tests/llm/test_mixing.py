@@ -222,3 +222,17 @@ def test_the_model_counts_copies_and_texts_without_words(spark):
     assert len(weights) == 1 and set(np.flatnonzero(weights[0])) == {common, thing}
     idf = [math.log(301 / 101) + 1, math.log(301 / 102) + 1]
     assert abs(weights[0, common] / weights[0, thing] - (idf[0] / idf[1]) ** 2) < 1e-5
+
+
+def test_passes_read_packs_of_texts(spark):
+    """Passes over the fit read a few packs, not a row a text, and find in them all words with their exact weights, also of counts over 255."""
+    data = [(i, " ".join([f"w{i % 97}"] * (1 + i % 400) + ["and", f"x{i}"])) for i in range(1200)]
+    counted = mixing._with_counts(spark.createDataFrame(data, "doc_id long, text string").repartition(2), "text", [])
+    packs = counted.select("key", "words", "tf").mapInArrow(mixing._packs(np.ones(mixing.FEATURES)), mixing._PACK).toArrow()
+    assert packs.num_rows <= 4
+    got, want = {}, {r.key: (np.frombuffer(bytes(r.words), np.uint16), np.frombuffer(bytes(r.tf), np.uint16)) for r in counted.collect()}
+    for keys, norms, ends, word, tf in mixing._texts(iter(packs.to_batches())):
+        got |= {k: (word[a:b], tf[a:b], n) for k, a, b, n in zip(keys.tolist(), ends[:-1], ends[1:], norms)}
+    assert got.keys() == want.keys() and len(got) == 1200 and max(tf.max() for _, tf in want.values()) > mixing._TF[-1]
+    for k, (word, tf) in want.items():
+        assert np.array_equal(got[k][0], word) and np.array_equal(got[k][1], tf) and abs(got[k][2] - np.linalg.norm(tf.astype(float))) < 1e-6
