@@ -41,6 +41,30 @@ def _bits(values: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(values.astype(np.float64) + 1)).astype(np.uint8)
 
 
+def _pack(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of ``BLOCK`` values as rows of bytes, ``width`` bits a value, lowest bits first."""
+    columns, out = values.T.astype(np.uint64, order="C"), np.zeros((BLOCK * width // 64, len(values)), np.uint64)
+    for i, column in enumerate(columns):
+        word, shift = divmod(i * width, 64)
+        out[word] |= column << np.uint64(shift)
+        if shift + width > 64:
+            out[word + 1] |= column >> np.uint64(64 - shift)
+    return out.T.astype("<u8", order="C").view(np.uint8)
+
+
+def _unpack(packed: np.ndarray, width: int) -> np.ndarray:
+    """What ``_pack`` was given."""
+    words, out = packed.view("<u8").T.astype(np.uint64, order="C"), np.empty((BLOCK, len(packed)), np.uint32)
+    mask = np.uint64((1 << width) - 1)
+    for i in range(BLOCK):
+        word, shift = divmod(i * width, 64)
+        value = words[word] >> np.uint64(shift)
+        if shift + width > 64:
+            value |= words[word + 1] << np.uint64(64 - shift)
+        out[i] = value & mask
+    return out.T
+
+
 def encode_segment(doc_ids: np.ndarray, has_id: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
     n_blocks = -(-len(ids) // BLOCK)
     full = np.zeros(n_blocks * BLOCK, np.uint32)
@@ -53,7 +77,7 @@ def encode_segment(doc_ids: np.ndarray, has_id: np.ndarray, counts: np.ndarray,
     above = blocks - least[:, None]
     rank = BLOCK * PERCENTILE // 100 - 1
     width = _bits(np.partition(above, rank, axis=1)[:, rank]) if n_blocks else np.zeros(0, np.uint8)
-    large = above >= (np.uint64(1) << width.astype(np.uint64))[:, None]
+    large = above > ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)[:, None]
     patch_counts = large.sum(axis=1).astype(np.uint8)
     places = np.nonzero(large)[1].astype(np.uint8)
     patches = above[large].astype(np.uint32)
@@ -65,8 +89,7 @@ def encode_segment(doc_ids: np.ndarray, has_id: np.ndarray, counts: np.ndarray,
         if w:
             which = np.flatnonzero(width == w)
             for some in np.array_split(which, max(1, len(which) // 4096)):
-                bits = (above[some][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)
-                packed = np.packbits(bits.astype(np.uint8).reshape(len(some), -1), axis=1, bitorder="little")
+                packed = _pack(above[some], int(w))
                 payload[starts[some][:, None] + np.arange(packed.shape[1])] = packed
     head = struct.pack(_HEAD, MAGIC, len(doc_ids), len(ids), n_blocks, len(patches), len(payload))
     parts = [
@@ -95,9 +118,7 @@ def decode_segments(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
                 which = np.flatnonzero(width == w)
                 for some in np.array_split(which, max(1, len(which) // 4096)):
                     packed = payload[starts[some].astype(np.int64)[:, None] + np.arange(int(w) * BLOCK // 8)]
-                    bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(-1, w)
-                    real = np.float32 if w <= 24 else np.float64  # exact sums of powers of two
-                    values[some] = (bits.astype(real) @ np.exp2(np.arange(w)).astype(real)).astype(np.uint32).reshape(len(some), BLOCK)
+                    values[some] = _unpack(packed, int(w))
         values[np.repeat(np.arange(n_blocks), patch_counts), places] = patches
         yield doc_ids, has_id.astype(bool), counts, (values + least[:, None]).reshape(-1)[:n_ids]
         at += 1  # the newline

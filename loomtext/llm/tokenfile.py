@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +16,8 @@ from .prefix import with_prefix
 from .scratch import cut, new_folder
 from .words import expand, process_cache, slices, split_words
 
-#: Ids in one segment, about, and words whose ids a worker remembers.
-SEGMENT_IDS, REMEMBERED = 4_000_000, 500_000
+#: Ids in one segment, about, and units (see ``WordEncoder``) whose ids a worker remembers, with the bytes of their text.
+SEGMENT_IDS, REMEMBERED, REMEMBERED_BYTES = 4_000_000, 500_000, 64 << 20
 #: Segments in one file: a file is read back as one value, which must stay far below 2 GB.
 FILE_SEGMENTS = 16
 #: What a tokenizer must code alike as a whole and word by word.
@@ -28,14 +27,16 @@ _PROBE = "It's the 1st  Test,\twith\ncaf\u00e9 \u6f22\u5b57 <|endoftext|> #tags.
 class WordEncoder:
     """Encodes word by word: the vocabularies used here never join text across white space.
 
-    Words of letters, with marks behind them or not, are encoded many in one string:
-    each run of letters and each run of marks closes with a token that ends a word,
-    and counting those finds the words again.  All other words are encoded alone.
+    A word of letters, with marks behind them or not, is two units, as no token joins
+    letters and marks either; of all other words each is one unit.  Every unit is
+    encoded once and remembered, in lower case where the tokenizer ignores case.
+    Units of letters or of marks are encoded many in one string: each closes with one
+    token that ends a word, by which they are found again.  All others are encoded alone.
     """
 
     #: Letters that normalising keeps letters, one to one, and marks that open neither a contraction nor a special token.
-    _PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[].,;:!?#$%&*()\"+=/\\\\@^_`~{}[-]*$"
-    _LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+    _LETTERS = "".join(chr(i) for i in range(0x41, 0x100) if chr(i).isalpha() and chr(i) not in "\u00aa\u00b5\u00ba")
+    _MARKS = "].,;:!?#$%&*()\"+=/\\@^_`~{}[-"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -46,8 +47,13 @@ class WordEncoder:
         if alone != self.tokenizer.encode(_PROBE, add_special_tokens=False).ids:
             raise ValueError(f"{path} does not code text word by word")
         self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.known: dict[str, int] = {}
-        self.flat, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.ignores_case = self._ignores_case()
+        self.known, self.flat, self.lengths = pa.array([""]), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _ignores_case(self) -> bool:
+        normal, added = self.tokenizer.normalizer, self.tokenizer.get_added_tokens_decoder().values()
+        alike = normal is not None and normal.normalize_str(self._LETTERS) == normal.normalize_str(self._LETTERS.lower())
+        return alike and all(x.content.startswith("<") for x in added)
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -56,60 +62,57 @@ class WordEncoder:
             cache[key] = cls(path)
         return cache[key]
 
-    def _alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _alone(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum())), lengths
 
-    def _together(self, words: list[str], closes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+    def _together(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(units)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.closes[ids]) + 1
-        until = np.cumsum(closes)
-        if len(ends) != until[-1]:
-            return self._alone(words)
-        return ids, np.diff(np.concatenate([[0], ends[until - 1]]))
-
-    def _fresh(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The words' places in ``words`` in the order coded, their ids in a row, and how many each has."""
-        plain = pc.match_substring_regex(words, self._PLAIN).to_numpy(zero_copy_only=False)
-        closes = 2 - pc.match_substring_regex(words, self._LETTERS).to_numpy(zero_copy_only=False).astype(np.int64)
-        order, texts, parts = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]), words.to_pylist(), []
-        simple = order[: int(plain.sum())]
-        for i in range(0, len(simple), 1000):
-            some = simple[i : i + 1000]
-            parts.append(self._together([texts[j] for j in some], closes[some]))
-        if len(simple) < len(order):
-            parts.append(self._alone([texts[j] for j in order[len(simple) :]]))
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(units) else self._alone(units)
+
+    def _fresh(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The units' places in ``units`` in the order coded, their ids in a row, and how many each has."""
+        letters, marks = (pc.equal(pc.utf8_trim(units, characters=x), "") for x in (self._LETTERS, self._MARKS))
+        simple = pc.or_(letters, marks).to_numpy(zero_copy_only=False)
+        order, texts, parts = np.concatenate([np.flatnonzero(simple), np.flatnonzero(~simple)]), units.to_pylist(), []
+        n = int(simple.sum())
+        for i in range(0, n, 1000):
+            parts.append(self._together([texts[j] for j in order[i : min(i + 1000, n)]]))
+        if n < len(order):
+            parts.append(self._alone([texts[j] for j in order[n:]]))
         return order, *(np.concatenate(x) for x in zip(*parts))
 
-    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``places, flat, lengths``: word ``i`` has the ids of row ``places[i]`` of ``flat``."""
-        texts = words.to_pylist()
-        places = np.fromiter(map(self.known.get, texts, repeat(-1)), np.int64, len(texts))
-        new = np.flatnonzero(places < 0)
-        if not len(new):
-            return places, self.flat, self.lengths
-        order, flat, lengths = self._fresh(words.take(pa.array(new)))
-        places[new[order]] = len(self.lengths) + np.arange(len(order))
-        flat, lengths = np.concatenate([self.flat, flat]), np.concatenate([self.lengths, lengths])
-        if len(self.known) < REMEMBERED:
-            self.known.update((texts[i], int(places[i])) for i in new)
-            self.flat, self.lengths = flat, lengths
-        return places, flat, lengths
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has."""
+        heads = pc.ascii_rtrim(words, characters=self._MARKS)
+        plain = pc.equal(pc.utf8_trim(heads, characters=self._LETTERS), "")
+        tails = pc.if_else(plain, pc.utf8_ltrim(words, characters=self._LETTERS), "")
+        heads = pc.if_else(plain, pc.utf8_lower(heads) if self.ignores_case else heads, words)
+        units = pa.concat_arrays([heads, tails]).dictionary_encode()
+        rows = pc.fill_null(pc.index_in(units.dictionary, value_set=self.known), -1).to_numpy().astype(np.int64)
+        flat, lengths, new = self.flat, self.lengths, np.flatnonzero(rows < 0)
+        if len(new):
+            order, ids, counts = self._fresh(units.dictionary.take(pa.array(new)))
+            new = new[order]
+            rows[new] = len(lengths) + np.arange(len(new))
+            flat, lengths = np.concatenate([flat, ids]), np.concatenate([lengths, counts])
+            known = pa.concat_arrays([self.known, units.dictionary.take(pa.array(new))])
+            if len(self.known) < REMEMBERED and known.nbytes <= REMEMBERED_BYTES:
+                self.known, self.flat, self.lengths = known, flat, lengths
+        pairs = rows[units.indices.to_numpy()].reshape(2, -1).T.ravel()
+        return flat[expand(pairs, lengths, np.cumsum(lengths) - lengths)], lengths[pairs].reshape(-1, 2).sum(axis=1)
 
     def texts(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each closed by ``end``, and how many each has."""
         offsets, codes, vocabulary = split_words(texts)
-        places, flat, lengths = self.words(vocabulary)
-        codes = places[codes]
+        flat, lengths = self.words(vocabulary)
+        codes = np.insert(codes, offsets[1:], len(lengths))  # the end is one more word
+        flat, lengths = np.append(flat, np.uint32(end)), np.append(lengths, 1)
         ids = flat[expand(codes, lengths, np.cumsum(lengths) - lengths)]
-        until = np.concatenate([[0], np.cumsum(lengths[codes])])[offsets]
-        counts = np.diff(until) + 1
-        out = np.full(int(counts.sum()), end, np.uint32)
-        inner = np.ones(len(out), bool)
-        inner[np.cumsum(counts) - 1] = False
-        out[inner] = ids
-        return out, counts
+        until = np.cumsum(lengths[codes])[offsets[1:] + np.arange(len(texts))]
+        return ids, np.diff(until, prepend=0)
 
 
 def _encoder(path: str, end: int):

@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import tracemalloc
+import types
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomtext.llm import blockfile, components, fertility, mixing, neardup, pieces, prefix, secrets, topk, words
+from loomtext.llm import blockfile, components, fertility, mixing, neardup, pieces, prefix, secrets, tokenfile, topk, words
 from loomtext.llm import vocabularies as v
 
 
@@ -35,6 +36,47 @@ def test_block_files_patch_outliers():
     assert (next(blockfile.decode_segments(data))[3] == ids).all()
 
 
+@pytest.mark.parametrize("width", [1, 3, 8, 16, 17, 31, 32])
+def test_block_files_pack_lowest_bits_first(width):
+    values = np.random.default_rng(width).integers(0, 2**width, (5, blockfile.BLOCK), np.uint32)
+    packed = blockfile._pack(values, width)
+    for row, got in zip(values.tolist(), packed):
+        assert got.tobytes() == sum(x << (i * width) for i, x in enumerate(row)).to_bytes(blockfile.BLOCK * width // 8, "little")
+    assert (blockfile._unpack(packed, width) == values).all()
+
+
+def ids_of(coder, texts):
+    ids, counts = coder.texts(pa.array(texts, pa.string()), 1)
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+
+def test_words_of_one_stem_are_coded_once():
+    coder = tokenfile.WordEncoder(v.WORD_BPE)
+    whole, coded = coder.tokenizer, []
+
+    def counted(texts, **options):
+        coded.extend(w for t in texts for w in t.split())
+        return whole.encode_batch_fast(texts, **options)
+
+    coder.tokenizer = types.SimpleNamespace(encode_batch_fast=counted)
+    forms = [case(w) + m for w in ("maison", "\u00e9t\u00e9", "haus") for case in (str.lower, str.title, str.upper) for m in ("", ",", ".", "...", "?!")]
+    texts = [" ".join(forms), None, "", " ".join(reversed(forms)) + " don't", "?! DON'T"]
+    assert ids_of(coder, texts) == [whole.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    assert sorted(coded) == sorted(["maison", "\u00e9t\u00e9", "haus", ",", ".", "...", "?!", "don't", "DON'T"])
+
+
+CODER = []
+_ODD = [*"aBz\u00c9\u00ff\u00df\u0130\u03a3H\u0331\u0301\u00aa\u00b5\u00d79'<|>.,](_\u00a0\x85\u6f22\U0001f600\x00", " ", "\n", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "</w>"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.none() | st.lists(st.sampled_from(_ODD), max_size=40).map("".join), min_size=1, max_size=4))
+def test_token_ids_of_odd_words(texts):
+    if not CODER:
+        CODER.append(tokenfile.WordEncoder(v.WORD_BPE))
+    assert ids_of(CODER[0], texts) == [CODER[0].tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.text(max_size=60).filter(lambda s: s.isprintable() or True), max_size=5))
 def test_words_are_those_of_the_definition(texts):
