@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from .blockfile import decode_segments, encode_segment
 from .prefix import with_prefix
 from .scratch import cut, new_folder
-from .words import expand, process_cache, slices, split_words
+from .words import cuts as slices
+from .words import expand, give_back, process_cache, split_words
 
 #: Ids in one segment, about, and units (see ``WordEncoder``) whose ids a worker remembers, with the bytes of their text.
 SEGMENT_IDS, REMEMBERED, REMEMBERED_BYTES = 4_000_000, 500_000, 64 << 20
@@ -76,12 +77,12 @@ class WordEncoder:
         """The units' places in ``units`` in the order coded, their ids in a row, and how many each has."""
         letters, marks = (pc.equal(pc.utf8_trim(units, characters=x), "") for x in (self._LETTERS, self._MARKS))
         simple = pc.or_(letters, marks).to_numpy(zero_copy_only=False)
-        order, texts, parts = np.concatenate([np.flatnonzero(simple), np.flatnonzero(~simple)]), units.to_pylist(), []
+        order, texts, parts = np.concatenate([np.flatnonzero(simple), np.flatnonzero(~simple)]), units.to_numpy(zero_copy_only=False), []
         n = int(simple.sum())
         for i in range(0, n, 1000):
-            parts.append(self._together([texts[j] for j in order[i : min(i + 1000, n)]]))
+            parts.append(self._together(texts[order[i : min(i + 1000, n)]].tolist()))
         if n < len(order):
-            parts.append(self._alone([texts[j] for j in order[n:]]))
+            parts.append(self._alone(texts[order[n:]].tolist()))
         return order, *(np.concatenate(x) for x in zip(*parts))
 
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +111,8 @@ class WordEncoder:
         flat, lengths = self.words(vocabulary)
         codes = np.insert(codes, offsets[1:], len(lengths))  # the end is one more word
         flat, lengths = np.append(flat, np.uint32(end)), np.append(lengths, 1)
-        ids = flat[expand(codes, lengths, np.cumsum(lengths) - lengths)]
+        starts, parts = np.cumsum(lengths) - lengths, np.array_split(codes, len(codes) // 500_000 + 1)
+        ids = np.concatenate([flat[expand(x, lengths, starts)] for x in parts])
         until = np.cumsum(lengths[codes])[offsets[1:] + np.arange(len(texts))]
         return ids, np.diff(until, prepend=0)
 
@@ -134,6 +136,8 @@ def _encoder(path: str, end: int):
                     held, size = [], 0
         if held:
             yield segment()
+        held = []
+        give_back()  # once a task: between slices the system would take and clear the same pages again
 
     return encode
 
