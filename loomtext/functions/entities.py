@@ -64,7 +64,8 @@ def named_character(reference: Column) -> Column:
 def character(number: Column) -> Column:
     """Character of a numeric reference (bigint up to 2**32 - 1)."""
     legacy = F.try_element_at(literal_map({str(n): chr(p) for n, p in WINDOWS_1252.items()}), number.cast("string"))
-    real = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    # a first U+FEFF is taken for the byte order's mark, so one stands before every character
+    real = F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(number), 8, "0"))), "UTF-32")
     return (
         F.when((number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF), F.lit(_REPLACEMENT))
         .when(number.between(0x80, 0x9F), F.coalesce(legacy, F.lit(_REPLACEMENT)))

@@ -18,6 +18,11 @@ def test_decode_entities(spark):
     assert applied(spark, [a for a, _ in DECODED], entities.decode_entities) == [b for _, b in DECODED]
 
 
+def test_decode_byte_order_mark(spark):
+    cases = [("&#65279;", "\ufeff"), ("a&#xFEFF;&#xfeff;b", "a\ufeff\ufeffb"), ("&#65278;&#xFFFE;&#65280;", "\ufefe\ufffe\uff00")]
+    assert applied(spark, [a for a, _ in cases], entities.decode_entities) == [b for _, b in cases]
+
+
 def test_entity_table():
     assert len(constants.ENTITIES) == 303
     assert constants.ENTITIES["nbsp"] == 0x20 and constants.ENTITIES["lang"] == 0x2329 and constants.ENTITIES["Eogonek"] == 0x118
