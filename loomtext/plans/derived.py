@@ -16,7 +16,7 @@ from ..functions import cleanup, detect, entities, formats, markers
 from ..functions.constants import ENTITIES, WIKI_IDS, WIKI_TAGS
 from ..operators import extract, qa
 from ..operators.strip import StripOptions, strip_to_text
-from ..sources import documents, fetch, heads, pool, reports
+from ..sources import documents, fetch, files, heads, pool, reports
 from ..sources.shared import new_folder
 from ..sources.tables import read_table
 from ..streaming import totals
@@ -134,10 +134,18 @@ def _as_files(rows: DataFrame, label: str) -> str:
     return folder
 
 
+def _file_a_row(rows: DataFrame, label: str) -> str:
+    """A folder with one file ``key=<key>.txt`` of a line for each row of ``key, value``."""
+    folder = new_folder(rows.sparkSession, label)
+    line = F.concat(F.coalesce("value", F.lit("")), F.lit("\n")).cast("binary")
+    files.write_files(rows.select(F.concat_ws("", F.lit("key="), F.col("key").cast("string"), F.lit(".txt")).alias("name"), line.alias("content")), folder)
+    return folder
+
+
 def strip_files_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), "html")
+    pages = read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), F.col("html").alias("value"))
     target = f"{new_folder(spark, 'text')}/out"
-    documents.strip_files(spark, _as_files(pages, "html"), target)
+    documents.strip_files(spark, _file_a_row(pages, "html"), target)
     return spark.read.text(target).select(F.col("value").alias("text"))
 
 

@@ -1,19 +1,26 @@
-"""Documents from and to files; only Spark's readers and writers touch a path."""
+"""Documents from and to files; only Spark's readers and writers touch a path, but for folders that ``strip_files`` reads by pyarrow."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.detect import detect_bytes, detect_path
 from ..operators.pdf import try_extract_pdf_bytes
 from ..operators.strip import StripOptions, strip_to_text
+from .heads import known_folder, read_heads
+
+#: Bytes that a value may have; a longer file is an error, not a cut text.
+_MOST_BYTES = (1 << 31) - 1
+
+
+def _text(content: str) -> Column:
+    return F.make_valid_utf8(F.col(content).cast("string"))
 
 
 def read_texts(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """``path, content`` (string) of whole files; bytes that are no UTF-8 become U+FFFD."""
-    files = read_bytes(spark, path, glob)
-    return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    return read_bytes(spark, path, glob).select("path", _text("content").alias("content"))
 
 
 def read_bytes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -32,8 +39,19 @@ def extract_pdf_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> Da
 
 
 def strip_files(spark: SparkSession, source: str, target: str, options: StripOptions | None = None) -> None:
-    """Read HTML files, write one line of text for each."""
-    stripped = read_texts(spark, source).select(strip_to_text("content", options).alias("value"))
+    """Read HTML files, write one line of text for each.
+
+    A folder that pyarrow can list is read by the source of heads, with a thousand files a
+    task and no list of files in the driver's JVM; all else by Spark's source of whole files.
+    """
+    folder = known_folder(spark, source)
+    if folder:
+        files = read_heads(spark, folder, _MOST_BYTES, tasks=4 * spark.sparkContext.defaultParallelism)
+        whole = F.when(F.col("length") == F.octet_length("head"), F.col("head")).otherwise(F.raise_error(F.concat(F.lit("too long: "), "path")))
+        texts = files.select(whole.alias("content")).select(_text("content").alias("content"))
+    else:
+        texts = read_texts(spark, source)
+    stripped = texts.select(strip_to_text("content", options).alias("value"))
     stripped.write.mode("errorifexists").text(target)
 
 
