@@ -157,8 +157,8 @@ def head_formats_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(n == 3, F.concat(F.lit("x"), F.repeat(F.lit("é"), 700), html)).when(n == 4, F.translate(html, "<", "(")).otherwise(F.lit("word"))
     )
     rows = read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), made.alias("value"))
-    found = heads.read_head_formats(spark, _as_files(rows, "heads"))
-    return found.select(F.regexp_extract("path", "key=([0-9]+)/", 1).cast("long").alias("page_id"), "length", "bytes_read", "by_path", "by_content")
+    found = heads.read_head_formats(spark, _file_a_row(rows, "heads"))
+    return found.select(F.regexp_extract("path", "key=(-?[0-9]*)[.]txt$", 1).try_cast("long").alias("page_id"), "length", "bytes_read", "by_path", "by_content")
 
 
 def fetch_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Many small files: written one a row, read whole."""
 
 import pytest
+from helpers import compared
 from pyspark.sql import functions as F
 
 from loomtext.plans import derived
@@ -82,3 +83,17 @@ def test_pages_as_files_share_folders(spark, tmp_path):
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.col("content").cast("string").alias("c")).collect()
     assert sorted((r.path.rpartition("/")[2], r.c) for r in found) == sorted((f"key={i}.txt", "<p>k\n" if i else "\n") for i in range(500))
     assert len({r.path.rpartition("/")[0] for r in found}) == 2
+
+
+def test_heads_of_pages_share_folders(spark, tmp_path, monkeypatch):
+    """Far fewer folders than pages; ids below zero and none at all are those of the table."""
+    import duckdb
+
+    pages = [(i, None, f"<html>{i}") for i in [*range(300), -5, None]]
+    spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2).write.parquet(f"{tmp_path}/sf/pages.parquet")
+    monkeypatch.setattr(derived, "new_folder", lambda spark, label: f"file:{tmp_path}/{label}")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/sf/pages.parquet/*.parquet'")
+    ours, theirs = compared(derived.head_formats_pages(spark, f"{tmp_path}/sf"), con, derived.statements()["head_formats_pages"])
+    assert ours == theirs and len(ours) == 302
+    assert len([p for p in (tmp_path / "heads").rglob("*") if p.is_dir()]) <= 2 * spark.sparkContext.defaultParallelism
