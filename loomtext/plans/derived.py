@@ -145,7 +145,7 @@ def _file_a_row(rows: DataFrame, label: str) -> str:
 def strip_files_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), F.col("html").alias("value"))
     target = f"{new_folder(spark, 'text')}/out"
-    documents.strip_files(spark, _file_a_row(pages, "html"), target)
+    documents.strip_files(spark, _file_a_row(pages, "html"), target, compression="gzip")
     return spark.read.text(target).select(F.col("value").alias("text"))
 
 

@@ -38,11 +38,12 @@ def extract_pdf_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> Da
     return read_bytes(spark, path, glob).select("path", try_extract_pdf_bytes("content").alias("r")).select("path", "r.*")
 
 
-def strip_files(spark: SparkSession, source: str, target: str, options: StripOptions | None = None) -> None:
+def strip_files(spark: SparkSession, source: str, target: str, options: StripOptions | None = None, compression: str = "none") -> None:
     """Read HTML files, write one line of text for each.
 
     A folder that pyarrow can list is read by the source of heads, with a thousand files a
     task and no list of files in the driver's JVM; all else by Spark's source of whole files.
+    ``compression`` is one of Spark's text writer, such as ``gzip``.
     """
     folder = known_folder(spark, source)
     if folder:
@@ -52,7 +53,7 @@ def strip_files(spark: SparkSession, source: str, target: str, options: StripOpt
     else:
         texts = read_texts(spark, source)
     stripped = texts.select(strip_to_text("content", options).alias("value"))
-    stripped.write.mode("errorifexists").text(target)
+    stripped.write.mode("errorifexists").text(target, compression=compression)
 
 
 def write_report(lines: DataFrame, target: str) -> None:

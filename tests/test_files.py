@@ -49,6 +49,9 @@ def test_strip_of_many_files(spark, tmp_path):
     assert got == sorted([f"café � & {i}" for i in range(700)] + ["shown"])
     assert len(list((tmp_path / "out").glob("part-*"))) <= 4 * spark.sparkContext.defaultParallelism
     assert documents.read_texts(spark, f"{tmp_path}/in").count() == 701
+    documents.strip_files(spark, f"{tmp_path}/in", f"{tmp_path}/packed", compression="gzip")
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/packed").collect()) == got
+    assert all(p.suffix == ".gz" for p in (tmp_path / "packed").glob("part-*"))
 
 
 @pytest.mark.parametrize("source", ["in/*.html", "in/a.html"])
